@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .langid import language_id
 from .line_dedup import line_report
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .toxicity import toxicity_scores
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -33,7 +36,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_exact_dedup, op6_benchmark_decontamination, op7_line_dedup)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_exact_dedup, op6_benchmark_decontamination, op7_line_dedup, op8_language_id, op9_toxicity, op10_mixing)}
 
 SQL = {
     "op1_ngram_jaccard_join": f"""
@@ -80,5 +95,36 @@ k AS (SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\
 often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(often.key)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN often USING (key) GROUP BY doc_id
+""",
+    "op10_mixing": """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::DOUBLE AS w, count(*) AS n FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS no FROM s0),
+s2 AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(no % 3) + 1] AS wt, w * 3 AS lim, sum(w) OVER () AS total FROM s1),
+s3 AS (SELECT *, lim / wt AS ratio, (total - coalesce(sum(lim) OVER b, 0)) / (sum(wt) OVER () - coalesce(sum(wt) OVER b, 0)) AS level FROM s2
+       WINDOW b AS (ORDER BY lim / wt, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s4 AS (SELECT *, max(CASE WHEN ratio >= level THEN level END) OVER () AS water FROM s3),
+s AS (SELECT source, no, w, n, total, coalesce(least(lim, water * wt), 0) AS target, ceil(n / 20000.0)::BIGINT AS shards, floor(total / 16 + 0.5)::BIGINT AS seats FROM s4),
+a1 AS (SELECT no, target, seats, total, CASE WHEN total > 0 THEN floor(target * seats / sum(target) OVER () + 0.5) ELSE 0 END::BIGINT AS r, count(*) OVER () AS k, sum(target) OVER () AS whole FROM s),
+a2 AS (SELECT *, (seats - sum(r) OVER ())::BIGINT AS miss FROM a1),
+a3 AS (SELECT *, unnest(range(1, (floor(target * (abs(miss) + k) / whole)::BIGINT + 2))) AS j FROM a2 WHERE miss <> 0 AND whole > 0),
+a4 AS (SELECT no, miss, row_number() OVER (ORDER BY CASE WHEN miss > 0 THEN -(target / (r + j - 0.5)) ELSE target / (r - j + 0.5) END, CASE WHEN miss > 0 THEN no ELSE -no END, j) AS nth FROM a3 WHERE miss > 0 OR j <= r),
+a5 AS (SELECT no, sum(sign(miss))::BIGINT AS c FROM a4 WHERE nth <= abs(miss) GROUP BY no),
+q AS (SELECT a2.no, r + coalesce(c, 0) AS seats FROM a2 LEFT JOIN a5 USING (no)),
+p1 AS (SELECT d.doc_id, d.size, s.no, md5(concat_ws('|', '17', d.doc_id::VARCHAR)) AS key, s.shards FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+p AS (SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % shards AS shard FROM p1),
+h AS (SELECT no, shard, sum(size)::BIGINT AS words FROM p GROUP BY no, shard),
+b1 AS (SELECT h.no, shard, words, seats, sum(words) OVER (PARTITION BY h.no)::DOUBLE AS whole, count(*) OVER (PARTITION BY h.no) AS k FROM h JOIN q USING (no)),
+b2 AS (SELECT *, CASE WHEN whole > 0 THEN floor(words::DOUBLE * seats / whole + 0.5) ELSE 0 END::BIGINT AS r FROM b1),
+b3 AS (SELECT *, CASE WHEN whole > 0 THEN seats - sum(r) OVER (PARTITION BY no) ELSE 0 END::BIGINT AS miss FROM b2),
+b4 AS (SELECT *, unnest(range(1, (floor(words::DOUBLE * (abs(miss) + k) / whole)::BIGINT + 2))) AS j FROM b3 WHERE miss <> 0),
+b5 AS (SELECT no, shard, miss, row_number() OVER (PARTITION BY no ORDER BY CASE WHEN miss > 0 THEN -(words / (r + j - 0.5)) ELSE words / (r - j + 0.5) END, CASE WHEN miss > 0 THEN shard ELSE -shard END, j) AS nth FROM b4 WHERE miss > 0 OR j <= r),
+b6 AS (SELECT no, shard, sum(sign(miss))::BIGINT AS c FROM b5 WHERE nth <= abs(miss) GROUP BY no, shard),
+g1 AS (SELECT b3.no, b3.shard, words, r + coalesce(c, 0) AS quota, ceil(words / 16.0)::BIGINT AS blocks FROM b3 LEFT JOIN b6 ON b3.no = b6.no AND b3.shard = b6.shard),
+g AS (SELECT no, shard, blocks, least(quota, 3 * blocks) // blocks AS times, least(quota, 3 * blocks) % blocks AS more, ('0x' || substr(md5(concat_ws('|', '17', 'run', no::VARCHAR, shard::VARCHAR)), 1, 8))::BIGINT % blocks AS f FROM g1 WHERE blocks > 0),
+o AS (SELECT p.*, sum(size) OVER (PARTITION BY no, shard ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS e FROM p)
+SELECT o.doc_id, o.size, s.w::BIGINT AS source_size, s.target,
+  coalesce(CASE WHEN o.size > 0 THEN times * o.size + CASE WHEN more > 0 THEN greatest(0, least(e, (f + more) * 16) - greatest(e - o.size, f * 16)) + greatest(0, least(e, (f + more - blocks) * 16) - (e - o.size)) ELSE 0 END ELSE 0 END, 0)::BIGINT AS taken
+FROM o JOIN s USING (no) LEFT JOIN g ON g.no = o.no AND g.shard = o.shard
 """,
 }
