@@ -9,9 +9,12 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .langid import language_id
 from .line_dedup import line_report
+from .lm_score import lm_scores
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .toxicity import toxicity_scores
+from .url_filter import judge_urls
+from .warc import write_archive
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -24,6 +27,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_archive(_table(spark, sf_dir, "pages")).read()
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_exact_dedup, op6_benchmark_decontamination, op7_line_dedup, op8_language_id, op9_toxicity, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filters, op3_warc, op4_lm_scoring, op5_exact_dedup, op6_benchmark_decontamination, op7_line_dedup, op8_language_id, op9_toxicity, op10_mixing)}
 
 SQL = {
     "op1_ngram_jaccard_join": f"""
@@ -71,6 +86,23 @@ reach AS (SELECT rep AS x, rep AS y FROM rep UNION SELECT reach.x, sides.y FROM
 comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(comp.component_id, w.doc_id)::BIGINT AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN sig USING (doc_id) LEFT JOIN rep USING (sig) LEFT JOIN comp ON comp.x = rep.rep
+""",
+    "op3_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(p.h, ((k // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN m USING (h)
+""",
+    "op4_lm_scoring": f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
+t AS (SELECT doc_id, i, a[i] AS x, CASE WHEN i > 1 THEN a[i - 1] END AS b FROM w, unnest(range(1, len(a) + 1)) AS u(i)),
+c1 AS (SELECT x, count(*) AS n FROM t GROUP BY x), c2 AS (SELECT b, x, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, x),
+total AS (SELECT count(*) AS n FROM t),
+s AS (SELECT t.doc_id, count(*) AS n_words, sum(ln(CASE WHEN t.b IS NULL THEN c1.n / total.n WHEN c2.n >= 2 THEN c2.n / p.n ELSE 0.4 * c1.n / total.n END)) AS v
+      FROM t JOIN c1 ON c1.x = t.x LEFT JOIN c2 ON c2.b = t.b AND c2.x = t.x LEFT JOIN c1 p ON p.x = t.b, total GROUP BY t.doc_id)
+SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(v, 0), 6) AS log_score, round(v / n_words, 6) AS word_log_score FROM w LEFT JOIN s USING (doc_id)
 """,
     "op5_exact_dedup": """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS x FROM documents),
