@@ -77,3 +77,15 @@ def in_slices(batches, most_bytes: int = 1 << 20, column: str = "text"):
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+
+
+def packed(x: np.ndarray) -> bytes:
+    """A one-dimensional array of unsigned integers as planes of bytes, compressed: high bytes are often alike."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return bytes([x.itemsize]) + len(planes).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    size, n = raw[0], int.from_bytes(raw[1:9], "little")
+    planes = np.frombuffer(pa.decompress(raw[9:], n, "zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(f"u{size}").ravel()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, in_slices, partitions, texts, written
+from .common import flat, in_slices, packed, partitions, texts, unpacked, written
 from .ngram_join import _bucket_edges, _spread, _squeeze
 from .words import window_hashes, word_hashes
 
@@ -44,7 +44,7 @@ def _send(buckets: int, block_words: int):
         for width, parts in ((1, words), (2, pairs)):
             values, counts = np.unique(np.concatenate(parts), return_counts=True)
             names, edges = _bucket_edges(values, buckets)
-            rows = [{"kind": 1, "block": block, "width": width, "bucket": b, "n": int(counts[i:j].sum()), "hashes": _squeeze(values[i:j]), "counts": counts[i:j].astype(np.uint32).tobytes()} for b, i, j in zip(names.tolist(), edges[:-1].tolist(), edges[1:].tolist())]
+            rows = [{"kind": 1, "block": block, "width": width, "bucket": b, "n": int(counts[i:j].sum()), "hashes": _squeeze(values[i:j]), "counts": packed(counts[i:j].astype(np.uint32))} for b, i, j in zip(names.tolist(), edges[:-1].tolist(), edges[1:].tolist())]
             yield pa.RecordBatch.from_pylist(rows, _SENT)
 
     def run(batches):
@@ -69,11 +69,11 @@ def _send(buckets: int, block_words: int):
 
 def _sum(table: pa.Table) -> pa.Table:
     sent = [_spread(x) for x in texts(table["hashes"])]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in texts(table["counts"])])
+    counts = np.concatenate([unpacked(x) for x in texts(table["counts"])])
     _, place = np.unique(np.concatenate(sent), return_inverse=True)
     total = np.bincount(place, counts)[place].astype(np.int64)
     ends = np.cumsum([len(x) for x in sent])
-    return pa.table({"block": table["block"], "width": table["width"], "bucket": table["bucket"], "counts": pa.array([total[e - len(x) : e].tobytes() for x, e in zip(sent, ends)], pa.binary())})
+    return pa.table({"block": table["block"], "width": table["width"], "bucket": table["bucket"], "counts": pa.array([packed(total[e - len(x) : e].astype(np.uint64)) for x, e in zip(sent, ends)], pa.binary())})
 
 
 def _score(total: int, backoff: float, least_pairs: int):
@@ -81,7 +81,7 @@ def _score(total: int, backoff: float, least_pairs: int):
         order = replies.sort_by([("width", "ascending"), ("bucket", "ascending")])
         width = order["width"].to_pylist()
         raw = texts(order["counts"])
-        known = {k: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x, w in zip(raw, width) if w == k)]) for k in (1, 2)}
+        known = {k: np.concatenate([np.zeros(0, np.int64), *(unpacked(x).astype(np.int64) for x, w in zip(raw, width) if w == k)]) for k in (1, 2)}
         slices, all_words, all_pairs = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for part in in_slices(docs.to_batches()):
             hashes, first = word_hashes(*flat(part.column(1)))

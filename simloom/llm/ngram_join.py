@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, in_slices, partitions, texts, written
+from .common import flat, in_slices, packed, partitions, texts, unpacked, written
 from .components import components
 from .trie import linked
 from .words import shingle_sets
@@ -47,20 +47,30 @@ _MET_SQL = "bucket int, tokens binary, sigs binary, src binary, dst binary"
 
 
 def _squeeze(x: np.ndarray) -> bytes:
-    """Sorted 48-bit values as differences of four bytes, or of eight where one is larger."""
-    steps = np.diff(x, prepend=np.uint64(0))
-    if len(steps) > 1 and int(steps[1:].max()) < 1 << 32:
-        return b"4" + x[:1].tobytes() + steps[1:].astype(np.uint32).tobytes()
-    return b"8" + x.tobytes()
+    """Sorted 48-bit values as differences of four bytes, or of eight where one is larger; planes of bytes, compressed."""
+    steps = np.diff(x)
+    if len(steps) and int(steps.max()) < 1 << 32:
+        return b"4" + x[:1].tobytes() + packed(steps.astype(np.uint32))
+    return b"8" + packed(x)
 
 
 def _spread(raw: bytes) -> np.ndarray:
     if raw[:1] == b"4":
-        steps = np.empty((len(raw) - 9) // 4 + 1, np.uint64)
-        steps[0] = np.frombuffer(raw, np.uint64, 1, 1)[0]
-        steps[1:] = np.frombuffer(raw, np.uint32, -1, 9)
-        return np.cumsum(steps, dtype=np.uint64)
-    return np.frombuffer(raw, np.uint64, -1, 1)
+        steps = unpacked(raw[9:])
+        out = np.empty(len(steps) + 1, np.uint64)
+        out[0] = np.frombuffer(raw, np.uint64, 1, 1)[0]
+        out[1:] = steps
+        return np.cumsum(out, dtype=np.uint64)
+    return unpacked(raw[1:])
+
+
+def _narrow(reps: np.ndarray) -> bytes:
+    """Places of sets in a block: two bytes each, or four where a block has more than 65,536 sets."""
+    return packed(reps.astype(np.uint16 if not len(reps) or int(reps.max()) < 1 << 16 else np.uint32))
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return unpacked(raw).astype(np.int32)
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +105,7 @@ def _send(buckets: int):
             starts, lengths = _runs(t)
             many = lengths >= HEAVY
             heavy = np.repeat(many, lengths)
-            yield {"kind": 1, "block": block, "bucket": name, "tokens": _squeeze(t[~heavy]), "reps": r[~heavy].tobytes(), "heavy": t[starts[many]].tobytes(), "counts": lengths[many].astype(np.int32).tobytes(), "lists": r[heavy].tobytes()}
+            yield {"kind": 1, "block": block, "bucket": name, "tokens": _squeeze(t[~heavy]), "reps": _narrow(r[~heavy]), "heavy": t[starts[many]].tobytes(), "counts": lengths[many].astype(np.int32).tobytes(), "lists": _narrow(r[heavy])}
 
     def run(batches):
         from pyspark import TaskContext
@@ -123,7 +133,7 @@ def _send(buckets: int):
 def _count(table: pa.Table) -> pa.Table:
     blocks = table["block"].to_pylist()
     tokens = [_spread(x) for x in texts(table["tokens"])]
-    reps = [np.frombuffer(x, np.int32) for x in texts(table["reps"])]
+    reps = [_wide(x) for x in texts(table["reps"])]
     heavy = [np.frombuffer(x, np.uint64) for x in texts(table["heavy"])]
     counts = [np.frombuffer(x, np.int32) for x in texts(table["counts"])]
     every = np.sort(np.concatenate(tokens))
@@ -147,7 +157,7 @@ def _count(table: pa.Table) -> pa.Table:
         place = np.searchsorted(shared, t)
         keep = np.flatnonzero((place < len(shared)) & (shared[np.minimum(place, len(shared) - 1)] == t)) if len(shared) else np.zeros(0, np.int64)
         if len(keep) or len(h):
-            out.append({"block": block, "tokens": t[keep].tobytes(), "reps": r[keep].tobytes(), "counts": times[place[keep]].astype(np.int64).tobytes(), "heavy": h.tobytes(), "lists": np.array([total[x] for x in h.tolist()], np.int64).tobytes()})
+            out.append({"block": block, "tokens": _squeeze(t[keep]), "reps": _narrow(r[keep]), "counts": packed(times[place[keep]].astype(np.uint32)), "heavy": h.tobytes(), "lists": np.array([total[x] for x in h.tolist()], np.int64).tobytes()})
     return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("tokens", "reps", "counts", "heavy", "lists"))]))
 
 
@@ -174,15 +184,15 @@ def _prefixes(buckets: int):
         tokens, reps, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for k, kind in enumerate(kinds):
             if kind == 3:
-                tokens.append(np.frombuffer(columns["tokens"][k], np.uint64))
-                reps.append(np.frombuffer(columns["reps"][k], np.int32))
-                counts.append(np.frombuffer(columns["counts"][k], np.int64))
+                tokens.append(_spread(columns["tokens"][k]))
+                reps.append(_wide(columns["reps"][k]))
+                counts.append(unpacked(columns["counts"][k]).astype(np.int64))
                 totals.update(zip(np.frombuffer(columns["heavy"][k], np.uint64).tolist(), np.frombuffer(columns["lists"][k], np.int64).tolist()))
         for k, kind in enumerate(kinds):
             if kind == 1:
                 heavy, local = np.frombuffer(columns["heavy"][k], np.uint64), np.frombuffer(columns["counts"][k], np.int32)
                 tokens.append(np.repeat(heavy, local))
-                reps.append(np.frombuffer(columns["lists"][k], np.int32))
+                reps.append(_wide(columns["lists"][k]))
                 counts.append(np.repeat(np.array([totals[x] for x in heavy.tolist()], np.int64), local))
         tokens, reps, counts = np.concatenate(tokens), np.concatenate(reps), np.concatenate(counts)
         held = np.bincount(reps, minlength=len(n))
