@@ -198,6 +198,19 @@ def _learn(batches):
             yield pa.record_batch([[lang], [g.astype(np.int32).tobytes()], [gn.astype(np.int32).tobytes()], [c[g].tobytes()], [scripts.tobytes()]], ["lang", "grams", "counts", "contexts", "scripts"])
 
 
+def _merge(table: pa.Table) -> pa.Table:
+    """One row for each language out of those of its batches."""
+    grams, contexts = np.zeros(1 << SLOTS, np.int64), np.zeros(1 << SLOTS, np.int32)
+    scripts = np.zeros(11, np.int64)
+    for g, n, c, s in zip(*(texts(table[k]) for k in ("grams", "counts", "contexts", "scripts"))):
+        g = np.frombuffer(g, np.int32)
+        grams[g] += np.frombuffer(n, np.int32)
+        contexts[g] = np.frombuffer(c, np.int32)
+        scripts += np.frombuffer(s, np.int64)
+    g = np.flatnonzero(grams).astype(np.int32)
+    return pa.table({"lang": table["lang"][:1], "grams": pa.array([g.tobytes()]), "counts": pa.array([grams[g].astype(np.int32).tobytes()]), "contexts": pa.array([contexts[g].tobytes()]), "scripts": pa.array([scripts.tobytes()])})
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Learn from at most ``sample`` texts of each language, those of least hash of ``doc_id`` that are not held out.
 
@@ -207,7 +220,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang").distinct()
     rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
-    pieces = rows.mapInArrow(_learn, "lang string, grams binary, counts binary, contexts binary, scripts binary").toArrow().to_pylist()
+    kind = "lang string, grams binary, counts binary, contexts binary, scripts binary"
+    pieces = rows.mapInArrow(_learn, kind).groupBy("lang").applyInArrow(_merge, kind).toArrow().to_pylist()
     languages = sorted({x["lang"] for x in pieces})
     grams = np.zeros((1 << SLOTS, len(languages)))
     contexts = np.zeros((1 << SLOTS, len(languages)))
