@@ -16,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, in_slices
+from .common import flat, in_slices, written
 from .words import ALNUM, LOWER, _power, mix, spans
 
 #: Most labelled rows of each class that the model is fitted on, those of least hash.
 SAMPLE = {1: 4000, 0: 6000}
 BEGINNINGS = (4, 5, 6)
+#: A term counts if this many sampled rows have it, and its shares of the two classes differ by this
+#: many standard errors: else chance words of few rows outweigh those that tell. The most telling
+#: ``MOST_TERMS`` are the model's.
+LEAST_DOCUMENTS, LEAST_LEAN, MOST_TERMS = 3, 4.0, 200_000
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,25 +73,14 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows, at, n), -30, 30)))
 
 
-def fit(documents: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 8, rate: float = 0.1, penalty: float = 1e-4, least_documents: int = 3, least_lean: float = 4.0, seed: int = 7) -> FactorizationMachine:
-    """``documents``: distinct term hashes of each row. Rows of one class only, or none, give a constant score.
+def fit(known: np.ndarray, documents: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 8, rate: float = 0.1, penalty: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+    """``known``: sorted hashes of the terms that count; ``documents``: places in it of each row's terms.
 
-    A term is kept if ``least_documents`` rows have it and its share differs between the classes by
-    ``least_lean`` standard errors: else chance words of few rows outweigh those that tell.
+    Rows of one class only, or none, give a constant score.
     """
     rng = np.random.default_rng(seed)
-    sizes = np.array([len(x) for x in documents], np.int64)
-    every = np.concatenate(documents) if documents else np.zeros(0, np.uint64)
-    known, inverse, times = np.unique(every, return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(documents)), sizes)
-    ones, n = np.bincount(inverse, labels[rows], len(known)), len(labels)
-    n1 = min(max(labels.sum(), 0.5), n - 0.5)
-    share = times / max(n, 1)
-    lean = (ones / n1 - (times - ones) / (n - n1)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1))) if n else times
-    keep = (times >= least_documents) & (np.abs(lean) >= least_lean)
-    number = np.cumsum(keep) - 1
-    mask = keep[inverse]
-    at, rows, known = number[inverse[mask]], rows[mask], known[keep]
+    rows = np.repeat(np.arange(len(documents)), [len(x) for x in documents])
+    at = np.concatenate([np.zeros(0, np.int64), *documents])
     edges = np.searchsorted(rows, np.arange(len(documents) + 1))
     sieve = np.zeros(1 << 22, bool)
     sieve[(known >> np.uint64(42)).astype(np.int64)] = True
@@ -120,16 +113,36 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs:
     return model
 
 
-def _sample_terms(batches):
+def _distinct(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of each text of a slice, by text."""
+    hashes, rows = terms(*flat(part.column(part.schema.get_field_index("text"))))
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    return hashes[new], rows[new]
+
+
+def _term_counts(batches):
+    """In how many texts of a slice, and of its toxic ones, each term stands."""
     for part in in_slices(batches):
-        hashes, rows = terms(*flat(part.column(part.schema.get_field_index("text"))))
-        order = np.lexsort((hashes, rows))
-        hashes, rows = hashes[order], rows[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-        hashes, rows = hashes[new], rows[new]
-        edges = np.searchsorted(rows, np.arange(part.num_rows + 1))
-        yield pa.record_batch([part.column(0), part.column(1), pa.array([hashes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], ["doc_id", "toxic", "terms"])
+        hashes, rows = _distinct(part)
+        values, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        ones = np.bincount(place, part.column(part.schema.get_field_index("toxic")).to_numpy()[rows], len(values))
+        yield pa.record_batch({"term": values.view(np.int64), "n": times.astype(np.int64), "ones": ones.astype(np.int64)})
+
+
+def _sample_terms(shared):
+    def run(batches):
+        known = shared.value
+        for part in in_slices(batches):
+            hashes, rows = _distinct(part)
+            at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+            found = known[at] == hashes if len(known) else np.zeros(0, bool)
+            at, edges = at[found], np.searchsorted(rows[found], np.arange(part.num_rows + 1))
+            yield pa.record_batch([part.column(0), part.column(1), pa.array([at[a:b].astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], ["doc_id", "toxic", "terms"])
+
+    return run
 
 
 def fold(divisor: int, at: int):
@@ -140,18 +153,30 @@ def fold(divisor: int, at: int):
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> FactorizationMachine:
     """Fit on at most ``sample[c]`` labelled rows of class ``c`` that are not held out, those of least hash of ``doc_id``.
 
-    Null labels and ids are not used; of several labels of a ``doc_id`` the largest counts.
+    Null labels and ids are not used; of several labels of a ``doc_id`` the largest counts. Counts of
+    terms are summed on the executors; only the terms that tell reach the driver.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~fold(5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for kind, most in sorted(sample.items()):
         part = usable.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = written(chosen, "toxicity-sample")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    table = rows.mapInArrow(_sample_terms, "doc_id long, toxic int, terms binary").toArrow()
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    known = np.zeros(0, np.uint64)
+    if n1 and n0:
+        counts = rows.mapInArrow(_term_counts, "term long, n long, ones long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+        share = F.col("n") / (n1 + n0)
+        lean = (F.col("ones") / n1 - (F.col("n") - F.col("ones")) / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+        telling = counts.where(F.col("n") >= LEAST_DOCUMENTS).withColumn("lean", F.abs(lean)).where(F.col("lean") >= LEAST_LEAN)
+        found = telling.orderBy(F.desc("lean"), "term").limit(MOST_TERMS).select("term").toArrow()
+        known = np.sort(found["term"].to_numpy().view(np.uint64))
+    table = rows.mapInArrow(_sample_terms(docs.sparkSession.sparkContext.broadcast(known)), "doc_id long, toxic int, terms binary").toArrow()
     table = table.sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-    found = [np.frombuffer(x, np.uint64) for x in table["terms"].to_pylist()]
-    return fit(found, table["toxic"].to_numpy().astype(float))
+    found = [np.frombuffer(x, np.int32).astype(np.int64) for x in table["terms"].to_pylist()]
+    return fit(known, found, table["toxic"].to_numpy().astype(float))
 
 
 def _score(shared, keep: bool):
