@@ -119,9 +119,9 @@ def safe_name(spark, d):
     return table(spark, d, "pages").select("page_id", fn.safe_name(F.col("url")).alias("name"))
 
 
-@query("WITH f AS (SELECT url AS path, length(html) AS size, page_id AS mtime FROM pages), h AS (SELECT *, sum(size) OVER (ORDER BY mtime DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS held FROM f) SELECT * FROM h WHERE held > 200000")
+@query("WITH f AS (SELECT url AS path, length(html) AS size, page_id AS mtime FROM pages), h AS (SELECT *, sum(size) OVER (ORDER BY mtime DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS held FROM f) SELECT * FROM h WHERE held > 50000")
 def cache_evict(spark, d):
-    return op.evictable(table(spark, d, "pages").select(F.col("url").alias("path"), F.length("html").cast("long").alias("size"), F.col("page_id").alias("mtime")), 200000)
+    return op.evictable(table(spark, d, "pages").select(F.col("url").alias("path"), F.length("html").cast("long").alias("size"), F.col("page_id").alias("mtime")), 50000)
 
 
 @query("SELECT doc_id, 'episode_' || lpad(doc_id::VARCHAR, 6, '0') AS episode, 'batch_' || lpad((n_chars % 1000)::VARCHAR, 4, '0') AS batch FROM documents")

@@ -13,12 +13,11 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 WEIGHTS = [1.0, 0.001, 5.0, 5.0]
-_STATE = F.array("a", "b", "c", "d")
 _TRAJ = f"{STATES}, tr AS (SELECT seg, count(*) AS n_frames, list([a, b, c, d] ORDER BY fr) AS states FROM t GROUP BY seg)"
 
 
 def _trajectories(spark, d):
-    return op.trajectories(states(spark, d), "seg", "fr", _STATE)
+    return op.trajectories(states(spark, d), "seg", "fr", F.array("a", "b", "c", "d"))
 
 
 def _pairs(spark, d, step: int = 4):
@@ -33,7 +32,7 @@ def _pairs(spark, d, step: int = 4):
 def trajectory_extract(spark, d):
     rows = states(spark, d)
     segments = rows.groupBy("seg").agg(F.sort_array(F.collect_list("fr")).alias("frame_indices")).withColumn("episode", F.col("seg"))
-    return op.extract(segments, rows.select(F.col("seg").alias("episode"), F.col("fr").alias("frame"), "a", "b", "c", "d"), _STATE)
+    return op.extract(segments, rows.select(F.col("seg").alias("episode"), F.col("fr").alias("frame"), "a", "b", "c", "d"), F.array("a", "b", "c", "d"))
 
 
 @query(f"WITH {STATES} SELECT seg, fr, CASE WHEN fr % 5 = 3 THEN [a, 0, c, d] ELSE [a, b, c, d] END AS state FROM t WHERE fr % 7 < 6")
