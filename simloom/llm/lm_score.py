@@ -4,7 +4,7 @@
    words and word pairs, as sorted 48-bit hashes with their counts, to owners by hash.
 2. An owner sums the counts of its part of the n-gram tables over all blocks, and replies to each
    block with the totals in the order sent.
-3. A block's texts meet its totals, are split to n-grams again, and each document's logarithms are
+3. A block's texts, kept compressed, meet its totals, are split to n-grams again, and each document's logarithms are
    summed.
 
 What is exchanged is one entry for each block and distinct n-gram, so a frequent word costs an owner
@@ -26,8 +26,8 @@ BLOCK = 1_000_000
 BACKOFF = 0.4
 LEAST_PAIRS = 2
 
-_SENT = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("width", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_SENT_SQL = "kind int, block long, doc_id long, text string, width int, bucket int, n long, hashes binary, counts binary"
+_SENT = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("text", pa.binary()), ("width", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_SENT_SQL = "kind int, block long, doc_ids array<long>, sizes binary, text binary, width int, bucket int, n long, hashes binary, counts binary"
 
 
 def _grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,8 +56,8 @@ def _send(buckets: int, block_words: int):
             words.append(w)
             pairs.append(p)
             held += len(w)
-            n = part.num_rows
-            yield pa.record_batch({"kind": np.zeros(n, np.int32), "block": np.full(n, block), "doc_id": part.column(0), "text": part.column(1).cast(pa.string()), **{c: pa.nulls(n, _SENT.field(c).type) for c in _SENT.names[4:]}}, schema=_SENT)
+            data, offsets = flat(part.column(1))
+            yield pa.RecordBatch.from_pylist([{"kind": 0, "block": block, "doc_ids": part.column(0).to_pylist(), "sizes": packed(np.diff(offsets).astype(np.uint32)), "n": len(data), "text": pa.compress(data.tobytes(), "zstd", asbytes=True) if len(data) else b""}], _SENT)
             if held >= block_words:
                 yield from flush(block, words, pairs)
                 block, words, pairs, held = block + 1, [], [], 0
@@ -83,10 +83,11 @@ def _score(total: int, backoff: float, least_pairs: int):
         raw = texts(order["counts"])
         known = {k: np.concatenate([np.zeros(0, np.int64), *(unpacked(x).astype(np.int64) for x, w in zip(raw, width) if w == k)]) for k in (1, 2)}
         slices, all_words, all_pairs = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for part in in_slices(docs.to_batches()):
-            hashes, first = word_hashes(*flat(part.column(1)))
+        for doc_ids, sizes, size, text in zip(docs["doc_ids"].to_pylist(), texts(docs["sizes"]), docs["n"].to_pylist(), texts(docs["text"])):
+            data = np.frombuffer(pa.decompress(text, size, "zstd", asbytes=True) if size else b"", np.uint8)
+            hashes, first = word_hashes(data, np.concatenate([[0], np.cumsum(unpacked(sizes), dtype=np.int64)]))
             words, pairs, second = _grams(hashes, first)
-            slices.append((part.column(0), first, words, pairs, second))
+            slices.append((pa.array(doc_ids, pa.int64()), first, words, pairs, second))
             all_words.append(words)
             all_pairs.append(pairs)
         values = {1: np.unique(np.concatenate(all_words)), 2: np.unique(np.concatenate(all_pairs))}
@@ -125,6 +126,6 @@ def lm_scores(docs: DataFrame, block_words: int = BLOCK, backoff: float = BACKOF
     counts = sent.where("kind = 1").select("block", "width", "bucket", "hashes", "counts", "n")
     total = counts.where("width = 1").agg(F.sum("n")).first()[0] or 1
     replies = counts.drop("n").groupBy("width", "bucket").applyInArrow(_sum, "block long, width int, bucket int, counts binary")
-    blocks = sent.where("kind = 0").select("doc_id", "text", "block")
+    blocks = sent.where("kind = 0").select("block", "doc_ids", "sizes", "n", "text")
     scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(total, backoff, least_pairs), "doc_id long, n_words long, log_score double")
     return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("word_log_score"))
