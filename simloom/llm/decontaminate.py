@@ -4,6 +4,7 @@ The benchmark is a stated, small query set. Its windows are broadcast in blocks
 ``most_words`` benchmark words; each block is one pass over all documents. Words of a document
 are replaced by the numbers of the benchmark's words (0: none of them), windows are found by a
 rolling hash of the numbers in the sorted hashes of the block, and each hit is verified word by word.
+Hits of a block are carried to the next pass as bits, so that the last one sees them all.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, in_slices
+from .common import in_slices, texts, written
 from .words import ALNUM, LOWER, mix, spans
 
 WINDOW = 10
@@ -82,64 +83,86 @@ class Windows:
 
 
 def _blocks(benchmark: DataFrame, most_words: int):
-    block, held = [], 0
+    """The benchmark's windows in blocks; one without windows if it is empty."""
+    block, held, given = [], 0, 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator(prefetchPartitions=False):
         text = (row[1] or "").encode()
         block.append((row[0], text))
         held += len(text) // 4 + 1
         if held >= most_words:
             yield Windows(block)
-            block, held = [], 0
-    yield Windows(block)
-
-
-def _scan(shared, mode: str):
-    def digest(windows, part):
-        out = []
-        for text in _texts(part):
-            words = word_list(text)
-            hits, found = windows.scan(words)
-            n_hit = int(hits.sum())
-            names = sorted(x for x in found if x is not None)
-            out.append((len(words), n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0))
-        columns = list(zip(*out)) or [[]] * 5
-        return [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
-
-    def _texts(part):
-        data, offsets = flat(part.column(part.schema.get_field_index("text")))
-        raw = data.tobytes()
-        return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            block, held, given = [], 0, given + 1
+    if block or not given:
+        yield Windows(block)
+
+
+def _scan(shared, finish):
+    """Adds a block's hits to the state, the last two columns: hit words as bits, and the item ids.
+
+    ``finish(part, raw, found)`` makes the result out of the rows without state, their texts and,
+    for each, its number of words, hit words and item ids; None keeps the state for a next block.
+    """
 
     def run(batches):
         windows = shared.value
         for part in in_slices(batches):
-            if mode == "digest":
-                yield pa.record_batch([part.column(0), *digest(windows, part)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-                continue
-            kept, changed = [], []
-            for text, there in zip(_texts(part), part.column(part.schema.get_field_index("text")).is_valid().to_pylist()):
-                data = np.frombuffer(text, np.uint8)
-                hits, _ = windows.scan(word_list(text))
-                changed.append(bool(hits.any()))
-                if hits.any():
-                    starts, ends, _ = spans(data, np.array([0, len(data)]), ALNUM)
-                    drop = np.zeros(len(data) + 1, np.int64)
-                    # a run of hit words goes with what stands between them
-                    last = np.flatnonzero(hits & ~np.append(hits[1:], False))
-                    first = np.flatnonzero(hits & ~np.append(False, hits[:-1]))
-                    np.add.at(drop, starts[first], 1)
-                    np.add.at(drop, ends[last], -1)
-                    text = data[np.cumsum(drop[:-1]) == 0].tobytes()
-                kept.append(text.decode() if there else None)
-            if mode == "drop":
-                yield part.filter(pa.array([not x for x in changed]))
+            raw = texts(part.column(part.schema.get_field_index("text")))
+            plain, found = part.select(list(range(part.num_columns - 2))), []
+            for text, bits, names in zip(raw, part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
+                words = word_list(text)
+                hits, items = windows.scan(words)
+                if bits:
+                    hits |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
+                found.append((len(words), hits, sorted(items.union(names or ()) - {None})))
+            if finish:
+                yield finish(plain, raw, found)
             else:
-                at = part.schema.get_field_index("text")
-                yield part.set_column(at, part.schema.field(at), pa.array(kept, part.schema.field(at).type))
+                bits = [np.packbits(hits).tobytes() if hits.any() else None for _, hits, _ in found]
+                yield pa.record_batch([*plain.columns, pa.array(bits, pa.binary()), pa.array([names for *_, names in found], pa.list_(pa.string()))], part.schema.names)
 
     return run
 
 
+def _digest(part: pa.RecordBatch, raw: list[bytes], found: list) -> pa.RecordBatch:
+    n_hit = [int(hits.sum()) for _, hits, _ in found]
+    shas = [hashlib.sha256(",".join(names).encode()).hexdigest() for *_, names in found]
+    columns = {"n_words": pa.array([n for n, *_ in found], pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(names) for *_, names in found], pa.int64())}
+    return pa.record_batch({"doc_id": part.column(0), **columns, "items_sha256": pa.array(shas, pa.string()), "contaminated": pa.array([n > 0 for n in n_hit], pa.bool_())})
+
+
+def _drop(part: pa.RecordBatch, raw: list[bytes], found: list) -> pa.RecordBatch:
+    return part.filter(pa.array([not hits.any() for _, hits, _ in found], pa.bool_()))
+
+
+def _cut(part: pa.RecordBatch, raw: list[bytes], found: list) -> pa.RecordBatch:
+    """A run of hit words goes with what stands between them."""
+    at, kept = part.schema.get_field_index("text"), []
+    for text, (_, hits, _), there in zip(raw, found, part.column(at).is_valid().to_pylist()):
+        if hits.any():
+            data = np.frombuffer(text, np.uint8)
+            starts, ends, _ = spans(data, np.array([0, len(data)]), ALNUM)
+            drop = np.zeros(len(data) + 1, np.int64)
+            np.add.at(drop, starts[np.flatnonzero(hits & ~np.append(False, hits[:-1]))], 1)
+            np.add.at(drop, ends[np.flatnonzero(hits & ~np.append(hits[1:], False))], -1)
+            text = data[np.cumsum(drop[:-1]) == 0].tobytes()
+        kept.append(text.decode() if there else None)
+    return part.set_column(at, part.schema.field(at), pa.array(kept, part.schema.field(at).type))
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, most_words: int, finish, schema) -> DataFrame:
+    """One pass over ``docs`` for each block of the benchmark; passes before the last are written with their state."""
+    broadcast, state = docs.sparkSession.sparkContext.broadcast, "state"
+    while any(c.lower().startswith(state) for c in docs.columns):
+        state += "_"
+    rows = docs.select("*", F.lit(None).cast("binary").alias(f"{state}_bits"), F.lit(None).cast("array<string>").alias(f"{state}_items"))
+    blocks = _blocks(benchmark, most_words)
+    windows = next(blocks)
+    for following in blocks:
+        rows = written(rows.mapInArrow(_scan(broadcast(windows), None), rows.schema), "decontaminate-pass")
+        windows = following
+    return rows.mapInArrow(_scan(broadcast(windows), finish), schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, most_words: int = 2_000_000) -> DataFrame:
     """How much of each document stands in the benchmark.
 
@@ -150,23 +173,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_words: int = 2_000
     ``n_items``, ``items_sha256`` (of the sorted item ids as strings, comma-joined) and
     ``contaminated`` (``n_hit > 0``), one row per row. Null and empty texts have no words. An item
     with a null id makes hits but is not counted or listed; repeated items count once. An empty
-    benchmark hits nothing. A benchmark beyond ``most_words`` words, about 100 MB of windows, stops
-    with an error: split it, and combine with ``remove_contamination``.
+    benchmark hits nothing. A benchmark beyond ``most_words`` words, about 100 MB of windows, is
+    taken in blocks, each a pass over the documents; the result is the same.
     """
-    blocks = list(_blocks(benchmark, most_words))
-    if len(blocks) > 2 or (len(blocks) == 2 and blocks[1].by_width):
-        raise ValueError(f"the benchmark has more than about {most_words} words: pass parts of it")
-    shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(shared, "digest"), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return _passes(rows, benchmark, most_words, _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, whole: bool = False, most_words: int = 2_000_000) -> DataFrame:
     """``docs`` without the benchmark's passages: their spans are cut out, or with ``whole`` the documents go.
 
     Columns stay as they are, whatever their names. A null text stays null. A benchmark beyond
-    ``most_words`` words is taken in blocks, each a pass over the documents; with ``whole`` or not,
-    a span that only the joint blocks would cover is found by its own block.
+    ``most_words`` words is taken in blocks, each a pass over the documents. Spans are cut once all
+    blocks are searched, so that one span hides no other.
     """
-    for windows in _blocks(benchmark, most_words):
-        docs = docs.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(windows), "drop" if whole else "cut"), docs.schema)
-    return docs
+    return _passes(docs, benchmark, most_words, _drop if whole else _cut, docs.schema)

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from simloom.llm import exact_dedup as golomb
 from simloom.llm import warc
@@ -141,6 +142,33 @@ def test_contamination_odd(spark, odd, none):
     assert [(r["doc_id"], r["text"], r["hits"]) for r in cut.orderBy("doc_id").collect()] == [(1, "Alpha, ! omega", "h"), (2, None, "h")]
 
 
+def test_contamination_in_blocks(spark, odd):
+    rng = random.Random(11)
+    items = [" ".join(rng.choices(WORDS, k=rng.randint(3, 25))) for _ in range(12)]
+    bench = spark.createDataFrame([*enumerate(items), (20, None), (21, "w1 w2"), (22, "w2 w3")], "item_id long, text string")
+    rows = [(k, ", ".join([*rng.choices(WORDS, k=9), *items[k % 12].split()[: rng.randint(1, 25)], "End", *rng.choices(WORDS, k=9), "w1 w2 w3"]), "a") for k in range(40)]
+    docs = documents(spark, [*rows, (90, None, "a"), (91, "", "a"), (92, "nothing of it", "a")]).withColumn("State_bits", F.lit(7))
+    want = {}
+    for i, text in [(r["doc_id"], r["text"]) for r in docs.collect()]:
+        own, hit, found = re.findall(r"[a-z0-9]+", (text or "").lower()), set(), set()
+        for number, item in [*enumerate(items), (21, "w1 w2"), (22, "w2 w3")]:
+            w = item.split()
+            width = min(10, len(w))
+            windows = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+            for at in range(len(own) - width + 1):
+                if tuple(own[at : at + width]) in windows:
+                    hit |= set(range(at, at + width))
+                    found.add(str(number))
+        want[i] = (len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+    for most in (2_000_000, 30):
+        assert {r["doc_id"]: tuple(r)[1:] for r in contamination(docs, bench, most).collect()} == want
+    whole = sorted(map(tuple, remove_contamination(docs, bench).select("doc_id", "text", "State_bits").fillna("-").collect()))
+    assert whole == sorted(map(tuple, remove_contamination(docs, bench, most_words=30).select("doc_id", "text", "State_bits").fillna("-").collect()))
+    assert len(whole) == 43 and all("w1 w2 w3" not in text for _, text, _ in whole)
+    for most in (2_000_000, 30):
+        assert {r["doc_id"] for r in remove_contamination(docs, bench, True, most).collect()} == {i for i, x in want.items() if not x[4]}
+
+
 def test_line_dedup(spark, odd, none):
     docs = documents(spark, [(k, f"own {k}\n  COMMON line\t\n\nlast", "a") for k in range(12)] + [(20, None, "a"), (21, "x", "a")])
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_report(docs).collect()}
