@@ -15,7 +15,9 @@ Method, for documents as sets of hashed 5-word shingles and a similarity of 0.75
    rare shingles make them; they are found by ``components``.
 5. ``_join``: the whole sets of a candidate component go to one task, which stores them in a
    prefix tree and joins them exactly (``trie``). A component beyond ``most_shingles`` is cut to
-   chunks by hash, and each pair of chunks is a task; links over chunks are then united.
+   chunks by hash. Each chunk is joined with itself and the first one, which unites near copies.
+   Sets outside the largest part then are queries, in blocks, against all chunks; links between
+   sets of that part can't change a result. That is linear in the chunks for each query block.
 
 Cutting to 48 bits and counts of equal sets in several blocks only add candidates. No link is lost.
 """
@@ -226,28 +228,47 @@ def _unpack(batches):
 
 
 def _whole(batches):
-    """Each different set of a partition once: its signature, size and shingles."""
-    seen = set()
+    """The sets of a partition, with signature and size, for the smallest ``doc_id`` that has each.
+
+    A set is given again only when a smaller ``doc_id`` follows, so that the row with the smallest
+    of all partitions is always among them.
+    """
+    seen: dict[int, int | None] = {}
     for part in in_slices(batches, column="text"):
         rows = []
-        for x in shingle_sets(*flat(part.column(0))):
-            if len(x) and (sig := signature(x)) not in seen:
-                seen.add(sig)
-                rows.append((sig, len(x), x.tobytes()))
+        for doc, x in zip(part.column(0).cast(pa.int64()).to_pylist(), shingle_sets(*flat(part.column(1)))):
+            if not len(x):
+                continue
+            sig = signature(x)
+            if sig not in seen or (doc is not None and (seen[sig] is None or doc < seen[sig])):
+                seen[sig] = doc
+                rows.append((doc, sig, x.tobytes()))
         if rows:
             a, b, c = zip(*rows)
-            yield pa.record_batch({"sig": pa.array(a, pa.int64()), "n": pa.array(b, pa.int64()), "shingles": pa.array(c, pa.binary())})
+            yield pa.record_batch({"doc_id": pa.array(a, pa.int64()), "sig": pa.array(b, pa.int64()), "shingles": pa.array(c, pa.binary())})
 
 
 def _join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     sigs = table["sig"].to_numpy()
     _, first = np.unique(sigs, return_index=True)  # the smallest signature has the first place
     raw = texts(table["shingles"])
-    roots = linked([np.frombuffer(raw[i], np.uint64) for i in first.tolist()])
+    roots = linked([np.frombuffer(raw[i], np.uint64) for i in first.tolist()], table["part"].to_numpy()[first])
     own = sigs[first]
     return pa.table({"node": own, "component": own[roots], "cut": pa.array([key[1].as_py() >= 0] * len(own), pa.bool_())})
 
 
+def _exactly(docs: DataFrame, placed: DataFrame, pairs) -> DataFrame:
+    """Join the whole sets of each task exactly: ``(node, component, cut)``.
+
+    ``placed`` has ``sig``, ``low`` (the smallest ``doc_id`` with that set), ``component`` and
+    ``part`` (sets of one part are known to be linked); ``pairs`` are the tasks of a component that
+    a set goes to, -1 for the only one. Of equal sets one row only is sent.
+    """
+    whole = docs.select("doc_id", "text").mapInArrow(_whole, "doc_id long, sig long, shingles binary").join(placed, "sig").where("doc_id <=> low")
+    dealt = whole.select("component", F.explode(pairs).alias("pair"), "sig", "part", "shingles")
+    return written(dealt.groupBy("component", "pair").applyInArrow(_join, "node long, component long, cut boolean"), "ngram-joined")
+
+
 def ngram_jaccard_join(docs: DataFrame, most_shingles: int = CHUNK) -> DataFrame:
     """Components of documents of which the 5-word shingle sets have a Jaccard similarity of 0.75 or more.
 
@@ -273,23 +294,33 @@ def ngram_jaccard_join(docs: DataFrame, most_shingles: int = CHUNK) -> DataFrame
     near = met.where("src IS NOT NULL").select("src", "dst").mapInArrow(_unpack, "src long, dst long")
     far = met.where("tokens IS NOT NULL").select("bucket", "tokens", "sigs").groupBy("bucket").applyInArrow(_meet, "src long, dst long")
     candidates = components(near.unionByName(far))
-    candidates = written(candidates.join(profile.select("sig", "n").distinct(), candidates.node == F.col("sig")).select("sig", "n", "component"), "ngram-candidates")
+    sets = profile.where("sig IS NOT NULL").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("low"))
+    candidates = written(candidates.join(sets, candidates.node == F.col("sig")).select("sig", "n", "low", "component"), "ngram-candidates")
+    few = candidates.count() <= BROADCAST_ROWS
     large = candidates.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > most_shingles)
-    large = large.select("component", F.ceil(F.col("total") / most_shingles).cast("int").alias("chunks"))
-    placed = candidates.drop("n").join(large, "component", "left")
-    if candidates.count() <= BROADCAST_ROWS:
-        placed = F.broadcast(placed)
-    whole = docs.select("text").mapInArrow(_whole, "sig long, n long, shingles binary").join(placed, "sig")
-    # a set of a component that is cut goes to every pair of chunks that its own is in
-    chunk = F.expr("CAST(pmod(xxhash64(sig), chunks) AS INT)")
-    pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, chunk) * F.col("chunks") + F.greatest(j, chunk)))
-    dealt = whole.select("component", F.explode(pairs).alias("pair"), "sig", "shingles")
-    joined = written(dealt.groupBy("component", "pair").applyInArrow(_join, "node long, component long, cut boolean"), "ngram-joined")
+    large = large.select("component", F.ceil(F.col("total") / most_shingles).alias("chunks"))
+    placed = candidates.join(large, "component", "left").withColumn("chunk", F.expr("pmod(xxhash64(sig), chunks)")).withColumn("part", F.col("sig"))
+    zero = F.lit(0).cast("long")
+    every = F.sequence(zero, F.col("chunks") - 1)
+    to = F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).when(F.col("chunk") == 0, every).otherwise(F.array("chunk"))
+    joined = _exactly(docs, F.broadcast(placed) if few else placed, to)
     label = joined.where("NOT cut").select("node", "component")
-    cut = joined.where("cut")
+    cut = joined.where("cut").select(F.col("node").alias("src"), F.col("component").alias("dst"))
     if cut.limit(1).count():
-        label = label.unionByName(components(cut.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
-    classes = profile.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("low")).join(label, F.col("sig") == F.col("node"), "left").select("sig", "low", F.coalesce("component", "sig").alias("root"))
+        parts = components(cut).withColumnRenamed("component", "known")
+        known = placed.where("chunks IS NOT NULL").join(parts, F.col("sig") == F.col("node"), "left").select("sig", "n", "low", "component", "chunks", "chunk", F.coalesce("known", "sig").alias("part"))
+        known = written(known, "ngram-parts")
+        main = known.groupBy("component", "part").agg(F.sum("n").alias("held")).groupBy("component").agg(F.max(F.struct("held", "part")).alias("main"), F.sum("held").alias("total"))
+        main = main.where("main.held < total").select("component", F.col("main.part").alias("main"), F.ceil((F.col("total") - F.col("main.held")) / most_shingles).alias("queries"))
+        left = written(known.join(main, "component").withColumn("query", F.expr("IF(part <> main, pmod(xxhash64(sig, 1), queries), NULL)")), "ngram-left")
+        if left.limit(1).count():
+            to = F.transform(F.sequence(zero, F.col("queries") - 1), lambda j: j * F.col("chunks") + F.col("chunk"))
+            to = F.when(F.col("query").isNull(), to).otherwise(F.array_union(to, F.transform(every, lambda c: F.col("query") * F.col("chunks") + c)))
+            again = _exactly(docs, F.broadcast(left) if few else left, to)
+            cut = cut.unionByName(again.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+            parts = components(cut).withColumnRenamed("component", "known")
+        label = label.unionByName(parts.select("node", F.col("known").alias("component")))
+    classes = sets.join(label, F.col("sig") == F.col("node"), "left").select("sig", "low", F.coalesce("component", "sig").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = classes.join(lowest, "root").select("sig", "component_id")
     return profile.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

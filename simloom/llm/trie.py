@@ -107,13 +107,19 @@ class PrefixTree:
         has[ranks] = False
 
 
-def linked(sets: list[np.ndarray]) -> np.ndarray:
+def linked(sets: list[np.ndarray], parts: np.ndarray | None = None) -> np.ndarray:
     """For each of the sets (sorted distinct uint64, none empty) the smallest place it is linked with, also over others.
 
+    Sets with equal ``parts`` are known to be linked.
+
     The common order of the n-grams is by falling frequency in the group, then by value, so that
     near copies share their first part. Sets are joined in the order of their sizes.
     """
     forest = Forest(len(sets))
+    if parts is not None:
+        firsts: dict[int, int] = {}
+        for place, part in enumerate(parts.tolist()):
+            forest.union(firsts.setdefault(part, place), place)
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.lexsort((values, -counts))
     rank = np.empty(len(values), np.int32)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simloom.llm import exact_dedup as golomb
-from simloom.llm import warc
+from simloom.llm import ngram_join, warc
 from simloom.llm.components import components
 from simloom.llm.decontaminate import contamination, remove_contamination
 from simloom.llm.exact_dedup import exact_dedup
@@ -89,6 +89,26 @@ def test_ngram_join(spark, most):
     assert sorted((tuple(r) for r in ngram_jaccard_join(docs, most).collect()), key=repr) == brute_components(rows)
 
 
+@pytest.mark.parametrize("most", [250, 120])
+def test_ngram_join_of_large_components(spark, monkeypatch, most):
+    """Chains of near copies, and texts half of one chain and half of the next: candidates that are no links."""
+    rng, rows, rounds = random.Random(9), [], []
+    starts = [[f"f{f}w{k}" for k in range(60)] for f in range(4)]
+    for f, start in enumerate(starts):
+        text = list(start)
+        for k in range(14):
+            rows.append((len(rows), " ".join(text)))
+            text[(k * 4) % 60] = f"m{f}x{k}"
+        for _ in range(3):
+            rows.append((len(rows), " ".join(start[:30] + starts[(f + 1) % 4][30:])))
+    rng.shuffle(rows)
+    exactly = ngram_join._exactly
+    monkeypatch.setattr(ngram_join, "_exactly", lambda *a: rounds.append(1) or exactly(*a))
+    docs = documents(spark, [(i, t, "a") for i, t in rows])
+    assert sorted((tuple(r) for r in ngram_jaccard_join(docs, most).collect()), key=repr) == brute_components(rows)
+    assert len(rounds) == 2
+
+
 def test_ngram_join_odd(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert sorted((tuple(r) for r in ngram_jaccard_join(odd).collect()), key=repr) == brute_components(rows)
