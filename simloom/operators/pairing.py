@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -11,18 +13,34 @@ from pyspark.sql import functions as F
 
 from simloom.functions.series import assignment
 from simloom.functions.vector import dot
+from simloom.operators.segments import numbered, seeded
 
 CHUNK = 512
 
 
+def next_prime(n: int) -> int:
+    """The smallest prime of ``n`` or more."""
+    n = max(2, n)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
 def chunk_candidates(ego: DataFrame, chunks: int, n_sample: int, seed: int = 42) -> DataFrame:
-    """``(chunk, cand_pos, cand_idx)``: for each chunk ``n_sample`` ego rows by seeded hash, without replacement.
+    """``(chunk, cand_pos, cand_idx)``: for each chunk ``n_sample`` ego rows by seeded draws, without replacement.
 
-    Each task that holds a part of the ego rows keeps the best of each chunk only.
+    A chunk draws the places ``(a + j b) mod p``, with seeded ``a`` and ``b`` and the smallest prime ``p``
+    that is not below the number of ego rows; none comes twice. So the work grows with the number of
+    candidates, not with ego rows times chunks.
     """
-    drawn = ego.select(F.col("idx").alias("cand_idx"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    order = Window.partitionBy("chunk").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("chunk").cast("string"), F.col("cand_idx").cast("string"))), "cand_idx")
-    return drawn.withColumn("cand_pos", F.row_number().over(order)).where(F.col("cand_pos") <= n_sample)
+    n = ego.count()
+    p, most = next_prime(n), min(n_sample, n)
+    a, b = seeded(seed, F.lit("a"), F.col("chunk")) % p, seeded(seed, F.lit("b"), F.col("chunk")) % (p - 1) + 1
+    steps = F.sequence(F.lit(0).cast("long"), F.lit(most + p - n - 1).cast("long"))
+    chosen = ego.sparkSession.range(chunks).select(F.col("id").cast("int").alias("chunk")).select("chunk", a.alias("a"), b.alias("b"))
+    places = F.slice(F.filter(F.transform(steps, lambda j: (F.col("a") + j * F.col("b")) % p), lambda x: x < n), 1, most) if most else F.array().cast("array<bigint>")
+    chosen = chosen.select("chunk", F.posexplode(places).alias("nth", "ego_pos"))
+    return chosen.join(numbered(ego.select("idx"), "idx", "ego_pos"), "ego_pos").select("chunk", (F.col("nth") + 1).alias("cand_pos"), F.col("idx").alias("cand_idx"))
 
 
 def sampled_pairing(ego: DataFrame, tele: DataFrame, candidates: DataFrame, chunk: int = CHUNK) -> DataFrame:

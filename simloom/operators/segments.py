@@ -78,3 +78,38 @@ def one_per_task(segments: DataFrame, seed: int = 42) -> DataFrame:
 def hash_sample(rows: DataFrame, n: int, key: str = "idx", seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, the same for one seed however the rows are partitioned."""
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+
+
+def numbered(rows: DataFrame, key: str = "idx", name: str = "pos", block: int = 65_536) -> DataFrame:
+    """Rows numbered from 0 in the order of ``key`` (whole numbers, none null, distinct).
+
+    Keys are cut to ranges, about one for ``block`` rows. Only the ranges' counts are summed up in one
+    place; rows are numbered within their range.
+    """
+    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
+    if not ends["n"]:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    width = max(1, -(-(ends["high"] - ends["low"] + 1) // -(-ends["n"] // block)))
+    dealt = rows.withColumn("numbered_range", F.floor((F.col(key) - ends["low"]) / width))
+    before = Window.partitionBy(F.lit(0)).orderBy("numbered_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("numbered_range").agg(F.count("*").alias("numbered_rows"))
+    starts = counts.select("numbered_range", F.coalesce(F.sum("numbered_rows").over(before), F.lit(0)).alias("numbered_start"))
+    own = F.row_number().over(Window.partitionBy("numbered_range").orderBy(key))
+    return dealt.join(starts, "numbered_range").withColumn(name, F.col("numbered_start") + own - 1).drop("numbered_range", "numbered_start")
+
+
+def seeded(seed: int, *parts: Column) -> Column:
+    """A number below 2**48 out of the seed and the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(x.cast("string") for x in parts))), 1, 12), 16, 10).cast("long")
+
+
+def shuffled(rows: DataFrame, key: str = "idx", seed: int = 42) -> DataFrame:
+    """All rows in a seeded order, the same however they are partitioned."""
+    return rows.orderBy(seeded(seed, F.col(key)), key)
+
+
+def drawn_with_replacement(rows: DataFrame, n: int, key: str = "idx", seed: int = 42) -> DataFrame:
+    """``n`` draws with replacement, numbered by ``draw`` from 0. No rows: no draws."""
+    size = rows.count()
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), (seeded(seed, F.col("id")) % max(1, size)).alias("drawn"))
+    return numbered(rows, key, "drawn").join(draws, "drawn").drop("drawn")

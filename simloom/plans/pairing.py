@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions.vector import dot
 from simloom.operators import pairing as op
-from simloom.operators import similarity
+from simloom.operators.segments import numbered
 from simloom.sources.tables import vectors
 
 from .base import CROSS, EGO_TELE, Registry
@@ -19,7 +19,11 @@ QUERIES, SQL = query.queries, query.sql
 
 CHUNK, SAMPLE, K = 64, 40, 8
 _SAMPLED = f"""{EGO_TELE}, q AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS pos FROM tele), ch AS (SELECT DISTINCT pos // {CHUNK} AS chunk FROM q),
-c AS (SELECT chunk, idx AS cand_idx, row_number() OVER (PARTITION BY chunk ORDER BY md5('42|' || chunk || '|' || idx), idx) AS cand_pos FROM ego, ch),
+ep AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS pos FROM ego), m AS (SELECT count(*) AS n FROM ego),
+pr AS (SELECT n, min(x) AS p FROM m, unnest(range(greatest(n, 2), greatest(n, 2) + 400)) AS u(x) WHERE len(list_filter(range(2, floor(sqrt(x))::BIGINT + 1), lambda d: x % d = 0)) = 0 GROUP BY n),
+h AS (SELECT chunk, n, p, ('0x' || substr(md5('42|a|' || chunk), 1, 12))::BIGINT % p AS a, ('0x' || substr(md5('42|b|' || chunk), 1, 12))::BIGINT % (p - 1) + 1 AS b FROM ch, pr),
+j AS (SELECT chunk, n, j, (a + j * b) % p AS x FROM h, unnest(range(0, least({SAMPLE}, n) + p - n)) AS u(j)),
+c AS (SELECT chunk, idx AS cand_idx, row_number() OVER (PARTITION BY chunk ORDER BY j) AS cand_pos FROM j JOIN ep ON ep.pos = j.x),
 s AS (SELECT q.idx AS tele_idx, q.task AS tele_task, c.cand_idx, ego.task AS ego_task, cand_pos, round(list_dot_product(q.v, ego.v), 9) AS sim FROM q JOIN c ON c.chunk = q.pos // {CHUNK} AND cand_pos <= {SAMPLE} JOIN ego ON ego.idx = c.cand_idx),
 sp AS (SELECT tele_idx, tele_task, cand_idx AS ego_idx, ego_task, sim FROM (SELECT *, row_number() OVER (PARTITION BY tele_idx ORDER BY sim DESC, cand_pos) AS r FROM s) WHERE r = 1)"""
 
@@ -27,9 +31,8 @@ sp AS (SELECT tele_idx, tele_task, cand_idx AS ego_idx, ego_task, sim FROM (SELE
 @query(f"WITH {_SAMPLED} SELECT * FROM sp")
 def sampled_pairing(spark, d):
     ego, tele = vectors(spark, d, "ego"), vectors(spark, d, "tele")
-    tele = tele.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("idx")) - 1)
     chunks = -(-tele.count() // CHUNK)
-    return op.sampled_pairing(ego, tele, op.chunk_candidates(ego, chunks, SAMPLE), CHUNK)
+    return op.sampled_pairing(ego, numbered(tele), op.chunk_candidates(ego, chunks, SAMPLE), CHUNK)
 
 
 @query(f"WITH {_SAMPLED} SELECT count(*) AS n, round(avg(sim), 6) AS mean, round(min(sim), 6) AS least, round(median(sim), 6) AS median, round(max(sim), 6) AS largest FROM sp")
@@ -78,11 +81,12 @@ def hungarian_batches(spark, d):
 
 
 #: Given batches, so that what follows from batches can be told in SQL: 16 ego rows with the tele rows next to them.
-_BATCHES = f"{EGO_TELE}, b AS (SELECT (idx // 32)::INT AS batch_id, ((idx // 2) % 16)::INT AS slot, idx AS ego_idx, idx + 1 AS tele_idx FROM ego WHERE idx < 384), m AS (SELECT x.batch_id, x.slot AS i, y.slot AS j, round(list_dot_product(a.v, c.v), 9) AS sim, a.task AS ti, c.task AS tj FROM b x JOIN b y USING (batch_id) JOIN ego a ON a.idx = x.ego_idx JOIN tele c ON c.idx = y.tele_idx)"
+_BATCHES = f"{EGO_TELE}, b AS (SELECT (idx // 32)::INT AS batch_id, ((idx // 2) % 16)::INT AS slot, idx AS ego_idx, idx + 1 AS tele_idx FROM ego QUALIFY count(*) OVER (PARTITION BY idx // 32) = 16), m AS (SELECT x.batch_id, x.slot AS i, y.slot AS j, round(list_dot_product(a.v, c.v), 9) AS sim, a.task AS ti, c.task AS tj FROM b x JOIN b y USING (batch_id) JOIN ego a ON a.idx = x.ego_idx JOIN tele c ON c.idx = y.tele_idx)"
 
 
 def _batches(spark, d):
-    ego = vectors(spark, d, "ego").where("idx < 384")
+    """Batches of 16; an incomplete one is left over."""
+    ego = vectors(spark, d, "ego").select("idx", F.count("*").over(Window.partitionBy(F.expr("idx DIV 32"))).alias("n")).where("n = 16")
     return ego.select(F.expr("idx DIV 32").cast("int").alias("batch_id"), F.expr("(idx DIV 2) % 16").cast("int").alias("slot"), F.col("idx").alias("ego_idx"), (F.col("idx") + 1).alias("tele_idx"))
 
 
@@ -138,17 +142,12 @@ def test_set(spark, d):
     return op.labelled_sets(_threshold_pairs(spark, d), 30, 60)
 
 
-@query(f"WITH {EGO_TELE}, z AS (SELECT idx, task, CASE WHEN idx % 9 = 0 THEN list_transform(v, lambda x: 0.0::DOUBLE) ELSE v END AS v FROM e WHERE idx < 64) SELECT a.idx AS i, b.idx AS j, round(list_dot_product(a.v, b.v), 9) AS sim, (round(list_dot_product(a.v, b.v), 9) >= {POSITIVE})::INT AS label FROM z a, z b WHERE a.idx % 2 = 0 AND b.idx % 2 = 1")
+@query(f"WITH {EGO_TELE}, z AS (SELECT idx, idx // 64 AS batch, CASE WHEN idx % 9 = 0 THEN list_transform(v, lambda x: 0.0::DOUBLE) ELSE v END AS v FROM e) SELECT a.batch, a.idx AS i, b.idx AS j, round(list_dot_product(a.v, b.v), 9) AS sim, (round(list_dot_product(a.v, b.v), 9) >= {POSITIVE})::INT AS label FROM z a JOIN z b USING (batch) WHERE a.idx % 2 = 0 AND b.idx % 2 = 1")
 def matched_batch(spark, d):
-    """A batch of 32 ego and 32 tele rows; rows whose task is not known have a vector of zeros."""
+    """Batches of 32 ego and 32 tele rows; rows whose task is not known have a vector of zeros."""
     known = F.when(F.col("idx") % 9 != 0, F.col("v"))
-    rows = vectors(spark, d).where("idx < 64").withColumn("v", F.coalesce(known, F.transform("v", lambda x: F.lit(0.0))))
-    both = similarity.tiles(similarity.packed(rows.where("idx % 2 = 0")), similarity.packed(rows.where("idx % 2 = 1")), _all_cells, "i long, j long, sim double")
-    return both.withColumn("sim", F.round("sim", 9)).withColumn("label", (F.col("sim") >= POSITIVE).cast("int"))
-
-
-def _all_cells(x, y, sims):
-    import numpy as np
-    import pandas as pd
-
-    return pd.DataFrame({"i": np.repeat(x[0], len(y[0])), "j": np.tile(y[0], len(x[0])), "sim": sims.ravel()})
+    rows = vectors(spark, d).select(F.expr("idx DIV 64").alias("batch"), "idx", F.coalesce(known, F.transform("v", lambda x: F.lit(0.0))).alias("v"))
+    ego = rows.where("idx % 2 = 0").select("batch", F.col("idx").alias("i"), F.col("v").alias("v_ego"))
+    tele = rows.where("idx % 2 = 1").select("batch", F.col("idx").alias("j"), F.col("v").alias("v_tele"))
+    sims = ego.join(tele, "batch").select("batch", "i", "j", F.round(dot(F.col("v_ego"), F.col("v_tele")), 9).alias("sim"))
+    return sims.withColumn("label", (F.col("sim") >= POSITIVE).cast("int"))

@@ -142,7 +142,7 @@ def task_lookup(spark, d):
 
 @query()
 def word_wrap(spark, d):
-    return table(spark, d, "documents").select("doc_id", fn.wrapped(F.substring("text", 1, 400), 40).alias("lines"))
+    return table(spark, d, "documents").select("doc_id", fn.wrapped(F.col("text"), 40).alias("lines"))
 
 
 @query(f"WITH {EGO_TELE}, r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('42|' || idx), idx) AS nth FROM e) SELECT idx, task FROM r WHERE nth = 1")
@@ -153,3 +153,14 @@ def one_per_task(spark, d):
 @query(f"WITH {EGO_TELE} SELECT idx, task FROM e ORDER BY md5('42|' || idx), idx LIMIT 50")
 def hash_sample(spark, d):
     return op.hash_sample(vectors(spark, d).select("idx", "task"), 50)
+
+
+@query(f"WITH {EGO_TELE} SELECT idx, task, row_number() OVER (ORDER BY ('0x' || substr(md5('42|' || idx), 1, 12))::BIGINT, idx) - 1 AS place FROM e")
+def shuffle_rows(spark, d):
+    rows = vectors(spark, d).select("idx", "task")
+    return op.numbered(rows.withColumn("at", op.seeded(42, F.col("idx"))), "at", "place").drop("at")
+
+
+@query(f"WITH {EGO_TELE}, n AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS pos, count(*) OVER () AS size FROM e), r AS (SELECT draw, ('0x' || substr(md5('42|' || draw), 1, 12))::BIGINT AS h FROM range(100) AS u(draw)) SELECT draw, idx, task FROM r JOIN n ON n.pos = r.h % n.size")
+def replacement_draws(spark, d):
+    return op.drawn_with_replacement(vectors(spark, d).select("idx", "task"), 100)

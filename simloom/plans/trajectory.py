@@ -20,10 +20,10 @@ def _trajectories(spark, d):
     return op.trajectories(states(spark, d), "seg", "fr", F.array("a", "b", "c", "d"))
 
 
-def _pairs(spark, d, step: int = 4):
-    """Each ``step``-th trajectory with the one after it; some partners are missing."""
+def _pairs(spark, d):
+    """Each trajectory with the one after it; some partners are missing."""
     t = _trajectories(spark, d)
-    a = t.where(F.col("seg") % step == 0).select("seg", F.col("states").alias("states_a"))
+    a = t.select("seg", F.col("states").alias("states_a"))
     b = t.select((F.col("seg") - 1).alias("seg"), F.col("states").alias("states_b"))
     return a.join(b, "seg", "left")
 
@@ -70,7 +70,7 @@ def frame_distance(spark, d):
     return x.join(y, ["seg", "fr"]).select("seg", "fr", F.round(gap, 6).alias("distance"))
 
 
-_INTERP = f"""{_TRAJ}, p AS (SELECT x.seg, x.states AS sa, y.states AS sb FROM tr x JOIN tr y ON y.seg = x.seg + 1 WHERE x.seg % 4 = 0),
+_INTERP = f"""{_TRAJ}, p AS (SELECT x.seg, x.states AS sa, y.states AS sb FROM tr x JOIN tr y ON y.seg = x.seg + 1),
 k AS (SELECT seg, sa, sb, k, k * (len(sa) - 1) / 99.0::DOUBLE AS pa, k * (len(sb) - 1) / 99.0::DOUBLE AS pb FROM p, unnest(range(0, 100)) AS u(k)),
 l AS (SELECT *, least(floor(pa), greatest(len(sa) - 2, 0))::BIGINT AS la, least(floor(pb), greatest(len(sb) - 2, 0))::BIGINT AS lb FROM k),
 g AS (SELECT seg, list_transform([1, 2, 3, 4], lambda d: (sa[la + 1][d] * (1 - (pa - la)) + sa[least(la + 2, len(sa))][d] * (pa - la)) - (sb[lb + 1][d] * (1 - (pb - lb)) + sb[least(lb + 2, len(sb))][d] * (pb - lb))) AS z FROM l)"""
