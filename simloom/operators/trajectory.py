@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,21 +87,44 @@ def compare(pairs: DataFrame, weights: list[float], how: str = "zscore", window_
     return pairs.mapInPandas(run, schema).withColumns({c: F.round(c, 6) for c in ("interp_distance", "dtw_distance", "dtw_normalised")})
 
 
-def interp_euclidean(a: Column, b: Column, weights: list[float], size: int = 100) -> Column:
-    """The interpolated distance as an expression over two arrays of state arrays."""
+def _places(length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``size`` evenly spread moments in series of each length: the frame before, the one after, and the part between."""
+    at = np.arange(size) * (length[:, None] - 1) / (size - 1)
+    low = np.minimum(at.astype(np.int64), np.maximum(length[:, None] - 2, 0))
+    return low, np.minimum(low + 1, length[:, None] - 1), (at - low)[:, :, None]
 
-    def at(x, k, d):
-        place = k * (F.size(x) - 1) / (size - 1)
-        low = F.least(F.floor(place), F.greatest(F.size(x) - 2, F.lit(0))).cast("int")
-        part = place - low
-        first, second = F.get(F.get(x, low), d), F.get(F.get(x, F.least(low + 1, F.size(x) - 1)), d)
-        return first * (1 - part) + second * part
 
-    def gap(k):
-        return F.sqrt(sum((F.lit(w) * (at(a, k, F.lit(d)) - at(b, k, F.lit(d))) * (at(a, k, F.lit(d)) - at(b, k, F.lit(d))) for d, w in enumerate(weights)), F.lit(0.0)))
+def interp_euclidean(pairs: DataFrame, weights: list[float], size: int = 100, most_rows: int = 1024) -> DataFrame:
+    """``pairs`` with ``distance`` in place of ``states_a`` and ``states_b``: the interpolated distance.
 
-    mean = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), gap), F.lit(0.0), lambda s, x: s + x) / size
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), mean).otherwise(F.lit(float("inf")))
+    All pairs of a slice of ``most_rows`` are computed at once on flat Arrow arrays. A missing or
+    empty trajectory is infinitely far; states must have as many values as there are weights.
+    """
+    w = np.array(weights)
+
+    def moments(column: pa.Array, use: np.ndarray) -> np.ndarray:
+        states = column.flatten()
+        flat = states.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(w))
+        length = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = (np.cumsum(length) - length)[use][:, None]
+        low, high, part = _places(length[use], size)
+        return flat[first + low] * (1 - part) + flat[first + high] * part
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, most_rows):
+                rows = batch.slice(at, most_rows)
+                a, b = (rows.column(rows.schema.get_field_index(c)) for c in ("states_a", "states_b"))
+                use = np.logical_and(*((x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0) for x in (a, b)))
+                distance = np.full(rows.num_rows, math.inf)
+                if use.any():
+                    gap = moments(a, use) - moments(b, use)
+                    distance[use] = np.sqrt((gap**2 * w).sum(axis=2)).mean(axis=1)
+                names = [c for c in rows.schema.names if c not in ("states_a", "states_b")]
+                yield pa.record_batch([*(rows.column(rows.schema.get_field_index(c)) for c in names), pa.array(distance)], [*names, "distance"])
+
+    kept = [f for f in pairs.schema.fields if f.name not in ("states_a", "states_b")]
+    return pairs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "distance double"]))
 
 
 def summary(results: DataFrame, metrics: list[str]) -> DataFrame:

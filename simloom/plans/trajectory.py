@@ -79,7 +79,7 @@ g AS (SELECT seg, list_transform([1, 2, 3, 4], lambda d: (sa[la + 1][d] * (1 - (
 @query(f"WITH {_INTERP} SELECT seg, round(avg(sqrt(z[1] ** 2 + 0.001 * z[2] ** 2 + 5 * z[3] ** 2 + 5 * z[4] ** 2)), 6) AS distance FROM g GROUP BY seg")
 def interp_euclidean(spark, d):
     pairs = _pairs(spark, d).where("states_b IS NOT NULL")
-    return pairs.select("seg", F.round(op.interp_euclidean(F.col("states_a"), F.col("states_b"), WEIGHTS), 6).alias("distance"))
+    return op.interp_euclidean(pairs, WEIGHTS).withColumn("distance", F.round("distance", 6))
 
 
 @query()

@@ -57,3 +57,17 @@ def test_interpolated_distance():
     assert interpolated_distance(a, a, np.ones(1)) == 0
     assert interpolated_distance(a, np.array([[0.0], [0.5], [1.0]]), np.ones(1)) == pytest.approx(0)
     assert interpolated_distance(np.zeros((0, 1)), a, np.ones(1)) == math.inf
+
+
+def test_interpolated_distances_of_pairs(spark):
+    from simloom.operators.trajectory import interp_euclidean
+
+    rng = np.random.default_rng(4)
+    series = [None, np.zeros((0, 2))] + [rng.normal(size=(n, 2)) for n in (1, 2, 3, 17)]
+    plain = [None if x is None else x.tolist() for x in series]
+    rows = [(i * 10 + j, plain[i], plain[j], "x") for i in range(6) for j in range(6)]
+    pairs = spark.createDataFrame(rows, "id long, states_a array<array<double>>, states_b array<array<double>>, extra string")
+    for row in interp_euclidean(pairs, [2.0, 0.5], most_rows=5).collect():
+        a, b = (np.zeros((0, 2)) if series[k] is None else series[k] for k in divmod(row["id"], 10))
+        assert row["extra"] == "x"
+        assert row["distance"] == pytest.approx(interpolated_distance(a, b, np.array([2.0, 0.5])))
