@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +80,19 @@ def collapsed(clusters: DataFrame, k: int) -> bool:
     return k >= 10 and clusters.select("cluster").distinct().count() < max(10, k // 10)
 
 
+def cluster(vectors: DataFrame, k: int, iterations: int = 100, seed: int = 42, most_dims: int = 256) -> DataFrame:
+    """Rows with their ``cluster``: k-means, or where it has collapsed bisecting k-means on at most ``most_dims`` principal components."""
+    found = assign_clusters(vectors, fit_clusters(vectors, k, iterations, seed))
+    if not collapsed(found, k):
+        return found
+    rows = vectors.withColumn("features", array_to_vector("v"))
+    first = vectors.select(F.size("v").alias("n")).first()
+    if first and first["n"] > most_dims:
+        rows = PCA(k=most_dims, inputCol="features", outputCol="reduced").fit(rows).transform(rows).drop("features").withColumnRenamed("reduced", "features")
+    model = BisectingKMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
+    return model.transform(rows).drop("features", "v")
+
+
 def one_to_one_batches(ego: DataFrame, tele: DataFrame, batch: int, most_rows: int = 4096) -> DataFrame:
     """One-to-one batches in each cluster: ``(cluster, batch_no, slot, ego_idx, tele_idx, sim)``.
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tarfile
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,37 @@ class Encoder(Protocol):
     def encode(self, items: list) -> list[list[float]]: ...
 
 
+def listed(spark: SparkSession, *globs: str) -> DataFrame:
+    """``(path, length)`` of the files of some folders, with all below them; contents are not read. Nothing there: no rows."""
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(globs)).select("path", "length")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, length long")
+
+
+def dataset_folders(spark: SparkSession, root: str, split: str | None = None, most: int | None = None) -> DataFrame:
+    """``(task_name, dataset_dir, folder)`` of the data sets in ``root/task_*/``, by name, at most ``most``.
+
+    Without ``split`` these are the folders not named ``*_split``; with it the split's folder in
+    those that are: split2 for "train", else split1. Folders without files are no data sets.
+    """
+    part = "" if split is None else "split2/" if split == "train" else "split1/"
+    below = re.escape(re.sub(r"^\w+://[^/]*", "", root.rstrip("/")))
+    pieces = [F.regexp_extract("path", rf"^(.*?{below}/(task_[^/]+)/([^/]+)/{part})[^/]", k).alias(c) for k, c in ((2, "task_name"), (3, "dataset_dir"), (1, "folder"))]
+    folders = listed(spark, f"{root}/task_*").select(*pieces).where("folder <> ''").distinct().where(F.col("dataset_dir").endswith("_split") == F.lit(split is not None))
+    folders = folders.orderBy("task_name", "dataset_dir")
+    return folders if most is None else folders.limit(most)
+
+
+def dataset_tars(spark: SparkSession, root: str, split: str, most: int | None = None) -> DataFrame:
+    """``(path, length)`` of the tars of a split, by name, at most ``most``: "eval" is one folder, others are dealt to ``part-*``."""
+    tars = listed(spark, f"{root}/eval/webdataset" if split == "eval" else f"{root}/{split}/part-*/webdataset")
+    tars = tars.where(F.col("path").rlike(r"/dataset-[^/]*\.tar$")).orderBy("path")
+    return tars if most is None else tars.limit(most)
+
+
 def tar_members(spark: SparkSession, *paths: str, cameras: tuple[str, ...] = ("cam_high",)) -> DataFrame:
     """Members of tar files, with episode and frame of the key before the first dot.
 

@@ -5,7 +5,7 @@ import tarfile
 from pyspark.sql import functions as F
 
 from simloom.operators.segments import segments_grouped
-from simloom.sources.recordings import append_new, encoded, frame_metadata, read_pairs, tar_members, task_dimension
+from simloom.sources.recordings import append_new, dataset_folders, dataset_tars, encoded, frame_metadata, read_pairs, tar_members, task_dimension
 from simloom.streaming.matching import match_stream
 
 
@@ -52,3 +52,42 @@ def test_encoder_and_stream(spark, tmp_path):
     match_stream(spark, str(tmp_path / "in"), tele, str(tmp_path / "out"), str(tmp_path / "ck"), 3).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.where("rank = 1 AND query_idx = 1").first()["match_idx"] == 8 and found.count() == 6
+
+
+def test_discovery(spark, tmp_path):
+    for name in ("task_b/dataset_1/meta/tasks.jsonl", "task_a/dataset_2/x", "task_a/dataset_1/x", "task_a/dataset_1_split/split1/x", "task_a/dataset_2_split/split2/d/x", "other/dataset_1/x", "task_a/readme"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+
+    def names(*args):
+        return [(r["task_name"], r["dataset_dir"]) for r in dataset_folders(spark, str(tmp_path), *args).collect()]
+
+    assert names() == [("task_a", "dataset_1"), ("task_a", "dataset_2"), ("task_b", "dataset_1")]
+    assert names(None, 2) == [("task_a", "dataset_1"), ("task_a", "dataset_2")]
+    assert names("eval") == names("unknown") == [("task_a", "dataset_1_split")]
+    assert names("train") == [("task_a", "dataset_2_split")]
+    assert dataset_folders(spark, str(tmp_path), "train").first()["folder"].endswith("/task_a/dataset_2_split/split2/")
+    assert dataset_folders(spark, str(tmp_path / "other")).collect() == []
+    for name in ("eval/webdataset/dataset-2.tar", "eval/webdataset/dataset-1.tar", "eval/webdataset/index.json", "train/part-1/webdataset/dataset-9.tar", "train/part-0/webdataset/dataset-8.tar"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+
+    def tars(*args):
+        return [r["path"].rpartition("-")[2] for r in dataset_tars(spark, str(tmp_path), *args).collect()]
+
+    assert tars("eval") == ["1.tar", "2.tar"]
+    assert tars("eval", 1) == ["1.tar"]
+    assert tars("train") == ["8.tar", "9.tar"]
+    assert tars("none") == []
+
+
+def test_cluster_falls_back(spark, monkeypatch):
+    from simloom.operators import pairing
+
+    rows = spark.createDataFrame([(i, i % 2, [float(i % 12), float(i % 5), 1.0]) for i in range(60)], "idx long, task long, v array<double>")
+    assert pairing.cluster(rows, 10, 5).columns == ["idx", "task", "cluster"]
+    monkeypatch.setattr(pairing, "collapsed", lambda *_: True)
+    for most in (2, 256):
+        found = pairing.cluster(rows, 10, 5, most_dims=most)
+        assert found.columns == ["idx", "task", "cluster"]
+        assert found.count() == 60 and found.select("cluster").distinct().count() > 1
