@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 
@@ -67,36 +68,40 @@ def interpolated_distance(a: np.ndarray, b: np.ndarray, weights: np.ndarray, siz
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:
-    """The column of each row in an assignment of least cost (rows <= columns), by shortest augmenting paths."""
-    n, m = cost.shape
+    """The column of each row in an assignment of least cost (rows <= columns)."""
+    return assigned(cost.__getitem__, *cost.shape)
+
+
+def assigned(cost_of: Callable[[int], np.ndarray], n: int, m: int) -> np.ndarray:
+    """As ``assignment``, by shortest augmenting paths; ``cost_of`` gives a row's costs, so that no matrix is needed."""
     if n > m:
         raise ValueError("more rows than columns")
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    row_of = np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        row_of[0], j0 = i, 0
-        least, way, used = np.full(m + 1, math.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+    u, v = np.zeros(n), np.zeros(m)
+    row_of, column_of = np.full(m, -1), np.full(n, -1)
+    for first in range(n):
+        least, way, open_v = np.full(m, math.inf), np.full(m, -1), v.copy()
+        i, low, columns, reached = first, 0.0, [], []
+        while True:
+            reduced = cost_of(i) - open_v
+            reduced += low - u[i]
+            closer = reduced < least
+            np.copyto(least, reduced, where=closer)
+            np.copyto(way, i, where=closer)
+            j = int(least.argmin())
+            low = float(least[j])
+            if row_of[j] < 0:
+                break
+            columns.append(j)
+            reached.append(low)
+            least[j], open_v[j] = math.inf, -math.inf
+            i = int(row_of[j])
+        u[first] += low
+        u[row_of[columns]] += low - np.array(reached)
+        v[columns] -= low - np.array(reached)
         while True:
-            used[j0] = True
-            i0 = row_of[j0]
-            reduced = cost[i0 - 1] - u[i0] - v[1:]
-            free = ~used[1:]
-            closer = free & (reduced < least[1:])
-            least[1:][closer] = reduced[closer]
-            way[1:][closer] = j0
-            j1 = int(np.argmin(np.where(free, least[1:], math.inf))) + 1
-            step = least[j1]
-            u[row_of[used]] += step
-            v[used] -= step
-            least[1:][free] -= step
-            j0 = j1
-            if not row_of[j0]:
+            i = int(way[j])
+            row_of[j] = i
+            column_of[i], j = j, int(column_of[i])
+            if i == first:
                 break
-        while j0:
-            row_of[j0] = row_of[way[j0]]
-            j0 = way[j0]
-    out = np.full(n, -1)
-    for j in range(1, m + 1):
-        if row_of[j]:
-            out[row_of[j] - 1] = j - 1
-    return out
+    return column_of

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.functions.series import assignment
+from simloom.functions.series import assigned
 from simloom.functions.vector import dot
 from simloom.operators.segments import numbered, seeded
 
@@ -93,40 +93,51 @@ def cluster(vectors: DataFrame, k: int, iterations: int = 100, seed: int = 42, m
     return model.transform(rows).drop("features", "v")
 
 
-def one_to_one_batches(ego: DataFrame, tele: DataFrame, batch: int, most_rows: int = 4096) -> DataFrame:
+def best_pairs(e: np.ndarray, t: np.ndarray, most_bytes: int = 1 << 28) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and similarities of an assignment of largest total similarity, the best pair first.
+
+    Similarities of a row are computed when they are first needed and kept up to ``most_bytes``, beyond that computed again.
+    """
+    few, many = (e, t) if len(e) <= len(t) else (t, e)
+    kept: dict[int, np.ndarray] = {}
+
+    def cost_of(i):
+        if i in kept:
+            return kept[i]
+        cost = -(many @ few[i])
+        if (len(kept) + 1) * cost.nbytes <= most_bytes:
+            kept[i] = cost
+        return cost
+
+    own = np.arange(len(few))
+    other = assigned(cost_of, len(few), len(many))
+    i, j = (own, other) if few is e else (other, own)
+    value = np.einsum("ij,ij->i", e[i], t[j])
+    order = np.lexsort((i, -np.round(value, 9)))
+    return i[order], j[order], value[order]
+
+
+def one_to_one_batches(ego: DataFrame, tele: DataFrame, batch: int) -> DataFrame:
     """One-to-one batches in each cluster: ``(cluster, batch_no, slot, ego_idx, tele_idx, sim)``.
 
     Repeated ``min(E // batch, T // batch)`` times: an assignment of largest total similarity over
-    what is left, of which the ``batch`` best pairs make a batch. A cluster of more than
-    ``most_rows`` rows on a side is cut to parts by hash first, as the assignment takes cubic time.
+    what is left, of which the ``batch`` best pairs make a batch. What is left of a best assignment
+    without some of its pairs is a best assignment of the other rows, so that one for each cluster
+    serves all its batches. It takes cubic time in the cluster's smaller side at worst.
     """
-    sizes = ego.groupBy("cluster").agg(F.count("*").alias("e")).join(tele.groupBy("cluster").agg(F.count("*").alias("t")), "cluster")
-    sizes = sizes.select(F.col("cluster").alias("of"), F.ceil(F.greatest("e", "t") / most_rows).cast("int").alias("parts"))
-
-    def dealt(x):
-        return x.join(sizes, F.col("cluster") == F.col("of")).select("cluster", F.pmod(F.xxhash64("idx"), F.col("parts")).cast("int").alias("part"), "idx", "v")
-
-    ego, tele = dealt(ego).toDF("cluster", "part", "idx", "v"), dealt(tele).toDF("cluster", "part", "idx", "v")
 
     def solve(key, e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         e, t = e.sort_values("idx"), t.sort_values("idx")
-        out, rounds = [], min(len(e) // batch, len(t) // batch)
-        if rounds:
-            sims = np.stack(e["v"].to_numpy()) @ np.stack(t["v"].to_numpy()).T
-            rows, cols = np.arange(len(e)), np.arange(len(t))
-            for number in range(rounds):
-                own = sims[np.ix_(rows, cols)]
-                if len(rows) <= len(cols):
-                    i, j = np.arange(len(rows)), assignment(-own)
-                else:
-                    j, i = np.arange(len(cols)), assignment(-own.T)
-                value = own[i, j]
-                top = np.lexsort((i, -np.round(value, 9)))[:batch]
-                out += [(int(key[0]), int(key[1]), number, slot, int(e["idx"].iloc[rows[i[x]]]), int(t["idx"].iloc[cols[j[x]]]), float(value[x])) for slot, x in enumerate(top.tolist())]
-                rows, cols = np.delete(rows, i[top]), np.delete(cols, j[top])
-        return pd.DataFrame(out, columns=["cluster", "part", "batch_no", "slot", "ego_idx", "tele_idx", "sim"])
-
-    return ego.groupBy("cluster", "part").cogroup(tele.groupBy("cluster", "part")).applyInPandas(solve, "cluster int, part int, batch_no int, slot int, ego_idx long, tele_idx long, sim double")
+        used = min(len(e) // batch, len(t) // batch) * batch
+        if not used:
+            return pd.DataFrame([], columns=columns)
+        i, j, sim = (x[:used] for x in best_pairs(np.stack(e["v"].to_numpy()), np.stack(t["v"].to_numpy())))
+        number, slot = np.divmod(np.arange(used), batch)
+        return pd.DataFrame({"cluster": key[0], "batch_no": number, "slot": slot, "ego_idx": e["idx"].to_numpy()[i], "tele_idx": t["idx"].to_numpy()[j], "sim": sim})
+
+    columns = ["cluster", "batch_no", "slot", "ego_idx", "tele_idx", "sim"]
+    ego, tele = (x.select("cluster", "idx", "v").toDF("cluster", "idx", "v") for x in (ego, tele))
+    return ego.groupBy("cluster").cogroup(tele.groupBy("cluster")).applyInPandas(solve, "cluster int, batch_no int, slot int, ego_idx long, tele_idx long, sim double")
 
 
 def leftovers(rows: DataFrame, batches: DataFrame, side: str) -> DataFrame:

@@ -4,8 +4,11 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
+from simloom.functions.series import assignment
+from simloom.operators.pairing import one_to_one_batches
 from simloom.plans.queries import QUERIES, SQL
 
 DATA = Path("/root/testdata/sf0.001")
@@ -47,6 +50,37 @@ def test_batches_are_one_to_one(spark):
     assert len({r["ego_idx"] for r in rows}) == len({r["tele_idx"] for r in rows}) == len(rows)
 
 
+def vectors_of(spark, rows, cluster=0):
+    schema = "cluster int, idx long, v array<double>"
+    return spark.createDataFrame([(cluster, k, [float(x) for x in v]) for k, v in enumerate(rows)], schema)
+
+
+def test_a_large_cluster_is_one_assignment(spark):
+    """Each tele row has one ego row like it, wherever that stands among more than 4096."""
+    rng = np.random.default_rng(1)
+    ego = rng.normal(size=(4200, 8))
+    ego /= np.linalg.norm(ego, axis=1)[:, None]
+    twins = np.arange(50) * 83
+    got = one_to_one_batches(vectors_of(spark, ego), vectors_of(spark, ego[twins]), 8).collect()
+    assert len(got) == 48 and {r["batch_no"] for r in got} == set(range(6))
+    assert all(r["ego_idx"] == twins[r["tele_idx"]] and r["sim"] == pytest.approx(1) for r in got)
+
+
+@pytest.mark.parametrize("n,m", [(29, 41), (40, 33), (24, 24), (7, 50)])
+def test_batches_are_repeated_assignments(spark, n, m):
+    rng = np.random.default_rng(n)
+    e, t = rng.normal(size=(n, 5)), rng.normal(size=(m, 5))
+    got = {(r["batch_no"], r["slot"]): (r["ego_idx"], r["tele_idx"]) for r in one_to_one_batches(vectors_of(spark, e), vectors_of(spark, t), 8).collect()}
+    rows, cols, sims = np.arange(n), np.arange(m), e @ t.T
+    for number in range(min(n // 8, m // 8)):
+        own = sims[np.ix_(rows, cols)]
+        i, j = (np.arange(len(rows)), assignment(-own)) if len(rows) <= len(cols) else (assignment(-own.T), np.arange(len(cols)))
+        top = np.argsort(-own[i, j], kind="stable")[:8]
+        assert [got.pop((number, slot)) for slot in range(8)] == [(rows[i[x]], cols[j[x]]) for x in top]
+        rows, cols = np.delete(rows, i[top]), np.delete(cols, j[top])
+    assert not got
+
+
 def test_wrapped_lines_fit(spark):
     for row in QUERIES["word_wrap"](spark, str(DATA)).limit(50).collect():
         assert all(len(x) <= 40 or " " not in x for x in row["lines"])
