@@ -140,6 +140,13 @@ def one_to_one_batches(ego: DataFrame, tele: DataFrame, batch: int) -> DataFrame
     return ego.groupBy("cluster").cogroup(tele.groupBy("cluster")).applyInPandas(solve, "cluster int, batch_no int, slot int, ego_idx long, tele_idx long, sim double")
 
 
+def merged_batches(ego: DataFrame, tele: DataFrame, batch: int) -> DataFrame:
+    """``one_to_one_batches``, then those of one more assignment over all rows that no cluster's batch uses; their cluster is null."""
+    own = one_to_one_batches(ego, tele, batch).persist()
+    rest = (leftovers(x.select("idx", "v"), own, side).select(F.lit(0).alias("cluster"), "idx", "v") for x, side in ((ego, "ego"), (tele, "tele")))
+    return own.unionByName(one_to_one_batches(*rest, batch).withColumn("cluster", F.lit(None).cast("int")))
+
+
 def leftovers(rows: DataFrame, batches: DataFrame, side: str) -> DataFrame:
     """Rows of a side that no batch uses."""
     return rows.join(batches.select(F.col(f"{side}_idx").alias("idx")), "idx", "left_anti")

@@ -77,7 +77,7 @@ def cluster_cross(spark, d):
 @query()
 def hungarian_batches(spark, d):
     own = _clusters(spark, d).select("idx", "cluster")
-    return op.one_to_one_batches(vectors(spark, d, "ego").join(own, "idx"), vectors(spark, d, "tele").join(own, "idx"), 8)
+    return op.merged_batches(vectors(spark, d, "ego").join(own, "idx"), vectors(spark, d, "tele").join(own, "idx"), 8)
 
 
 #: Given batches, so that what follows from batches can be told in SQL: 16 ego rows with the tele rows next to them.

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from simloom.functions.series import assignment
-from simloom.operators.pairing import one_to_one_batches
+from simloom.operators.pairing import merged_batches, one_to_one_batches
 from simloom.plans.queries import QUERIES, SQL
 
 DATA = Path("/root/testdata/sf0.001")
@@ -81,6 +81,22 @@ def test_batches_are_repeated_assignments(spark, n, m):
     assert not got
 
 
+def test_leftovers_of_clusters_are_merged(spark):
+    """Of clusters with 11 x 9, 5 x 20 and 16 x 0 rows, one batch is of a cluster, two are of what is left."""
+    rng, parts = np.random.default_rng(2), ([11, 5, 16], [9, 20, 0])
+    sides = [[(c, k, rng.normal(size=5).tolist()) for k, c in enumerate(np.repeat([0, 1, 2], n).tolist())] for n in parts]
+    ego, tele = (spark.createDataFrame(x, "cluster int, idx long, v array<double>") for x in sides)
+    rows = merged_batches(ego, tele, 8).collect()
+    assert sorted((-1 if r["cluster"] is None else r["cluster"], r["batch_no"], r["slot"]) for r in rows) == [(-1, b, s) for b in range(2) for s in range(8)] + [(0, 0, s) for s in range(8)]
+    assert len({r["ego_idx"] for r in rows}) == len({r["tele_idx"] for r in rows}) == 24
+    first = [r for r in rows if r["cluster"] is not None]
+    left = [[x for x in side if x[1] not in {r[f"{name}_idx"] for r in first}] for side, name in zip(sides, ("ego", "tele"))]
+    sims = np.array([x[2] for x in left[0]]) @ np.array([x[2] for x in left[1]]).T
+    columns = assignment(-sims) if len(left[0]) <= len(left[1]) else assignment(-sims.T)
+    best = sorted((sims[i, j] if len(left[0]) <= len(left[1]) else sims[j, i]) for i, j in enumerate(columns))[::-1][:16]
+    assert sorted((r["sim"] for r in rows if r["cluster"] is None), reverse=True) == pytest.approx(best)
+
+
 def test_wrapped_lines_fit(spark):
     for row in QUERIES["word_wrap"](spark, str(DATA)).limit(50).collect():
         assert all(len(x) <= 40 or " " not in x for x in row["lines"])
