@@ -26,6 +26,9 @@ BEGINNINGS = (4, 5, 6)
 #: many standard errors: else chance words of few rows outweigh those that tell. The most telling
 #: ``MOST_TERMS`` are the model's.
 LEAST_DOCUMENTS, LEAST_LEAN, MOST_TERMS = 3, 4.0, 200_000
+#: Of the ``PAIR_TERMS`` terms that stand in most sampled rows each two are tried: both count, whatever each
+#: is alone, if the rows that have both lean by ``LEAST_PAIR_LEAN`` and by ``PAIR_GAIN`` more than either alone.
+PAIR_TERMS, LEAST_PAIR_LEAN, PAIR_GAIN = 4096, 6.0, 2.0
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +135,31 @@ def _term_counts(batches):
         yield pa.record_batch({"term": values.view(np.int64), "n": times.astype(np.int64), "ones": ones.astype(np.int64)})
 
 
+def paired(documents: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
+    """Places, of the ``n`` that ``documents`` refer to, of terms that tell together with another one, whatever each tells alone."""
+    both = np.zeros((2, n, n), np.float32)
+    for kind in (0, 1):
+        own = np.flatnonzero(labels == kind)
+        for k in range(0, len(own), 1000):
+            has = np.zeros((len(own[k : k + 1000]), n), np.float32)
+            for row, i in enumerate(own[k : k + 1000]):
+                has[row, documents[i]] = 1
+            both[kind] += has.T @ has
+    n0, n1 = max(1, (labels == 0).sum()), max(1, (labels == 1).sum())
+
+    def lean(zeros, ones):
+        share = (zeros + ones) / (n0 + n1)
+        return np.abs(ones / n1 - zeros / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+
+    alone, found = lean(both[0].diagonal(), both[1].diagonal()), np.zeros(n, bool)
+    for k in range(0, n, 256):
+        rows = slice(k, k + 256)
+        tells = lean(both[0, rows], both[1, rows])
+        tells = (tells >= LEAST_PAIR_LEAN) & (tells >= np.maximum(alone[rows, None], alone) + PAIR_GAIN) & (both[:, rows].sum(0) >= LEAST_DOCUMENTS)
+        found[rows] |= tells.any(1)
+    return np.flatnonzero(found)
+
+
 def _sample_terms(shared):
     def run(batches):
         known = shared.value
@@ -154,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     """Fit on at most ``sample[c]`` labelled rows of class ``c`` that are not held out, those of least hash of ``doc_id``.
 
     Null labels and ids are not used; of several labels of a ``doc_id`` the largest counts. Counts of
-    terms are summed on the executors; only the terms that tell reach the driver.
+    terms are summed on the executors; only the terms that tell and the ``PAIR_TERMS`` commonest reach the driver.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~fold(5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
@@ -172,11 +200,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
         lean = (F.col("ones") / n1 - (F.col("n") - F.col("ones")) / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n1 + 1 / n0))
         telling = counts.where(F.col("n") >= LEAST_DOCUMENTS).withColumn("lean", F.abs(lean)).where(F.col("lean") >= LEAST_LEAN)
         found = telling.orderBy(F.desc("lean"), "term").limit(MOST_TERMS).select("term").toArrow()
-        known = np.sort(found["term"].to_numpy().view(np.uint64))
-    table = rows.mapInArrow(_sample_terms(docs.sparkSession.sparkContext.broadcast(known)), "doc_id long, toxic int, terms binary").toArrow()
+        known = found["term"].to_numpy().view(np.uint64)
+        common = counts.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "term").limit(PAIR_TERMS).select("term").toArrow()
+        common = np.sort(common["term"].to_numpy().view(np.uint64))
+        known = np.union1d(known, common[paired(*_places(rows, common), len(common))])
+    return fit(known, *_places(rows, known))
+
+
+def _places(rows: DataFrame, known: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each row the places of its terms in ``known``, and the labels."""
+    table = rows.mapInArrow(_sample_terms(rows.sparkSession.sparkContext.broadcast(known)), "doc_id long, toxic int, terms binary").toArrow()
     table = table.sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-    found = [np.frombuffer(x, np.int32).astype(np.int64) for x in table["terms"].to_pylist()]
-    return fit(known, found, table["toxic"].to_numpy().astype(float))
+    return [np.frombuffer(x, np.int32).astype(np.int64) for x in table["terms"].to_pylist()], table["toxic"].to_numpy().astype(float)
 
 
 def _score(shared, keep: bool):

@@ -229,6 +229,19 @@ def test_toxicity(spark, odd, none):
     assert toxicity_scores(odd, marks.limit(0)).count() == odd.count() and toxicity_scores(none, marks).collect() == []
 
 
+def test_toxicity_of_pairs_alone(spark):
+    """Toxic where both or none of two words stand, so that neither tells alone."""
+    rng, rows, labels = random.Random(8), [], []
+    for k in range(3000):
+        text, a, b = rng.choices(WORDS, k=20), k % 2, k // 2 % 2
+        text[3], text[9] = "alpha" if a else text[3], "beta" if b else text[9]
+        rows.append((k, " ".join(text), "a"))
+        labels.append((k, int(a == b)))
+    got = toxicity_scores(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r["held_out"]]
+    assert held and np.mean([r["predicted"] == labels[r["doc_id"]][1] for r in held]) > 0.95
+
+
 def test_mixing(spark, odd, none):
     rows = [(k, " ".join(["w"] * (k % 30)), f"s{k % 5}" if k % 7 else None) for k in range(400)] + [(999, "one", "tiny")]
     got = mix_sources(documents(spark, rows)).collect()
