@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    The setting is read from the session. Only where it is unset, as in tests on one machine,
-    a temporary folder is made and put into the session for later calls.
+    The setting is read from the session. Only where it is unset and all run on one machine, as in
+    tests, a temporary folder is made and put into the session for later calls. A cluster without
+    the setting has no folder that executors share: that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="simloom-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -33,7 +37,20 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once all that is computed from them is written itself."""
+    for table in tables:
+        remove_folder(table.sparkSession, table._written_to)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,24 +1,37 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-``LineRuns`` holds runs ``(hash, n)`` sorted by hash: how many documents of a batch have the line.
-A new batch is merge-anti-joined with the runs, which tells its new lines, and is added as a run of
-level 0. When a level holds ``fanout`` runs they are merged to one run of the next level, so that a
-run is rewritten only about log(batches) times.
+``LineRuns`` holds runs ``(hash, n)``: each line that no earlier run holds, with the number of
+documents of its batch that have it. A new batch is merge-anti-joined with the runs: its new lines
+become a run of level 0, the others are counted as repeats of lines that a run holds. So every line
+is in one run, and its documents are the ``n`` of that run and those of its repeats. When a level
+holds ``fanout`` runs they are merged to one run of the next level, so that a run is rewritten only
+about log(batches) times; no hash is in two of them, so that nothing has to be added up.
+
+A batch is dealt to buckets by hash and sorted once. Runs have the same buckets, sorted too: joins
+with them and merges of them go bucket by bucket, and nothing is dealt out or sorted again to join.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import uuid
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import in_slices, shared_folder, texts, written
+from .common import deleted, in_slices, partitions, remove_folder, shared_folder, texts, written
 
 MIN_DOCS = 10
 BATCHES = 4
-_NO_RUN = "hash binary, n long, fresh boolean"
+#: Most common lines that are broadcast to the rows: 16 MB. Beyond, they reach the texts by shuffle joins.
+BROADCAST_ROWS = 1_000_000
+#: Spark takes the order of a bucket's only file as given, and reads buckets as such for a union too.
+_BUCKETS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 
 
 def line_key(line: bytes) -> bytes:
@@ -30,48 +43,90 @@ def line_hash(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
+@contextlib.contextmanager
+def _in_order(spark: SparkSession):
+    """What is planned here neither deals out nor sorts buckets again."""
+    was = {k: spark.conf.get(k) for k in _BUCKETS}
+    try:
+        for k, v in _BUCKETS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 class LineRuns:
-    """Runs in the shared folder. The driver keeps their paths and levels only."""
+    """Runs as bucketed tables in the shared folder. The driver keeps their names and levels only."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout, self.folder = spark, fanout, shared_folder(spark, "line-runs")
+        self.buckets = partitions(spark)
         self.levels: list[list[str]] = []
-        self.written = 0
+        self.repeats: list[DataFrame] = []
 
-    def _put(self, run: DataFrame, level: int) -> None:
-        path = f"{self.folder}/{self.written}"
-        self.written += 1
-        run.repartitionByRange("hash").sortWithinPartitions("hash").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+    def _table(self, rows: DataFrame) -> str:
+        """``rows`` with one sorted file for each bucket; gives the table's name."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        dealt = rows.repartition(self.buckets, "hash")
+        dealt.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(_NO_RUN).parquet(*paths) if paths else self.spark.createDataFrame([], _NO_RUN)
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove_folder(self.spark, f"{self.folder}/{name}")
 
-    def runs(self) -> DataFrame:
-        return self._read([p for level in self.levels for p in level])
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     def new_lines(self, hashes: DataFrame) -> DataFrame:
         """The rows of ``hashes`` whose ``hash`` no run holds."""
-        return hashes.join(self.runs().where("fresh").select("hash"), "hash", "left_anti")
+        return reduce(lambda left, run: left.join(run.select("hash").hint("merge"), "hash", "left_anti"), self.runs(), hashes)
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch ``(hash, n)``, one row for each hash, and compact levels that are full."""
-        if self.written:
-            fresh = self.new_lines(counts.select("hash")).withColumn("fresh", F.lit(True))
-            counts = counts.join(fresh, "hash", "left").select("hash", "n", F.coalesce("fresh", F.lit(False)).alias("fresh"))
-        else:
-            counts = counts.select("hash", "n", F.lit(True).alias("fresh"))
-        self._put(counts, 0)
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._put(self._read(full).groupBy("hash").agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh")), level + 1)
-            level += 1
-
-    def counts(self) -> DataFrame:
-        return self.runs().groupBy("hash").agg(F.sum("n").alias("n"))
+        batch = self._table(counts)
+        with _in_order(self.spark):
+            if self.levels:
+                own = self._table(self.new_lines(self.spark.table(batch)))
+                known = self.spark.table(batch).join(self.spark.table(own).select("hash").hint("merge"), "hash", "left_anti")
+                self.repeats.append(written(known, "line-repeats"))
+                self._drop(batch)
+                batch = own
+            at = 0
+            while True:
+                self.levels += [[]] * (at + 1 - len(self.levels))
+                self.levels[at] = [*self.levels[at], batch]
+                if len(self.levels[at]) < self.fanout:
+                    break
+                full, self.levels[at] = self.levels[at], []
+                batch = self._table(reduce(DataFrame.unionByName, map(self.spark.table, full)))
+                for name in full:
+                    self._drop(name)
+                at += 1
+
+    def common(self, least: int) -> DataFrame:
+        """``(hash, n)`` of the lines of ``least`` documents or more, written.
+
+        A line that repeats in no later batch has all its documents in its run; only lines that do
+        are looked up there.
+        """
+        none = self.spark.createDataFrame([], "hash binary, n long")
+        again = self._table(reduce(DataFrame.unionByName, self.repeats, none).groupBy("hash").agg(F.sum("n").alias("again")))
+        with _in_order(self.spark):
+            repeats = self.spark.table(again).hint("merge")
+            whole = [run.join(repeats, "hash", "left").select("hash", (F.col("n") + F.coalesce("again", F.lit(0))).alias("n")) for run in self.runs()]
+            found = written(reduce(DataFrame.unionByName, whole, none).where(F.col("n") >= least), "line-common")
+        self._drop(again)
+        return found
+
+    def close(self) -> None:
+        """Remove the runs, once what was asked of them is written."""
+        for level in self.levels:
+            for name in level:
+                self._drop(name)
+        deleted(*self.repeats)
+        self.levels, self.repeats = [], []
 
 
 def _lines(batches):
@@ -82,24 +137,51 @@ def _lines(batches):
         yield pa.record_batch({"text_key": pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), "hashes": pa.array(map(list, keys), pa.list_(pa.binary()))})
 
 
-def _drop(mode: str):
+class HashSet:
+    """Hashes of 16 bytes in two sorted arrays, half the size of their Python objects and less."""
+
+    def __init__(self, hashes: bytes):
+        pairs = np.frombuffer(hashes, np.uint64).reshape(-1, 2)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        self.first, self.second = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+
+    def holds(self, hashes: bytes) -> np.ndarray:
+        pairs = np.frombuffer(hashes, np.uint64).reshape(-1, 2)
+        low, high = np.searchsorted(self.first, pairs[:, 0], "left"), np.searchsorted(self.first, pairs[:, 0], "right")
+        found = np.zeros(len(pairs), bool)
+        for step in range(int((high - low).max(initial=0))):  # one step, unless first halves agree
+            at = np.flatnonzero(low + step < high)
+            found[at] |= self.second[low[at] + step] == pairs[at, 1]
+        return found
+
+
+def _drop(mode: str, shared=None):
+    """Drops common lines: those that ``shared`` holds, or without it those of a row's ``hits``."""
+
+    def kept_lines(raw: list[bytes], hits: list) -> list[tuple[list[bytes], int]]:
+        split = [x.split(b"\n") for x in raw]
+        if shared is None:
+            common = [set(x or ()) for x in hits]
+            return [([x for x in lines if not own or not (k := line_key(x)) or line_hash(k) not in own], len(lines)) for lines, own in zip(split, common)]
+        keys = [line_key(x) for lines in split for x in lines]
+        found = np.array([bool(k) for k in keys])
+        found &= shared.value.holds(b"".join(map(line_hash, keys)))
+        out, at = [], 0
+        for lines in split:
+            drop = found[at : at + len(lines)]
+            out.append(([x for x, y in zip(lines, drop.tolist()) if not y] if drop.any() else lines, len(lines)))
+            at += len(lines)
+        return out
+
     def run(batches):
         for part in in_slices(batches):
-            out, whole, dropped = [], [], []
-            for text, hits in zip(texts(part.column(part.schema.get_field_index("text"))), part.column(part.schema.get_field_index("hits")).to_pylist()):
-                lines = text.split(b"\n")
-                if hits:
-                    hits = set(hits)
-                    kept = [x for x in lines if not (k := line_key(x)) or line_hash(k) not in hits]
-                else:
-                    kept = lines
-                whole.append(len(lines))
-                dropped.append(len(lines) - len(kept))
-                out.append(b"\n".join(kept))
+            hits = part.column(part.schema.get_field_index("hits")).to_pylist() if shared is None else ()
+            done = kept_lines(texts(part.column(part.schema.get_field_index("text"))), hits)
+            out = [b"\n".join(kept) for kept, _ in done]
             if mode == "digest":
-                yield pa.record_batch({"doc_id": part.column(0), "n_lines": pa.array(whole, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())})
+                yield pa.record_batch({"doc_id": part.column(0), "n_lines": pa.array([n for _, n in done], pa.int64()), "n_dropped": pa.array([n - len(kept) for kept, n in done], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())})
             else:
-                there = part.column(1).is_valid().to_pylist()
+                there = part.column(part.schema.get_field_index("text")).is_valid().to_pylist()
                 yield pa.record_batch([part.column(0), pa.array([x.decode() if y else None for x, y in zip(out, there)], pa.string())], ["row", "text"])
 
     return run
@@ -109,20 +191,27 @@ def _text_key(column):
     return F.unhex(F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256))
 
 
-def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """``(text_key, hits)``: for each different text that has any, the hashes of its lines found in ``min_docs`` documents or more."""
+def _without_common(docs: DataFrame, rows: DataFrame, mode: str, schema, min_docs: int, batches: int, most: int) -> DataFrame:
+    """``rows`` (a first column, and ``text``) without the lines common in ``docs``."""
     spark = docs.sparkSession
     batch = F.pmod(F.xxhash64("text_key"), F.lit(batches)).cast("int")
     lines = written(docs.select("text").mapInArrow(_lines, "text_key binary, hashes array<binary>").withColumn("batch", batch), "line-hashes", "batch")
     runs = LineRuns(spark)
     for number in range(batches):
         runs.add(lines.where(F.col("batch") == number).select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")))
-    often = runs.counts().where(F.col("n") >= min_docs).select("hash")
-    found = lines.select("text_key", F.explode("hashes").alias("hash")).join(often, "hash")
-    return found.groupBy("text_key").agg(F.collect_set("hash").alias("hits"))
-
-
-def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    often = runs.common(min_docs)
+    runs.close()
+    if often.limit(most + 1).count() <= most:
+        shared = spark.sparkContext.broadcast(HashSet(b"".join(often.select("hash").toArrow()["hash"].to_pylist())))
+        deleted(lines)
+        return rows.mapInArrow(_drop(mode, shared), schema)
+    found = lines.select("text_key", F.explode("hashes").alias("hash")).join(often.select("hash"), "hash")
+    hits = written(found.groupBy("text_key").agg(F.collect_set("hash").alias("hits")), "line-hits")
+    deleted(lines)
+    return rows.withColumn("text_key", _text_key(F.col("text"))).join(hits, "text_key", "left").select(*rows.columns, "hits").mapInArrow(_drop(mode), schema)
+
+
+def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, most_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """What dropping lines common to many documents does to each document.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. Texts are split at \\n; a
@@ -130,18 +219,17 @@ def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHE
     both ends, A-Z lower-cased. Lines whose key is not empty and stands in ``min_docs`` documents
     or more (rows; repeated rows count each) go from every document. Returns ``doc_id``,
     ``n_lines``, ``n_dropped`` and ``kept_sha256`` (of the kept lines joined by \\n), one row per
-    row. No rows: no rows.
+    row. No rows: no rows. Up to ``most_broadcast`` common lines are broadcast, more are joined;
+    the result is the same.
     """
-    hits = common_lines(docs, min_docs, batches)
-    rows = docs.select(F.col("doc_id").cast("long"), "text", _text_key(F.col("text")).alias("text_key"))
-    return rows.join(hits, "text_key", "left").select("doc_id", "text", "hits").mapInArrow(_drop("digest"), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return _without_common(docs, rows, "digest", "doc_id long, n_lines long, n_dropped long, kept_sha256 string", min_docs, batches, most_broadcast)
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, most_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` without the lines that ``line_report`` drops; all columns and rows stay, a null text stays null."""
-    hits = common_lines(docs, min_docs, batches)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", _text_key(F.col("text")).alias("text_key"))
-    rows = rows.join(hits, "text_key", "left").select("row", "text", "hits")
-    kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(_drop("rows"), f"row {kind}, text string")
-    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    own = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("row"), "text")
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
+    out = _without_common(docs, rows, "rows", schema, min_docs, batches, most_broadcast)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.{x}").alias(c) for c, x in zip(docs.columns, own)))
