@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, in_slices, packed, partitions, texts, unpacked, written
+from .common import deleted, flat, in_slices, packed, partitions, texts, unpacked, written
 from .components import components
 from .trie import linked
 from .words import shingle_sets
@@ -42,8 +42,8 @@ CHUNK = 4_000_000
 #: Most candidate sets whose (hash, component) pairs are broadcast: 16 MB. Beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-_SENT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "reps", "heavy", "counts", "lists"))])
-_SENT_SQL = "kind int, doc_id long, n long, sig long, block long, bucket int, tokens binary, reps binary, heavy binary, counts binary, lists binary"
+_SENT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("sig", pa.int64()), ("again", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "reps", "heavy", "counts", "lists"))])
+_SENT_SQL = "kind int, doc_id long, key binary, n long, sig long, again long, block long, bucket int, tokens binary, reps binary, heavy binary, counts binary, lists binary"
 _REPLY_SQL = "block long, tokens binary, reps binary, counts binary, heavy binary, lists binary"
 _MET_SQL = "bucket int, tokens binary, sigs binary, src binary, dst binary"
 
@@ -83,8 +83,10 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_values)))
 
 
-def signature(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def signatures(shingles: np.ndarray, salt: int) -> tuple[int, int]:
+    """What names a set, and 64 bits more by which two sets of one name are told apart."""
+    both = hashlib.blake2b(shingles.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
 
 
 def _bucket_edges(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,7 @@ def _bucket_edges(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndar
     return number[starts].astype(np.int32), np.append(starts, len(tokens))
 
 
-def _send(buckets: int):
+def _send(buckets: int, salt: int):
     def flush(block: int, sigs: list[int], sets: list[np.ndarray]):
         sizes = np.array([len(x) for x in sets], np.int64)
         yield {"kind": 2, "block": block, "tokens": np.array(sigs, np.int64).tobytes(), "reps": sizes.astype(np.int32).tobytes()}
@@ -115,8 +117,8 @@ def _send(buckets: int):
         block, seen, sigs, sets, held = TaskContext.get().partitionId() << 24, set(), [], [], 0
         for part in in_slices(batches):
             found = shingle_sets(*flat(part.column(1)))
-            own = [signature(x) if len(x) else None for x in found]
-            yield pa.record_batch({"kind": np.zeros(len(own), np.int32), "doc_id": part.column(0).cast(pa.int64()), "n": np.array([len(x) for x in found], np.int64), "sig": pa.array(own, pa.int64()), **{c: pa.nulls(len(own), _SENT.field(c).type) for c in _SENT.names[4:]}}, schema=_SENT)
+            own, again = zip(*(signatures(x, salt) if len(x) else (None, None) for x in found))
+            yield pa.record_batch({"kind": np.zeros(len(own), np.int32), "doc_id": part.column(0).cast(pa.int64()), "key": part.column(2), "n": np.array([len(x) for x in found], np.int64), "sig": pa.array(own, pa.int64()), "again": pa.array(again, pa.int64()), **{c: pa.nulls(len(own), _SENT.field(c).type) for c in _SENT.names[6:]}}, schema=_SENT)
             for sig, x in zip(own, found):
                 if sig is not None and sig not in seen:
                     seen.add(sig)
@@ -227,25 +229,31 @@ def _unpack(batches):
             yield pa.record_batch({"src": np.frombuffer(a, np.int64), "dst": np.frombuffer(b, np.int64)})
 
 
-def _whole(batches):
-    """The sets of a partition, with signature and size, for the smallest ``doc_id`` that has each.
+def _whole(salt: int):
+    """The sets of a partition, with signature, for the smallest ``doc_id`` that has each.
 
-    A set is given again only when a smaller ``doc_id`` follows, so that the row with the smallest
-    of all partitions is always among them.
+    A set is given again when a smaller ``doc_id`` follows, or when it has been forgotten meanwhile,
+    so that the row with the smallest of all partitions is always among them.
     """
-    seen: dict[int, int | None] = {}
-    for part in in_slices(batches, column="text"):
-        rows = []
-        for doc, x in zip(part.column(0).cast(pa.int64()).to_pylist(), shingle_sets(*flat(part.column(1)))):
-            if not len(x):
-                continue
-            sig = signature(x)
-            if sig not in seen or (doc is not None and (seen[sig] is None or doc < seen[sig])):
-                seen[sig] = doc
-                rows.append((doc, sig, x.tobytes()))
-        if rows:
-            a, b, c = zip(*rows)
-            yield pa.record_batch({"doc_id": pa.array(a, pa.int64()), "sig": pa.array(b, pa.int64()), "shingles": pa.array(c, pa.binary())})
+
+    def run(batches):
+        seen: dict[int, int | None] = {}
+        for part in in_slices(batches, column="text"):
+            rows = []
+            for doc, x in zip(part.column(0).cast(pa.int64()).to_pylist(), shingle_sets(*flat(part.column(1)))):
+                if not len(x):
+                    continue
+                sig, _ = signatures(x, salt)
+                if sig not in seen or (doc is not None and (seen[sig] is None or doc < seen[sig])):
+                    seen[sig] = doc
+                    rows.append((doc, sig, x.tobytes()))
+            if rows:
+                a, b, c = zip(*rows)
+                yield pa.record_batch({"doc_id": pa.array(a, pa.int64()), "sig": pa.array(b, pa.int64()), "shingles": pa.array(c, pa.binary())})
+            if len(seen) > 200_000:
+                seen.clear()
+
+    return run
 
 
 def _join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -257,45 +265,56 @@ def _join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"node": own, "component": own[roots], "cut": pa.array([key[1].as_py() >= 0] * len(own), pa.bool_())})
 
 
-def _exactly(docs: DataFrame, placed: DataFrame, pairs) -> DataFrame:
+def _exactly(docs: DataFrame, placed: DataFrame, pairs, salt: int) -> DataFrame:
     """Join the whole sets of each task exactly: ``(node, component, cut)``.
 
     ``placed`` has ``sig``, ``low`` (the smallest ``doc_id`` with that set), ``component`` and
     ``part`` (sets of one part are known to be linked); ``pairs`` are the tasks of a component that
     a set goes to, -1 for the only one. Of equal sets one row only is sent.
     """
-    whole = docs.select("doc_id", "text").mapInArrow(_whole, "doc_id long, sig long, shingles binary").join(placed, "sig").where("doc_id <=> low")
+    whole = docs.select("doc_id", "text").mapInArrow(_whole(salt), "doc_id long, sig long, shingles binary").join(placed, "sig").where("doc_id <=> low")
     dealt = whole.select("component", F.explode(pairs).alias("pair"), "sig", "part", "shingles")
     return written(dealt.groupBy("component", "pair").applyInArrow(_join, "node long, component long, cut boolean"), "ngram-joined")
 
 
-def ngram_jaccard_join(docs: DataFrame, most_shingles: int = CHUNK) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, most_shingles: int = CHUNK, key: str | None = None, salt: int = 0) -> DataFrame:
     """Components of documents of which the 5-word shingle sets have a Jaccard similarity of 0.75 or more.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. Returns ``doc_id``,
-    ``n_shingles`` and ``component_id`` (smallest ``doc_id`` reachable by links), one row per row.
+    ``n_shingles``, ``component_id`` (smallest ``doc_id`` reachable by links) and ``root`` (a number
+    that names the component, whatever its ids), one row per row, and with ``key`` that binary
+    column of ``docs``.
 
     Words are split at space and 0x09-0x0D after lower-casing A-Z. With fewer than five words the
     whole sequence is the only shingle. A null or empty text, or one of white space only, has no
-    shingle and is linked with nothing: its component is its own ``doc_id``. Rows with equal sets
-    are in one component, repeated rows too. A null ``doc_id`` takes part in links and never is the
-    smallest, unless it is alone: then the component is null. No rows: no rows.
+    shingle and is linked with nothing: its component is its own ``doc_id``, its ``root`` null. Rows
+    with equal sets are in one component, repeated rows too. A null ``doc_id`` takes part in links and
+    never is the smallest, unless it is alone: then the component is null. No rows: no rows.
+
+    A set is named by 64 bits; another 64 are compared. Should two sets have one name, the job stops
+    and can be run with another ``salt``.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    sent = written(docs.select("doc_id", "text").mapInArrow(_send(buckets), _SENT_SQL), "ngram-sent", "kind")
-    profile = sent.where("kind = 0").select("doc_id", "n", "sig")
+    rows = docs.select("doc_id", "text", (F.col(key) if key else F.lit(None).cast("binary")).alias("key"))
+    sent = written(rows.mapInArrow(_send(buckets, salt), _SENT_SQL), "ngram-sent", "kind")
+    profile = sent.where("kind = 0").select("doc_id", "key", "n", "sig", "again")
     posted = sent.where("kind = 1")
     reply = posted.select("bucket", "block", "tokens", "reps", "heavy", "counts").groupBy("bucket").applyInArrow(_count, _REPLY_SQL)
     known = reply.select(F.lit(3).alias("kind"), "block", "tokens", "reps", "counts", "heavy", "lists")
     lists = posted.where("length(heavy) > 0").select("kind", "block", F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("reps"), "counts", "heavy", "lists")
     sizes = sent.where("kind = 2").select("kind", "block", "tokens", "reps", *(F.lit(None).cast("binary").alias(c) for c in ("counts", "heavy", "lists")))
     met = written(known.unionByName(lists).unionByName(sizes).groupBy("block").applyInArrow(_prefixes(buckets), _MET_SQL), "ngram-met")
+    profile = written(profile, "ngram-profile")
+    deleted(sent)
     near = met.where("src IS NOT NULL").select("src", "dst").mapInArrow(_unpack, "src long, dst long")
     far = met.where("tokens IS NOT NULL").select("bucket", "tokens", "sigs").groupBy("bucket").applyInArrow(_meet, "src long, dst long")
-    candidates = components(near.unionByName(far))
-    sets = profile.where("sig IS NOT NULL").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("low"))
-    candidates = written(candidates.join(sets, candidates.node == F.col("sig")).select("sig", "n", "low", "component"), "ngram-candidates")
+    linked_sets = components(near.unionByName(far))
+    deleted(met)
+    one = F.when(F.min("again") == F.max("again"), F.first("n")).otherwise(F.raise_error(F.lit("two sets have one name: run again with another salt")).cast("long"))
+    sets = written(profile.where("sig IS NOT NULL").groupBy("sig").agg(one.alias("n"), F.min("doc_id").alias("low")), "ngram-sets")
+    candidates = written(linked_sets.join(sets, linked_sets.node == F.col("sig")).select("sig", "n", "low", "component"), "ngram-candidates")
+    deleted(linked_sets)
     few = candidates.count() <= BROADCAST_ROWS
     large = candidates.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > most_shingles)
     large = large.select("component", F.ceil(F.col("total") / most_shingles).alias("chunks"))
@@ -303,24 +322,33 @@ def ngram_jaccard_join(docs: DataFrame, most_shingles: int = CHUNK) -> DataFrame
     zero = F.lit(0).cast("long")
     every = F.sequence(zero, F.col("chunks") - 1)
     to = F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).when(F.col("chunk") == 0, every).otherwise(F.array("chunk"))
-    joined = _exactly(docs, F.broadcast(placed) if few else placed, to)
+    joined = _exactly(docs, F.broadcast(placed) if few else placed, to, salt)
     label = joined.where("NOT cut").select("node", "component")
-    cut = joined.where("cut").select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    cut, made = joined.where("cut").select(F.col("node").alias("src"), F.col("component").alias("dst")), []
     if cut.limit(1).count():
-        parts = components(cut).withColumnRenamed("component", "known")
+        parts = components(cut)
+        made.append(parts)
+        parts = parts.withColumnRenamed("component", "known")
         known = placed.where("chunks IS NOT NULL").join(parts, F.col("sig") == F.col("node"), "left").select("sig", "n", "low", "component", "chunks", "chunk", F.coalesce("known", "sig").alias("part"))
         known = written(known, "ngram-parts")
+        made.append(known)
         main = known.groupBy("component", "part").agg(F.sum("n").alias("held")).groupBy("component").agg(F.max(F.struct("held", "part")).alias("main"), F.sum("held").alias("total"))
         main = main.where("main.held < total").select("component", F.col("main.part").alias("main"), F.ceil((F.col("total") - F.col("main.held")) / most_shingles).alias("queries"))
         left = written(known.join(main, "component").withColumn("query", F.expr("IF(part <> main, pmod(xxhash64(sig, 1), queries), NULL)")), "ngram-left")
+        made.append(left)
         if left.limit(1).count():
             to = F.transform(F.sequence(zero, F.col("queries") - 1), lambda j: j * F.col("chunks") + F.col("chunk"))
             to = F.when(F.col("query").isNull(), to).otherwise(F.array_union(to, F.transform(every, lambda c: F.col("query") * F.col("chunks") + c)))
-            again = _exactly(docs, F.broadcast(left) if few else left, to)
+            again = _exactly(docs, F.broadcast(left) if few else left, to, salt)
             cut = cut.unionByName(again.select(F.col("node").alias("src"), F.col("component").alias("dst")))
-            parts = components(cut).withColumnRenamed("component", "known")
+            parts = components(cut)
+            made += [again, parts]
+            parts = parts.withColumnRenamed("component", "known")
         label = label.unionByName(parts.select("node", F.col("known").alias("component")))
-    classes = sets.join(label, F.col("sig") == F.col("node"), "left").select("sig", "low", F.coalesce("component", "sig").alias("root"))
-    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(lowest, "root").select("sig", "component_id")
-    return profile.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    nodes = written(label.join(candidates.select("sig", "low"), F.col("node") == F.col("sig")).select("sig", "low", F.col("component").alias("root")), "ngram-nodes")
+    lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id")).hint("rebalance")  # dealt out apart, so that Spark can split a large component's rows
+    named = sets.join(nodes.join(lowest, "root").select("sig", "root", "component_id"), "sig", "left")
+    named = written(named.select("sig", F.coalesce("root", "sig").alias("root"), F.coalesce("component_id", "low").alias("component_id")), "ngram-named")
+    deleted(nodes, sets, candidates, joined, *made)
+    out = profile.join(named, "sig", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root", *(["key"] if key else []))

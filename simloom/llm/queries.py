@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents")).drop("root")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
