@@ -42,6 +42,11 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return out
 
 
+def plain_names(docs: DataFrame, *keep: str) -> DataFrame:
+    """``docs`` with numbered column names but for those to ``keep``: ``mapInArrow`` takes no names with dots."""
+    return docs.toDF(*(c if c in keep else f"column_{k}" for k, c in enumerate(docs.columns)))
+
+
 def deleted(*tables: DataFrame) -> None:
     """Remove tables that ``written`` made, once all that is computed from them is written itself."""
     for table in tables:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, texts, written
+from .common import in_slices, plain_names, texts, written
 from .words import ALNUM, LOWER, mix, spans
 
 WINDOW = 10
@@ -187,4 +187,5 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, whole: bool = Fa
     ``most_words`` words is taken in blocks, each a pass over the documents. Spans are cut once all
     blocks are searched, so that one span hides no other.
     """
-    return _passes(docs, benchmark, most_words, _drop if whole else _cut, docs.schema)
+    rows = plain_names(docs, "text")
+    return _passes(rows, benchmark, most_words, _drop if whole else _cut, rows.schema).toDF(*docs.columns)

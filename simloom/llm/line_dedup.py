@@ -61,7 +61,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout, self.folder = spark, fanout, shared_folder(spark, "line-runs")
-        self.buckets = partitions(spark)
+        self.buckets = max(8, partitions(spark) // 4)  # a line's hash and count are a small part of the text
         self.levels: list[list[str]] = []
         self.repeats: list[DataFrame] = []
 

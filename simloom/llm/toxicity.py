@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, in_slices, written
+from .common import flat, in_slices, plain_names, written
 from .words import ALNUM, LOWER, _power, mix, spans
 
 #: Most labelled rows of each class that the model is fitted on, those of least hash.
@@ -243,4 +243,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: dict[int, int] =
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
     """``docs`` without the rows that score 0.5 or more; columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
-    return docs.mapInArrow(_score(shared, True), docs.schema)
+    rows = plain_names(docs, "text")
+    return rows.mapInArrow(_score(shared, True), rows.schema).toDF(*docs.columns)
