@@ -5,7 +5,8 @@
 2. An owner decodes what it got, finds the fingerprints that more than one partition sent, and
    replies to each with a bitmap in the order sent. What a partition holds twice it knows itself.
 3. Only rows with a suspect fingerprint are compared byte by byte: each partition sends every
-   different suspect text once. Two different texts of one SHA-256 would stop the job.
+   different suspect text once. Two different texts of one SHA-256 would stop the job. Rows that
+   are no suspects are not joined with anything.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, partitions, texts, written
+from .common import deleted, in_slices, partitions, texts, written
 
-#: Most suspect fingerprints that are broadcast to filter the texts: 16 MB. Beyond, a shuffle join filters.
+#: Most suspect fingerprints (16 MB), and most groups (100 MB), that are broadcast. Beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -103,7 +104,7 @@ def _own(table: pa.Table) -> pa.Table:
 
 
 def _once(batches):
-    """Every different normalised text of a partition once, with its SHA-256."""
+    """Every different normalised text of a partition, with its SHA-256: once, or again when it has been forgotten meanwhile."""
     seen = set()
     for part in in_slices(batches):
         rows = []
@@ -113,6 +114,8 @@ def _once(batches):
                 rows.append((sha, int.from_bytes(sha[:8], "big", signed=True), x))
         if rows:
             yield pa.record_batch(list(map(pa.array, zip(*rows))), ["sha", "fingerprint", "bytes"])
+        if len(seen) > 200_000:
+            seen.clear()
 
 
 def exact_dedup(docs: DataFrame, block_rows: int = 1_000_000) -> DataFrame:
@@ -130,17 +133,25 @@ def exact_dedup(docs: DataFrame, block_rows: int = 1_000_000) -> DataFrame:
     rows = sent.drop("code", "n").join(bitmaps, ["block", "owner"]).select("block", "owner", "bitmap", F.posexplode(F.arrays_zip("doc_ids", "slots", "twice", "shas")).alias("place", "x"))
     suspect = F.col("x.twice") | F.expr("shiftright(element_at(bitmap, CAST(x.slots DIV 64 AS INT) + 1), x.slots % 64) & 1 = 1")
     rows = written(rows.select(F.col("x.doc_ids").alias("doc_id"), F.col("x.shas").alias("sha"), suspect.alias("suspect"), "block", "owner", "place"), "dedup-rows")
+    deleted(sent)
     suspects = rows.where("suspect")
     prints = suspects.select(F.conv(F.hex(F.substring("sha", 1, 8)), 16, -10).cast("long").alias("fingerprint")).distinct()
     prints = written(prints, "dedup-suspects")
-    few = prints.count() <= BROADCAST_ROWS
     once = docs.select("text").mapInArrow(_once, "sha binary, fingerprint long, bytes binary")
-    once = once.join(F.broadcast(prints) if few else prints, "fingerprint", "left_semi")
+    once = once.join(_small(prints), "fingerprint", "left_semi")
     same = once.groupBy("fingerprint", "sha", "bytes").agg(F.lit(1).alias("one")).groupBy("sha").agg(F.sum("one").alias("texts"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "block", "owner", "place")
     groups = suspects.groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
     checked = F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts have the same SHA-256, or a suspect has no text")).cast("long"))
-    groups = groups.join(same, "sha", "left").select("sha", "first", checked.alias("group_size"))
-    out = rows.join(groups, "sha", "left")
-    kept = F.coalesce((F.col("first.block") == F.col("block")) & (F.col("first.owner") == F.col("owner")) & (F.col("first.place") == F.col("place")), F.lit(True))
-    return out.select("doc_id", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    # written, so that Spark can split the rows of a large group in the join
+    groups = written(groups.join(same, "sha", "left").select("sha", "first", checked.alias("group_size")), "dedup-groups")
+    deleted(prints)
+    sha = F.lower(F.hex("sha")).alias("text_sha256")
+    kept = (F.col("first.block") == F.col("block")) & (F.col("first.owner") == F.col("owner")) & (F.col("first.place") == F.col("place"))
+    own = suspects.join(_small(groups), "sha").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), sha)
+    alone = rows.where("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
+    return own.unionByName(alone)
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows

@@ -194,7 +194,7 @@ def _text_key(column):
 def _without_common(docs: DataFrame, rows: DataFrame, mode: str, schema, min_docs: int, batches: int, most: int) -> DataFrame:
     """``rows`` (a first column, and ``text``) without the lines common in ``docs``."""
     spark = docs.sparkSession
-    batch = F.pmod(F.xxhash64("text_key"), F.lit(batches)).cast("int")
+    batch = F.spark_partition_id() % batches  # as rows come; the result does not depend on it
     lines = written(docs.select("text").mapInArrow(_lines, "text_key binary, hashes array<binary>").withColumn("batch", batch), "line-hashes", "batch")
     runs = LineRuns(spark)
     for number in range(batches):

@@ -42,8 +42,8 @@ CHUNK = 4_000_000
 #: Most candidate sets whose (hash, component) pairs are broadcast: 16 MB. Beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-_SENT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("sig", pa.int64()), ("again", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "reps", "heavy", "counts", "lists"))])
-_SENT_SQL = "kind int, doc_id long, key binary, n long, sig long, again long, block long, bucket int, tokens binary, reps binary, heavy binary, counts binary, lists binary"
+_SENT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("sig", pa.int64()), ("again", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("sigs", "sizes", "tokens", "reps", "heavy", "counts", "lists"))])
+_SENT_SQL = "kind int, doc_id long, key binary, n long, sig long, again long, block long, bucket int, sigs binary, sizes binary, tokens binary, reps binary, heavy binary, counts binary, lists binary"
 _REPLY_SQL = "block long, tokens binary, reps binary, counts binary, heavy binary, lists binary"
 _MET_SQL = "bucket int, tokens binary, sigs binary, src binary, dst binary"
 
@@ -98,7 +98,7 @@ def _bucket_edges(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndar
 def _send(buckets: int, salt: int):
     def flush(block: int, sigs: list[int], sets: list[np.ndarray]):
         sizes = np.array([len(x) for x in sets], np.int64)
-        yield {"kind": 2, "block": block, "tokens": np.array(sigs, np.int64).tobytes(), "reps": sizes.astype(np.int32).tobytes()}
+        yield {"kind": 2, "block": block, "sigs": np.array(sigs, np.int64).tobytes(), "sizes": sizes.astype(np.int32).tobytes()}
         tokens = np.concatenate(sets) >> np.uint64(16)
         reps = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         order = np.argsort(tokens, kind="stable")
@@ -297,13 +297,13 @@ def ngram_jaccard_join(docs: DataFrame, most_shingles: int = CHUNK, key: str | N
     spark = docs.sparkSession
     buckets = partitions(spark)
     rows = docs.select("doc_id", "text", (F.col(key) if key else F.lit(None).cast("binary")).alias("key"))
-    sent = written(rows.mapInArrow(_send(buckets, salt), _SENT_SQL), "ngram-sent", "kind")
+    sent = written(rows.mapInArrow(_send(buckets, salt), _SENT_SQL), "ngram-sent")
     profile = sent.where("kind = 0").select("doc_id", "key", "n", "sig", "again")
     posted = sent.where("kind = 1")
     reply = posted.select("bucket", "block", "tokens", "reps", "heavy", "counts").groupBy("bucket").applyInArrow(_count, _REPLY_SQL)
     known = reply.select(F.lit(3).alias("kind"), "block", "tokens", "reps", "counts", "heavy", "lists")
     lists = posted.where("length(heavy) > 0").select("kind", "block", F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("reps"), "counts", "heavy", "lists")
-    sizes = sent.where("kind = 2").select("kind", "block", "tokens", "reps", *(F.lit(None).cast("binary").alias(c) for c in ("counts", "heavy", "lists")))
+    sizes = sent.where("kind = 2").select("kind", "block", F.col("sigs").alias("tokens"), F.col("sizes").alias("reps"), *(F.lit(None).cast("binary").alias(c) for c in ("counts", "heavy", "lists")))
     met = written(known.unionByName(lists).unionByName(sizes).groupBy("block").applyInArrow(_prefixes(buckets), _MET_SQL), "ngram-met")
     profile = written(profile, "ngram-profile")
     deleted(sent)

@@ -32,7 +32,9 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_archive(_table(spark, sf_dir, "pages")).read()
+    """Every page's record, found by its url in the index."""
+    pages = _table(spark, sf_dir, "pages")
+    return write_archive(pages).read(pages)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

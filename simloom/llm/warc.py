@@ -1,9 +1,13 @@
 """WARC archives with a two-level capture index.
 
 Archives are gzip members, one for each record, in files of the shared folder. The index sorts
-captures by reversed-host URL key into compressed blocks; a sparse directory holds each block's
-first key, file, offset and length. A lookup searches the directory in halves, reads one block by
-its range, searches that in halves, and reads the record by its range.
+captures by reversed-host URL key into compressed blocks, one file for each range of keys. At the end
+of the file stands its sparse directory: each block's first and last key, offset and length. The
+driver knows of each file only its first and last key and where its directory stands.
+
+A search looks up in halves which files may hold a key, and deals its keys out by file, sorted. A
+task reads a file's directory once, searches that in halves, reads one block by its range, and
+searches that in halves too. Records are then read by their ranges, in the order of each archive.
 
 Files are reached with ``pyarrow.fs``, so the shared folder may be a mount, HDFS or an object store.
 A task that is run again writes a new file; the index lists only files of tasks that were committed.
@@ -15,6 +19,7 @@ import base64
 import bisect
 import gzip
 import hashlib
+import itertools
 import json
 import re
 import uuid
@@ -26,11 +31,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, partitions, shared_folder, texts, written
+from .common import deleted, in_slices, shared_folder, texts, written
 
 FILE_BYTES = 64 << 20
 BLOCK_LINES = 3000
 _DATE = "2024-01-01T00:00:00Z"
+#: Most payloads of several rows that are broadcast: about 100 MB. Beyond, rows are joined by a shuffle that Spark can split.
+BROADCAST_ROWS = 1_000_000
+_INDEX_TYPES = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
 _INDEX_SQL = "urlkey string, page_id long, url string, file string, offset long, length long"
 
 
@@ -116,52 +124,117 @@ def _write(folder: str, file_bytes: int):
 
 
 def _index(folder: str, block_lines: int):
-    """Sorted captures to compressed blocks; yields the directory."""
+    """Sorted captures to a file of compressed blocks and their directory; yields what the driver is to know of the file."""
 
     def run(batches):
         from pyspark import TaskContext
 
         files, base = file_system(folder)
         files.create_dir(base)
-        name, held, at = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.cdx.z", [], 0
+        name, held, at, directory, out = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.cdx.z", [], 0, [], None
 
-        def put(out):
+        def put():
             nonlocal held, at
-            block = zlib.compress("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in held).encode())
+            block = _packed(held)
             out.write(block)
-            row = pa.record_batch([[held[0][0]], [held[-1][0]], [name], [at], [len(block)], [len(held)]], ["first", "last", "file", "offset", "length", "captures"])
+            directory.append((held[0][0], held[-1][0], at, len(block), len(held)))
             held, at = [], at + len(block)
-            return row
 
-        out = None
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                out = out or files.open_output_stream(f"{base}/{name}", compression=None)
                 held.append(row)
                 if len(held) >= block_lines:
-                    out = out or files.open_output_stream(f"{base}/{name}", compression=None)
-                    yield put(out)
+                    put()
         if held:
-            out = out or files.open_output_stream(f"{base}/{name}", compression=None)
-            yield put(out)
+            put()
         if out is not None:
+            block = _packed(directory)
+            out.write(block)
             out.close()
+            yield pa.record_batch([[directory[0][0]], [directory[-1][1]], [name], [at], [len(block)], [len(directory)], [sum(x[4] for x in directory)]], ["first", "last", "file", "offset", "length", "blocks", "captures"])
 
     return run
 
 
-def _open_blocks(folder: str):
+def _packed(rows: list[tuple]) -> bytes:
+    return zlib.compress("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in rows).encode())
+
+
+def _unpacked(block: bytes) -> list[list]:
+    return [json.loads(x) for x in zlib.decompress(block).decode().split("\n")[:-1]]
+
+
+class Index:
+    """Searches for captures of keys that come in order; holds one directory and one block."""
+
+    def __init__(self, folder: str, known: list[tuple[str, str, str, int, int]]):
+        self.files, self.base = file_system(folder)
+        self.known = known  # (last key, first key, file, offset and length of its directory), sorted
+        self.reads = 0
+        self._held: dict[str, tuple] = {}
+
+    def _range(self, level: str, name: str, offset: int, length: int) -> list[list]:
+        key = (name, offset)
+        if self._held.get(level, (None,))[0] != key:
+            with self.files.open_input_file(f"{self.base}/{name}") as f:
+                self._held[level] = (key, _unpacked(f.read_at(length, offset)))
+            self.reads += 1
+        return self._held[level][1]
+
+    def files_of(self, key: str):
+        """Numbers of the files that may hold ``key``."""
+        at = bisect.bisect_left(self.known, (key,))
+        while at < len(self.known) and self.known[at][1] <= key:
+            yield at
+            at += 1
+
+    def within(self, number: int, key: str):
+        """``(urlkey, page_id, url, file, offset, length)`` of each capture of ``key`` in one file."""
+        _, _, name, offset, length = self.known[number]
+        directory = self._range("directory", name, offset, length)
+        for first, _, offset, length, _ in directory[bisect.bisect_left(directory, key, key=lambda x: x[1]) :]:
+            if first > key:
+                return
+            lines = self._range("block", name, offset, length)
+            a, b = (f(lines, key, key=lambda x: x[0]) for f in (bisect.bisect_left, bisect.bisect_right))
+            yield from lines[a:b]
+
+    def captures(self, key: str):
+        for number in self.files_of(key):
+            yield from self.within(number, key)
+
+
+def _route(folder: str, shared):
+    """A row for each file of the index that may hold a key, so that one with very many captures is many rows."""
+
     def run(batches):
-        files, base = file_system(folder)
+        index = Index(folder, shared.value)
+        for batch in batches:
+            rows = [(number, key) for key in batch.column(0).to_pylist() for number in index.files_of(key)]
+            numbers, keys = zip(*rows) if rows else ((), ())
+            yield pa.record_batch({"number": pa.array(numbers, pa.int64()), "urlkey": pa.array(keys, pa.string())})
+
+    return run
+
+
+def _find(folder: str, shared):
+    def run(batches):
+        index = Index(folder, shared.value)
         for batch in batches:
-            for name, offset, length in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                with files.open_input_file(f"{base}/{name}") as f:
-                    lines = zlib.decompress(f.read_at(length, offset)).decode().split("\n")[:-1]
-                rows = list(zip(*map(json.loads, lines)))
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["urlkey", "page_id", "url", "file", "offset", "length"])
+            for number, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = index.within(number, key)
+                while rows := list(itertools.islice(found, 4096)):
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), _INDEX_TYPES)], ["urlkey", "page_id", "url", "file", "offset", "length"])
 
     return run
 
 
+def _url_keys(batches):
+    for batch in batches:
+        yield pa.record_batch([pa.array([url_key(x) for x in batch.column(0).to_pylist()], pa.string())], ["urlkey"])
+
+
 def _read(folder: str):
     def run(batches):
         files, base = file_system(folder)
@@ -189,40 +262,39 @@ def _read(folder: str):
 
 @dataclass
 class Archive:
-    """Archives and their index in the shared folder."""
+    """Archives and their index in the shared folder. ``files``: one row for each file of the index."""
 
     spark: SparkSession
     records: str
     blocks: str
-    directory: DataFrame
-    _sorted: list | None = None
-
-    def captures(self) -> DataFrame:
-        """All captures, out of the index's blocks."""
-        ranges = self.directory.select("file", "offset", "length")
-        return ranges.repartition(partitions(self.spark)).mapInArrow(_open_blocks(self.blocks), _INDEX_SQL)
-
-    def read(self) -> DataFrame:
-        """All records, read by range in the order of each file."""
-        dealt = self.captures().select("file", "offset", "length").repartitionByRange(partitions(self.spark), "file", "offset").sortWithinPartitions("file", "offset")
+    files: DataFrame
+    _known: list | None = None
+
+    def known(self) -> list[tuple[str, str, str, int, int]]:
+        """One entry for each file of the index, of which there are as many as tasks wrote it."""
+        if self._known is None:
+            self._known = sorted(tuple(x) for x in self.files.select("last", "first", "file", "offset", "length").collect())
+        return self._known
+
+    def find(self, urls: DataFrame) -> DataFrame:
+        """The captures of the different keys of ``urls`` (a column ``url``), found in the index."""
+        keys = urls.select("url").mapInArrow(_url_keys, "urlkey string").distinct()
+        shared = self.spark.sparkContext.broadcast(self.known())
+        routed = keys.mapInArrow(_route(self.blocks, shared), "number long, urlkey string")
+        return routed.repartitionByRange("number", "urlkey").sortWithinPartitions("number", "urlkey").mapInArrow(_find(self.blocks, shared), _INDEX_SQL)
+
+    def read(self, urls: DataFrame) -> DataFrame:
+        """All records of the keys of ``urls``, read by range in the order of each archive."""
+        dealt = self.find(urls).select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
         return dealt.mapInArrow(_read(self.records), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
     def lookup(self, url: str) -> list[dict]:
-        """The records of one URL, by two searches in halves and range reads."""
-        if self._sorted is None:  # one row for each 3000 captures
-            self._sorted = sorted(tuple(x) for x in self.directory.select("first", "last", "file", "offset", "length").collect())
-        key, found = url_key(url), []
-        k = bisect.bisect_left([x[1] for x in self._sorted], key)
-        files, base = file_system(self.blocks)
-        archive, root = file_system(self.records)
-        while k < len(self._sorted) and self._sorted[k][0] <= key:
-            _, _, name, offset, length = self._sorted[k]
-            with files.open_input_file(f"{base}/{name}") as f:
-                lines = [json.loads(x) for x in zlib.decompress(f.read_at(length, offset)).decode().split("\n")[:-1]]
-            for line in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]:
-                with archive.open_input_file(f"{root}/{line[3]}") as f:
-                    found.append(decode_record(f.read_at(line[5], line[4])))
-            k += 1
+        """The records of one URL."""
+        files, root = file_system(self.records)
+        found = []
+        for *_, name, offset, length in Index(self.blocks, self.known()).captures(url_key(url)):
+            with files.open_input_file(f"{root}/{name}") as f:
+                found.append(decode_record(f.read_at(length, offset)))
         return found
 
 
@@ -239,14 +311,17 @@ def write_archive(pages: DataFrame, file_bytes: int = FILE_BYTES, block_lines: i
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(payload).alias("sha1"))
     groups = rows.groupBy("sha1").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select(F.col("sha1").alias("group_sha1"), "largest")
-    rows = rows.join(groups, F.col("sha1") == F.col("group_sha1"), "left")
+    groups = written(groups, "warc-groups")
+    few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(groups) if few else groups, F.col("sha1") == F.col("group_sha1"), "left")
     revisit = F.coalesce(F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest")), F.lit(False))
     rows = rows.select("page_id", "url", "html", F.col("sha1").alias("digest"), F.when(revisit, F.col("largest")).alias("refers_to"), revisit.alias("revisit"))
     records, blocks = shared_folder(spark, "warc-records"), shared_folder(spark, "warc-index")
     captures = written(rows.mapInArrow(_with_base32(_write(records, file_bytes)), _INDEX_SQL), "warc-captures")
     order = captures.repartitionByRange("urlkey", "page_id").sortWithinPartitions("urlkey", "page_id", "file", "offset")
-    directory = written(order.mapInArrow(_index(blocks, block_lines), "first string, last string, file string, offset long, length long, captures long"), "warc-directory")
-    return Archive(spark, records, blocks, directory)
+    files = written(order.mapInArrow(_index(blocks, block_lines), "first string, last string, file string, offset long, length long, blocks long, captures long"), "warc-directory")
+    deleted(groups, captures)
+    return Archive(spark, records, blocks, files)
 
 
 def _with_base32(write):

@@ -282,7 +282,7 @@ def pages(spark, rows):
 def test_warc(spark):
     rows = [(k, f"http://Site{k % 3}.example.org/a/{k}?x={k}", f"<p>{k % 10}\u00e9</p>") for k in range(40)] + [(50, None, None), (51, "no scheme", ""), (None, "http://b.org", "<p>0\u00e9</p>")]
     archive = warc.write_archive(pages(spark, rows), file_bytes=600, block_lines=7)
-    got = {r["page_id"]: r for r in archive.read().collect()}
+    got = {r["page_id"]: r for r in archive.read(pages(spark, rows)).collect()}
     assert len(got) == len(rows)
     for page_id, _, html in rows:
         raw = (html or "").encode()
@@ -294,7 +294,20 @@ def test_warc(spark):
         found = archive.lookup(url)
         assert [int(x["x-page-id"]) for x in found] == [page_id] and found[0]["payload"].decode() == html
     assert archive.lookup("http://nowhere.test/") == []
-    assert warc.write_archive(pages(spark, [])).read().collect() == []
+    assert warc.write_archive(pages(spark, [])).read(pages(spark, rows)).collect() == [] and archive.read(pages(spark, [])).collect() == []
+    some = pages(spark, [rows[4], rows[31], rows[31], (1, "http://nowhere.test/", None)])
+    assert sorted(r["page_id"] for r in archive.read(some).collect()) == [4, 31]
+
+
+def test_warc_of_one_url_in_many_blocks(spark):
+    """Captures of one key run over blocks and files; a long payload; the largest page_id repeated."""
+    rows = [(k, "http://a.org/x", f"p{k}") for k in range(40)] + [(99, "http://b.org/", "same" * 300_000), (99, "http://b.org/", "same" * 300_000), (7, "http://c.org/", "same" * 300_000)]
+    archive = warc.write_archive(pages(spark, rows).repartition(5), block_lines=3)
+    assert sorted(int(x["x-page-id"]) for x in archive.lookup("http://A.org/x")) == list(range(40))
+    got = archive.read(pages(spark, rows)).collect()
+    assert len(got) == 43 and sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] > 9) == [(7, "revisit", 99), (99, "response", None), (99, "response", None)]
+    index = warc.Index(archive.blocks, archive.known())
+    assert len(list(index.captures("org,b)/"))) == 2 and index.reads <= 2 * len(archive.known())
 
 
 def test_url_filters(spark):
