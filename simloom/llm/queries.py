@@ -13,7 +13,7 @@ from .lm_score import lm_scores
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .toxicity import toxicity_scores
-from .url_filter import judge_urls
+from .url_filter import judge_urls, path_of
 from .warc import write_archive
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -28,7 +28,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(_table(spark, sf_dir, "pages"))
+    """Labels are those of the document whose number a page's path has: block if it is toxic or of low quality."""
+    pages = _table(spark, sf_dir, "pages")
+    number = F.regexp_extract(path_of(F.col("url")), "([0-9]{1,18})", 1).try_cast("long")
+    marks = _table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "block").otherwise("allow").alias("label"))
+    labels = pages.select("url", number.alias("doc_id")).join(marks, "doc_id").select("url", "label")
+    return judge_urls(pages, labels)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

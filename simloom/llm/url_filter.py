@@ -13,12 +13,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import deleted, written
 
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: The rules of the query: host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 SUPPORT, CONFIDENCE = 0.01, 0.9
+#: Most entries of the inverted index, and most token sets with a mined verdict, that are broadcast: about 100 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def host_of(url):
@@ -45,21 +47,24 @@ def url_tokens(url):
     return F.when(url.isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(tokens)))
 
 
-def explicit_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def explicit_rules(urls: DataFrame, rules: tuple) -> DataFrame:
     """``urls`` (with ``host`` and ``path``) with ``rule`` and ``rule_verdict`` of the longest rule that fits.
 
-    ``rules`` has ``rule_host``, ``rule_path`` and ``verdict``. A rule fits its host and all its
-    subdomains, if the path starts with the rule's. Each distinct host is looked up once, by its suffixes.
+    ``rules`` are (host, path, verdict), a list that the caller states and the plan holds. A rule fits
+    its host and all its subdomains, if the path starts with the rule's. Each row looks up the suffixes
+    of its own host; nothing is joined.
     """
-    hosts = urls.where("host <> ''").select(F.col("host").alias("rule_for")).distinct()
-    labels = F.split("rule_for", r"\.")
+    by_host: dict[str, list] = {}
+    for host, path, verdict in rules:
+        by_host.setdefault(host, []).append(F.struct(F.lit(len(host + path)).alias("size"), F.lit(host + path).alias("rule"), F.lit(path).alias("rule_path"), F.lit(verdict).alias("verdict")))
+    if not by_host:
+        return urls.withColumns({"rule": F.lit(None).cast("string"), "rule_verdict": F.lit(None).cast("string")})
+    known = F.create_map(*(x for host, own in by_host.items() for x in (F.lit(host), F.array(*own))))
+    labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    named = rules.withColumn("rule", F.concat("rule_host", "rule_path"))
-    fit = hosts.select("rule_for", F.explode(suffixes).alias("rule_host")).join(named, "rule_host")
-    fit = fit.groupBy("rule_for").agg(F.collect_list(F.struct(F.length("rule").alias("size"), "rule", "rule_path", "verdict")).alias("fit"))
-    out = urls.join(fit, F.col("host") == F.col("rule_for"), "left")
-    best = F.array_max(F.filter("fit", lambda r: F.startswith(F.col("path"), r["rule_path"])))
-    return out.withColumn("best", best).drop("rule_for", "fit").withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.verdict")).drop("best")
+    own = F.flatten(F.filter(F.transform(suffixes, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()))
+    best = F.array_max(F.filter(own, lambda r: F.startswith(F.col("path"), r["rule_path"])))
+    return urls.withColumn("best", best).withColumns({"rule": F.col("best.rule"), "rule_verdict": F.col("best.verdict")}).drop("best")
 
 
 def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -83,36 +88,40 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
 
 
 def mined_verdicts(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(key, verdict)`` of the strongest rule that fires for each of ``(key, tokens)``, by an inverted index."""
+    """``(key, mined)`` of the strongest rule that fires for each of ``(key, tokens)``, by an inverted index.
+
+    The index has an entry for each token of each rule. Rules are at most as many as the support
+    lets be; the index is broadcast up to ``BROADCAST_ROWS`` entries.
+    """
     index = rules.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("needed"), "verdict", "confidence", "support")
-    met = token_sets.select("key", F.explode("tokens").alias("token")).join(index, "token")
+    met = token_sets.select("key", F.explode("tokens").alias("token")).join(_small(index), "token")
     fired = met.groupBy("key", "rule_id", "needed", "verdict", "confidence", "support").agg(F.count("*").alias("n")).where("n = needed")
     return fired.groupBy("key").agg(F.max(F.struct("confidence", "support", "needed", "verdict")).alias("best")).select("key", F.col("best.verdict").alias("mined"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, default: str = "allow", labels: DataFrame | None = None) -> DataFrame:
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules: tuple = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, default: str = "allow") -> DataFrame:
     """Verdict on each url of ``pages``, which needs ``page_id`` and ``url``; other columns are not read.
 
     A URL that an explicit rule fits has that rule's verdict; of several the longest wins. Others
-    have the verdict of the strongest mined rule that fires (confidence, then support), else
-    ``default``. Rules are mined from ``labels`` ``(url, label)``; if none are given, from the URLs
-    that the explicit rules decide. Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the
-    end, A-Z lower-cased; path: then up to ``?``, ``#`` or the end; a null url, or one without
-    ``://``, has neither and fits no explicit rule. Returns ``page_id``, ``host``, ``path``,
-    ``rule`` and ``verdict``, one row per row. No rows: no rows.
+    have the verdict of the strongest rule that fires of those mined from ``labels`` ``(url, label)``
+    (confidence, then support, then number of tokens, then verdict), else ``default``. Host: after the
+    first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?``, ``#``
+    or the end; a null url, or one without ``://``, has neither and fits no explicit rule. Rows whose
+    label or url is null teach nothing; repeated rows count each. Returns ``page_id``, ``host``,
+    ``path``, ``rule`` and ``verdict``, one row per row. No rows: no rows.
     """
     spark = pages.sparkSession
     url = F.col("url")
-    urls = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("tokens"))
-    table = spark.createDataFrame(list(rules), "rule_host string, rule_path string, verdict string")
-    ruled = written(explicit_rules(urls, table), "url-ruled")
-    if labels is None:
-        labelled = ruled.select("tokens", F.col("rule_verdict").alias("label"))
-    else:
-        labelled = labels.select(url_tokens(F.col("url")).alias("tokens"), "label")
-    mined = mine_rules(labelled, support, confidence)
-    key = F.md5(F.array_join("tokens", "\x01"))
-    keyed = ruled.withColumn("key", key)
-    sets = keyed.where(F.col("rule").isNull()).groupBy("key").agg(F.first("tokens").alias("tokens"))
-    verdicts = mined_verdicts(sets, mined)
-    return keyed.join(verdicts, "key", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "mined", F.lit(default)).alias("verdict"))
+    ruled = explicit_rules(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("tokens")), rules)
+    ruled = ruled.withColumn("key", F.md5(F.array_join("tokens", "\x01")))
+    labelled = labels.select(url_tokens(url).alias("tokens"), "label") if labels is not None else spark.createDataFrame([], "tokens array<string>, label string")
+    mined = written(mine_rules(labelled, support, confidence), "url-mined")
+    sets = ruled.where(F.col("rule").isNull()).groupBy("key").agg(F.first("tokens").alias("tokens"))
+    verdicts = written(mined_verdicts(sets, mined), "url-verdicts")
+    deleted(mined)
+    out = ruled.drop("tokens").join(_small(verdicts), "key", "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "mined", F.lit(default)).alias("verdict"))

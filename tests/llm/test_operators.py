@@ -21,7 +21,6 @@ from simloom.llm.mixing import mix_sources
 from simloom.llm.ngram_join import ngram_jaccard_join
 from simloom.llm.toxicity import drop_toxic, toxicity_scores
 from simloom.llm.trie import linked
-from simloom.llm.url_filter import judge_urls
 
 WORDS = [f"w{k}" for k in range(40)]
 #: Extra columns with names that operators use inside.
@@ -308,15 +307,3 @@ def test_warc_of_one_url_in_many_blocks(spark):
     assert len(got) == 43 and sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] > 9) == [(7, "revisit", 99), (99, "response", None), (99, "response", None)]
     index = warc.Index(archive.blocks, archive.known())
     assert len(list(index.captures("org,b)/"))) == 2 and index.reads <= 2 * len(archive.known())
-
-
-def test_url_filters(spark):
-    rows = [(k, f"http://www.site{k % 4}.example.{'com' if k % 2 else 'net'}/{'de' if k % 3 else 'fr'}/{k}", "") for k in range(90)]
-    rows += [(100, "https://EXAMPLE.org/en/1x", ""), (101, "https://a.example.org/en/2", ""), (102, "https://notexample.org/es/", ""), (103, None, ""), (104, "plain", ""), (105, "x://org", ""), (106, "http://q.org/?a", "")]
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(pages(spark, rows)).collect()}
-    assert got[100] == ("example.org", "/en/1x", "example.org/en/1", "block") and got[101] == ("a.example.org", "/en/2", "org/", "allow")
-    assert got[102] == ("notexample.org", "/es/", "org/", "allow") and got[103] == ("", "", None, "allow") and got[104][:3] == ("", "", None)
-    assert got[105][:3] == ("org", "", None) and got[106] == ("q.org", "/", "org/", "allow")
-    assert got[1][2:] == ("com/de/", "block") and got[3][2:] == ("com/fr/", "allow")
-    assert got[2][2] is None and got[2][3] == "block" and got[6][3] == "allow"  # mined from path segments
-    assert judge_urls(pages(spark, [])).collect() == []
