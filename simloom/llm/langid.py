@@ -1,14 +1,17 @@
 """Language identification of mixed-language text by Viterbi over words.
 
-A word is a run of letters: a-z and code points above 0x7F, lower-cased. Its score under a language
-is the log-probability of its letters, each given the two before it, learned from labelled texts.
-The scripts of a word narrow the languages that may have it. Viterbi with a penalty for each
-change of language labels every word; runs of equal labels are the spans. The language with the
-most words is the text's.
+A word is a run of letters (Unicode categories L and M, at least one L), lower-cased. Its score under
+a language is the log-probability of its letters, each given the two before it, learned from
+labelled texts. The scripts of a word, told by ranges of code points, narrow the languages that may
+have it. Viterbi with a penalty for each change of language labels every word; runs of equal labels
+are the spans. The language with the most words is the text's.
 """
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,56 +19,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_slices, texts
+from .common import deleted, in_slices, texts, written
 
 #: Most labelled texts of each language that the model is learned from, those of least hash.
 SAMPLE = 2000
 PENALTY = 12.0
-SEGMENT = 512
+#: Texts are cut to segments of so many words, unless there are more languages than ``MOST_CUT``.
+SEGMENT, MOST_CUT = 512, 12
 SLOTS = 18
 
-_BYTES = np.arange(256)
-_LETTER = ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)
-#: A bit for the script of a character, by the first byte of its UTF-8: Latin, Greek, Cyrillic,
-#: Armenian and Hebrew, Arabic and Syriac, South and South-East Asian, Georgian to Khmer and Latin
-#: or Greek with marks, kana and CJK signs, Han, Hangul and other East Asian, others.
-_SCRIPTS = ((0x61, 0x7A, 0), (0xC3, 0xCA, 0), (0xCD, 0xCF, 1), (0xD0, 0xD3, 2), (0xD4, 0xD7, 3), (0xD8, 0xDF, 4), (0xE0, 0xE0, 5), (0xE1, 0xE1, 6), (0xE3, 0xE3, 7), (0xE4, 0xE9, 8), (0xEA, 0xED, 9), (0xF0, 0xF4, 10))
-_SCRIPT = np.zeros(256, np.int32)
-for _a, _b, _k in _SCRIPTS:
-    _SCRIPT[_a : _b + 1] = 1 << _k
+# The first code points of ranges of scripts, as Unicode's blocks have them. Others, such
+# as those of marks and full-width forms, count as no script.
+SCRIPTS = (
+    ("Latin", ((0x0041, 0x024F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF))),
+    ("Greek", ((0x0370, 0x03FF), (0x1F00, 0x1FFF))),
+    ("Cyrillic", ((0x0400, 0x052F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F))),
+    ("Armenian", ((0x0530, 0x058F),)),
+    ("Hebrew", ((0x0590, 0x05FF),)),
+    ("Arabic", ((0x0600, 0x06FF), (0x0750, 0x077F), (0x0870, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE))),
+    ("Syriac to NKo", ((0x0700, 0x074F), (0x0780, 0x086F))),
+    ("Devanagari", ((0x0900, 0x097F), (0xA8E0, 0xA8FF))),
+    ("Bengali", ((0x0980, 0x09FF),)),
+    ("Gurmukhi", ((0x0A00, 0x0A7F),)),
+    ("Gujarati", ((0x0A80, 0x0AFF),)),
+    ("Odia", ((0x0B00, 0x0B7F),)),
+    ("Tamil", ((0x0B80, 0x0BFF),)),
+    ("Telugu", ((0x0C00, 0x0C7F),)),
+    ("Kannada", ((0x0C80, 0x0CFF),)),
+    ("Malayalam", ((0x0D00, 0x0D7F),)),
+    ("Sinhala", ((0x0D80, 0x0DFF),)),
+    ("Thai", ((0x0E00, 0x0E7F),)),
+    ("Lao", ((0x0E80, 0x0EFF),)),
+    ("Tibetan", ((0x0F00, 0x0FFF),)),
+    ("Myanmar", ((0x1000, 0x109F),)),
+    ("Georgian", ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F))),
+    ("Ethiopic", ((0x1200, 0x139F), (0x2D80, 0x2DDF))),
+    ("Khmer", ((0x1780, 0x17FF),)),
+    ("Kana", ((0x3040, 0x30FF), (0x31F0, 0x31FF))),
+    ("Hangul", ((0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7FF))),
+    ("Han", ((0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))),
+)
+
+
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: whether it is a letter, whether a letter or a mark, and the bit of its script."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)]
+    letter = np.array([k == "L" for k in kinds])
+    scripts = np.zeros(sys.maxunicode + 1, np.int32)
+    for k, (_, ranges) in enumerate(SCRIPTS):
+        for first, last in ranges:
+            scripts[first : last + 1] = 1 << k
+    scripts[~letter] = 0
+    return letter, letter | np.array([k == "M" for k in kinds]), scripts
 
 
 def _lower(column) -> tuple[np.ndarray, np.ndarray]:
-    raw = [x.decode().lower().encode() for x in texts(column)]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-
-
-def _is_letter(data: np.ndarray) -> np.ndarray:
-    """a-z and UTF-8 beyond ASCII, without the punctuation of U+0080-U+00BF and U+2000-U+2FFF, U+3000-U+303F."""
-    inside = _LETTER[data]
-    lead = data[:-1] if len(data) else data
-    nxt = data[1:]
-    for at in (np.flatnonzero(lead == 0xC2), np.flatnonzero((lead == 0xE2) | ((lead == 0xE3) & (nxt == 0x80)))):
-        if len(at):
-            for k in range(2 if data[at[0]] == 0xC2 else 3):
-                inside[at[at + k < len(data)] + k] = False
-    return inside
+    """The code points of the lower-cased texts, and where each begins."""
+    low = [x.decode().lower() for x in texts(column)]
+    return np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int64)
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First code point and end of each word, and for each text the place of its first word (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = _is_letter(data)
+    letter, inside = (table[data] for table in _tables()[:2])
     edges = np.zeros(len(data) + 1, bool)
     edges[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) & ~edges[:-1]
     after = np.concatenate([inside[1:], [False]]) & ~edges[1:]
-    starts = np.flatnonzero(inside & ~before)
-    return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, offsets)
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    some = letters[ends] > letters[starts]
+    return starts[some], ends[some], np.searchsorted(starts[some], offsets)
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each letter byte of each word, and one end mark for each word: the slot of it after its two forerunners, and of those two; and where each word begins."""
+    """For each letter of each word, and one end mark for each word: the slot of it after its two forerunners, and of those two; and where each word begins."""
     sizes = ends - starts + 1
     first = np.concatenate([[0], np.cumsum(sizes)])
     place = np.arange(first[-1]) - np.repeat(first[:-1] - starts, sizes)
@@ -73,11 +104,15 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     here = np.concatenate([data, [0]]).astype(np.uint64)[place]
     here[first[1:] - 1] = 1
     padded = np.concatenate([[0, 0], data]).astype(np.uint64)
-    one = np.where(depth >= 1, padded[place + 1], 1)
-    two = np.where(depth >= 2, padded[place], 1)
-    context = two * np.uint64(257) + one
-    gram = (context * np.uint64(257) + here + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    one = np.where(depth >= 1, padded[place + 1], np.uint64(1))
+    two = np.where(depth >= 2, padded[place], np.uint64(1))
+    context = (two << np.uint64(21)) | one
+    gram = ((context << np.uint64(21)) | here) * np.uint64(0x9E3779B97F4A7C15)
+    gram ^= gram >> np.uint64(29)
+    gram *= np.uint64(0xBF58476D1CE4E5B9)
     context = (context + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    context ^= context >> np.uint64(29)
+    context *= np.uint64(0x94D049BB133111EB)
     return (gram >> np.uint64(64 - SLOTS)).astype(np.int64), (context >> np.uint64(64 - SLOTS)).astype(np.int64), first
 
 
@@ -95,41 +130,47 @@ class LanguageModel:
         score = np.add.reduceat(self.table[gram], at[:-1], axis=0)
         score -= score.max(axis=1, keepdims=True)
         np.maximum(score, -PENALTY, out=score)  # one odd word alone never pays for a change to and fro
-        used = np.bitwise_or.reduceat(_SCRIPT[data], np.stack([starts, ends], 1).ravel()[:-1] if ends[-1] == len(data) else np.stack([starts, ends], 1).ravel())[::2]
+        bounds = np.stack([starts, ends], 1).ravel()
+        used = np.bitwise_or.reduceat(_tables()[2][data], bounds[:-1] if ends[-1] == len(data) else bounds)[::2]
         fits = (used[:, None] & ~self.scripts[None, :]) == 0
         score[~fits & fits.any(axis=1, keepdims=True)] = -1e4
         return score, first
 
     def paths(self, score: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-        """The language of each word on the best path of its text.
+        """The language of each word on the best path of its text; of equal paths, the language that sorts first.
 
         Texts are cut to segments of 512 words. All segments advance together, each from every
-        language it may begin in; then a text's segments are joined, and all go back together.
+        language it may begin in; then a text's segments are joined, and all go back together. With
+        more than ``MOST_CUT`` languages that would need too much memory: texts are not cut then, and
+        begin in any language for nothing.
         """
         kinds, n = len(self.languages), len(score)
         if not n:
-            return np.zeros(0, np.int8)
+            return np.zeros(0, np.int16)
         lengths = np.diff(first)
-        pieces = -(-lengths // SEGMENT)
+        most = SEGMENT if kinds <= MOST_CUT else max(1, int(lengths.max()))
+        ways = kinds if kinds <= MOST_CUT else 1
+        pieces = -(-lengths // most)
         text = np.repeat(np.arange(len(lengths)), pieces)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = first[text] + nth * SEGMENT
-        size = np.minimum(SEGMENT, lengths[text] - nth * SEGMENT)
+        begin = first[text] + nth * most
+        size = np.minimum(most, lengths[text] - nth * most)
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
         longest = int(size[0])
         live = np.searchsorted(-size, -np.arange(longest), "left")
-        value = np.full((len(size), kinds, kinds), -1e9, np.float32)  # [segment, language before it, now]
-        value[:, np.arange(kinds), np.arange(kinds)] = 0
-        came = np.zeros((longest, len(size), kinds, kinds), np.int8)
-        own = np.arange(kinds, dtype=np.int8)
+        value = np.full((len(size), ways, kinds), -1e9 if ways > 1 else 0.0, np.float32)  # [segment, language before it, now]
+        if ways > 1:
+            value[:, np.arange(kinds), np.arange(kinds)] = 0
+        came = np.zeros((n, ways, kinds), np.int16)  # of each word, from which language
+        own = np.arange(kinds, dtype=np.int16)
         for t in range(longest):
             m = live[t]
             v = value[:m]
-            top = v.argmax(axis=2).astype(np.int8)
+            top = v.argmax(axis=2).astype(np.int16)
             best = np.take_along_axis(v, top[:, :, None].astype(np.int64), 2) - penalty
             change = best > v
-            came[t, :m] = np.where(change, top[:, :, None], own)
+            came[begin[:m] + t] = np.where(change, top[:, :, None], own)
             value[:m] = np.maximum(v, best) + score[begin[:m] + t][:, None, :]
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
@@ -152,18 +193,17 @@ class LanguageModel:
             for s, c in zip(spots[::-1].tolist(), choice[::-1]):
                 last[s] = state
                 state = entered[s] = int(c[state])
-        out = np.zeros(n, np.int8)
+        out = np.zeros(n, np.int16)
         state = last.copy()
         for t in range(longest - 1, -1, -1):
             m = live[t]
             out[begin[:m] + t] = state[:m]
-            state[:m] = came[t, np.arange(m), entered[:m], state[:m]]
+            state[:m] = came[begin[:m] + t, entered[:m], state[:m]]
         return out
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """First word, end and language of each run of words in one language."""
-        raw = np.frombuffer(text.lower().encode(), np.uint8)
-        path = self.paths(*self.emissions(raw, np.array([0, len(raw)])))
+        path = self.paths(*self.emissions(*_lower(pa.array([text]))))
         cuts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]])) if len(path) else np.zeros(0, np.int64)
         return [(int(a), int(b), self.languages[path[a]]) for a, b in zip(cuts, np.append(cuts[1:], len(path)))]
 
@@ -190,7 +230,7 @@ def _learn(batches):
             if not len(starts):
                 continue
             gram, context, _ = _grams(data, starts, ends)
-            scripts = np.array([int((_SCRIPT[data] & (1 << k) != 0).sum()) for k in range(11)], np.int64)
+            scripts = np.array([int((_tables()[2][data] == 1 << k).sum()) for k in range(len(SCRIPTS))], np.int64)
             g, gn = np.unique(gram, return_counts=True)
             # a letter's forerunners follow from its slot, collisions aside
             c = np.zeros(1 << SLOTS, np.int32)
@@ -201,7 +241,7 @@ def _learn(batches):
 def _merge(table: pa.Table) -> pa.Table:
     """One row for each language out of those of its batches."""
     grams, contexts = np.zeros(1 << SLOTS, np.int64), np.zeros(1 << SLOTS, np.int32)
-    scripts = np.zeros(11, np.int64)
+    scripts = np.zeros(len(SCRIPTS), np.int64)
     for g, n, c, s in zip(*(texts(table[k]) for k in ("grams", "counts", "contexts", "scripts"))):
         g = np.frombuffer(g, np.int32)
         grams[g] += np.frombuffer(n, np.int32)
@@ -214,18 +254,24 @@ def _merge(table: pa.Table) -> pa.Table:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Learn from at most ``sample`` texts of each language, those of least hash of ``doc_id`` that are not held out.
 
-    Rows with a null ``lang``, ``text`` or ``doc_id`` are not used.
+    Rows with a null ``lang``, ``text`` or ``doc_id`` are not used. The ids chosen, ``sample`` for
+    each language at most, are broadcast.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang").distinct()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("of"))
+    # of a large language only ids of low hash are ranked, four times as many as are wanted
+    low = usable.select("doc_id", "lang").join(counts, "lang").where(place * (F.col("of") / (4.0 * sample)) <= float(1 << 40))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    chosen = written(low.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang").distinct(), "language-sample")
     rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
     kind = "lang string, grams binary, counts binary, contexts binary, scripts binary"
     pieces = rows.mapInArrow(_learn, kind).groupBy("lang").applyInArrow(_merge, kind).toArrow().to_pylist()
+    deleted(chosen)
     languages = sorted({x["lang"] for x in pieces})
     grams = np.zeros((1 << SLOTS, len(languages)))
     contexts = np.zeros((1 << SLOTS, len(languages)))
-    scripts = np.zeros((len(languages), 11))
+    scripts = np.zeros((len(languages), len(SCRIPTS)))
     of = np.zeros(1 << SLOTS, np.int64)
     for x in pieces:
         k = languages.index(x["lang"])
@@ -235,7 +281,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         of[g] = c
         scripts[k] += np.frombuffer(x["scripts"], np.int64)
     table = np.log((grams + 0.05) / (contexts[of] + 0.05 * 40))
-    bits = ((scripts >= 0.01 * scripts.sum(axis=1, keepdims=True)) @ (1 << np.arange(11))).astype(np.int32) if languages else np.zeros(0, np.int32)
+    bits = ((scripts >= 0.01 * scripts.sum(axis=1, keepdims=True)) @ (1 << np.arange(len(SCRIPTS)))).astype(np.int32) if languages else np.zeros(0, np.int32)
     return LanguageModel(languages, table.astype(np.float32), bits)
 
 

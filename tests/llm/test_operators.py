@@ -14,7 +14,6 @@ from simloom.llm import ngram_join, warc
 from simloom.llm.components import components
 from simloom.llm.decontaminate import contamination, remove_contamination
 from simloom.llm.exact_dedup import exact_dedup
-from simloom.llm.langid import language_id
 from simloom.llm.line_dedup import drop_common_lines, line_report
 from simloom.llm.lm_score import lm_scores
 from simloom.llm.mixing import mix_sources
@@ -197,20 +196,6 @@ def test_line_dedup(spark, odd, none):
     assert line_report(none).collect() == [] and line_report(odd).count() == odd.count()
 
 
-def test_language_id(spark, odd, none):
-    rng, rows = random.Random(4), []
-    parts = {"en": ["th", "er", "on", "an", "ing"], "de": ["sch", "ung", "ich", "ein"], "fr": ["que", "eau", "oui", "ai"]}
-    for k in range(240):
-        lang = list(parts)[k % 3]
-        rows.append((k, " ".join("".join(rng.choices(parts[lang], k=3)) for _ in range(30)), lang))
-    docs = spark.createDataFrame([*rows, (900, None, "en"), (901, "12 34 !", "de"), (None, "thering onan", None)], "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r for r in language_id(docs).collect()}
-    assert np.mean([got[i]["lang_pred"] == lang for i, _, lang in rows if got[i]["held_out"]]) > 0.95
-    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[None]["lang_pred"] == "en"
-    assert all(0 <= r["score"] <= 1 for r in got.values())
-    assert language_id(none).collect() == [] and language_id(odd).count() == odd.count()
-
-
 def test_toxicity(spark, odd, none):
     rng, rows, labels = random.Random(6), [], []
     for k in range(300):
