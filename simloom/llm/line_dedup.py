@@ -1,14 +1,14 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-``LineRuns`` holds runs ``(hash, n)``: each line that no earlier run holds, with the number of
-documents of its batch that have it. A new batch is merge-anti-joined with the runs: its new lines
-become a run of level 0, the others are counted as repeats of lines that a run holds. So every line
-is in one run, and its documents are the ``n`` of that run and those of its repeats. When a level
-holds ``fanout`` runs they are merged to one run of the next level, so that a run is rewritten only
-about log(batches) times; no hash is in two of them, so that nothing has to be added up.
-
-A batch is dealt to buckets by hash and sorted once. Runs have the same buckets, sorted too: joins
-with them and merges of them go bucket by bucket, and nothing is dealt out or sorted again to join.
+``LineRuns`` holds runs ``(hash, n, known)`` sorted by hash. A new batch of lines, with the number of
+its documents that have each, is merge-joined with the runs: what no run holds, the anti-join, are
+its new lines; the others are known, and only repeat a line. Both are added as a run of level 0.
+So every line is new in one run, and its documents are the ``n`` of that row and those of its
+repeats. When a level holds ``fanout`` runs they are merged to one run of the next level, so that a
+run is rewritten only about log(batches) times; no line is new in two of them.
+
+Runs are dealt to buckets by hash and sorted: a batch is dealt out once, and joins with runs and
+merges of them go bucket by bucket; nothing is dealt out or sorted again for them.
 """
 
 from __future__ import annotations
@@ -61,9 +61,8 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout, self.folder = spark, fanout, shared_folder(spark, "line-runs")
-        self.buckets = max(8, partitions(spark) // 4)  # a line's hash and count are a small part of the text
+        self.buckets = partitions(spark)
         self.levels: list[list[str]] = []
-        self.repeats: list[DataFrame] = []
 
     def _table(self, rows: DataFrame) -> str:
         """``rows`` with one sorted file for each bucket; gives the table's name."""
@@ -72,61 +71,61 @@ class LineRuns:
         dealt.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        remove_folder(self.spark, f"{self.folder}/{name}")
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            remove_folder(self.spark, f"{self.folder}/{name}")
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
-    def new_lines(self, hashes: DataFrame) -> DataFrame:
-        """The rows of ``hashes`` whose ``hash`` no run holds."""
-        return reduce(lambda left, run: left.join(run.select("hash").hint("merge"), "hash", "left_anti"), self.runs(), hashes)
+    def marked(self, lines: DataFrame) -> DataFrame:
+        """``lines`` (with ``hash``) and whether a run holds them, ``known``."""
+        held = [f"held_{k}" for k in range(len(self.runs()))]
+        out = lines
+        for name, run in zip(held, self.runs()):
+            out = out.join(run.where("NOT known").select("hash", F.lit(True).alias(name)).hint("merge"), "hash", "left")
+        return out.select(*lines.columns, F.coalesce(*held, F.lit(False)).alias("known"))
+
+    def new_lines(self, lines: DataFrame) -> DataFrame:
+        """The rows of ``lines`` whose ``hash`` no run holds."""
+        return self.marked(lines).where("NOT known").drop("known")
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch ``(hash, n)``, one row for each hash, and compact levels that are full."""
-        batch = self._table(counts)
         with _in_order(self.spark):
-            if self.levels:
-                own = self._table(self.new_lines(self.spark.table(batch)))
-                known = self.spark.table(batch).join(self.spark.table(own).select("hash").hint("merge"), "hash", "left_anti")
-                self.repeats.append(written(known, "line-repeats"))
-                self._drop(batch)
-                batch = own
-            at = 0
+            run, level = self._table(self.marked(counts)), 0
             while True:
-                self.levels += [[]] * (at + 1 - len(self.levels))
-                self.levels[at] = [*self.levels[at], batch]
-                if len(self.levels[at]) < self.fanout:
+                self.levels += [[]] * (level + 1 - len(self.levels))
+                self.levels[level] = [*self.levels[level], run]
+                if len(self.levels[level]) < self.fanout:
                     break
-                full, self.levels[at] = self.levels[at], []
-                batch = self._table(reduce(DataFrame.unionByName, map(self.spark.table, full)))
-                for name in full:
-                    self._drop(name)
-                at += 1
+                full, self.levels[level] = self.levels[level], []
+                run = self._table(reduce(DataFrame.unionByName, map(self.spark.table, full)))
+                self._drop(*full)
+                level += 1
 
     def common(self, least: int) -> DataFrame:
         """``(hash, n)`` of the lines of ``least`` documents or more, written.
 
-        A line that repeats in no later batch has all its documents in its run; only lines that do
-        are looked up there.
+        A line that repeats in no later batch has all its documents where it is new; only of lines
+        that do are the repeats added up and looked up there.
         """
-        none = self.spark.createDataFrame([], "hash binary, n long")
-        again = self._table(reduce(DataFrame.unionByName, self.repeats, none).groupBy("hash").agg(F.sum("n").alias("again")))
+        none = self.spark.createDataFrame([], "hash binary, n long, known boolean")
+        repeats = reduce(DataFrame.unionByName, self.runs(), none).where("known")
+        again = self._table(repeats.groupBy("hash").agg(F.sum("n").alias("again")))
         with _in_order(self.spark):
-            repeats = self.spark.table(again).hint("merge")
-            whole = [run.join(repeats, "hash", "left").select("hash", (F.col("n") + F.coalesce("again", F.lit(0))).alias("n")) for run in self.runs()]
-            found = written(reduce(DataFrame.unionByName, whole, none).where(F.col("n") >= least), "line-common")
+            total = F.col("n") + F.coalesce("again", F.lit(0))
+            whole = [run.where("NOT known").join(self.spark.table(again).hint("merge"), "hash", "left").select("hash", total.alias("n")) for run in self.runs()]
+            found = written(reduce(DataFrame.unionByName, whole, none.drop("known")).where(F.col("n") >= least), "line-common")
         self._drop(again)
         return found
 
     def close(self) -> None:
         """Remove the runs, once what was asked of them is written."""
         for level in self.levels:
-            for name in level:
-                self._drop(name)
-        deleted(*self.repeats)
-        self.levels, self.repeats = [], []
+            self._drop(*level)
+        self.levels = []
 
 
 def _lines(batches):
