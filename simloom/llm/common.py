@@ -87,7 +87,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def in_slices(batches, most_bytes: int = 1 << 20, column: str = "text"):
+def in_slices(batches, most_bytes: int = 1 << 18, column: str = "text"):
     """Cut Arrow batches to slices of about ``most_bytes`` of text, so that memory stays bounded.
 
     A single longer text is a slice of its own.

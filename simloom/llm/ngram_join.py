@@ -2,7 +2,7 @@
 
 Method, for documents as sets of hashed 5-word shingles and a similarity of 0.75 or more:
 
-1. ``_send``: blocks of about two million shingles send their sorted shingles, cut to 48 bits, to
+1. ``_send``: blocks of about a million shingles send their sorted shingles, cut to 48 bits, to
    owners by value. A shingle that 64 or more sets of a block hold is sent once with its count;
    its list stays in the written block.
 2. ``_count``: an owner counts over all blocks in how many sets each shingle stands, and replies
@@ -36,7 +36,7 @@ from .components import components
 from .trie import linked
 from .words import shingle_sets
 
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 HEAVY = 64
 CHUNK = 4_000_000
 #: Most candidate sets whose (hash, component) pairs are broadcast: 16 MB. Beyond, they are joined by a shuffle.

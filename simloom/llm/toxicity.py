@@ -3,8 +3,10 @@
 Terms of a text are its distinct words (0-9, a-z and bytes above 0x7F, A-Z lower-cased) and their
 beginnings of 4, 5 and 6 bytes, as 64-bit hashes. The model is ``b + sum w_i + sum <v_i, v_j>`` over
 the terms present, so that pairs such as an insult with a group mention count beyond their own
-weights. It is fitted by AdaGrad on a bounded, stratified sample of labelled rows on the driver;
-every row is scored on the executors with the broadcast model.
+weights. It is fitted by AdaGrad on a bounded, stratified sample of labelled rows on the driver, which
+sees a random part of each row's terms at a time, so that one term alone comes to tell too. ``b`` is
+that of the classes' shares among all labelled rows, whatever those of the sample are. Every row is
+scored on the executors with the broadcast model.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, in_slices, plain_names, written
-from .words import ALNUM, LOWER, _power, mix, spans
+from .common import deleted, flat, in_slices, plain_names, written
+from .words import ALNUM, hashed, mix, spans
 
 #: Most labelled rows of each class that the model is fitted on, those of least hash.
 SAMPLE = {1: 4000, 0: 6000}
@@ -36,15 +38,11 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends, first = spans(data, offsets, ALNUM)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = _power(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    hashes, owners = [mix((sums[ends] - sums[starts]) * down[starts])], [text]
+    hashes, owners = [hashed(data, starts, ends)], [text]
     for size in BEGINNINGS:
         longer = ends - starts > size
-        at = starts[longer]
-        hashes.append(mix((sums[at + size] - sums[at]) * down[at] + np.uint64(size)))
+        hashes.append(mix(hashed(data, starts[longer], starts[longer] + size) + np.uint64(size)))
         owners.append(text[longer])
     return np.concatenate(hashes), np.concatenate(owners)
 
@@ -76,10 +74,12 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows, at, n), -30, 30)))
 
 
-def fit(known: np.ndarray, documents: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 8, rate: float = 0.1, penalty: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+def fit(known: np.ndarray, documents: list[np.ndarray], labels: np.ndarray, odds: float | None = None, rank: int = 4, epochs: int = 12, rate: float = 0.1, penalty: float = 1e-4, least_shown: float = 0.6, seed: int = 7) -> FactorizationMachine:
     """``known``: sorted hashes of the terms that count; ``documents``: places in it of each row's terms.
 
-    Rows of one class only, or none, give a constant score.
+    A row shows from ``least_shown`` to all of its terms at a time. ``odds`` are those of label 1 among
+    all labelled rows, if the rows given have others. Rows of one class only, or none, give a
+    constant score.
     """
     rng = np.random.default_rng(seed)
     rows = np.repeat(np.arange(len(documents)), [len(x) for x in documents])
@@ -92,18 +92,17 @@ def fit(known: np.ndarray, documents: list[np.ndarray], labels: np.ndarray, rank
     if len(np.unique(labels)) < 2:
         return model
     squares = np.full((len(known), rank + 1), 1e-6)
-    bias_square = 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(documents))
         for k in range(0, len(order), 128):
             batch = order[k : k + 128]
             spots = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in batch])
-            t, r = at[spots], np.repeat(np.arange(len(batch)), edges[batch + 1] - edges[batch])
+            r = np.repeat(np.arange(len(batch)), edges[batch + 1] - edges[batch])
+            shown = rng.random(len(r)) < rng.uniform(least_shown, 1, len(batch))[r]
+            t, r = at[spots[shown]], r[shown]
             own, place = np.unique(t, return_inverse=True)
             y = model.raw(r, t, len(batch))
             slope = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[batch]) / len(batch)
-            bias_square += slope.sum() ** 2
-            model.bias -= rate * slope.sum() / np.sqrt(bias_square)
             steps = [np.bincount(place, slope[r], len(own)) + penalty * model.weight[own]]
             for f in range(rank):
                 v = model.factors[t, f]
@@ -113,6 +112,8 @@ def fit(known: np.ndarray, documents: list[np.ndarray], labels: np.ndarray, rank
             step *= rate / np.sqrt(squares[own])
             model.weight[own] -= step[:, 0]
             model.factors[own] -= 0.3 * step[:, 1:]
+    if odds:
+        model.bias = float(np.log(odds))
     return model
 
 
@@ -135,27 +136,32 @@ def _term_counts(batches):
         yield pa.record_batch({"term": values.view(np.int64), "n": times.astype(np.int64), "ones": ones.astype(np.int64)})
 
 
-def paired(documents: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
-    """Places, of the ``n`` that ``documents`` refer to, of terms that tell together with another one, whatever each tells alone."""
-    both = np.zeros((2, n, n), np.float32)
-    for kind in (0, 1):
-        own = np.flatnonzero(labels == kind)
-        for k in range(0, len(own), 1000):
-            has = np.zeros((len(own[k : k + 1000]), n), np.float32)
-            for row, i in enumerate(own[k : k + 1000]):
-                has[row, documents[i]] = 1
-            both[kind] += has.T @ has
-    n0, n1 = max(1, (labels == 0).sum()), max(1, (labels == 1).sum())
+def paired(documents: list[np.ndarray], labels: np.ndarray, n: int, tile: int = 256) -> np.ndarray:
+    """Places, of the ``n`` that ``documents`` refer to, of terms that tell together with another one, whatever each tells alone.
+
+    Rows that have both terms are counted for ``tile`` terms with all others at a time, out of one byte
+    for each row and term.
+    """
+    has = np.zeros((len(documents), n), np.uint8)
+    for row, places in enumerate(documents):
+        has[row, places] = 1
+    own = [np.flatnonzero(labels == kind) for kind in (0, 1)]
+    n0, n1 = (max(1, len(x)) for x in own)
 
     def lean(zeros, ones):
         share = (zeros + ones) / (n0 + n1)
         return np.abs(ones / n1 - zeros / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
 
-    alone, found = lean(both[0].diagonal(), both[1].diagonal()), np.zeros(n, bool)
-    for k in range(0, n, 256):
-        rows = slice(k, k + 256)
-        tells = lean(both[0, rows], both[1, rows])
-        tells = (tells >= LEAST_PAIR_LEAN) & (tells >= np.maximum(alone[rows, None], alone) + PAIR_GAIN) & (both[:, rows].sum(0) >= LEAST_DOCUMENTS)
+    alone, found = lean(*(has[x].sum(0, dtype=np.float32) for x in own)), np.zeros(n, bool)
+    for k in range(0, n, tile):
+        rows = slice(k, k + tile)
+        both = [np.zeros((len(alone[rows]), n), np.float32) for _ in own]
+        for kind in (0, 1):
+            for at in range(0, len(own[kind]), 500):
+                part = has[own[kind][at : at + 500]].astype(np.float32)
+                both[kind] += part[:, rows].T @ part
+        tells = lean(*both)
+        tells = (tells >= LEAST_PAIR_LEAN) & (tells >= np.maximum(alone[rows, None], alone) + PAIR_GAIN) & (both[0] + both[1] >= LEAST_DOCUMENTS)
         found[rows] |= tells.any(1)
     return np.flatnonzero(found)
 
@@ -190,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
         part = usable.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = written(chosen, "toxicity-sample")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    all_of = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"), "toxicity-rows")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     known = np.zeros(0, np.uint64)
@@ -204,7 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
         common = counts.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "term").limit(PAIR_TERMS).select("term").toArrow()
         common = np.sort(common["term"].to_numpy().view(np.uint64))
         known = np.union1d(known, common[paired(*_places(rows, common), len(common))])
-    return fit(known, *_places(rows, known))
+    model = fit(known, *_places(rows, known), odds=all_of[1] / all_of[0] if n1 and n0 else None)
+    deleted(chosen, rows)
+    return model
 
 
 def _places(rows: DataFrame, known: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:

@@ -5,7 +5,7 @@ Two word definitions are in use, both after lower-casing A-Z only:
 * ``SPACED``: runs of bytes other than space and 0x09-0x0D;
 * ``ALNUM``: runs of 0-9, a-z and bytes above 0x7F.
 
-A word's hash is a polynomial of its bytes modulo 2**64, taken from one running sum over all
+A word's hash is a polynomial of its bytes modulo 2**64, taken from a running sum over many
 bytes, then mixed. A window's hash combines the hashes of its words in order.
 """
 
@@ -59,15 +59,30 @@ def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, offsets)
 
 
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
+    """The hash of each run of bytes from ``starts`` to ``ends``, both in rising order.
+
+    Bytes are summed up piece by piece, so that a very long text takes no more memory than a piece,
+    or than its longest word.
+    """
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + piece, "right")))
+        size = int(ends[to - 1]) - base
+        up, down = _power(size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((LOWER[data[base : base + size]].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
+        first, last = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mix((sums[last] - sums[first]) * down[first])
+        at = to
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and for each text the place of its first word."""
     starts, ends, first = spans(data, offsets, kind)
-    if not len(starts):
-        return np.zeros(0, np.uint64), first
-    up, down = _power(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), first
+    return hashed(data, starts, ends), first
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -20,6 +20,7 @@ from simloom.llm.mixing import mix_sources
 from simloom.llm.ngram_join import ngram_jaccard_join
 from simloom.llm.toxicity import drop_toxic, toxicity_scores
 from simloom.llm.trie import linked
+from simloom.llm.words import SPACED, hashed, spans
 
 WORDS = [f"w{k}" for k in range(40)]
 #: Extra columns with names that operators use inside.
@@ -113,6 +114,16 @@ def test_ngram_join_odd(odd, none):
     assert ngram_jaccard_join(none).collect() == []
 
 
+def test_hashes_do_not_depend_on_pieces():
+    text = (" ".join(f"Word{k % 97}" for k in range(500)) + " " + "x" * 3000 + " tail").encode()
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = spans(data, np.array([0, len(data)]), SPACED)
+    whole = hashed(data, starts, ends)
+    for piece in (1, 50, 1000):
+        assert np.array_equal(hashed(data, starts, ends, piece), whole)
+    assert len(set(whole.tolist())) == 99 and whole[0] == whole[97]
+
+
 def test_trie_against_all_pairs():
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 500, 60).astype(np.uint64)) for _ in range(6)]
