@@ -9,62 +9,71 @@ import numpy as np
 
 
 def normalised(x: np.ndarray, how: str = "zscore") -> np.ndarray:
-    if how == "none" or len(x) < 2:
+    """Series ``(..., frames, values)`` normalised over their frames; NaN and infinities become 0 first, one frame stays as it is."""
+    if how == "none":
         return x
+    if how not in ("zscore", "minmax"):
+        raise ValueError(f"unknown normalisation {how!r}")
     x = np.where(np.isfinite(x), x, 0.0)
-    if how == "zscore":
-        spread = x.std(axis=0)
-        return (x - x.mean(axis=0)) / np.where(spread < 1e-8, 1.0, spread)
-    if how == "minmax":
-        spread = x.max(axis=0) - x.min(axis=0)
-        return (x - x.min(axis=0)) / np.where(spread < 1e-8, 1.0, spread)
-    raise ValueError(f"unknown normalisation {how!r}")
+    if x.shape[-2] < 2:
+        return x
+    low, spread = (x.mean(axis=-2, keepdims=True), x.std(axis=-2, keepdims=True)) if how == "zscore" else (x.min(axis=-2, keepdims=True), np.ptp(x, axis=-2, keepdims=True))
+    return (x - low) / np.where(spread < 1e-8, 1.0, spread)
 
 
 def dtw(a: np.ndarray, b: np.ndarray, weights: np.ndarray, window: int = 0) -> tuple[float, int]:
-    """Distance and path length under a band of ``window`` (0: none); of equal moves the diagonal, then up, is taken back."""
-    n, m = len(a), len(b)
+    """Distance and path length of one pair; see ``dtw_many``."""
+    distance, length = dtw_many(a[None], b[None], weights, window)
+    return float(distance[0]), int(length[0])
+
+
+def dtw_many(a: np.ndarray, b: np.ndarray, weights: np.ndarray, window: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and path lengths of pairs ``a[k]``, ``b[k]`` under a band of ``window`` (0: none); of equal moves the diagonal, then up.
+
+    All cells of an anti-diagonal are computed at once, for all pairs, and only those in the band. A
+    cell carries the length of the path to it, so that three anti-diagonals are all that is kept.
+    """
+    pairs, n, m = len(a), a.shape[1], b.shape[1]
     if not n or not m:
-        return math.inf, 0
+        return np.full(pairs, math.inf), np.zeros(pairs, np.int64)
     band = max(window if window > 0 else max(n, m), abs(n - m))
-    cost = np.sqrt((((a[:, None, :] - b[None, :, :]) ** 2) * weights).sum(axis=2))
-    cost = np.nan_to_num(cost, nan=0.0, posinf=1e10, neginf=0.0)
-    total = np.full((n + 1, m + 1), math.inf)
-    total[0, 0] = 0.0
-    for d in range(2, n + m + 1):  # anti-diagonals: all cells of one are independent
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        i = i[np.abs(2 * i - d) <= band]
-        j = d - i
-        total[i, j] = cost[i - 1, j - 1] + np.minimum(np.minimum(total[i - 1, j], total[i, j - 1]), total[i - 1, j - 1])
-    i, j, length = n, m, 1
-    while i > 1 or j > 1:
-        if i == 1:
-            j -= 1
-        elif j == 1:
-            i -= 1
-        else:
-            moves = (total[i - 1, j - 1], total[i - 1, j], total[i, j - 1])
-            best = moves.index(min(moves))
-            i, j = i - (best != 2), j - (best != 1)
-        length += 1
-    return float(total[n, m]), length
+    before, last, now = (np.full((pairs, n + 1), math.inf) for _ in range(3))
+    steps_before, steps_last, steps_now = (np.zeros((pairs, n + 1), np.int64) for _ in range(3))
+    before[:, 0] = 0.0
+    for d in range(2, n + m + 1):
+        low, high = max(1, d - m, (d - band + 1) // 2), min(n, d - 1, (d + band) // 2)
+        now[:, max(0, low - 2) : low] = math.inf
+        if low <= high:
+            i = np.arange(low, high + 1)
+            gap = a[:, i - 1] - b[:, d - i - 1]
+            with np.errstate(invalid="ignore", over="ignore"):
+                cost = np.sqrt((gap * weights * gap).sum(axis=2))
+            cost = np.nan_to_num(cost, nan=0.0, posinf=1e10, neginf=0.0)
+            diagonal, up, left = before[:, low - 1 : high], last[:, low - 1 : high], last[:, low : high + 1]
+            first = (diagonal <= up) & (diagonal <= left)
+            second = up <= left
+            now[:, low : high + 1] = cost + np.where(first, diagonal, np.where(second, up, left))
+            steps_now[:, low : high + 1] = 1 + np.where(first, steps_before[:, low - 1 : high], np.where(second, steps_last[:, low - 1 : high], steps_last[:, low : high + 1]))
+        before, last, now = last, now, before
+        steps_before, steps_last, steps_now = steps_last, steps_now, steps_before
+    return last[:, n].copy(), steps_last[:, n].copy()
 
 
 def interpolated(x: np.ndarray, size: int) -> np.ndarray:
-    """``x`` at ``size`` evenly spread moments, linear in between."""
-    if len(x) == 1:
-        return np.repeat(x, size, axis=0)
-    at = np.linspace(0, len(x) - 1, size)
-    low = np.minimum(at.astype(int), len(x) - 2)
+    """Series ``(..., frames, values)`` at ``size`` evenly spread moments, linear in between."""
+    frames = x.shape[-2]
+    at = np.arange(size) * (frames - 1) / (size - 1)
+    low = np.minimum(at.astype(int), max(frames - 2, 0))
     part = (at - low)[:, None]
-    return x[low] * (1 - part) + x[low + 1] * part
+    return x[..., low, :] * (1 - part) + x[..., np.minimum(low + 1, frames - 1), :] * part
 
 
-def interpolated_distance(a: np.ndarray, b: np.ndarray, weights: np.ndarray, size: int = 100) -> float:
-    if not len(a) or not len(b):
-        return math.inf
+def interpolated_distance(a: np.ndarray, b: np.ndarray, weights: np.ndarray, size: int = 100) -> float | np.ndarray:
+    """Mean weighted distance of two series, or of each two of many with as many frames."""
+    if not a.shape[-2] or not b.shape[-2]:
+        return math.inf if a.ndim == 2 else np.full(len(a), math.inf)
     gap = interpolated(a, size) - interpolated(b, size)
-    return float(np.sqrt((gap**2 * weights).sum(axis=1)).mean())
+    return np.sqrt((gap * weights * gap).sum(axis=-1)).mean(axis=-1)
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:

@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.functions.series import dtw, interpolated_distance, normalised
+from simloom.functions.series import dtw_many, interpolated_distance, normalised
 from simloom.functions.vector import clean
 
 # The state columns of the recordings, their widths and weights.
@@ -59,32 +58,44 @@ def scaled(frames: DataFrame, key: str, columns: list[str], how: str = "zscore")
     return out.withColumns(new)
 
 
-def compare(pairs: DataFrame, weights: list[float], how: str = "zscore", window_ratio: float = 0.2, size: int = 100) -> DataFrame:
+def compare(pairs: DataFrame, weights: list[float], how: str = "zscore", window_ratio: float = 0.2, size: int = 100, most_values: int = 1 << 21) -> DataFrame:
     """Distances of the trajectories ``states_a`` and ``states_b`` of each pair.
 
-    Adds ``interp_distance``, ``dtw_distance``, ``dtw_path``, ``dtw_normalised``, ``len_a`` and
-    ``len_b``. A missing or empty trajectory has infinite distances. Pairs are dealt by length, so
-    that a task does not get only the long ones.
+    Adds ``interp_distance``, ``dtw_distance``, ``dtw_path``, ``dtw_normalised``, ``len_a``, ``len_b``
+    and ``dim``. With a missing or empty trajectory the distances are infinite and the rest is 0. Pairs
+    of a batch with the same two lengths are compared at once, as many as hold ``most_values`` values.
     """
     w = np.array(weights)
+    new = ("interp_distance", "dtw_distance", "dtw_path", "dtw_normalised", "len_a", "len_b", "dim")
 
-    def one(a, b):
-        a, b = (np.zeros((0, len(w))) if x is None else np.array([list(r) for r in x], float).reshape(-1, len(w)) for x in (a, b))
-        if not len(a) or not len(b):
-            return math.inf, math.inf, 0, math.inf, len(a), len(b)
-        a, b = normalised(a, how), normalised(b, how)
-        far, length = dtw(a, b, w, int(max(len(a), len(b)) * window_ratio))
-        return interpolated_distance(a, b, w, size), far, length, far / max(length, 1), len(a), len(b)
+    def series(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        states = column.flatten()
+        flat = states.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(w))
+        length = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return flat, length, np.cumsum(length) - length
 
     def run(batches):
-        for rows in batches:
-            found = [one(a, b) for a, b in zip(rows["states_a"], rows["states_b"])]
-            new = pd.DataFrame(found, columns=["interp_distance", "dtw_distance", "dtw_path", "dtw_normalised", "len_a", "len_b"])
-            yield pd.concat([rows.drop(columns=["states_a", "states_b"]).reset_index(drop=True), new], axis=1)
+        for batch in batches:
+            (a, n, at_a), (b, m, at_b) = (series(batch.column(batch.schema.get_field_index(c))) for c in ("states_a", "states_b"))
+            rows = len(n)
+            out = {c: np.full(rows, math.inf) for c in ("interp_distance", "dtw_distance", "dtw_normalised")} | {c: np.zeros(rows, np.int64) for c in ("dtw_path", "len_a", "len_b", "dim")}
+            use = np.flatnonzero((n > 0) & (m > 0))
+            use = use[np.lexsort((m[use], n[use]))]
+            cuts = np.flatnonzero(np.diff(n[use]) | np.diff(m[use])) + 1
+            for same in np.split(use, cuts) if len(use) else ():
+                k, l = int(n[same[0]]), int(m[same[0]])
+                step = max(1, most_values // ((k + l + size) * len(w)))
+                for own in (same[i : i + step] for i in range(0, len(same), step)):
+                    x, y = (normalised(flat[at[own][:, None] + np.arange(size_)], how) for flat, at, size_ in ((a, at_a, k), (b, at_b, l)))
+                    out["dtw_distance"][own], out["dtw_path"][own] = dtw_many(x, y, w, int(max(k, l) * window_ratio))
+                    out["dtw_normalised"][own] = out["dtw_distance"][own] / np.maximum(out["dtw_path"][own], 1)
+                    out["interp_distance"][own] = interpolated_distance(x, y, w, size)
+                    out["len_a"][own], out["len_b"][own], out["dim"][own] = k, l, len(w)
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), *(pa.array(out[c]) for c in new)], [*(f.name for f in kept), *new])
 
     kept = [f for f in pairs.schema.fields if f.name not in ("states_a", "states_b")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "interp_distance double", "dtw_distance double", "dtw_path long", "dtw_normalised double", "len_a long", "len_b long"])
-    return pairs.mapInPandas(run, schema).withColumns({c: F.round(c, 6) for c in ("interp_distance", "dtw_distance", "dtw_normalised")})
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} {'double' if c.startswith(('interp', 'dtw_d', 'dtw_n')) else 'long'}" for c in new)])
+    return pairs.mapInArrow(run, schema).withColumns({c: F.round(c, 6) for c in ("interp_distance", "dtw_distance", "dtw_normalised")})
 
 
 def _places(length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

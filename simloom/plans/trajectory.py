@@ -82,12 +82,41 @@ def interp_euclidean(spark, d):
     return op.interp_euclidean(pairs, WEIGHTS).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+def _dtw(weights: str, band: str) -> str:
+    """SQL of the warped distance of ``pp`` ``(seg, n, m, xa, xb)``: a row for each pair and anti-diagonal, of which two are carried as lists by frame."""
+    cell = f"sqrt({' + '.join(f'{w} * (xa[i][{k}] - xb[d - i][{k}]) ** 2' for k, w in enumerate(weights.split(), 1))})"
+    none = "{'t': 'Infinity'::DOUBLE, 'l': 0::BIGINT}"
+    way = "CASE WHEN p2[i].t <= p1[i].t AND p2[i].t <= p1[i + 1].t THEN p2[i] WHEN p1[i].t <= p1[i + 1].t THEN p1[i] ELSE p1[i + 1] END"
+    step = f"list_transform(range(0, n + 1), lambda i: CASE WHEN i < 1 OR d - i < 1 OR d - i > m OR abs(2 * i - d) > band THEN {none} ELSE {{'t': {cell} + ({way}).t, 'l': 1 + ({way}).l}} END)"
+    return f"""bb AS (SELECT seg, n, m, xa, xb, greatest(CASE WHEN {band} > 0 THEN {band} ELSE greatest(n, m) END, abs(n - m)) AS band FROM pp),
+w AS (SELECT seg, n, m, xa, xb, band, 2::BIGINT AS d, list_transform(range(0, n + 1), lambda i: {none}) AS p1, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN {{'t': 0.0::DOUBLE, 'l': 0::BIGINT}} ELSE {none} END) AS p2 FROM bb
+  UNION ALL SELECT seg, n, m, xa, xb, band, d + 1, {step}, p1 FROM w WHERE d <= n + m),
+f AS (SELECT seg, p1[n + 1].t AS far, p1[n + 1].l AS path FROM w WHERE d = n + m + 1)"""
+
+
+_BOTH = "all_pairs AS (SELECT x.seg, x.states AS sa, y.states AS sb FROM tr x LEFT JOIN tr y ON y.seg = x.seg + 1)"
+_OUT = "coalesce(round(far, 6), 'Infinity'::DOUBLE) AS dtw_distance, coalesce(path, 0) AS dtw_path, coalesce(round(far / greatest(path, 1), 6), 'Infinity'::DOUBLE) AS dtw_normalised"
+
+
+@query(f"WITH RECURSIVE {_TRAJ}, {_BOTH}, pp AS (SELECT seg, sa AS xa, sb AS xb, len(sa) AS n, len(sb) AS m FROM all_pairs WHERE sb IS NOT NULL), {_dtw('1.0 0.001 5.0 5.0', '0')} SELECT a.seg, {_OUT} FROM all_pairs a LEFT JOIN f USING (seg)")
 def dtw(spark, d):
     return op.compare(_pairs(spark, d), WEIGHTS, how="none", window_ratio=0.0).select("seg", "dtw_distance", "dtw_path", "dtw_normalised")
 
 
-@query()
+def _scaled(column: str) -> str:
+    mean = "list_avg(list_transform({0}, lambda r: r[k]))"
+    std = "coalesce(list_stddev_pop(list_transform({0}, lambda r: r[k])), 0)"
+    cells = ", ".join(f"(s[{k}] - {mean}) / CASE WHEN {std} < 1e-8 THEN 1 ELSE {std} END".replace("r[k]", f"r[{k}]") for k in range(1, 5))
+    return f"CASE WHEN len({column}) < 2 THEN {column} ELSE list_transform({column}, lambda s: [{cells}]) END".format(column)
+
+
+_ZIE = """k AS (SELECT seg, xa AS sa, xb AS sb, k, k * (n - 1) / 99.0::DOUBLE AS pa, k * (m - 1) / 99.0::DOUBLE AS pb FROM pp, unnest(range(0, 100)) AS u(k)),
+l AS (SELECT *, least(floor(pa), greatest(len(sa) - 2, 0))::BIGINT AS la, least(floor(pb), greatest(len(sb) - 2, 0))::BIGINT AS lb FROM k),
+g AS (SELECT seg, list_transform([1, 2, 3, 4], lambda d: (sa[la + 1][d] * (1 - (pa - la)) + sa[least(la + 2, len(sa))][d] * (pa - la)) - (sb[lb + 1][d] * (1 - (pb - lb)) + sb[least(lb + 2, len(sb))][d] * (pb - lb))) AS z FROM l),
+ie AS (SELECT seg, avg(sqrt(z[1] ** 2 + 0.001 * z[2] ** 2 + 5 * z[3] ** 2 + 5 * z[4] ** 2)) AS even FROM g GROUP BY seg)"""
+
+
+@query(f"WITH RECURSIVE {_TRAJ}, {_BOTH}, z AS (SELECT seg, {_scaled('states')} AS states FROM tr), pp AS (SELECT x.seg, x.states AS xa, y.states AS xb, len(x.states) AS n, len(y.states) AS m FROM z x JOIN z y ON y.seg = x.seg + 1), {_dtw('1.0 0.001 5.0 5.0', 'floor(greatest(n, m) * 0.2::DOUBLE)::BIGINT')}, {_ZIE} SELECT a.seg, {_OUT}, coalesce(round(even, 6), 'Infinity'::DOUBLE) AS interp_distance, coalesce(pp.n, 0) AS len_a, coalesce(pp.m, 0) AS len_b, CASE WHEN pp.n IS NULL THEN 0 ELSE 4 END::BIGINT AS dim FROM all_pairs a LEFT JOIN f USING (seg) LEFT JOIN ie USING (seg) LEFT JOIN pp USING (seg)")
 def traj_similarity(spark, d):
     return op.compare(_pairs(spark, d), WEIGHTS)
 
