@@ -45,12 +45,22 @@ def chunk_candidates(ego: DataFrame, chunks: int, n_sample: int, seed: int = 42)
 
 
 def sampled_pairing(ego: DataFrame, tele: DataFrame, candidates: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """For each tele row the most similar of its chunk's candidates; of ties the first one drawn. Ego rows may serve again."""
-    queries = tele.select(F.col("idx").alias("tele_idx"), F.col("task").alias("tele_task"), F.col("v").alias("tele_v"), F.floor(F.col("pos") / chunk).cast("int").alias("chunk"))
-    offered = candidates.join(ego.select(F.col("idx").alias("cand_idx"), F.col("task").alias("ego_task"), F.col("v").alias("ego_v")), "cand_idx")
-    sims = queries.join(offered, "chunk").select("tele_idx", "tele_task", "cand_idx", "ego_task", "cand_pos", F.round(dot(F.col("tele_v"), F.col("ego_v")), 9).alias("sim"))
-    best = sims.groupBy("tele_idx", "tele_task").agg(F.max(F.struct("sim", (-F.col("cand_pos")).alias("first"), "cand_idx", "ego_task")).alias("best"))
-    return best.select("tele_idx", "tele_task", F.col("best.cand_idx").alias("ego_idx"), F.col("best.ego_task").alias("ego_task"), F.col("best.sim").alias("sim"))
+    """For each tele row the most similar of its chunk's candidates; of ties the first one drawn. Ego rows may serve again.
+
+    A chunk's rows and candidates meet in one task, as one matrix product.
+    """
+    queries = tele.select(F.col("idx").alias("tele_idx"), F.col("task").alias("tele_task"), "v", F.floor(F.col("pos") / chunk).cast("int").alias("chunk"))
+    offered = candidates.join(ego.select(F.col("idx").alias("cand_idx"), F.col("task").alias("ego_task"), "v"), "cand_idx")
+
+    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame([], columns=["tele_idx", "tele_task", "ego_idx", "ego_task", "sim"])
+        c = c.sort_values("cand_pos")
+        sims = np.round(np.stack(q["v"].to_numpy()) @ np.stack(c["v"].to_numpy()).T, 9)
+        at = sims.argmax(axis=1)
+        return pd.DataFrame({"tele_idx": q["tele_idx"].to_numpy(), "tele_task": q["tele_task"].to_numpy(), "ego_idx": c["cand_idx"].to_numpy()[at], "ego_task": c["ego_task"].to_numpy()[at], "sim": sims[np.arange(len(at)), at]})
+
+    return queries.groupBy("chunk").cogroup(offered.groupBy("chunk")).applyInPandas(best, "tele_idx long, tele_task long, ego_idx long, ego_task long, sim double")
 
 
 def fit_clusters(vectors: DataFrame, k: int, iterations: int = 100, seed: int = 42):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simloom.operators.segments import numbered
+
 
 def band(sim: Column, high: float = 0.85, mid: float = 0.70, low: float = 0.55) -> Column:
     return F.when(sim >= high, "HIGH").when(sim >= mid, "MID").when(sim >= low, "LOW").otherwise("BAD")
@@ -22,10 +24,9 @@ def histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
     return values.crossJoin(F.broadcast(ends)).groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def paged(rows: DataFrame, per_page: int, columns: int, *order: Column | str) -> DataFrame:
-    """Page and grid cell of each row of a report, in the given order."""
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
-    out = rows.withColumn("n", n)
+def paged(rows: DataFrame, per_page: int, columns: int, key: Column, *ties: str) -> DataFrame:
+    """Page and grid cell of each row of a report, in the order of ``key`` and ``ties``."""
+    out = numbered(rows, key, "n", *ties)
     spot = F.col("n") % per_page
     return out.withColumns({"page": F.floor(F.col("n") / per_page).cast("int"), "grid_row": F.floor(spot / columns).cast("int"), "grid_col": (spot % columns).cast("int")}).drop("n")
 

@@ -58,9 +58,8 @@ def inverted_index(segments: DataFrame, key: str, *fields: str) -> DataFrame:
 
 
 def evictable(files: DataFrame, limit: int) -> DataFrame:
-    """Files that have to go so that the newest ones stay within ``limit`` bytes: ``(path, size, mtime)``."""
-    newest = Window.partitionBy(F.lit(0)).orderBy(F.desc("mtime"), "path").rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("held", F.sum("size").over(newest)).where(F.col("held") > limit)
+    """Files that have to go so that the newest ones stay within ``limit`` bytes: ``(path, size, mtime)``, and the bytes ``held`` up to each."""
+    return running(files, F.col("size"), "held", -F.col("mtime"), "path").where(F.col("held") > limit)
 
 
 def by_task(segments: DataFrame, task: Column | str, most: int) -> DataFrame:
@@ -80,22 +79,32 @@ def hash_sample(rows: DataFrame, n: int, key: str = "idx", seed: int = 42) -> Da
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
-def numbered(rows: DataFrame, key: str = "idx", name: str = "pos", block: int = 65_536) -> DataFrame:
-    """Rows numbered from 0 in the order of ``key`` (whole numbers, none null, distinct).
+def running(rows: DataFrame, value: Column, name: str, key: Column, *ties: str, block: int = 65_536, most_ranges: int = 1000) -> DataFrame:
+    """``rows`` with the running sum ``name`` of ``value`` in the order of ``key`` (numbers, none null), then ``ties``.
 
-    Keys are cut to ranges, about one for ``block`` rows. Only the ranges' counts are summed up in one
-    place; rows are numbered within their range.
+    Keys are cut at their quantiles to ranges of about ``block`` rows, ``most_ranges`` at most. Only the
+    ranges' sums are added up in one place; rows are summed within their range. Rows of one key are
+    in one range.
     """
-    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
-    if not ends["n"]:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    width = max(1, -(-(ends["high"] - ends["low"] + 1) // -(-ends["n"] // block)))
-    dealt = rows.withColumn("numbered_range", F.floor((F.col(key) - ends["low"]) / width))
-    before = Window.partitionBy(F.lit(0)).orderBy("numbered_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("numbered_range").agg(F.count("*").alias("numbered_rows"))
-    starts = counts.select("numbered_range", F.coalesce(F.sum("numbered_rows").over(before), F.lit(0)).alias("numbered_start"))
-    own = F.row_number().over(Window.partitionBy("numbered_range").orderBy(key))
-    return dealt.join(starts, "numbered_range").withColumn(name, F.col("numbered_start") + own - 1).drop("numbered_range", "numbered_start")
+    keyed = rows.withColumn("running_key", key.cast("double"))
+    n = keyed.count()
+    ranges = min(most_ranges, -(-n // block))
+    cuts = []
+    if ranges > 1:
+        cuts = sorted(set(keyed.agg(F.percentile_approx("running_key", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]))
+    number = F.size(F.filter(F.lit(cuts), lambda x: x < F.col("running_key"))) if cuts else F.lit(0)
+    dealt = keyed.withColumn("running_range", number)
+    before = Window.orderBy("running_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("running_range").agg(F.sum(value).alias("running_sum"))
+    starts = sums.select("running_range", F.coalesce(F.sum("running_sum").over(before), F.lit(0)).alias("running_start"))
+    own = F.sum(value).over(Window.partitionBy("running_range").orderBy("running_key", *ties).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(starts), "running_range").withColumn(name, F.col("running_start") + own).drop("running_key", "running_range", "running_start")
+
+
+def numbered(rows: DataFrame, key: Column | str = "idx", name: str = "pos", *ties: str, block: int = 65_536) -> DataFrame:
+    """Rows numbered from 0 in the order of ``key`` (numbers, none null), then ``ties``, which together tell all rows apart."""
+    key = F.col(key) if isinstance(key, str) else key
+    return running(rows, F.lit(1).cast("long"), name, key, *ties, block=block).withColumn(name, F.col(name) - 1)
 
 
 def seeded(seed: int, *parts: Column) -> Column:

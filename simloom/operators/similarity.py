@@ -1,12 +1,19 @@
 """Similarity of two vector collections: statistics, top-k, pairs.
 
-Vectors are packed to blocks; each pair of blocks is one row of an equi-join on the tile number, and
-one matrix product in NumPy. No pair of single rows is ever shuffled: a tile gives its statistics,
+Vectors are packed to blocks; each pair of blocks, a tile, is one row of an equi-join and a few matrix
+products in NumPy. No pair of single rows is ever shuffled: a tile gives its statistics, its counts,
 or the best ``k`` of each of its queries, and those are merged.
+
+A block is sent once to each block of the other side, so blocks are as large as ``BLOCK_BYTES`` lets
+them be, but for as many tiles as make work for all cores. Within a tile, ``TILE`` rows meet ``TILE``
+rows at a time, which bounds the products.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,118 +21,230 @@ from pyspark.sql import functions as F
 
 from simloom.functions.vector import dot
 
-BLOCK = 2048
+BLOCK_BYTES, TILE = 64 << 20, 2048
 _BLOCK_SQL = "block int, ids array<long>, tasks array<long>, groups array<long>, matrix binary"
 
 
-def packed(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows ``(idx, task, grp, v)`` as blocks of about ``block`` rows, dealt by hash of ``idx``."""
-    blocks = max(1, -(-vectors.count() // block))
+def _cores(rows: DataFrame) -> int:
+    return rows.sparkSession.sparkContext.defaultParallelism
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        matrix = np.stack(rows["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "ids": [rows["idx"].tolist()], "tasks": [rows["task"].tolist()], "groups": [rows["grp"].tolist()], "matrix": [matrix.tobytes()]})
 
-    dealt = vectors.select("idx", "task", "grp", "v", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("block"))
-    return dealt.groupBy("block").applyInPandas(pack, _BLOCK_SQL)
+def packed(vectors: DataFrame, within: str | None = None) -> DataFrame:
+    """Rows ``(idx, task, grp, v)`` as blocks, dealt by hash of ``idx``; ``within``: a column of which each value has blocks of its own.
 
+    Values are kept in four bytes where that loses nothing.
+    """
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    most = max(TILE, BLOCK_BYTES // (4 * max(1, size["width"] or 1)))
+    rows = min(most, max(TILE, math.ceil(size["n"] / math.ceil(math.sqrt(2 * _cores(vectors))))))
 
-def tiles(a: DataFrame, b: DataFrame, kernel, schema: str, half: bool = False) -> DataFrame:
-    """``kernel(x, y, sims)`` on each pair of blocks; ``half``: of one collection with itself, each pair of blocks once."""
-    n, m = (x.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1 for x in (a, b))
-    if not n or not m:
-        return a.sparkSession.createDataFrame([], schema)
-    left = a.select(*(F.col(c).alias(f"a_{c}") for c in a.columns), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
-    right = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    pairs = left.join(right, (F.col("a_block") == F.col("i")) & (F.col("b_block") == F.col("j")))
-    if half:
-        pairs = pairs.where("a_block <= b_block")
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        matrix = np.stack(rows["v"].to_numpy()).astype(np.float64)
+        short = matrix.astype(np.float32)
+        raw = b"4" + short.tobytes() if np.array_equal(short, matrix) else b"8" + matrix.tobytes()
+        out = pd.DataFrame({"block": [rows["block"].iloc[0]], "ids": [rows["idx"].tolist()], "tasks": [rows["task"].tolist()], "groups": [rows["grp"].tolist()], "matrix": [raw]})
+        return out if within is None else out.assign(own=[rows["own"].iloc[0]])
+
+    if within is None:
+        dealt = vectors.select("idx", "task", "grp", "v", F.pmod(F.xxhash64("idx"), F.lit(max(1, -(-size["n"] // rows)))).cast("int").alias("block"))
+        return dealt.groupBy("block").applyInPandas(pack, _BLOCK_SQL)
+    parts = vectors.groupBy(within).agg(F.ceil(F.count("*") / rows).alias("parts"))
+    dealt = vectors.join(parts, within).select("idx", "task", "grp", "v", F.col(within).alias("own"), F.pmod(F.xxhash64("idx"), "parts").cast("int").alias("block"))
+    return dealt.groupBy("own", "block").applyInPandas(pack, f"{_BLOCK_SQL}, own {vectors.schema[within].dataType.simpleString()}")
+
+
+def tiles(a: DataFrame, b: DataFrame, kernel: Callable, schema: str, half: bool = False, merge: Callable | None = None) -> DataFrame:
+    """``kernel(x, y, sims, own)`` on the pieces of each pair of blocks.
+
+    ``x`` and ``y`` are ``(ids, tasks, groups)``. ``half``: of one collection with itself, each pair of
+    pieces once; ``own`` tells that a piece meets itself, its ids rising. ``merge`` makes one frame of
+    those of one piece of ``x`` with all of ``y``. Blocks made within a column meet those of the same
+    value only.
+    """
+    left, right = (x.select(*(F.col(c).alias(f"{side}_{c}") for c in x.columns)) for side, x in (("a", a), ("b", b)))
+    if "own" in a.columns:
+        pairs = left.join(right, F.col("a_own") == F.col("b_own")).repartition("a_own", "a_block", "b_block")
+    else:
+        n, m = (x.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1 for x in (a, b))
+        if not n or not m:
+            return a.sparkSession.createDataFrame([], schema)
+        low, high = (F.col("a_block"), F.col("b_block")) if half else (F.lit(0), F.lit(n - 1))
+        left = left.select("*", F.col("a_block").alias("i"), F.explode(F.sequence(low, F.lit(m - 1))).alias("j")).repartition(min(n * m, 4096), "i", "j")
+        right = right.select("*", F.col("b_block").alias("j"), F.explode(F.sequence(F.lit(0), high)).alias("i")).repartition(min(n * m, 4096), "i", "j")
+        pairs = left.join(right.hint("merge"), ["i", "j"]).drop("i", "j")
 
     def side(row, name):
-        ids = np.asarray(row[f"{name}_ids"])
-        return ids, np.asarray(row[f"{name}_tasks"]), np.asarray(row[f"{name}_groups"]), np.frombuffer(row[f"{name}_matrix"]).reshape(len(ids), -1)
+        ids, raw = np.asarray(row[f"{name}_ids"]), row[f"{name}_matrix"]
+        matrix = np.frombuffer(raw, np.float32 if raw[:1] == b"4" else np.float64, offset=1)
+        return (ids, np.asarray(row[f"{name}_tasks"]), np.asarray(row[f"{name}_groups"])), matrix.reshape(len(ids), -1)
 
     def run(batches):
         for rows in batches:
             for _, row in rows.iterrows():
-                x, y = side(row, "a"), side(row, "b")
-                yield kernel(x, y, x[3] @ y[3].T)
+                (x, left), (y, right) = side(row, "a"), side(row, "b")
+                same = half and row["a_block"] == row["b_block"]
+                for k in range(0, len(left), TILE):
+                    part, found = left[k : k + TILE].astype(np.float64), []
+                    for j in range(k if same else 0, len(right), TILE):
+                        sims = part @ right[j : j + TILE].astype(np.float64).T
+                        found.append(kernel([c[k : k + TILE] for c in x], [c[j : j + TILE] for c in y], sims, same and j == k))
+                        if not merge:
+                            yield found.pop()
+                    if found:
+                        yield merge(pd.concat(found, ignore_index=True))
 
-    return pairs.drop("i", "j").repartition("a_block", "b_block").mapInPandas(run, schema)
+    return pairs.mapInPandas(run, schema)
 
 
 def cross_stats(ego: DataFrame, tele: DataFrame, by_task: bool = False) -> DataFrame:
     """Largest, smallest, mean and population deviation over all pairs, or by whether the tasks agree."""
 
-    def kernel(x, y, sims):
+    def kernel(x, y, sims, own):
         same = x[1][:, None] == y[1][None, :]
         parts = [(flag, sims[same == flag]) for flag in (True, False)] if by_task else [(None, sims.ravel())]
-        rows = [(flag, s.size, s.max(), s.min(), s.sum(), (s * s).sum()) for flag, s in parts if s.size]
-        return pd.DataFrame(rows, columns=["same_task", "n", "high", "low", "s1", "s2"])
+        rows = [(flag, *_moments(s)) for flag, s in parts if s.size]
+        return pd.DataFrame(rows, columns=["same_task", *_MOMENTS])
+
+    parts = tiles(packed(ego), packed(tele), kernel, f"same_task boolean, {_MOMENTS_SQL}")
+    return _merged(parts, "same_task") if by_task else _merged(parts)
+
 
-    parts = tiles(packed(ego), packed(tele), kernel, "same_task boolean, n long, high double, low double, s1 double, s2 double")
-    return _merged(parts, by_task)
+_MOMENTS = ("n", "high", "low", "s1", "s2")
+_MOMENTS_SQL = "n long, high double, low double, s1 double, s2 double"
 
 
-def _merged(parts: DataFrame, by_task: bool) -> DataFrame:
+def _moments(s: np.ndarray) -> tuple:
+    return s.size, s.max(), s.min(), s.sum(), (s * s).sum()
+
+
+def _merged(parts: DataFrame, *by: str) -> DataFrame:
     n, s1, s2 = F.sum("n"), F.sum("s1"), F.sum("s2")
     spread = F.sqrt(F.greatest(F.lit(0.0), s2 / n - (s1 / n) * (s1 / n)))
-    return parts.groupBy(*(["same_task"] if by_task else [])).agg(n.alias("n_pairs"), F.round(F.max("high"), 6).alias("max_sim"), F.round(F.min("low"), 6).alias("min_sim"), F.round(s1 / n, 6).alias("mean_sim"), F.round(spread, 6).alias("std_sim"))
+    return parts.groupBy(*by).agg(n.alias("n_pairs"), F.round(F.max("high"), 6).alias("max_sim"), F.round(F.min("low"), 6).alias("min_sim"), F.round(s1 / n, 6).alias("mean_sim"), F.round(spread, 6).alias("std_sim"))
 
 
 def self_stats(vectors: DataFrame) -> DataFrame:
     """The same over all unordered pairs of different rows; each pair of blocks is taken once."""
 
-    def kernel(x, y, sims):
-        s = sims[x[0][:, None] < y[0][None, :]] if x[0][0] == y[0][0] and len(x[0]) == len(y[0]) else sims.ravel()
-        return pd.DataFrame([(None, s.size, s.max(), s.min(), s.sum(), (s * s).sum())] if s.size else [], columns=["same_task", "n", "high", "low", "s1", "s2"])
+    def kernel(x, y, sims, own):
+        s = sims[np.triu_indices(len(sims), 1)] if own else sims.ravel()
+        return pd.DataFrame([_moments(s)] if s.size else [], columns=_MOMENTS)
 
     blocks = packed(vectors)
-    return _merged(tiles(blocks, blocks, kernel, "same_task boolean, n long, high double, low double, s1 double, s2 double", half=True), False)
+    return _merged(tiles(blocks, blocks, kernel, _MOMENTS_SQL, half=True))
+
+
+def cluster_stats(ego: DataFrame, tele: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """The same over the pairs within each cluster: ``(cluster, n_pairs, max_sim, min_sim, mean_sim, std_sim)``."""
+    blocks = [packed(x.withColumn("grp", F.col(cluster).cast("long")), cluster) for x in (ego, tele)]
+
+    def kernel(x, y, sims, own):
+        return pd.DataFrame([(x[2][0], *_moments(sims))], columns=[cluster, *_MOMENTS])
+
+    kind = ego.schema[cluster].dataType.simpleString()
+    return _merged(tiles(*blocks, kernel, f"`{cluster}` long, {_MOMENTS_SQL}").withColumn(cluster, F.col(cluster).cast(kind)), cluster)
 
 
 def topk(ego: DataFrame, tele: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` most similar tele rows of each ego row; ties (to 9 decimals) by index."""
 
-    def kernel(x, y, sims):
+    def kernel(x, y, sims, own):
         sims = np.round(sims, 9)
-        order = np.argsort(y[0], kind="stable")
-        best = order[np.argsort(-sims[:, order], axis=1, kind="stable")[:, :k]]
-        rows = np.repeat(np.arange(len(x[0])), best.shape[1])
-        cols = best.ravel()
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # y's ids rise
+        rows, cols = np.repeat(np.arange(len(x[0])), best.shape[1]), best.ravel()
         return pd.DataFrame({"query_idx": x[0][rows], "query_task": x[1][rows], "match_idx": y[0][cols], "match_task": y[1][cols], "sim": sims[rows, cols]})
 
-    near = tiles(packed(ego), packed(tele), kernel, "query_idx long, query_task long, match_idx long, match_task long, sim double")
+    def merge(found):
+        return found.sort_values(["query_idx", "sim", "match_idx"], ascending=[True, False, True]).groupby("query_idx").head(k)
+
+    near = tiles(packed(ego), packed(tele), kernel, "query_idx long, query_task long, match_idx long, match_task long, sim double", merge=merge)
     rank = F.row_number().over(Window.partitionBy("query_idx").orderBy(F.desc("sim"), "match_idx"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("same_task", F.col("query_task") == F.col("match_task"))
 
 
-def best_pairs(a: DataFrame, b: DataFrame, k: int, largest: bool = True, within: bool = False) -> DataFrame:
-    """The ``k`` most (or least) similar pairs overall; ``within``: of one collection, i < j and different groups."""
+def best_pairs(a: DataFrame, b: DataFrame, k: int, largest: bool = True, within: bool = False, least: float | None = None) -> DataFrame:
+    """The ``k`` most (or least) similar pairs overall; ``within``: of one collection, i < j and different groups; ``least``: of those from it on."""
 
-    def kernel(x, y, sims):
+    def kernel(x, y, sims, own):
         sims = np.round(sims, 9)
+        use = np.ones(sims.shape, bool) if least is None else sims >= least
         if within:
-            low = x[0][:, None] < y[0][None, :]
-            if not (x[0][0] == y[0][0] and len(x[0]) == len(y[0])):
-                low[:] = True
-            use = low & (x[2][:, None] != y[2][None, :])
-        else:
-            use = np.ones(sims.shape, bool)
+            use &= x[2][:, None] != y[2][None, :]
+        if own:
+            use = np.triu(use, 1)
         i, j = np.nonzero(use)
-        s = sims[i, j]
-        first, second = x[0][i], y[0][j]
+        s, first, second = sims[i, j], x[0][i], y[0][j]
         if within:
             first, second = np.minimum(first, second), np.maximum(first, second)
-        keep = np.lexsort((second, first, -s if largest else s))[:k]
-        return pd.DataFrame({"i": first[keep], "j": second[keep], "sim": s[keep]})
+        return _first(pd.DataFrame({"i": first, "j": second, "sim": s}), (second, first, -s if largest else s), k)
 
     blocks = packed(a)
     found = tiles(blocks, blocks if within else packed(b), kernel, "i long, j long, sim double", half=within)
     return found.orderBy(F.desc("sim") if largest else F.asc("sim"), "i", "j").limit(k)
 
 
+def first_pairs(a: DataFrame, b: DataFrame, k: int, least: float) -> DataFrame:
+    """The first ``k`` pairs in the order of their indexes, of those with a similarity of ``least`` or more."""
+
+    def kernel(x, y, sims, own):
+        sims = np.round(sims, 9)
+        i, j = np.nonzero(sims >= least)
+        return _first(pd.DataFrame({"i": x[0][i], "j": y[0][j], "sim": sims[i, j]}), (y[0][j], x[0][i]), k)
+
+    return tiles(packed(a), packed(b), kernel, "i long, j long, sim double").orderBy("i", "j").limit(k)
+
+
+def _first(rows: pd.DataFrame, order: tuple, k: int) -> pd.DataFrame:
+    return rows.iloc[np.lexsort(order)[:k]]
+
+
+def band_counts(a: DataFrame, b: DataFrame, bands: list[tuple[str, float]], colours: list[tuple[str, float]], positive: float, negative: float) -> DataFrame:
+    """``(band, colour, n)`` of the labelled pairs, counted in the tiles.
+
+    ``bands`` and ``colours`` name ranges from the highest down: a band begins at its bound, a colour
+    above it; the last of each needs none.
+    """
+
+    def kernel(x, y, sims, own):
+        s = np.round(sims, 9).ravel()
+        s = s[(s >= positive) | (s <= negative)]
+        band = np.select([s >= bound for _, bound in bands[:-1]], range(len(bands) - 1), len(bands) - 1)
+        colour = np.select([s > bound for _, bound in colours[:-1]], range(len(colours) - 1), len(colours) - 1)
+        both, n = np.unique(band * len(colours) + colour, return_counts=True)
+        return pd.DataFrame({"band": [bands[x // len(colours)][0] for x in both], "colour": [colours[x % len(colours)][0] for x in both], "n": n})
+
+    return tiles(packed(a), packed(b), kernel, "band string, colour string, n long").groupBy("band", "colour").agg(F.sum("n").alias("n"))
+
+
+def pair_histogram(a: DataFrame, b: DataFrame, bins: int, positive: float = -math.inf, negative: float = math.inf) -> DataFrame:
+    """``(bin, n)`` of the pairs from ``positive`` on or up to ``negative`` (all, if not given), in equal bins from the least to the largest.
+
+    The ends are found in a first pass over the tiles, the counts in a second; the largest value
+    belongs to the last bin. No pair leaves its tile.
+    """
+
+    def chosen(sims):
+        s = np.round(sims, 9).ravel()
+        return s[(s >= positive) | (s <= negative)]
+
+    def ends(x, y, sims, own):
+        s = chosen(sims)
+        return pd.DataFrame({"low": [s.min()], "high": [s.max()]} if len(s) else {"low": [], "high": []})
+
+    blocks = packed(a), packed(b)
+    found = tiles(*blocks, ends, "low double, high double").agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
+    low, width = found["low"], ((found["high"] - found["low"]) / bins if found["low"] is not None else None)
+
+    def kernel(x, y, sims, own):
+        s = chosen(sims)
+        number = np.minimum(np.floor((s - low) / width), bins - 1) if width else np.zeros(len(s))
+        found, n = np.unique(number.astype(np.int32), return_counts=True)
+        return pd.DataFrame({"bin": found, "n": n})
+
+    return tiles(*blocks, kernel, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+
+
 def search(index: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     """The ``k`` rows of ``index`` with the largest dot product; of ties the later row."""
     sim = F.round(dot(F.col("v"), F.array(*map(F.lit, query))), 9)
@@ -135,7 +254,7 @@ def search(index: DataFrame, query: list[float], k: int = 5) -> DataFrame:
 def threshold_pairs(a: DataFrame, b: DataFrame, positive: float = 0.85, negative: float = 0.70) -> DataFrame:
     """Pairs labelled 1 from ``positive`` on and 0 up to ``negative``; those between are not pairs."""
 
-    def kernel(x, y, sims):
+    def kernel(x, y, sims, own):
         sims = np.round(sims, 9)
         i, j = np.nonzero((sims >= positive) | (sims <= negative))
         return pd.DataFrame({"i": x[0][i], "j": y[0][j], "sim": sims[i, j], "label": (sims[i, j] >= positive).astype(np.int32)})
@@ -153,11 +272,36 @@ def pair_similarity(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 def metadata_match(queries: DataFrame, metadata: DataFrame, keys: list[str]) -> DataFrame:
     """For each query ``qid`` the smallest ``idx`` whose keys agree wherever both sides have one; one key at least must be shared.
 
-    One pass for each key equi-joins the rows that have it; what agrees on all shared keys stays.
+    Different combinations of keys are matched, each metadata combination with its smallest ``idx``, so
+    that work grows with the combinations and not with rows times queries. One pass for each key
+    equi-joins the combinations that have it.
     """
-    q = queries.select("qid", *(F.col(k).alias(f"q_{k}") for k in keys))
+    own = [f"q_{k}" for k in keys]
+    asked = queries.select("qid", *(F.col(k).alias(q) for k, q in zip(keys, own)))
+    q, m = asked.select(*own).distinct(), metadata.groupBy(*keys).agg(F.min("idx").alias("idx"))
+    agrees = " AND ".join(f"({q} IS NULL OR `{k}` IS NULL OR {q} = `{k}`)" for k, q in zip(keys, own))
     hits = None
-    for k in keys:
-        one = q.join(metadata, F.col(f"q_{k}") == F.col(k)).where(" AND ".join(f"(q_{x} IS NULL OR {x} IS NULL OR q_{x} = {x})" for x in keys)).select("qid", "idx")
+    for k, name in zip(keys, own):
+        one = q.join(m, F.col(name) == F.col(k)).where(agrees).select(*own, "idx")
         hits = one if hits is None else hits.unionByName(one)
-    return hits.groupBy("qid").agg(F.min("idx").alias("idx"))
+    best = hits.groupBy(*own).agg(F.min("idx").alias("idx"))
+    same = [asked[c].eqNullSafe(best[c]) for c in own]
+    return asked.join(best, same).select("qid", "idx")
+
+
+def write_cross(ego: DataFrame, tele: DataFrame, path: str, most: int = 500_000_000) -> bool:
+    """Write all similarities ``(i, j, sim)`` as Parquet if there are fewer than ``most``; tells whether it did."""
+    if ego.count() * tele.count() >= most:
+        return False
+    cross_matrix(ego, tele).write.mode("overwrite").parquet(path)
+    return True
+
+
+def cross_matrix(ego: DataFrame, tele: DataFrame) -> DataFrame:
+    """All similarities, one row for each pair: as many rows as ego times tele."""
+
+    def kernel(x, y, sims, own):
+        i, j = (c.ravel() for c in np.meshgrid(x[0], y[0], indexing="ij"))
+        return pd.DataFrame({"i": i, "j": j, "sim": np.round(sims, 9).ravel()})
+
+    return tiles(packed(ego), packed(tele), kernel, "i long, j long, sim double")

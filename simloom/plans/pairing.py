@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from simloom.functions.vector import dot
 from simloom.operators import pairing as op
 from simloom.operators.segments import numbered
+from simloom.operators.similarity import cluster_stats as cluster_stats_of
 from simloom.sources.tables import vectors
 
 from .base import CROSS, EGO_TELE, Registry
@@ -17,7 +18,7 @@ from .similarity import threshold_pairs as _threshold_pairs
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
-CHUNK, SAMPLE, K = 64, 40, 8
+CHUNK, SAMPLE, K = 512, 500, 8
 _SAMPLED = f"""{EGO_TELE}, q AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS pos FROM tele), ch AS (SELECT DISTINCT pos // {CHUNK} AS chunk FROM q),
 ep AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS pos FROM ego), m AS (SELECT count(*) AS n FROM ego),
 pr AS (SELECT n, min(x) AS p FROM m, unnest(range(greatest(n, 2), greatest(n, 2) + 400)) AS u(x) WHERE len(list_filter(range(2, floor(sqrt(x))::BIGINT + 1), lambda d: x % d = 0)) = 0 GROUP BY n),
@@ -68,10 +69,7 @@ def cluster_stats(spark, d):
 @query(f"WITH {_CENTERS} SELECT a.cluster, count(*) AS n_pairs, round(max(list_dot_product(x.v, y.v)), 6) AS max_sim, round(avg(list_dot_product(x.v, y.v)), 6) AS mean_sim FROM cl a JOIN cl b ON a.cluster = b.cluster AND a.idx % 2 = 0 AND b.idx % 2 = 1 JOIN e x ON x.idx = a.idx JOIN e y ON y.idx = b.idx GROUP BY 1")
 def cluster_cross(spark, d):
     own = _clusters(spark, d).select("idx", "cluster")
-    a = vectors(spark, d, "ego").join(own, "idx").select("cluster", F.col("v").alias("a"))
-    b = vectors(spark, d, "tele").join(own, "idx").select("cluster", F.col("v").alias("b"))
-    sims = a.join(b, "cluster").select("cluster", dot(F.col("a"), F.col("b")).alias("sim"))
-    return sims.groupBy("cluster").agg(F.count("*").alias("n_pairs"), F.round(F.max("sim"), 6).alias("max_sim"), F.round(F.avg("sim"), 6).alias("mean_sim"))
+    return cluster_stats_of(vectors(spark, d, "ego").join(own, "idx"), vectors(spark, d, "tele").join(own, "idx")).select("cluster", "n_pairs", "max_sim", "mean_sim")
 
 
 @query()

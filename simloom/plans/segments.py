@@ -158,7 +158,7 @@ def hash_sample(spark, d):
 @query(f"WITH {EGO_TELE} SELECT idx, task, row_number() OVER (ORDER BY ('0x' || substr(md5('42|' || idx), 1, 12))::BIGINT, idx) - 1 AS place FROM e")
 def shuffle_rows(spark, d):
     rows = vectors(spark, d).select("idx", "task")
-    return op.numbered(rows.withColumn("at", op.seeded(42, F.col("idx"))), "at", "place").drop("at")
+    return op.numbered(rows, op.seeded(42, F.col("idx")), "place", "idx")
 
 
 @query(f"WITH {EGO_TELE}, n AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS pos, count(*) OVER () AS size FROM e), r AS (SELECT draw, ('0x' || substr(md5('42|' || draw), 1, 12))::BIGINT AS h FROM range(100) AS u(draw)) SELECT draw, idx, task FROM r JOIN n ON n.pos = r.h % n.size")

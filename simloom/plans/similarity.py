@@ -82,24 +82,35 @@ def same_task_rate(spark, d):
 
 @query(f"WITH {CROSS}, b AS (SELECT CASE WHEN s >= 0.4 THEN 'HIGH' WHEN s >= 0.3 THEN 'MID' WHEN s >= 0.2 THEN 'LOW' ELSE 'BAD' END AS band, CASE WHEN s > 0.35 THEN 'green' WHEN s > 0.25 THEN 'yellow' ELSE 'red' END AS colour FROM x WHERE s >= {POSITIVE} OR s <= {NEGATIVE}) SELECT band, colour, count(*) AS n FROM b GROUP BY ALL")
 def sim_bands(spark, d):
-    pairs = threshold_pairs(spark, d)
-    return pairs.groupBy(reports.band(F.col("sim"), 0.4, 0.3, 0.2).alias("band"), reports.colour(F.col("sim"), 0.35, 0.25).alias("colour")).agg(F.count("*").alias("n"))
+    bands, colours = [("HIGH", 0.4), ("MID", 0.3), ("LOW", 0.2), ("BAD", None)], [("green", 0.35), ("yellow", 0.25), ("red", None)]
+    return op.band_counts(vectors(spark, d, "ego"), vectors(spark, d, "tele"), bands, colours, POSITIVE, NEGATIVE)
 
 
 @query(f"WITH {CROSS}, p AS (SELECT s AS sim FROM x WHERE s >= {POSITIVE} OR s <= {NEGATIVE}), m AS (SELECT min(sim) AS lo, max(sim) AS hi FROM p) SELECT least(floor((sim - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM p, m GROUP BY 1")
 def sim_histogram(spark, d):
-    return reports.histogram(threshold_pairs(spark, d), "sim", 20)
+    return op.pair_histogram(vectors(spark, d, "ego"), vectors(spark, d, "tele"), 20, POSITIVE, NEGATIVE)
+
+
+@query(f"WITH {CROSS}, m AS (SELECT min(s) AS lo, max(s) AS hi FROM x) SELECT least(floor((s - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM x, m GROUP BY 1")
+def sim_histogram_all(spark, d):
+    return op.pair_histogram(vectors(spark, d, "ego"), vectors(spark, d, "tele"), 20)
 
 
 @query(f"WITH {CROSS}, p AS (SELECT i, j, s AS sim FROM x WHERE s >= {POSITIVE}), n AS (SELECT *, row_number() OVER (ORDER BY sim DESC, i, j) - 1 AS n FROM p) SELECT i, j, sim, (n // 12)::INT AS page, ((n % 12) // 4)::INT AS grid_row, (n % 4)::INT AS grid_col FROM n")
 def paginate(spark, d):
-    return reports.paged(threshold_pairs(spark, d).where("label = 1").drop("label"), 12, 4, F.desc("sim"), "i", "j")
+    return reports.paged(threshold_pairs(spark, d).where("label = 1").drop("label"), 12, 4, -F.col("sim"), "i", "j")
 
 
 @query(f"WITH {CROSS}, p AS (SELECT i, j, s AS sim FROM x WHERE s >= {POSITIVE}) (SELECT i, j, sim, 'best' AS mode FROM p ORDER BY sim DESC, i, j LIMIT 9) UNION ALL (SELECT i, j, sim, 'first' FROM p ORDER BY i, j LIMIT 9)")
 def viz_select(spark, d):
-    pairs = threshold_pairs(spark, d).where("label = 1").drop("label")
-    return pairs.orderBy(F.desc("sim"), "i", "j").limit(9).withColumn("mode", F.lit("best")).unionByName(pairs.orderBy("i", "j").limit(9).withColumn("mode", F.lit("first")))
+    ego, tele = vectors(spark, d, "ego"), vectors(spark, d, "tele")
+    best = op.best_pairs(ego, tele, 9, least=POSITIVE).withColumn("mode", F.lit("best"))
+    return best.unionByName(op.first_pairs(ego, tele, 9, POSITIVE).withColumn("mode", F.lit("first")))
+
+
+@query(f"WITH {CROSS} SELECT i, j, s AS sim FROM x")
+def cross_matrix(spark, d):
+    return op.cross_matrix(vectors(spark, d, "ego"), vectors(spark, d, "tele"))
 
 
 @query(f"WITH {CROSS} SELECT i, j, trunc(255 * (1 - s * 1.0::DOUBLE))::INT AS r, trunc(255 * (1 - s * 0.5::DOUBLE))::INT AS g, trunc(255 * (1 - s * 0.3::DOUBLE))::INT AS b FROM x WHERE s >= {POSITIVE}")
