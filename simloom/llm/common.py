@@ -28,15 +28,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+#: Rows of an Arrow batch between the JVM and Python; both hold whole batches of texts.
+ARROW_ROWS = 2000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session to Arrow batches of ``ARROW_ROWS`` rows at most, where it has Spark's default of 10,000."""
+    if spark.conf.get(_ARROW) == "10000":
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
+
+
+def written(df: DataFrame, name: str, *partition_by: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage.
 
     A lost executor can then only cost the tasks that were running on it, and a recomputation
-    never sees other values than those that were first written.
+    never sees other values than those that were first written. Blobs that are compressed already,
+    and hashes, are best written with ``compression="none"``.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

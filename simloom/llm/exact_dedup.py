@@ -128,7 +128,7 @@ def exact_dedup(docs: DataFrame, block_rows: int = 1_000_000) -> DataFrame:
     repeated rows with this ``doc_id`` exactly one stays. No rows: no rows.
     """
     spark = docs.sparkSession
-    sent = written(docs.select("doc_id", "text").mapInArrow(_send(partitions(spark), block_rows), _SENT_SQL), "dedup-sent")
+    sent = written(docs.select("doc_id", "text").mapInArrow(_send(partitions(spark), block_rows), _SENT_SQL), "dedup-sent", compression="none")
     bitmaps = sent.select("block", "owner", "code").groupBy("owner").applyInArrow(_own, "block long, owner int, bitmap array<long>")
     rows = sent.drop("code", "n").join(bitmaps, ["block", "owner"]).select("block", "owner", "bitmap", F.posexplode(F.arrays_zip("doc_ids", "slots", "twice", "shas")).alias("place", "x"))
     suspect = F.col("x.twice") | F.expr("shiftright(element_at(bitmap, CAST(x.slots DIV 64 AS INT) + 1), x.slots % 64) & 1 = 1")

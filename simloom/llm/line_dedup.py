@@ -68,7 +68,7 @@ class LineRuns:
         """``rows`` with one sorted file for each bucket; gives the table's name."""
         name = f"line_run_{uuid.uuid4().hex}"
         dealt = rows.repartition(self.buckets, "hash")
-        dealt.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, "hash").sortBy("hash").option("compression", "none").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
     def _drop(self, *names: str) -> None:
@@ -194,7 +194,7 @@ def _without_common(docs: DataFrame, rows: DataFrame, mode: str, schema, min_doc
     """``rows`` (a first column, and ``text``) without the lines common in ``docs``."""
     spark = docs.sparkSession
     batch = F.spark_partition_id() % batches  # as rows come; the result does not depend on it
-    lines = written(docs.select("text").mapInArrow(_lines, "text_key binary, hashes array<binary>").withColumn("batch", batch), "line-hashes", "batch")
+    lines = written(docs.select("text").mapInArrow(_lines, "text_key binary, hashes array<binary>").withColumn("batch", batch), "line-hashes", "batch", compression="none")
     runs = LineRuns(spark)
     for number in range(batches):
         runs.add(lines.where(F.col("batch") == number).select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")))

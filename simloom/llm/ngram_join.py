@@ -297,14 +297,14 @@ def ngram_jaccard_join(docs: DataFrame, most_shingles: int = CHUNK, key: str | N
     spark = docs.sparkSession
     buckets = partitions(spark)
     rows = docs.select("doc_id", "text", (F.col(key) if key else F.lit(None).cast("binary")).alias("key"))
-    sent = written(rows.mapInArrow(_send(buckets, salt), _SENT_SQL), "ngram-sent")
+    sent = written(rows.mapInArrow(_send(buckets, salt), _SENT_SQL), "ngram-sent", compression="none")
     profile = sent.where("kind = 0").select("doc_id", "key", "n", "sig", "again")
     posted = sent.where("kind = 1")
     reply = posted.select("bucket", "block", "tokens", "reps", "heavy", "counts").groupBy("bucket").applyInArrow(_count, _REPLY_SQL)
     known = reply.select(F.lit(3).alias("kind"), "block", "tokens", "reps", "counts", "heavy", "lists")
     lists = posted.where("length(heavy) > 0").select("kind", "block", F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("reps"), "counts", "heavy", "lists")
     sizes = sent.where("kind = 2").select("kind", "block", F.col("sigs").alias("tokens"), F.col("sizes").alias("reps"), *(F.lit(None).cast("binary").alias(c) for c in ("counts", "heavy", "lists")))
-    met = written(known.unionByName(lists).unionByName(sizes).groupBy("block").applyInArrow(_prefixes(buckets), _MET_SQL), "ngram-met")
+    met = written(known.unionByName(lists).unionByName(sizes).groupBy("block").applyInArrow(_prefixes(buckets), _MET_SQL), "ngram-met", compression="none")
     profile = written(profile, "ngram-profile")
     deleted(sent)
     near = met.where("src IS NOT NULL").select("src", "dst").mapInArrow(_unpack, "src long, dst long")
