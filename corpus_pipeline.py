@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm.common import deleted, written
+from simloom.llm.common import bound_batches, deleted, written
 from simloom.llm.decontaminate import remove_contamination
 from simloom.llm.line_dedup import drop_common_lines
 from simloom.llm.mixing import mix_sources
@@ -36,11 +36,13 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores 0.5 or more go; a null or empty text has the score of no terms."""
+    bound_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in ten documents or more go; documents stay, a null text stays null, repeated rows count each."""
+    bound_batches(spark)
     return _counted(drop_common_lines(docs))
 
 
@@ -51,6 +53,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are documents of their own; of rows that agree in both one stays. Texts without words are linked
     with nothing: all stay.
     """
+    bound_batches(spark)
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.col("text"), F.lit("")))))
     own, other = "row_key", "row_key_other"
     while any(c.lower().startswith(own) for c in docs.columns):
@@ -72,6 +75,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out; documents stay, a null text stays null."""
+    bound_batches(spark)
     return _counted(remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
