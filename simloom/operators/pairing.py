@@ -174,3 +174,34 @@ def labelled_sets(pairs: DataFrame, n_pos: int, n_neg: int, seed: int = 7) -> Da
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string")))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(key, "i", "j"))
     return pairs.withColumn("nth", rank).where(F.col("nth") <= F.when(F.col("label") == 1, n_pos).otherwise(n_neg))
+
+
+def balanced_pairs(pairs: DataFrame, ratio: float = 1.0, seed: int = 7) -> DataFrame:
+    """All pairs of label 1, and of label 0 ``ratio`` times as many (rounded down), by least seeded hash."""
+    n = pairs.where("label = 1").count()
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string")))
+    negative = pairs.where("label = 0").orderBy(key, "i", "j").limit(int(n * ratio))
+    return pairs.where("label = 1").unionByName(negative)
+
+
+def matched_batch(task_pairs: DataFrame, ego: DataFrame, tele: DataFrame, size: int = 16, seed: int = 42) -> DataFrame:
+    """A batch of ``size // 2`` rows a side out of matching tasks: ``(slot, side, idx, task, filled)``.
+
+    ``task_pairs``: ``(ego_task, tele_task)`` of which both have rows. Pairs are drawn with
+    replacement and give one row of each task. If there are too few pairs, a side's shortfall is
+    filled with seeded rows of that side, marked ``filled``; a side without rows stays short.
+    """
+    half, spark = size // 2, ego.sparkSession
+    number = task_pairs.join(ego.select(F.col("task").alias("ego_task")).distinct(), "ego_task").join(tele.select(F.col("task").alias("tele_task")).distinct(), "tele_task")
+    rows = [tuple(r) for r in number.select("ego_task", "tele_task").orderBy(seeded(seed, F.col("ego_task"), F.col("tele_task")), "ego_task", "tele_task").limit(half).collect()]
+    out = None
+    for at, (side, all_rows) in enumerate((("ego", ego), ("tele", tele))):
+        wanted = spark.createDataFrame([(slot, rows[slot % len(rows)][at]) for slot in range(half)] if rows else [], "slot int, task long")
+        order = Window.partitionBy("slot").orderBy(seeded(seed, F.col("slot"), F.col("idx")), "idx")
+        chosen = F.broadcast(wanted).join(all_rows.select("idx", "task"), "task").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("slot", "idx", "task", F.lit(False).alias("filled"))
+        if not rows:
+            spare = all_rows.select("idx", "task").orderBy(seeded(seed, F.col("idx")), "idx").limit(half)
+            chosen = spare.withColumn("slot", F.row_number().over(Window.orderBy(seeded(seed, F.col("idx")), "idx")) - 1).select("slot", "idx", "task", F.lit(True).alias("filled"))
+        part = chosen.select("slot", F.lit(side).alias("side"), "idx", "task", "filled")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -62,6 +62,22 @@ def evictable(files: DataFrame, limit: int) -> DataFrame:
     return running(files, F.col("size"), "held", -F.col("mtime"), "path").where(F.col("held") > limit)
 
 
+def with_tar(segments: DataFrame, found: DataFrame) -> DataFrame:
+    """Segments with what the tars hold of them, by episode and task index; those of which nothing is there are left out."""
+    return segments.join(found, ["episode", "task_index"])
+
+
+def first_chunk(videos: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, video)``: the first file, by path, of those that are there for each of ``keys``."""
+    return videos.groupBy(*keys).agg(F.min("path").alias("video"))
+
+
+def datasets_of(pairs: DataFrame, default_a: str, default_b: str) -> DataFrame:
+    """The different data sets of the pairs' sides ``dataset_a`` and ``dataset_b``; a side that names none has the default."""
+    names = F.array(F.coalesce("dataset_a", F.lit(default_a)), F.coalesce("dataset_b", F.lit(default_b)))
+    return pairs.select(F.explode(names).alias("dataset")).distinct()
+
+
 def by_task(segments: DataFrame, task: Column | str, most: int) -> DataFrame:
     """Rows whose task is the given one but for case and outer blanks, at most ``most``, in order of ``idx``."""
     task = F.lit(task) if isinstance(task, str) else task

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +42,16 @@ def sinusoid_positions(spark, positions: int, size: int) -> DataFrame:
     cells = spark.range(positions).select(F.col("id").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("dim"))
     angle = F.col("pos") / F.pow(F.lit(10000.0), 2 * F.floor(F.col("dim") / 2) / size)
     return cells.withColumn("value", F.round(F.when(F.col("dim") % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)), 9))
+
+
+def sinusoid_positions_2d(spark, height: int, width: int, size: int) -> DataFrame:
+    """Position codes of a grid's cells, ``size`` values for the row, then ``size`` for the column: ``(y, x, dim, value)``.
+
+    Places count from 1 and are scaled to a full turn.
+    """
+    cells = spark.range(height).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    cells = cells.select("y", "x", F.explode(F.sequence(F.lit(0), F.lit(2 * size - 1))).alias("dim"))
+    own, of_row = F.col("dim") % size, F.col("dim") < size
+    turn = F.when(of_row, (F.col("y") + 1) / F.lit(height + 1e-6)).otherwise((F.col("x") + 1) / F.lit(width + 1e-6)) * F.lit(2 * math.pi)
+    angle = turn / F.pow(F.lit(10000.0), 2 * F.floor(own / 2) / size)
+    return cells.withColumn("value", F.round(F.when(own % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)), 9))

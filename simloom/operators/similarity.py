@@ -147,7 +147,7 @@ def cluster_stats(ego: DataFrame, tele: DataFrame, cluster: str = "cluster") ->
 
 
 def topk(ego: DataFrame, tele: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` most similar tele rows of each ego row; ties (to 9 decimals) by index."""
+    """The ``k`` most similar tele rows of each ego row; ties (to 9 decimals) by index. ``tele`` may come in blocks already."""
 
     def kernel(x, y, sims, own):
         sims = np.round(sims, 9)
@@ -158,7 +158,7 @@ def topk(ego: DataFrame, tele: DataFrame, k: int = 10) -> DataFrame:
     def merge(found):
         return found.sort_values(["query_idx", "sim", "match_idx"], ascending=[True, False, True]).groupby("query_idx").head(k)
 
-    near = tiles(packed(ego), packed(tele), kernel, "query_idx long, query_task long, match_idx long, match_task long, sim double", merge=merge)
+    near = tiles(packed(ego), tele if "matrix" in tele.columns else packed(tele), kernel, "query_idx long, query_task long, match_idx long, match_task long, sim double", merge=merge)
     rank = F.row_number().over(Window.partitionBy("query_idx").orderBy(F.desc("sim"), "match_idx"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("same_task", F.col("query_task") == F.col("match_task"))
 

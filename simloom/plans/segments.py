@@ -140,7 +140,12 @@ def task_lookup(spark, d):
     return op.by_task(rows, " De ", 20)
 
 
-@query()
+@query(r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents),
+t AS (SELECT doc_id, k, sum(size + 1) OVER (PARTITION BY doc_id ORDER BY k) AS upto, size FROM (SELECT doc_id, generate_subscripts(words, 1) AS k, length(unnest(words)) AS size FROM w)),
+n AS (SELECT a.doc_id, a.k, greatest(a.k, coalesce(b.k, 0)) AS last FROM t a ASOF LEFT JOIN t b ON a.doc_id = b.doc_id AND a.upto - a.size - 1 + 41 >= b.upto),
+l AS (SELECT doc_id, list(last ORDER BY k) AS ends FROM n GROUP BY doc_id),
+r AS (SELECT doc_id, ends, 1::BIGINT AS line, 1::BIGINT AS first FROM l UNION ALL SELECT doc_id, ends, line + 1, ends[first] + 1 FROM r WHERE ends[first] < len(ends))
+SELECT w.doc_id, coalesce(x.lines, []) AS lines FROM w LEFT JOIN (SELECT r.doc_id, list(array_to_string(words[first:ends[first]], ' ') ORDER BY line) AS lines FROM r JOIN w USING (doc_id) GROUP BY r.doc_id) x USING (doc_id)""")
 def word_wrap(spark, d):
     return table(spark, d, "documents").select("doc_id", fn.wrapped(F.col("text"), 40).alias("lines"))
 
