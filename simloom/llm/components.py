@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import deleted, written
 
 
+#: Edges for each file and writing task of a round: 16 MB.
+EDGES = 1_000_000
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One round. Least neighbours are dealt out apart from the edges they are joined to, so that Spark can split a hub's."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -32,13 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
     digest = [F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")]
     was = now.agg(*digest).first()
     while was["n"]:
-        was_edges, now = now, written(_stars(now), "edges")
+        was_edges, now = now, written(_stars(now).coalesce(1 + was["n"] // EDGES), "edges")
         deleted(was_edges)
         seen = now.agg(*digest).first()
         if seen == was:
             break
         was = seen
     nodes = now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component"))).distinct()
-    out = written(nodes, "components")
+    out = written(nodes.coalesce(1 + was["n"] // EDGES), "components")
     deleted(now)
     return out

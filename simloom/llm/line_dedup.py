@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import deleted, in_slices, partitions, remove_folder, shared_folder, texts, written
+from .common import deleted, in_slices, remove_folder, shared_folder, texts, written
 
 MIN_DOCS = 10
 BATCHES = 4
+#: Lines for each bucket of a run, about 20 MB, and most buckets, beyond which they are larger.
+BUCKET_LINES, MOST_BUCKETS = 1_000_000, 50_000
 #: Most common lines that are broadcast to the rows: 16 MB. Beyond, they reach the texts by shuffle joins.
 BROADCAST_ROWS = 1_000_000
 #: Spark takes the order of a bucket's only file as given, and reads buckets as such for a union too.
@@ -44,11 +46,12 @@ def line_hash(key: bytes) -> bytes:
 
 
 @contextlib.contextmanager
-def _in_order(spark: SparkSession):
-    """What is planned here neither deals out nor sorts buckets again."""
-    was = {k: spark.conf.get(k) for k in _BUCKETS}
+def _in_order(spark: SparkSession, buckets: int):
+    """What is planned here neither deals out nor sorts buckets again, and deals a batch to as many."""
+    now = _BUCKETS | {"spark.sql.shuffle.partitions": str(buckets)}
+    was = {k: spark.conf.get(k) for k in now}
     try:
-        for k, v in _BUCKETS.items():
+        for k, v in now.items():
             spark.conf.set(k, v)
         yield
     finally:
@@ -59,15 +62,16 @@ def _in_order(spark: SparkSession):
 class LineRuns:
     """Runs as bucketed tables in the shared folder. The driver keeps their names and levels only."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
+    def __init__(self, spark: SparkSession, lines: int, fanout: int = 3, bucket_lines: int = BUCKET_LINES):
+        """``lines``: about how many are to come, for as many buckets of ``bucket_lines``."""
         self.spark, self.fanout, self.folder = spark, fanout, shared_folder(spark, "line-runs")
-        self.buckets = partitions(spark)
+        self.buckets = max(1, min(MOST_BUCKETS, -(-lines // bucket_lines)))
         self.levels: list[list[str]] = []
 
     def _table(self, rows: DataFrame) -> str:
         """``rows`` with one sorted file for each bucket; gives the table's name."""
         name = f"line_run_{uuid.uuid4().hex}"
-        dealt = rows.repartition(self.buckets, "hash")
+        dealt = rows.repartition(self.buckets, "hash") if self.buckets > 1 else rows.coalesce(1)
         dealt.write.bucketBy(self.buckets, "hash").sortBy("hash").option("compression", "none").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
@@ -93,8 +97,8 @@ class LineRuns:
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch ``(hash, n)``, one row for each hash, and compact levels that are full."""
-        with _in_order(self.spark):
-            run, level = self._table(self.marked(counts)), 0
+        with _in_order(self.spark, self.buckets):
+            run, level = self._table(self.marked(counts if self.buckets > 1 else counts.coalesce(1))), 0
             while True:
                 self.levels += [[]] * (level + 1 - len(self.levels))
                 self.levels[level] = [*self.levels[level], run]
@@ -113,8 +117,8 @@ class LineRuns:
         """
         none = self.spark.createDataFrame([], "hash binary, n long, known boolean")
         repeats = reduce(DataFrame.unionByName, self.runs(), none).where("known")
-        again = self._table(repeats.groupBy("hash").agg(F.sum("n").alias("again")))
-        with _in_order(self.spark):
+        with _in_order(self.spark, self.buckets):
+            again = self._table(repeats.groupBy("hash").agg(F.sum("n").alias("again")))
             total = F.col("n") + F.coalesce("again", F.lit(0))
             whole = [run.where("NOT known").join(self.spark.table(again).hint("merge"), "hash", "left").select("hash", total.alias("n")) for run in self.runs()]
             found = written(reduce(DataFrame.unionByName, whole, none.drop("known")).where(F.col("n") >= least), "line-common")
@@ -195,7 +199,7 @@ def _without_common(docs: DataFrame, rows: DataFrame, mode: str, schema, min_doc
     spark = docs.sparkSession
     batch = F.spark_partition_id() % batches  # as rows come; the result does not depend on it
     lines = written(docs.select("text").mapInArrow(_lines, "text_key binary, hashes array<binary>").withColumn("batch", batch), "line-hashes", "batch", compression="none")
-    runs = LineRuns(spark)
+    runs = LineRuns(spark, lines.agg(F.sum(F.size("hashes"))).first()[0] or 0)
     for number in range(batches):
         runs.add(lines.where(F.col("batch") == number).select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")))
     often = runs.common(min_docs)

@@ -305,7 +305,7 @@ def ngram_jaccard_join(docs: DataFrame, most_shingles: int = CHUNK, key: str | N
     lists = posted.where("length(heavy) > 0").select("kind", "block", F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("reps"), "counts", "heavy", "lists")
     sizes = sent.where("kind = 2").select("kind", "block", F.col("sigs").alias("tokens"), F.col("sizes").alias("reps"), *(F.lit(None).cast("binary").alias(c) for c in ("counts", "heavy", "lists")))
     met = written(known.unionByName(lists).unionByName(sizes).groupBy("block").applyInArrow(_prefixes(buckets), _MET_SQL), "ngram-met", compression="none")
-    profile = written(profile, "ngram-profile")
+    profile = written(profile.coalesce(max(1, buckets // 8)), "ngram-profile")  # few numbers of each row
     deleted(sent)
     near = met.where("src IS NOT NULL").select("src", "dst").mapInArrow(_unpack, "src long, dst long")
     far = met.where("tokens IS NOT NULL").select("bucket", "tokens", "sigs").groupBy("bucket").applyInArrow(_meet, "src long, dst long")

@@ -60,8 +60,9 @@ def test_no_rows(spark):
     assert line_report(frame(spark, [])).collect() == [] and drop_common_lines(frame(spark, [])).collect() == []
 
 
-def test_runs_are_disjoint_and_compacted(spark):
-    rng, runs, docs = random.Random(3), LineRuns(spark, fanout=2), Counter()
+@pytest.mark.parametrize("size", [1000, 10])
+def test_runs_are_disjoint_and_compacted(spark, size):
+    rng, runs, docs = random.Random(3), LineRuns(spark, 60, fanout=2, bucket_lines=size), Counter()
     for _ in range(5):
         batch = Counter(rng.choices(range(60), k=50))
         docs.update(batch)
@@ -78,12 +79,13 @@ def test_runs_are_disjoint_and_compacted(spark):
     assert spark.sql("SHOW TABLES").count() == tables - 2
 
 
-def test_joins_of_buckets_need_no_exchange(spark):
-    runs = LineRuns(spark)
+@pytest.mark.parametrize("size", [1000, 10])
+def test_joins_of_buckets_need_no_exchange(spark, size):
+    runs = LineRuns(spark, 50, bucket_lines=size)
     one = spark.range(50).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("hash"), F.lit(1).cast("long").alias("n"))
     for k in range(2):
         runs.add(one.where(F.col("n") > k - 1))
-    with line_dedup._in_order(spark):
+    with line_dedup._in_order(spark, runs.buckets):
         plan = runs.new_lines(spark.table(runs._table(one)))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort [" not in plan
     runs.close()
