@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def written(df: DataFrame, name: str, *partition_by: str, compression: str = "sn
     return out
 
 
+def collected(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles nothing refers to any more: Spark removes their files then, which else stay for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def plain_names(docs: DataFrame, *keep: str) -> DataFrame:
     """``docs`` with numbered column names but for those to ``keep``: ``mapInArrow`` takes no names with dots."""
     return docs.toDF(*(c if c in keep else f"column_{k}" for k, c in enumerate(docs.columns)))

@@ -1,107 +1,110 @@
-"""Stupid-backoff language-model scores from counts of the whole corpus.
-
-1. Documents are dealt to blocks of about a million words, as they come. A block sends its distinct
-   words and word pairs, as sorted 48-bit hashes with their counts, to owners by hash.
-2. An owner sums the counts of its part of the n-gram tables over all blocks, and replies to each
-   block with the totals in the order sent.
-3. A block's texts, kept compressed, meet its totals, are split to n-grams again, and each document's logarithms are
-   summed.
-
-What is exchanged is one entry for each block and distinct n-gram, so a frequent word costs an owner
-one entry a block, however often it stands there.
+"""Stupid-backoff language-model scores from counts of the whole corpus, computed relationally.
+
+1. Documents are dealt to blocks of about a million words, as they come, kept as compressed texts.
+2. A block's n-grams of all orders are exploded to rows ``(gram, block, n)``, one for each different
+   n-gram of the block, named by 64-bit hashes. That is the count before the shuffle: an n-gram that
+   stands everywhere is one row a block.
+3. Rows are partitioned by hash and counted, which makes the count tables, and each row is joined with
+   its count. Rows of n-grams that one block alone has need no answer; others go back to their block.
+4. A block's n-grams meet their counts, every word gets its score, and scores are summed for each
+   document.
+
+Steps 2 and 3 are done in ``passes`` over ranges of hashes, step 4 in as many over the blocks, each
+written before the next: what is on disk at a time is a part of the whole exchange.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, in_slices, packed, partitions, texts, unpacked, written
-from .ngram_join import _bucket_edges, _spread, _squeeze
+from .common import collected, deleted, flat, in_slices, packed, texts, unpacked, written
 from .words import window_hashes, word_hashes
 
-BLOCK = 1_000_000
-BACKOFF = 0.4
-LEAST_PAIRS = 2
-
-_SENT = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("text", pa.binary()), ("width", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_SENT_SQL = "kind int, block long, doc_ids array<long>, sizes binary, text binary, width int, bucket int, n long, hashes binary, counts binary"
-
+ORDER, BACKOFF, LEAST = 3, 0.4, 2
+BLOCK, PASSES = 1_000_000, 4
+_ROWS = 1 << 16
+_BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("n", pa.int64()), ("words", pa.int64()), ("text", pa.binary())])
+_BLOCKS_SQL = "block long, doc_ids array<long>, sizes binary, n long, words long, text binary"
 
-def _grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """48-bit hashes of all words, and of all pairs within a text with the place of their second word."""
-    pairs = window_hashes(hashes, 2)
-    inside = np.ones(len(hashes), bool)
-    inside[first[:-1][first[:-1] < len(hashes)]] = False
-    second = np.flatnonzero(inside)
-    return hashes >> np.uint64(16), pairs[second - 1] >> np.uint64(16), second
-
-
-def _send(buckets: int, block_words: int):
-    def flush(block, words, pairs):
-        for width, parts in ((1, words), (2, pairs)):
-            values, counts = np.unique(np.concatenate(parts), return_counts=True)
-            names, edges = _bucket_edges(values, buckets)
-            rows = [{"kind": 1, "block": block, "width": width, "bucket": b, "n": int(counts[i:j].sum()), "hashes": _squeeze(values[i:j]), "counts": packed(counts[i:j].astype(np.uint32))} for b, i, j in zip(names.tolist(), edges[:-1].tolist(), edges[1:].tolist())]
-            yield pa.RecordBatch.from_pylist(rows, _SENT)
 
+def _deal(block_words: int):
     def run(batches):
         from pyspark import TaskContext
 
-        block, words, pairs, held = TaskContext.get().partitionId() << 24, [], [], 0
+        block, held = TaskContext.get().partitionId() << 32, 0
         for part in in_slices(batches):
-            w, p, _ = _grams(*word_hashes(*flat(part.column(1))))
-            words.append(w)
-            pairs.append(p)
-            held += len(w)
             data, offsets = flat(part.column(1))
-            yield pa.RecordBatch.from_pylist([{"kind": 0, "block": block, "doc_ids": part.column(0).to_pylist(), "sizes": packed(np.diff(offsets).astype(np.uint32)), "n": len(data), "text": pa.compress(data.tobytes(), "zstd", asbytes=True) if len(data) else b""}], _SENT)
+            words = len(word_hashes(data, offsets)[0])
+            yield pa.RecordBatch.from_pylist([{"block": block, "doc_ids": part.column(0).to_pylist(), "sizes": packed(np.diff(offsets).astype(np.uint32)), "n": len(data), "words": words, "text": pa.compress(data.tobytes(), "zstd", asbytes=True) if len(data) else b""}], _BLOCKS)
+            held += words
             if held >= block_words:
-                yield from flush(block, words, pairs)
-                block, words, pairs, held = block + 1, [], [], 0
-        if held:
-            yield from flush(block, words, pairs)
+                block, held = block + 1, 0
+
+    return run
+
+
+def _grams(sizes: bytes, n: int, text: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of a row of a block: the place of each document's first word; for each width the n-grams' hashes, and the places of their last words."""
+    data = np.frombuffer(pa.decompress(text, n, "zstd", asbytes=True) if n else b"", np.uint8)
+    hashes, first = word_hashes(data, np.concatenate([[0], np.cumsum(unpacked(sizes), dtype=np.int64)]))
+    before = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))  # words of the document that stand before
+    found, ends = [hashes], [np.arange(len(hashes))]
+    for width in range(2, order + 1):
+        at = np.flatnonzero(before >= width - 1)
+        ends.append(at)
+        found.append(window_hashes(hashes, width)[at - width + 1])
+    return first, found, ends
+
+
+def _exploded(order: int, passes: int, number: int):
+    def flush(block: int, parts: list[np.ndarray]):
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        for at in range(0, len(values), _ROWS):
+            own = values[at : at + _ROWS]
+            yield pa.record_batch({"gram": own.view(np.int64), "block": np.full(len(own), block, np.int64), "n": counts[at : at + _ROWS].astype(np.int64)})
+
+    def run(batches):
+        block, parts = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] != block and parts:
+                    yield from flush(block, parts)
+                    parts = []
+                block = row["block"]
+                parts += [x[x % np.uint64(passes) == number] for x in _grams(row["sizes"], row["n"], row["text"], order)[1]]
+        if parts:
+            yield from flush(block, parts)
 
     return run
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    sent = [_spread(x) for x in texts(table["hashes"])]
-    counts = np.concatenate([unpacked(x) for x in texts(table["counts"])])
-    _, place = np.unique(np.concatenate(sent), return_inverse=True)
-    total = np.bincount(place, counts)[place].astype(np.int64)
-    ends = np.cumsum([len(x) for x in sent])
-    return pa.table({"block": table["block"], "width": table["width"], "bucket": table["bucket"], "counts": pa.array([packed(total[e - len(x) : e].astype(np.uint64)) for x, e in zip(sent, ends)], pa.binary())})
-
-
-def _score(total: int, backoff: float, least_pairs: int):
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        order = replies.sort_by([("width", "ascending"), ("bucket", "ascending")])
-        width = order["width"].to_pylist()
-        raw = texts(order["counts"])
-        known = {k: np.concatenate([np.zeros(0, np.int64), *(unpacked(x).astype(np.int64) for x, w in zip(raw, width) if w == k)]) for k in (1, 2)}
-        slices, all_words, all_pairs = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for doc_ids, sizes, size, text in zip(docs["doc_ids"].to_pylist(), texts(docs["sizes"]), docs["n"].to_pylist(), texts(docs["text"])):
-            data = np.frombuffer(pa.decompress(text, size, "zstd", asbytes=True) if size else b"", np.uint8)
-            hashes, first = word_hashes(data, np.concatenate([[0], np.cumsum(unpacked(sizes), dtype=np.int64)]))
-            words, pairs, second = _grams(hashes, first)
-            slices.append((pa.array(doc_ids, pa.int64()), first, words, pairs, second))
-            all_words.append(words)
-            all_pairs.append(pairs)
-        values = {1: np.unique(np.concatenate(all_words)), 2: np.unique(np.concatenate(all_pairs))}
-        if any(len(values[k]) != len(known[k]) for k in values):
-            raise ValueError("a block's totals do not fit its n-grams")
+def _score(total: int, order: int, backoff: float, least: int):
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        rows = [(row["doc_ids"], *_grams(row["sizes"], row["n"], row["text"], order)) for row in docs.to_pylist()]
+        tables = []
+        known = counts["gram"].to_numpy().view(np.uint64)
+        for width in range(order):
+            values, own = np.unique(np.concatenate([found[width] for _, _, found, _ in rows]), return_counts=True)
+            at = np.searchsorted(values, known)
+            there = (at < len(values)) & (values[np.minimum(at, max(0, len(values) - 1))] == known) if len(values) else np.zeros(len(known), bool)
+            own[at[there]] = counts["total"].to_numpy()[there]
+            tables.append((values, own))
         ids, sizes, sums = [], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for doc_ids, first, words, pairs, second in slices:
-            single = known[1][np.searchsorted(values[1], words)].astype(float)
-            logs = np.log(backoff * single / total)
-            logs[first[:-1][np.diff(first) > 0]] -= np.log(backoff)  # nothing stands before the first word
-            both = known[2][np.searchsorted(values[2], pairs)]
-            seen = both >= least_pairs
-            logs[second[seen]] = np.log(both[seen] / single[second[seen] - 1])
-            ids.append(doc_ids)
+        for doc_ids, first, found, ends in rows:
+            own = [table[np.searchsorted(values, x)].astype(float) for (values, table), x in zip(tables, found)]
+            logs = np.log(own[0] / total)
+            count = own[0]  # of the n-gram of one width less that ends at each word
+            for width in range(2, order + 1):
+                at, here = ends[width - 1], own[width - 1]
+                logs[at] += np.log(backoff)
+                seen = here >= least
+                logs[at[seen]] = np.log(here[seen] / count[at[seen] - 1])
+                count = np.zeros(len(logs))
+                count[at] = here
+            ids.append(pa.array(doc_ids, pa.int64()))
             sizes.append(np.diff(first))
             sums.append(np.array([logs[a:b].sum() for a, b in zip(first[:-1], first[1:])]))
         return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_words": np.concatenate(sizes).astype(np.int64), "log_score": np.concatenate(sums)})
@@ -109,23 +112,40 @@ def _score(total: int, backoff: float, least_pairs: int):
     return run
 
 
-def lm_scores(docs: DataFrame, block_words: int = BLOCK, backoff: float = BACKOFF, least_pairs: int = LEAST_PAIRS) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, block_words: int = BLOCK, passes: int = PASSES) -> DataFrame:
     """Stupid-backoff score of each text under the counts of all texts.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. Words are runs of characters
-    other than space and 0x09-0x0D, A-Z lower-cased. A word's score is ``c(pair) / c(word before)``
-    if its pair with the word before stands ``least_pairs`` times or more in the corpus, else
-    ``backoff * c(word) / N``; the first word's is ``c(word) / N``. Returns ``doc_id``, ``n_words``,
-    ``log_score`` (sum of natural logarithms, 6 decimals) and ``word_log_score`` (a word's mean),
-    one row per row. A text without words, null too, has 0 words, sum 0 and a null mean. Repeated
-    rows count each. No rows: no rows.
+    other than space and 0x09-0x0D, A-Z lower-cased. With the n - 1 words before it, for the largest n
+    up to ``order`` that the document has, a word's score is ``c(n words) / c(the n - 1 before)`` if the
+    n words stand ``least`` times or more in the corpus, else ``backoff`` times its score with one
+    word less before it; with none it is ``c(word) / N``. A text's own n-grams are in the counts: with
+    ``least`` 1 nothing is ever unseen, with 2 an n-gram that stands in it once only is. Returns
+    ``doc_id``, ``n_words``, ``log_score`` (sum of natural logarithms, 6 decimals) and
+    ``word_log_score`` (a word's mean), one row per row. A text without words, null too, has 0
+    words, sum 0 and a null mean. Repeated rows count each. No rows: no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_send(partitions(spark), block_words), _SENT_SQL)
-    sent = written(rows, "lm-sent", "kind")
-    counts = sent.where("kind = 1").select("block", "width", "bucket", "hashes", "counts", "n")
-    total = counts.where("width = 1").agg(F.sum("n")).first()[0] or 1
-    replies = counts.drop("n").groupBy("width", "bucket").applyInArrow(_sum, "block long, width int, bucket int, counts binary")
-    blocks = sent.where("kind = 0").select("block", "doc_ids", "sizes", "n", "text")
-    scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(total, backoff, least_pairs), "doc_id long, n_words long, log_score double")
-    return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("word_log_score"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    blocks = written(rows.mapInArrow(_deal(block_words), _BLOCKS_SQL), "lm-blocks", compression="none")
+    total = blocks.agg(F.sum("words")).first()[0] or 1
+    same = Window.partitionBy("gram")
+    answers = []
+    for number in range(passes):
+        grams = blocks.select("block", "sizes", "n", "text").mapInArrow(_exploded(order, passes, number), "gram long, block long, n long")
+        counted = grams.select("gram", "block", F.sum("n").over(same).alias("total"), F.count("*").over(same).alias("rows"))
+        answers.append(written(counted.where("rows > 1").select("gram", "block", "total"), "lm-counts"))
+        collected(spark)
+    out = None
+    for number in range(passes):
+        mine = F.pmod("block", F.lit(passes)) == number
+        known = None
+        for x in answers:
+            known = x.where(mine) if known is None else known.unionByName(x.where(mine))
+        own = blocks.where(mine).select("block", "doc_ids", "sizes", "n", "text")
+        scored = own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(total, order, backoff, least), "doc_id long, n_words long, log_score double")
+        part = written(scored, "lm-scores")
+        collected(spark)
+        out = part if out is None else out.unionByName(part)
+    deleted(blocks, *answers)
+    return out.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("word_log_score"))

@@ -106,11 +106,11 @@ FROM p JOIN m USING (h)
 """,
     "op4_lm_scoring": f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
-t AS (SELECT doc_id, i, a[i] AS x, CASE WHEN i > 1 THEN a[i - 1] END AS b FROM w, unnest(range(1, len(a) + 1)) AS u(i)),
-c1 AS (SELECT x, count(*) AS n FROM t GROUP BY x), c2 AS (SELECT b, x, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, x),
+t AS (SELECT doc_id, a[i] AS x, CASE WHEN i > 1 THEN a[i - 1] END AS b, CASE WHEN i > 2 THEN a[i - 2] END AS c, i FROM w, unnest(range(1, len(a) + 1)) AS u(i)),
+c1 AS (SELECT x, count(*) AS n FROM t GROUP BY x), c2 AS (SELECT b, x, count(*) AS n FROM t WHERE i > 1 GROUP BY b, x), c3 AS (SELECT c, b, x, count(*) AS n FROM t WHERE i > 2 GROUP BY c, b, x),
 total AS (SELECT count(*) AS n FROM t),
-s AS (SELECT t.doc_id, count(*) AS n_words, sum(ln(CASE WHEN t.b IS NULL THEN c1.n / total.n WHEN c2.n >= 2 THEN c2.n / p.n ELSE 0.4 * c1.n / total.n END)) AS v
-      FROM t JOIN c1 ON c1.x = t.x LEFT JOIN c2 ON c2.b = t.b AND c2.x = t.x LEFT JOIN c1 p ON p.x = t.b, total GROUP BY t.doc_id)
+v AS (SELECT t.doc_id, i, c1.n AS n1, c2.n AS n2, c3.n AS n3, p1.n AS m1, p2.n AS m2 FROM t JOIN c1 ON c1.x = t.x LEFT JOIN c2 ON c2.b = t.b AND c2.x = t.x LEFT JOIN c3 ON c3.c = t.c AND c3.b = t.b AND c3.x = t.x LEFT JOIN c1 p1 ON p1.x = t.b LEFT JOIN c2 p2 ON p2.b = t.c AND p2.x = t.b),
+s AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN n3 >= 2 THEN ln(n3 / m2) ELSE CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END + CASE WHEN n2 >= 2 THEN ln(n2 / m1) ELSE CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END + ln(n1 / total.n) END END) AS v FROM v, total GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(v, 0), 6) AS log_score, round(v / n_words, 6) AS word_log_score FROM w LEFT JOIN s USING (doc_id)
 """,
     "op5_exact_dedup": """

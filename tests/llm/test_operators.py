@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -251,22 +252,36 @@ def test_mixing(spark, odd, none):
     assert mix_sources(none).collect() == [] and mix_sources(odd).count() == odd.count()
 
 
-def test_lm_scores(spark, odd, none):
+@pytest.mark.parametrize("order,least,passes", [(3, 2, 4), (1, 2, 1), (2, 1, 3), (4, 3, 2)])
+def test_lm_scores(spark, order, least, passes):
     rng = random.Random(8)
-    rows = [(k, " ".join(rng.choices(WORDS, k=rng.randint(0, 12)))) for k in range(50)]
-    c1, c2, n = {}, {}, 0
+    rows = [(k, " ".join(rng.choices(WORDS[:8], k=rng.randint(0, 12)))) for k in range(50)]
+    rows += [(60, None), (61, " \n"), (62, rows[3][1]), (62, rows[3][1]), (None, "w1 w2 W3")]
+    counts, total = Counter(), 0
     for _, t in rows:
         w = words(t)
-        n += len(w)
-        for x in w:
-            c1[x] = c1.get(x, 0) + 1
-        for p in zip(w, w[1:]):
-            c2[p] = c2.get(p, 0) + 1
-    got = {r["doc_id"]: r["log_score"] for r in lm_scores(documents(spark, [(i, t, "a") for i, t in rows]), block_words=60).collect()}
+        total += len(w)
+        counts.update(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1))
+
+    def score(gram):
+        if len(gram) == 1:
+            return counts[gram] / total
+        return counts[gram] / counts[gram[:-1]] if counts[gram] >= least else 0.4 * score(gram[1:])
+
+    want = []
     for i, t in rows:
         w = words(t)
-        want = sum(np.log(c1[x] / n if k == 0 else c2[w[k - 1], x] / c1[w[k - 1]] if c2[w[k - 1], x] >= 2 else 0.4 * c1[x] / n) for k, x in enumerate(w))
-        assert got[i] == pytest.approx(want, abs=1e-5)
+        v = sum(np.log(score(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(len(w)))
+        want.append((i, len(w), round(v, 4), round(v / len(w), 4) if w else None))
+    docs = documents(spark, [(i, t, "a") for i, t in rows]).repartition(3)
+    got = [(r[0], r[1], round(r[2], 4), r[3] if r[3] is None else round(r[3], 4)) for r in lm_scores(docs, order, least=least, block_words=60, passes=passes).collect()]
+    near = lambda x: (str(x[0]), x[1])
+    for x, y in zip(sorted(got, key=lambda x: (near(x), x[2])), sorted(want, key=lambda x: (near(x), x[2]))):
+        assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=2e-4) and (x[3] is y[3] is None or x[3] == pytest.approx(y[3], abs=2e-4))
+    assert len(got) == len(want)
+
+
+def test_lm_scores_odd(odd, none):
     assert lm_scores(odd).count() == odd.count() and lm_scores(none).collect() == []
 
 
