@@ -212,7 +212,8 @@ def band_counts(a: DataFrame, b: DataFrame, bands: list[tuple[str, float]], colo
         band = np.select([s >= bound for _, bound in bands[:-1]], range(len(bands) - 1), len(bands) - 1)
         colour = np.select([s > bound for _, bound in colours[:-1]], range(len(colours) - 1), len(colours) - 1)
         both, n = np.unique(band * len(colours) + colour, return_counts=True)
-        return pd.DataFrame({"band": [bands[x // len(colours)][0] for x in both], "colour": [colours[x % len(colours)][0] for x in both], "n": n})
+        names = [(bands[x // len(colours)][0], colours[x % len(colours)][0]) for x in both.tolist()]
+        return pd.DataFrame(names, columns=["band", "colour"], dtype=object).assign(n=n)
 
     return tiles(packed(a), packed(b), kernel, "band string, colour string, n long").groupBy("band", "colour").agg(F.sum("n").alias("n"))
 
