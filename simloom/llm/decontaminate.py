@@ -10,7 +10,6 @@ Hits of a block are carried to the next pass as bits, so that the last one sees
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -41,43 +40,45 @@ def _roll(numbers: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items, by width and hash."""
+    """The windows of a block of benchmark items by width, as arrays sorted by hash; about 60 bytes for each, and a dictionary of the words."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.numbers: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in word_list(text)]
-            width = min(window, len(own))
-            for k in range(len(own) - width + 1 if width else 0):
-                found[width][tuple(own[k : k + width])].add(item)
+        self.items = [item for item, _ in items]
+        found: dict[int, tuple[list, list]] = {}
+        for place, (_, text) in enumerate(items):
+            own = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in word_list(text)], np.int32)
+            if width := min(window, len(own)):
+                rows, places = found.setdefault(width, ([], []))
+                rows.append(np.lib.stride_tricks.sliding_window_view(own, width))
+                places.append(np.full(len(own) - width + 1, place, np.int32))
         self.by_width = {}
-        for width, windows in found.items():
-            rows = np.array(list(windows), np.int64).reshape(-1, width)
+        for width, (rows, places) in found.items():
+            rows, places = np.concatenate(rows), np.concatenate(places)
             hashes = _roll(rows.reshape(-1), width)[::width]
             order = np.argsort(hashes, kind="stable")
-            items_of = list(windows.values())
-            self.by_width[width] = hashes[order], rows[order], [items_of[i] for i in order.tolist()]
+            self.by_width[width] = hashes[order], rows[order], places[order]
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words stand in an occurrence of a window, and the items of which a window occurs."""
         hit = np.zeros(len(words) + 1, np.int64)
         items: set = set()
         get = self.numbers.get
-        numbers = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        numbers = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
         known = np.concatenate([[0], np.cumsum(numbers > 0)])
-        for width, (hashes, rows, items_of) in self.by_width.items():
-            places = np.flatnonzero(known[width:] - known[:-width] == width) if len(words) >= width else ()
-            if not len(places):
+        for width, (hashes, rows, places) in self.by_width.items():
+            at = np.flatnonzero(known[width:] - known[:-width] == width) if len(words) >= width else ()
+            if not len(at):
                 continue
-            rolled = _roll(numbers, width)[places]
-            at = np.searchsorted(hashes, rolled)
-            for place, h, k in zip(places.tolist(), rolled, at.tolist()):
+            rolled = _roll(numbers, width)[at]
+            first = np.searchsorted(hashes, rolled)
+            met = hashes[np.minimum(first, len(hashes) - 1)] == rolled
+            for place, h, k in zip(at[met].tolist(), rolled[met], first[met].tolist()):
                 while k < len(hashes) and hashes[k] == h:
                     if np.array_equal(rows[k], numbers[place : place + width]):
                         hit[place] += 1
                         hit[place + width] -= 1
-                        items |= items_of[k]
+                        items.add(self.items[places[k]])
                     k += 1
         return np.cumsum(hit[:-1]) > 0, items
 
@@ -163,7 +164,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, most_words: int, finish, sche
     return rows.mapInArrow(_scan(broadcast(windows), finish), schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, most_words: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, most_words: int = 1_000_000) -> DataFrame:
     """How much of each document stands in the benchmark.
 
     Windows are 10 consecutive words of an item (words: 0-9, a-z and code points above 0x7F, A-Z
@@ -173,14 +174,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_words: int = 2_000
     ``n_items``, ``items_sha256`` (of the sorted item ids as strings, comma-joined) and
     ``contaminated`` (``n_hit > 0``), one row per row. Null and empty texts have no words. An item
     with a null id makes hits but is not counted or listed; repeated items count once. An empty
-    benchmark hits nothing. A benchmark beyond ``most_words`` words, about 100 MB of windows, is
+    benchmark hits nothing. A benchmark beyond ``most_words`` words, about 150 MB of windows and words, is
     taken in blocks, each a pass over the documents; the result is the same.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return _passes(rows, benchmark, most_words, _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, whole: bool = False, most_words: int = 2_000_000) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, whole: bool = False, most_words: int = 1_000_000) -> DataFrame:
     """``docs`` without the benchmark's passages: their spans are cut out, or with ``whole`` the documents go.
 
     Columns stay as they are, whatever their names. A null text stays null. A benchmark beyond

@@ -1,4 +1,7 @@
-"""The queries opN_<name> and their SQL: thin applications of the operators to whole tables."""
+"""The queries opN_<name> and their SQL: thin applications of the operators to whole tables.
+
+Nulls, empty and long texts, ties, repeated rows and empty tables have the results that the operators' docstrings state.
+"""
 
 from __future__ import annotations
 
@@ -26,6 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies among all documents."""
     return ngram_jaccard_join(_table(spark, sf_dir, "documents")).drop("root")
 
 
@@ -45,30 +49,37 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the counts of all documents."""
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document of each group of equal texts stays."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands in the benchmark."""
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of each document with lines of ten documents or more."""
     return line_report(_table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from those that are not held out."""
     return language_id(_table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of each document, learned from labels that are not held out."""
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources takes."""
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
