@@ -47,15 +47,18 @@ def packed(vectors: DataFrame, within: str | None = None) -> DataFrame:
         return out if within is None else out.assign(own=[rows["own"].iloc[0]])
 
     if within is None:
-        dealt = vectors.select("idx", "task", "grp", "v", F.pmod(F.xxhash64("idx"), F.lit(max(1, -(-size["n"] // rows)))).cast("int").alias("block"))
-        return dealt.groupBy("block").applyInPandas(pack, _BLOCK_SQL)
+        blocks = -(-size["n"] // rows)
+        dealt = vectors.select("idx", "task", "grp", "v", F.pmod(F.xxhash64("idx"), F.lit(max(1, blocks))).cast("int").alias("block"))
+        out = dealt.groupBy("block").applyInPandas(pack, _BLOCK_SQL)
+        out._blocks = blocks  # so that they need not be counted
+        return out
     parts = vectors.groupBy(within).agg(F.ceil(F.count("*") / rows).alias("parts"))
     dealt = vectors.join(parts, within).select("idx", "task", "grp", "v", F.col(within).alias("own"), F.pmod(F.xxhash64("idx"), "parts").cast("int").alias("block"))
     return dealt.groupBy("own", "block").applyInPandas(pack, f"{_BLOCK_SQL}, own {vectors.schema[within].dataType.simpleString()}")
 
 
 def tiles(a: DataFrame, b: DataFrame, kernel: Callable, schema: str, half: bool = False, merge: Callable | None = None) -> DataFrame:
-    """``kernel(x, y, sims, own)`` on the pieces of each pair of blocks.
+    """``kernel(x, y, sims, own)`` on the pieces of each pair of blocks, as ``packed`` makes them.
 
     ``x`` and ``y`` are ``(ids, tasks, groups)``. ``half``: of one collection with itself, each pair of
     pieces once; ``own`` tells that a piece meets itself, its ids rising. ``merge`` makes one frame of
@@ -66,7 +69,7 @@ def tiles(a: DataFrame, b: DataFrame, kernel: Callable, schema: str, half: bool
     if "own" in a.columns:
         pairs = left.join(right, F.col("a_own") == F.col("b_own")).repartition("a_own", "a_block", "b_block")
     else:
-        n, m = (x.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1 for x in (a, b))
+        n, m = a._blocks, b._blocks
         if not n or not m:
             return a.sparkSession.createDataFrame([], schema)
         low, high = (F.col("a_block"), F.col("b_block")) if half else (F.lit(0), F.lit(n - 1))
