@@ -40,7 +40,7 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_ARROW, str(ARROW_ROWS))
 
 
-def written(df: DataFrame, name: str, *partition_by: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, *partition_by: str, compression: str = "snappy", **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage.
 
     A lost executor can then only cost the tasks that were running on it, and a recomputation
@@ -49,7 +49,7 @@ def written(df: DataFrame, name: str, *partition_by: str, compression: str = "sn
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).option("compression", compression).parquet(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).options(compression=compression, **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

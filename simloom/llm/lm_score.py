@@ -1,6 +1,7 @@
 """Stupid-backoff language-model scores from counts of the whole corpus, computed relationally.
 
-1. Documents are dealt to blocks of about a million words, as they come, kept as compressed texts.
+1. Documents are dealt to blocks of about a million words, as they come. A block is kept as the
+   numbers of its words in a list of the block's different words, by their 64-bit hashes.
 2. A block's n-grams of all orders are exploded to rows ``(gram, block, n)``, one for each different
    n-gram of the block, named by 64-bit hashes. That is the count before the shuffle: an n-gram that
    stands everywhere is one row a block.
@@ -20,37 +21,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import collected, deleted, flat, in_slices, packed, texts, unpacked, written
+from .common import collected, deleted, flat, in_slices, packed, unpacked, written
 from .words import window_hashes, word_hashes
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
-BLOCK, PASSES = 1_000_000, 4
+BLOCK, PASSES = 1_000_000, 5
 _ROWS = 1 << 16
-_BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("n", pa.int64()), ("words", pa.int64()), ("text", pa.binary())])
-_BLOCKS_SQL = "block long, doc_ids array<long>, sizes binary, n long, words long, text binary"
+_BLOCKS = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("numbers", pa.binary())])
+_BLOCKS_SQL = "block long, n_words long, doc_ids array<long>, sizes binary, words binary, numbers binary"
 
 
 def _deal(block_words: int):
+    def flush(block: int, ids: list, sizes: list, hashes: list):
+        words, numbers = np.unique(np.concatenate(hashes), return_inverse=True)
+        kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
+        row = {"block": block, "n_words": len(numbers), "doc_ids": ids, "sizes": packed(np.concatenate(sizes).astype(np.uint32)), "words": words.tobytes(), "numbers": packed(numbers.astype(kind))}
+        return pa.RecordBatch.from_pylist([row], _BLOCKS)
+
     def run(batches):
         from pyspark import TaskContext
 
-        block, held = TaskContext.get().partitionId() << 32, 0
+        block, ids, sizes, hashes, held = TaskContext.get().partitionId() << 32, [], [], [], 0
         for part in in_slices(batches):
-            data, offsets = flat(part.column(1))
-            words = len(word_hashes(data, offsets)[0])
-            yield pa.RecordBatch.from_pylist([{"block": block, "doc_ids": part.column(0).to_pylist(), "sizes": packed(np.diff(offsets).astype(np.uint32)), "n": len(data), "words": words, "text": pa.compress(data.tobytes(), "zstd", asbytes=True) if len(data) else b""}], _BLOCKS)
-            held += words
+            own, first = word_hashes(*flat(part.column(1)))
+            ids += part.column(0).to_pylist()
+            sizes.append(np.diff(first))
+            hashes.append(own)
+            held += len(own)
             if held >= block_words:
-                block, held = block + 1, 0
+                yield flush(block, ids, sizes, hashes)
+                block, ids, sizes, hashes, held = block + 1, [], [], [], 0
+        if ids:
+            yield flush(block, ids, sizes, hashes)
 
     return run
 
 
-def _grams(sizes: bytes, n: int, text: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Of a row of a block: the place of each document's first word; for each width the n-grams' hashes, and the places of their last words."""
-    data = np.frombuffer(pa.decompress(text, n, "zstd", asbytes=True) if n else b"", np.uint8)
-    hashes, first = word_hashes(data, np.concatenate([[0], np.cumsum(unpacked(sizes), dtype=np.int64)]))
-    before = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))  # words of the document that stand before
+def _grams(row: dict, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of a block: the place of each document's first word; for each width the n-grams' hashes, and the places of their last words."""
+    hashes = np.frombuffer(row["words"], np.uint64)[unpacked(row["numbers"])]
+    sizes = unpacked(row["sizes"]).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    before = np.arange(len(hashes)) - np.repeat(first[:-1], sizes)  # words of the document that stand before
     found, ends = [hashes], [np.arange(len(hashes))]
     for width in range(2, order + 1):
         at = np.flatnonzero(before >= width - 1)
@@ -60,54 +72,42 @@ def _grams(sizes: bytes, n: int, text: bytes, order: int) -> tuple[np.ndarray, l
 
 
 def _exploded(order: int, passes: int, number: int):
-    def flush(block: int, parts: list[np.ndarray]):
-        values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        for at in range(0, len(values), _ROWS):
-            own = values[at : at + _ROWS]
-            yield pa.record_batch({"gram": own.view(np.int64), "block": np.full(len(own), block, np.int64), "n": counts[at : at + _ROWS].astype(np.int64)})
-
     def run(batches):
-        block, parts = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["block"] != block and parts:
-                    yield from flush(block, parts)
-                    parts = []
-                block = row["block"]
-                parts += [x[x % np.uint64(passes) == number] for x in _grams(row["sizes"], row["n"], row["text"], order)[1]]
-        if parts:
-            yield from flush(block, parts)
+                grams = np.concatenate(_grams(row, order)[1])
+                values, counts = np.unique(grams[(grams >> np.uint64(32)) * np.uint64(passes) >> np.uint64(32) == number], return_counts=True)
+                for at in range(0, len(values), _ROWS):
+                    own = values[at : at + _ROWS]
+                    yield pa.record_batch({"gram": own.view(np.int64), "block": np.full(len(own), row["block"], np.int64), "n": counts[at : at + _ROWS].astype(np.int64)})
 
     return run
 
 
 def _score(total: int, order: int, backoff: float, least: int):
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        rows = [(row["doc_ids"], *_grams(row["sizes"], row["n"], row["text"], order)) for row in docs.to_pylist()]
-        tables = []
-        known = counts["gram"].to_numpy().view(np.uint64)
-        for width in range(order):
-            values, own = np.unique(np.concatenate([found[width] for _, _, found, _ in rows]), return_counts=True)
-            at = np.searchsorted(values, known)
-            there = (at < len(values)) & (values[np.minimum(at, max(0, len(values) - 1))] == known) if len(values) else np.zeros(len(known), bool)
-            own[at[there]] = counts["total"].to_numpy()[there]
-            tables.append((values, own))
-        ids, sizes, sums = [], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for doc_ids, first, found, ends in rows:
-            own = [table[np.searchsorted(values, x)].astype(float) for (values, table), x in zip(tables, found)]
-            logs = np.log(own[0] / total)
-            count = own[0]  # of the n-gram of one width less that ends at each word
-            for width in range(2, order + 1):
-                at, here = ends[width - 1], own[width - 1]
+    def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+        (row,) = blocks.to_pylist()
+        first, found, ends = _grams(row, order)
+        known, answers = counts["gram"].to_numpy().view(np.uint64), counts["total"].to_numpy()
+        ranks = np.argsort(known)
+        known, answers = known[ranks], answers[ranks]
+        logs = before = None  # before: the count of the n-gram of one width less that ends at each word
+        for width, (grams, at) in enumerate(zip(found, ends), 1):
+            values, place, own = np.unique(grams, return_inverse=True, return_counts=True)
+            spot = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+            there = known[spot] == values if len(known) else np.zeros(len(values), bool)
+            own[there] = answers[spot[there]]
+            here = own[place].astype(float)
+            if width == 1:
+                logs = np.log(here / total)
+            else:
                 logs[at] += np.log(backoff)
                 seen = here >= least
-                logs[at[seen]] = np.log(here[seen] / count[at[seen] - 1])
-                count = np.zeros(len(logs))
-                count[at] = here
-            ids.append(pa.array(doc_ids, pa.int64()))
-            sizes.append(np.diff(first))
-            sums.append(np.array([logs[a:b].sum() for a, b in zip(first[:-1], first[1:])]))
-        return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_words": np.concatenate(sizes).astype(np.int64), "log_score": np.concatenate(sums)})
+                logs[at[seen]] = np.log(here[seen] / before[at[seen] - 1])
+            before = np.zeros(len(logs))
+            before[at] = here
+        sums = np.array([logs[a:b].sum() for a, b in zip(first[:-1].tolist(), first[1:].tolist())])
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": np.diff(first), "log_score": sums})
 
     return run
 
@@ -128,13 +128,14 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     blocks = written(rows.mapInArrow(_deal(block_words), _BLOCKS_SQL), "lm-blocks", compression="none")
-    total = blocks.agg(F.sum("words")).first()[0] or 1
+    total = blocks.agg(F.sum("n_words")).first()[0] or 1
     same = Window.partitionBy("gram")
     answers = []
     for number in range(passes):
-        grams = blocks.select("block", "sizes", "n", "text").mapInArrow(_exploded(order, passes, number), "gram long, block long, n long")
+        grams = blocks.select("block", "sizes", "words", "numbers").mapInArrow(_exploded(order, passes, number), "gram long, block long, n long")
         counted = grams.select("gram", "block", F.sum("n").over(same).alias("total"), F.count("*").over(same).alias("rows"))
-        answers.append(written(counted.where("rows > 1").select("gram", "block", "total"), "lm-counts"))
+        # sorted by hash as they are, differences of hashes are shorter
+        answers.append(written(counted.where("rows > 1").select("gram", "block", "total"), "lm-counts", **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#gram": "false"}))
         collected(spark)
     out = None
     for number in range(passes):
@@ -142,7 +143,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
         known = None
         for x in answers:
             known = x.where(mine) if known is None else known.unionByName(x.where(mine))
-        own = blocks.where(mine).select("block", "doc_ids", "sizes", "n", "text")
+        own = blocks.where(mine).select("block", "doc_ids", "sizes", "words", "numbers")
         scored = own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(total, order, backoff, least), "doc_id long, n_words long, log_score double")
         part = written(scored, "lm-scores")
         collected(spark)
