@@ -28,6 +28,11 @@ def path_part(path: Column, after: str, k: int) -> Column:
     return F.when((at > 0) & (F.size(parts) >= at + k), F.element_at(parts, at + k))
 
 
+def dataset_of(path: Column, marks: dict[str, str], other: str) -> Column:
+    """The data set of the first of ``marks`` that stands anywhere in ``path``, else ``other``."""
+    return F.coalesce(*(F.when(F.contains(path, F.lit(mark)), name) for mark, name in marks.items()), F.lit(other))
+
+
 def safe_name(path: Column) -> Column:
     """A cache file's name: the scheme goes, slashes become underscores."""
     return F.translate(F.regexp_replace(path, r"^[a-z0-9]+://", ""), "/", "_")

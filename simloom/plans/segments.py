@@ -108,10 +108,10 @@ def tar_index(spark, d):
     return table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("task_name"), F.col("event_type").alias("dataset_dir")).agg(F.sort_array(F.collect_list(F.concat(F.lit("tar"), F.col("event_id").cast("string")))).alias("tars"))
 
 
-@query("WITH p AS (SELECT page_id, string_split(url, '/') AS a, url FROM pages) SELECT page_id, CASE WHEN list_contains(a, '') AND len(a) >= list_position(a, '') + 1 THEN a[list_position(a, '') + 1] END AS host, CASE WHEN len(a) >= list_position(a, '') + 2 THEN a[list_position(a, '') + 2] END AS dataset_dir, CASE WHEN contains(url, 'example.org') THEN 'egotel' ELSE 'egoudas' END AS dataset FROM p")
+@query("WITH p AS (SELECT page_id, string_split(url, '/') AS a, url FROM pages) SELECT page_id, CASE WHEN list_contains(a, '') AND len(a) >= list_position(a, '') + 1 THEN a[list_position(a, '') + 1] END AS host, CASE WHEN len(a) >= list_position(a, '') + 2 THEN a[list_position(a, '') + 2] END AS dataset_dir, CASE WHEN contains(url, 'example.org') THEN 'tele' ELSE 'ego' END AS dataset FROM p")
 def parse_path(spark, d):
     url = F.col("url")
-    return table(spark, d, "pages").select("page_id", fn.path_part(url, "", 1).alias("host"), fn.path_part(url, "", 2).alias("dataset_dir"), F.when(F.contains(url, F.lit("example.org")), "egotel").otherwise("egoudas").alias("dataset"))
+    return table(spark, d, "pages").select("page_id", fn.path_part(url, "", 1).alias("host"), fn.path_part(url, "", 2).alias("dataset_dir"), fn.dataset_of(url, {"example.org": "tele"}, "ego").alias("dataset"))
 
 
 @query("SELECT page_id, replace(regexp_replace(url, '^[a-z0-9]+://', ''), '/', '_') AS name FROM pages")
