@@ -78,6 +78,12 @@ def hungarian_batches(spark, d):
     return op.merged_batches(vectors(spark, d, "ego").join(own, "idx"), vectors(spark, d, "tele").join(own, "idx"), 8)
 
 
+@query()
+def leftover_batches(spark, d):
+    """The batches of what the clusters' own batches leave over."""
+    return hungarian_batches(spark, d).where("cluster IS NULL").drop("cluster")
+
+
 #: Given batches, so that what follows from batches can be told in SQL: 16 ego rows with the tele rows next to them.
 _BATCHES = f"{EGO_TELE}, b AS (SELECT (idx // 32)::INT AS batch_id, ((idx // 2) % 16)::INT AS slot, idx AS ego_idx, idx + 1 AS tele_idx FROM ego QUALIFY count(*) OVER (PARTITION BY idx // 32) = 16), m AS (SELECT x.batch_id, x.slot AS i, y.slot AS j, round(list_dot_product(a.v, c.v), 9) AS sim, a.task AS ti, c.task AS tj FROM b x JOIN b y USING (batch_id) JOIN ego a ON a.idx = x.ego_idx JOIN tele c ON c.idx = y.tele_idx)"
 
