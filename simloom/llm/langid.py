@@ -23,6 +23,8 @@ from .common import deleted, in_slices, texts, written
 
 #: Most labelled texts of each language that the model is learned from, those of least hash.
 SAMPLE = 2000
+#: Most languages of which the numbers of texts are broadcast.
+MOST_BROADCAST = 100_000
 PENALTY = 12.0
 #: Texts are cut to segments of so many words, unless there are more languages than ``MOST_CUT``.
 SEGMENT, MOST_CUT = 512, 12
@@ -259,15 +261,16 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("of"))
+    counts = written(usable.groupBy("lang").agg(F.count("*").alias("of")), "language-counts")
+    few = counts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     # of a large language only ids of low hash are ranked, four times as many as are wanted
-    low = usable.select("doc_id", "lang").join(counts, "lang").where(place * (F.col("of") / (4.0 * sample)) <= float(1 << 40))
+    low = usable.select("doc_id", "lang").join(F.broadcast(counts) if few else counts, "lang").where(place * (F.col("of") / (4.0 * sample)) <= float(1 << 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
     chosen = written(low.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang").distinct(), "language-sample")
     rows = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
     kind = "lang string, grams binary, counts binary, contexts binary, scripts binary"
     pieces = rows.mapInArrow(_learn, kind).groupBy("lang").applyInArrow(_merge, kind).toArrow().to_pylist()
-    deleted(chosen)
+    deleted(chosen, counts)
     languages = sorted({x["lang"] for x in pieces})
     grams = np.zeros((1 << SLOTS, len(languages)))
     contexts = np.zeros((1 << SLOTS, len(languages)))
