@@ -1,6 +1,6 @@
 """Stupid-backoff language-model scores from counts of the whole corpus, computed relationally.
 
-1. Documents are dealt to blocks of about a million words, as they come. A block is kept as the
+1. Documents are dealt to blocks of about two million words, as they come. A block is kept as the
    numbers of its words in a list of the block's different words, by their 64-bit hashes.
 2. A block's n-grams of all orders are exploded to rows ``(gram, block, n)``, one for each different
    n-gram of the block, named by 64-bit hashes. That is the count before the shuffle: an n-gram that
@@ -25,7 +25,7 @@ from .common import collected, deleted, flat, in_slices, packed, unpacked, writt
 from .words import window_hashes, word_hashes
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
-BLOCK, PASSES = 1_000_000, 5
+BLOCK, PASSES = 2_000_000, 5
 _ROWS = 1 << 16
 _BLOCKS = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("numbers", pa.binary())])
 _BLOCKS_SQL = "block long, n_words long, doc_ids array<long>, sizes binary, words binary, numbers binary"
@@ -57,26 +57,27 @@ def _deal(block_words: int):
     return run
 
 
-def _grams(row: dict, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Of a block: the place of each document's first word; for each width the n-grams' hashes, and the places of their last words."""
-    hashes = np.frombuffer(row["words"], np.uint64)[unpacked(row["numbers"])]
+def _places(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block the place of each document's first word, and how many words of its document stand before each word."""
     sizes = unpacked(row["sizes"]).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    before = np.arange(len(hashes)) - np.repeat(first[:-1], sizes)  # words of the document that stand before
-    found, ends = [hashes], [np.arange(len(hashes))]
-    for width in range(2, order + 1):
+    return first, (np.arange(first[-1]) - np.repeat(first[:-1], sizes)).astype(np.uint32)
+
+
+def _grams(row: dict, before: np.ndarray, order: int):
+    """For each width the hashes of a block's n-grams, and the places of their last words; one width at a time."""
+    hashes = np.frombuffer(row["words"], np.uint64)[unpacked(row["numbers"])]
+    for width in range(1, order + 1):
         at = np.flatnonzero(before >= width - 1)
-        ends.append(at)
-        found.append(window_hashes(hashes, width)[at - width + 1])
-    return first, found, ends
+        yield (hashes if width == 1 else window_hashes(hashes, width)[at - width + 1]), at
 
 
 def _exploded(order: int, passes: int, number: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                grams = np.concatenate(_grams(row, order)[1])
-                values, counts = np.unique(grams[(grams >> np.uint64(32)) * np.uint64(passes) >> np.uint64(32) == number], return_counts=True)
+                mine = [x[(x >> np.uint64(32)) * np.uint64(passes) >> np.uint64(32) == number] for x, _ in _grams(row, _places(row)[1], order)]
+                values, counts = np.unique(np.concatenate(mine), return_counts=True)
                 for at in range(0, len(values), _ROWS):
                     own = values[at : at + _ROWS]
                     yield pa.record_batch({"gram": own.view(np.int64), "block": np.full(len(own), row["block"], np.int64), "n": counts[at : at + _ROWS].astype(np.int64)})
@@ -87,12 +88,12 @@ def _exploded(order: int, passes: int, number: int):
 def _score(total: int, order: int, backoff: float, least: int):
     def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
         (row,) = blocks.to_pylist()
-        first, found, ends = _grams(row, order)
+        first, ahead = _places(row)
         known, answers = counts["gram"].to_numpy().view(np.uint64), counts["total"].to_numpy()
         ranks = np.argsort(known)
         known, answers = known[ranks], answers[ranks]
         logs = before = None  # before: the count of the n-gram of one width less that ends at each word
-        for width, (grams, at) in enumerate(zip(found, ends), 1):
+        for width, (grams, at) in enumerate(_grams(row, ahead, order), 1):
             values, place, own = np.unique(grams, return_inverse=True, return_counts=True)
             spot = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
             there = known[spot] == values if len(known) else np.zeros(len(values), bool)
