@@ -1,6 +1,6 @@
 """Stupid-backoff language-model scores from counts of the whole corpus, computed relationally.
 
-1. Documents are dealt to blocks of about two million words, as they come. A block is kept as the
+1. Documents are dealt to blocks of about 1,250,000 words, as they come. A block is kept as the
    numbers of its words in a list of the block's different words, by their 64-bit hashes.
 2. A block's n-grams of all orders are exploded to rows ``(gram, block, n)``, one for each different
    n-gram of the block, named by 64-bit hashes. That is the count before the shuffle: an n-gram that
@@ -25,7 +25,7 @@ from .common import collected, deleted, flat, in_slices, packed, unpacked, writt
 from .words import window_hashes, word_hashes
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
-BLOCK, PASSES = 2_000_000, 5
+BLOCK, PASSES = 1_250_000, 5
 _ROWS = 1 << 16
 _BLOCKS = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("numbers", pa.binary())])
 _BLOCKS_SQL = "block long, n_words long, doc_ids array<long>, sizes binary, words binary, numbers binary"
@@ -67,9 +67,10 @@ def _places(row: dict) -> tuple[np.ndarray, np.ndarray]:
 def _grams(row: dict, before: np.ndarray, order: int):
     """For each width the hashes of a block's n-grams, and the places of their last words; one width at a time."""
     hashes = np.frombuffer(row["words"], np.uint64)[unpacked(row["numbers"])]
-    for width in range(1, order + 1):
+    yield hashes, slice(None)
+    for width in range(2, order + 1):
         at = np.flatnonzero(before >= width - 1)
-        yield (hashes if width == 1 else window_hashes(hashes, width)[at - width + 1]), at
+        yield window_hashes(hashes, width)[at - width + 1], at
 
 
 def _exploded(order: int, passes: int, number: int):
@@ -134,9 +135,9 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
     answers = []
     for number in range(passes):
         grams = blocks.select("block", "sizes", "words", "numbers").mapInArrow(_exploded(order, passes, number), "gram long, block long, n long")
-        counted = grams.select("gram", "block", F.sum("n").over(same).alias("total"), F.count("*").over(same).alias("rows"))
+        counted = grams.select("gram", "block", "n", F.sum("n").over(same).alias("total"))
         # sorted by hash as they are, differences of hashes are shorter
-        answers.append(written(counted.where("rows > 1").select("gram", "block", "total"), "lm-counts", **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#gram": "false"}))
+        answers.append(written(counted.where("total > n").select("gram", "block", "total"), "lm-counts", **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#gram": "false"}))
         collected(spark)
     out = None
     for number in range(passes):
