@@ -10,7 +10,7 @@
 4. A block's n-grams meet their counts, every word gets its score, and scores are summed for each
    document.
 
-Steps 2 and 3 are done in ``passes`` over ranges of hashes, step 4 in as many over the blocks, each
+Steps 2 and 3 are done in ``passes`` over ranges of hashes, step 4 in ``parts`` of the blocks, each
 written before the next: what is on disk at a time is a part of the whole exchange.
 """
 
@@ -25,7 +25,7 @@ from .common import collected, deleted, flat, in_slices, packed, unpacked, writt
 from .words import window_hashes, word_hashes
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
-BLOCK, PASSES = 1_250_000, 5
+BLOCK, PASSES, PARTS = 1_250_000, 5, 3
 _ROWS = 1 << 16
 _BLOCKS = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("numbers", pa.binary())])
 _BLOCKS_SQL = "block long, n_words long, doc_ids array<long>, sizes binary, words binary, numbers binary"
@@ -114,7 +114,7 @@ def _score(total: int, order: int, backoff: float, least: int):
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, block_words: int = BLOCK, passes: int = PASSES) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, block_words: int = BLOCK, passes: int = PASSES, parts: int = PARTS) -> DataFrame:
     """Stupid-backoff score of each text under the counts of all texts.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. Words are runs of characters
@@ -140,8 +140,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
         answers.append(written(counted.where("total > n").select("gram", "block", "total"), "lm-counts", **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#gram": "false"}))
         collected(spark)
     out = None
-    for number in range(passes):
-        mine = F.pmod("block", F.lit(passes)) == number
+    for number in range(parts):
+        mine = F.pmod("block", F.lit(parts)) == number
         known = None
         for x in answers:
             known = x.where(mine) if known is None else known.unionByName(x.where(mine))
