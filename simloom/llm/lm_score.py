@@ -16,6 +16,8 @@ written before the next: what is on disk at a time is a part of the whole exchan
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -114,6 +116,23 @@ def _score(total: int, order: int, backoff: float, least: int):
     return run
 
 
+def _answers(blocks: DataFrame, order: int, passes: int, number: int) -> DataFrame:
+    """``(gram, block, total)`` of one range of hashes, written: the counts of n-grams that several blocks have, for each of those."""
+    grams = blocks.select("block", "sizes", "words", "numbers").mapInArrow(_exploded(order, passes, number), "gram long, block long, n long")
+    counted = grams.select("gram", "block", "n", F.sum("n").over(Window.partitionBy("gram")).alias("total"))
+    # sorted by hash as they are, differences of hashes are shorter
+    short = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#gram": "false"}
+    return written(counted.where("total > n").select("gram", "block", "total"), "lm-counts", **short)
+
+
+def _scored(blocks: DataFrame, answers: list[DataFrame], score, parts: int, number: int) -> DataFrame:
+    """The scores of one part of the blocks, written."""
+    mine = F.pmod("block", F.lit(parts)) == number
+    known = reduce(DataFrame.unionByName, (x.where(mine) for x in answers))
+    own = blocks.where(mine).select("block", "doc_ids", "sizes", "words", "numbers")
+    return written(own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score double"), "lm-scores")
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, block_words: int = BLOCK, passes: int = PASSES, parts: int = PARTS) -> DataFrame:
     """Stupid-backoff score of each text under the counts of all texts.
 
@@ -131,23 +150,12 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     blocks = written(rows.mapInArrow(_deal(block_words), _BLOCKS_SQL), "lm-blocks", compression="none")
     total = blocks.agg(F.sum("n_words")).first()[0] or 1
-    same = Window.partitionBy("gram")
-    answers = []
+    answers, out = [], None
     for number in range(passes):
-        grams = blocks.select("block", "sizes", "words", "numbers").mapInArrow(_exploded(order, passes, number), "gram long, block long, n long")
-        counted = grams.select("gram", "block", "n", F.sum("n").over(same).alias("total"))
-        # sorted by hash as they are, differences of hashes are shorter
-        answers.append(written(counted.where("total > n").select("gram", "block", "total"), "lm-counts", **{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#gram": "false"}))
+        answers.append(_answers(blocks, order, passes, number))
         collected(spark)
-    out = None
     for number in range(parts):
-        mine = F.pmod("block", F.lit(parts)) == number
-        known = None
-        for x in answers:
-            known = x.where(mine) if known is None else known.unionByName(x.where(mine))
-        own = blocks.where(mine).select("block", "doc_ids", "sizes", "words", "numbers")
-        scored = own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(total, order, backoff, least), "doc_id long, n_words long, log_score double")
-        part = written(scored, "lm-scores")
+        part = _scored(blocks, answers, _score(total, order, backoff, least), parts, number)
         collected(spark)
         out = part if out is None else out.unionByName(part)
     deleted(blocks, *answers)
