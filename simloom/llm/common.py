@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import re
 import tempfile
 import uuid
@@ -31,6 +31,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 #: Rows of an Arrow batch between the JVM and Python; both hold whole batches of texts.
 ARROW_ROWS = 2000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -55,10 +56,15 @@ def written(df: DataFrame, name: str, *partition_by: str, compression: str = "sn
     return out
 
 
-def collected(spark: SparkSession) -> None:
-    """Let the driver notice which shuffles nothing refers to any more: Spark removes their files then, which else stay for long."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextlib.contextmanager
+def short_shuffles(spark: SparkSession):
+    """Shuffle files of what is run here are removed as soon as it ends; what is run must not be run again."""
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, was)
 
 
 def plain_names(docs: DataFrame, *keep: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import collected, deleted, flat, in_slices, packed, unpacked, written
+from .common import deleted, flat, in_slices, packed, short_shuffles, unpacked, written
 from .words import window_hashes, word_hashes
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
@@ -151,12 +151,11 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, lea
     blocks = written(rows.mapInArrow(_deal(block_words), _BLOCKS_SQL), "lm-blocks", compression="none")
     total = blocks.agg(F.sum("n_words")).first()[0] or 1
     answers, out = [], None
-    for number in range(passes):
-        answers.append(_answers(blocks, order, passes, number))
-        collected(spark)
-    for number in range(parts):
-        part = _scored(blocks, answers, _score(total, order, backoff, least), parts, number)
-        collected(spark)
-        out = part if out is None else out.unionByName(part)
+    with short_shuffles(spark):
+        for number in range(passes):
+            answers.append(_answers(blocks, order, passes, number))
+        for number in range(parts):
+            part = _scored(blocks, answers, _score(total, order, backoff, least), parts, number)
+            out = part if out is None else out.unionByName(part)
     deleted(blocks, *answers)
     return out.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("word_log_score"))
