@@ -1,6 +1,6 @@
 """Stupid-backoff language-model scores from counts of the whole corpus, computed relationally.
 
-1. Documents are dealt to blocks of about 1,250,000 words, as they come. A block is kept as the
+1. Documents are dealt to blocks of about 750,000 words, as they come. A block is kept as the
    numbers of its words in a list of the block's different words, by their 64-bit hashes.
 2. A block's n-grams of all orders are exploded to rows ``(gram, block, n)``, one for each different
    n-gram of the block, named by 64-bit hashes. That is the count before the shuffle: an n-gram that
@@ -27,7 +27,7 @@ from .common import deleted, flat, in_slices, packed, short_shuffles, unpacked,
 from .words import window_hashes, word_hashes
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
-BLOCK, PASSES, PARTS = 1_250_000, 5, 3
+BLOCK, PASSES, PARTS = 750_000, 5, 3
 _ROWS = 1 << 16
 _BLOCKS = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("numbers", pa.binary())])
 _BLOCKS_SQL = "block long, n_words long, doc_ids array<long>, sizes binary, words binary, numbers binary"
