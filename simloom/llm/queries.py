@@ -16,6 +16,7 @@ from .line_dedup import line_report
 from .lm_score import lm_scores
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .token_files import token_files
 from .toxicity import toxicity_scores
 from .url_filter import judge_urls, path_of
 from .warc import write_archive
@@ -83,7 +84,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filters, op3_warc, op4_lm_scoring, op5_exact_dedup, op6_benchmark_decontamination, op7_line_dedup, op8_language_id, op9_toxicity, op10_mixing)}
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of all documents' ids, out of the files that hold them."""
+    import public_tokenizers
+
+    return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).digests()
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filters, op3_warc, op4_lm_scoring, op5_exact_dedup, op6_benchmark_decontamination, op7_line_dedup, op8_language_id, op9_toxicity, op10_mixing, op11_token_ids)}
 
 SQL = {
     "op1_ngram_jaccard_join": f"""
