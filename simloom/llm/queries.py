@@ -12,6 +12,7 @@ from .common import bound_batches
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .langid import language_id
+from .lexical import lexical_search
 from .line_dedup import line_report
 from .lm_score import lm_scores
 from .mixing import mix_sources
@@ -91,7 +92,12 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).digests()
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filters, op3_warc, op4_lm_scoring, op5_exact_dedup, op6_benchmark_decontamination, op7_line_dedup, op8_language_id, op9_toxicity, op10_mixing, op11_token_ids)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each item of the benchmark."""
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filters, op3_warc, op4_lm_scoring, op5_exact_dedup, op6_benchmark_decontamination, op7_line_dedup, op8_language_id, op9_toxicity, op10_mixing, op11_token_ids, op13_lexical_search)}
 
 SQL = {
     "op1_ngram_jaccard_join": f"""
@@ -186,5 +192,16 @@ o AS (SELECT p.*, sum(size) OVER (PARTITION BY no, shard ORDER BY key, size ROWS
 SELECT o.doc_id, o.size, s.w::BIGINT AS source_size, s.target,
   coalesce(CASE WHEN o.size > 0 THEN times * o.size + CASE WHEN more > 0 THEN greatest(0, least(e, (f + more) * 16) - greatest(e - o.size, f * 16)) + greatest(0, least(e, (f + more - blocks) * 16) - (e - o.size)) ELSE 0 END ELSE 0 END, 0)::BIGINT AS taken
 FROM o JOIN s USING (no) LEFT JOIN g ON g.no = o.no AND g.shard = o.shard
+""",
+    "op13_lexical_search": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS a FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+q AS (SELECT item_id, t, count(*) AS r FROM b GROUP BY item_id, t),
+size AS (SELECT count(*) FILTER (len(a) > 0) AS n, sum(len(a))::BIGINT AS l FROM d),
+f AS (SELECT doc_id, n_doc, t, count(*) AS tf FROM (SELECT doc_id, len(a) AS n_doc, unnest(a) AS t FROM d) GROUP BY doc_id, n_doc, t),
+w AS (SELECT t, floor(1000 * ln((2 * size.n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, size GROUP BY t, size.n),
+s AS (SELECT item_id, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n_doc * n) // l))))::BIGINT AS score FROM q JOIN w USING (t) JOIN f USING (t), size GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """,
 }
