@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 from .decontaminate import contamination
+from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .langid import language_id
 from .lexical import lexical_search
@@ -92,12 +93,17 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).digests()
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ."""
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each item of the benchmark."""
     return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filters, op3_warc, op4_lm_scoring, op5_exact_dedup, op6_benchmark_decontamination, op7_line_dedup, op8_language_id, op9_toxicity, op10_mixing, op11_token_ids, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filters, op3_warc, op4_lm_scoring, op5_exact_dedup, op6_benchmark_decontamination, op7_line_dedup, op8_language_id, op9_toxicity, op10_mixing, op11_token_ids, op12_source_divergence, op13_lexical_search)}
 
 SQL = {
     "op1_ngram_jaccard_join": f"""
@@ -192,6 +198,24 @@ o AS (SELECT p.*, sum(size) OVER (PARTITION BY no, shard ORDER BY key, size ROWS
 SELECT o.doc_id, o.size, s.w::BIGINT AS source_size, s.target,
   coalesce(CASE WHEN o.size > 0 THEN times * o.size + CASE WHEN more > 0 THEN greatest(0, least(e, (f + more) * 16) - greatest(e - o.size, f * 16)) + greatest(0, least(e, (f + more - blocks) * 16) - (e - o.size)) ELSE 0 END ELSE 0 END, 0)::BIGINT AS taken
 FROM o JOIN s USING (no) LEFT JOIN g ON g.no = o.no AND g.shard = o.shard
+""",
+    "op12_source_divergence": f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS a FROM documents),
+t AS (SELECT lang, source, id, unnest(a) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS w FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT gn.lang, gn.source, k.term, coalesce(n, 0) AS n, (1 + (1000000000 * (coalesce(n, 0) + 5)) // (w + 5 * v))::BIGINT AS p FROM gn JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+l AS (SELECT lang, term, sum(n)::HUGEINT AS n, sum(sum(n)) OVER (PARTITION BY lang) AS w FROM c GROUP BY lang, term),
+q AS (SELECT l.lang, term, (1 + (1000000000 * (n + 5)) // (w::HUGEINT + 5 * v))::BIGINT AS q FROM l JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT * FROM s WHERE part = 'pair' OR rank <= 50
 """,
     "op13_lexical_search": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS a FROM documents),

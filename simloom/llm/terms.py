@@ -73,3 +73,26 @@ class Names:
             return np.zeros(0, np.uint64), pa.array([], pa.string())
         hashes, at = np.unique(np.concatenate(self.hashes), return_index=True)
         return hashes, pa.concat_arrays(self.names).take(pa.array(at))
+
+
+def whole(parts: Iterator[tuple]) -> Iterator[tuple]:
+    """What ``counted`` gives, the parts of a long text put together."""
+    held: list[tuple] = []
+
+    def joined():
+        if len(held) == 1:
+            return held[0]
+        names = Names()
+        for part in held:
+            names.add(part[4])
+        hashes, at = np.unique(np.concatenate([p[2] for p in held]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([p[3] for p in held]), len(hashes)).astype(np.int64)
+        return held[0][0], np.zeros(len(hashes), np.int64), hashes, counts, names.all()
+
+    for part in parts:
+        if part[0] is not None and held:
+            yield joined()
+            held = []
+        held.append(part)
+    if held:
+        yield joined()
