@@ -33,7 +33,7 @@ END = 0
 PART, PIECE, SHARD_BYTES = 1 << 16, 1 << 22, 32 << 20
 #: Chunks that are encoded as one text.
 _JOINED = 4096
-#: Chunks whose ids a task remembers; beyond, it starts to remember anew.
+#: Chunks whose ids a worker remembers; beyond, it starts to remember anew.
 REMEMBERED = 3 << 18
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 1 << 18, 2048
 _SQL = "shard int, doc_no long, part int, doc_id long, start long, n_ids int, ids array<int>"
@@ -59,7 +59,7 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """A tokenizer that encodes each different chunk of text once; made once for each task."""
+    """A tokenizer that encodes each different chunk of text once; tasks of one worker share it."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
@@ -125,11 +125,22 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, piece: int) -> Iterator[tuple
         at, size = at + int(found[-1]), piece
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _encoder(*args) -> Encoder:
+    """An encoder that tasks of one worker hand on, with what it remembers."""
+    if args not in _encoders:
+        _encoders.clear()
+        _encoders[args] = Encoder(*args)
+    return _encoders[args]
+
+
 def _encode(path: str, most: int, piece: int, remembered: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, shard, doc_no, start = Encoder(path, remembered), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, doc_no, start = _encoder(path, remembered), TaskContext.get().partitionId(), 0, 0
         for rows in in_slices(batches, piece):
             data, offsets = flat(rows.column(1))
             doc_ids, part = rows.column(0).to_pylist(), 0
