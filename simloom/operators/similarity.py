@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from simloom.functions.vector import dot
 
 BLOCK_BYTES, TILE = 64 << 20, 2048
+#: More than what bounds can be off by, as they and products are rounded.
+SLACK = 1e-7
 _BLOCK_SQL = "block int, ids array<long>, tasks array<long>, groups array<long>, matrix binary"
 
 
@@ -29,25 +31,35 @@ def _cores(rows: DataFrame) -> int:
     return rows.sparkSession.sparkContext.defaultParallelism
 
 
+def block_of(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """One block's row out of its vectors' rows, and their matrix."""
+    rows = rows.sort_values("idx")
+    matrix = np.stack(rows["v"].to_numpy()).astype(np.float64)
+    short = matrix.astype(np.float32)
+    raw = b"4" + short.tobytes() if np.array_equal(short, matrix) else b"8" + matrix.tobytes()
+    return pd.DataFrame({"block": [rows["block"].iloc[0]], "ids": [rows["idx"].tolist()], "tasks": [rows["task"].tolist()], "groups": [rows["grp"].tolist()], "matrix": [raw]}), matrix
+
+
+def block_rows(vectors: DataFrame) -> tuple[int, int]:
+    """How many vectors there are, and how many to put into a block."""
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    most = max(TILE, BLOCK_BYTES // (4 * max(1, size["width"] or 1)))
+    return size["n"], min(most, max(TILE, math.ceil(size["n"] / math.ceil(math.sqrt(2 * _cores(vectors))))))
+
+
 def packed(vectors: DataFrame, within: str | None = None) -> DataFrame:
     """Rows ``(idx, task, grp, v)`` as blocks, dealt by hash of ``idx``; ``within``: a column of which each value has blocks of its own.
 
     Values are kept in four bytes where that loses nothing.
     """
-    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
-    most = max(TILE, BLOCK_BYTES // (4 * max(1, size["width"] or 1)))
-    rows = min(most, max(TILE, math.ceil(size["n"] / math.ceil(math.sqrt(2 * _cores(vectors))))))
+    n, rows = block_rows(vectors)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        matrix = np.stack(rows["v"].to_numpy()).astype(np.float64)
-        short = matrix.astype(np.float32)
-        raw = b"4" + short.tobytes() if np.array_equal(short, matrix) else b"8" + matrix.tobytes()
-        out = pd.DataFrame({"block": [rows["block"].iloc[0]], "ids": [rows["idx"].tolist()], "tasks": [rows["task"].tolist()], "groups": [rows["grp"].tolist()], "matrix": [raw]})
+        out, _ = block_of(rows)
         return out if within is None else out.assign(own=[rows["own"].iloc[0]])
 
     if within is None:
-        blocks = -(-size["n"] // rows)
+        blocks = -(-n // rows)
         dealt = vectors.select("idx", "task", "grp", "v", F.pmod(F.xxhash64("idx"), F.lit(max(1, blocks))).cast("int").alias("block"))
         out = dealt.groupBy("block").applyInPandas(pack, _BLOCK_SQL)
         out._blocks = blocks  # so that they need not be counted
@@ -57,16 +69,21 @@ def packed(vectors: DataFrame, within: str | None = None) -> DataFrame:
     return dealt.groupBy("own", "block").applyInPandas(pack, f"{_BLOCK_SQL}, own {vectors.schema[within].dataType.simpleString()}")
 
 
-def tiles(a: DataFrame, b: DataFrame, kernel: Callable, schema: str, half: bool = False, merge: Callable | None = None) -> DataFrame:
+def tiles(a: DataFrame, b: DataFrame, kernel: Callable, schema: str, half: bool = False, merge: Callable | None = None, chosen: DataFrame | None = None, sign: int = 1) -> DataFrame:
     """``kernel(x, y, sims, own)`` on the pieces of each pair of blocks, as ``packed`` makes them.
 
     ``x`` and ``y`` are ``(ids, tasks, groups)``. ``half``: of one collection with itself, each pair of
     pieces once; ``own`` tells that a piece meets itself, its ids rising. ``merge`` makes one frame of
     those of one piece of ``x`` with all of ``y``. Blocks made within a column meet those of the same
-    value only.
+    value only. ``chosen``: the blocks ``(i, j, floor)`` that meet, in place of all; the blocks of ``b`` then have a ``centre`` and
+    a ``radius``, and rows of ``i`` of which no product with a row of ``j``, times ``sign``, can reach ``floor`` are left out.
     """
     left, right = (x.select(*(F.col(c).alias(f"{side}_{c}") for c in x.columns)) for side, x in (("a", a), ("b", b)))
-    if "own" in a.columns:
+    if chosen is not None:
+        left = left.join(chosen, F.col("a_block") == F.col("i")).repartition("i", "j")
+        right = right.join(chosen.select("i", "j"), F.col("b_block") == F.col("j")).repartition("i", "j")
+        pairs = left.join(right.hint("merge"), ["i", "j"]).drop("i", "j")
+    elif "own" in a.columns:
         pairs = left.join(right, F.col("a_own") == F.col("b_own")).repartition("a_own", "a_block", "b_block")
     else:
         n, m = a._blocks, b._blocks
@@ -77,6 +94,8 @@ def tiles(a: DataFrame, b: DataFrame, kernel: Callable, schema: str, half: bool
         right = right.select("*", F.col("b_block").alias("j"), F.explode(F.sequence(F.lit(0), high)).alias("i")).repartition(min(n * m, 4096), "i", "j")
         pairs = left.join(right.hint("merge"), ["i", "j"]).drop("i", "j")
 
+    bounded = chosen is not None
+
     def side(row, name):
         ids, raw = np.asarray(row[f"{name}_ids"]), row[f"{name}_matrix"]
         matrix = np.frombuffer(raw, np.float32 if raw[:1] == b"4" else np.float64, offset=1)
@@ -87,6 +106,11 @@ def tiles(a: DataFrame, b: DataFrame, kernel: Callable, schema: str, half: bool
             for _, row in rows.iterrows():
                 (x, left), (y, right) = side(row, "a"), side(row, "b")
                 same = half and row["a_block"] == row["b_block"]
+                if bounded and not same:
+                    wide = left.astype(np.float64)
+                    reach = sign * (wide @ np.asarray(row["b_centre"])) + np.linalg.norm(wide, axis=1) * row["b_radius"]
+                    may = reach >= row["floor"] - SLACK
+                    x, left = tuple(c[may] for c in x), left[may]
                 for k in range(0, len(left), TILE):
                     part, found = left[k : k + TILE].astype(np.float64), []
                     for j in range(k if same else 0, len(right), TILE):
@@ -149,8 +173,8 @@ def cluster_stats(ego: DataFrame, tele: DataFrame, cluster: str = "cluster") ->
     return _merged(tiles(*blocks, kernel, f"`{cluster}` long, {_MOMENTS_SQL}").withColumn(cluster, F.col(cluster).cast(kind)), cluster)
 
 
-def topk(ego: DataFrame, tele: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` most similar tele rows of each ego row; ties (to 9 decimals) by index. ``tele`` may come in blocks already."""
+def topk_parts(k: int) -> tuple[Callable, Callable, str]:
+    """What ``tiles`` needs for the best ``k`` of each row."""
 
     def kernel(x, y, sims, own):
         sims = np.round(sims, 9)
@@ -161,14 +185,22 @@ def topk(ego: DataFrame, tele: DataFrame, k: int = 10) -> DataFrame:
     def merge(found):
         return found.sort_values(["query_idx", "sim", "match_idx"], ascending=[True, False, True]).groupby("query_idx").head(k)
 
-    near = tiles(packed(ego), tele if "matrix" in tele.columns else packed(tele), kernel, "query_idx long, query_task long, match_idx long, match_task long, sim double", merge=merge)
+    return kernel, merge, "query_idx long, query_task long, match_idx long, match_task long, sim double"
+
+
+def ranked(near: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of each query among those of its tiles."""
     rank = F.row_number().over(Window.partitionBy("query_idx").orderBy(F.desc("sim"), "match_idx"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("same_task", F.col("query_task") == F.col("match_task"))
 
 
-def best_pairs(a: DataFrame, b: DataFrame, k: int, largest: bool = True, within: bool = False, least: float | None = None) -> DataFrame:
-    """The ``k`` most (or least) similar pairs overall; ``within``: of one collection, i < j and different groups; ``least``: of those from it on."""
+def topk(ego: DataFrame, tele: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` most similar tele rows of each ego row; ties (to 9 decimals) by index. ``tele`` may come in blocks already."""
+    kernel, merge, schema = topk_parts(k)
+    return ranked(tiles(packed(ego), tele if "matrix" in tele.columns else packed(tele), kernel, schema, merge=merge), k)
+
 
+def best_pairs_kernel(k: int, largest: bool, within: bool, least: float | None) -> Callable:
     def kernel(x, y, sims, own):
         sims = np.round(sims, 9)
         use = np.ones(sims.shape, bool) if least is None else sims >= least
@@ -182,8 +214,13 @@ def best_pairs(a: DataFrame, b: DataFrame, k: int, largest: bool = True, within:
             first, second = np.minimum(first, second), np.maximum(first, second)
         return _first(pd.DataFrame({"i": first, "j": second, "sim": s}), (second, first, -s if largest else s), k)
 
+    return kernel
+
+
+def best_pairs(a: DataFrame, b: DataFrame, k: int, largest: bool = True, within: bool = False, least: float | None = None) -> DataFrame:
+    """The ``k`` most (or least) similar pairs overall; ``within``: of one collection, i < j and different groups; ``least``: of those from it on."""
     blocks = packed(a)
-    found = tiles(blocks, blocks if within else packed(b), kernel, "i long, j long, sim double", half=within)
+    found = tiles(blocks, blocks if within else packed(b), best_pairs_kernel(k, largest, within, least), "i long, j long, sim double", half=within)
     return found.orderBy(F.desc("sim") if largest else F.asc("sim"), "i", "j").limit(k)
 
 
@@ -255,15 +292,18 @@ def search(index: DataFrame, query: list[float], k: int = 5) -> DataFrame:
     return index.select("idx", "task", sim.alias("sim")).orderBy(F.desc("sim"), F.desc("idx")).limit(k)
 
 
-def threshold_pairs(a: DataFrame, b: DataFrame, positive: float = 0.85, negative: float = 0.70) -> DataFrame:
-    """Pairs labelled 1 from ``positive`` on and 0 up to ``negative``; those between are not pairs."""
-
+def threshold_kernel(positive: float, negative: float) -> Callable:
     def kernel(x, y, sims, own):
         sims = np.round(sims, 9)
         i, j = np.nonzero((sims >= positive) | (sims <= negative))
         return pd.DataFrame({"i": x[0][i], "j": y[0][j], "sim": sims[i, j], "label": (sims[i, j] >= positive).astype(np.int32)})
 
-    return tiles(packed(a), packed(b), kernel, "i long, j long, sim double, label int")
+    return kernel
+
+
+def threshold_pairs(a: DataFrame, b: DataFrame, positive: float = 0.85, negative: float = 0.70) -> DataFrame:
+    """Pairs labelled 1 from ``positive`` on and 0 up to ``negative``; those between are not pairs."""
+    return tiles(packed(a), packed(b), threshold_kernel(positive, negative), "i long, j long, sim double, label int")
 
 
 def pair_similarity(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

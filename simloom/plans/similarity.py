@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions.vector import dot, similarity
 from simloom.operators import reports
+from simloom.operators import pruned
 from simloom.operators import similarity as op
 from simloom.sources.tables import table, vectors
 
@@ -19,7 +20,7 @@ POSITIVE, NEGATIVE = 0.30, -0.10
 
 @query(f"WITH {CROSS}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS rank FROM x) SELECT i AS query_idx, ti AS query_task, j AS match_idx, tj AS match_task, s AS sim, rank::INT AS rank, ti = tj AS same_task FROM r WHERE rank <= 5")
 def topk(spark, d):
-    return op.topk(vectors(spark, d, "ego"), vectors(spark, d, "tele"), 5)
+    return pruned.topk(vectors(spark, d, "ego"), vectors(spark, d, "tele"), 5)
 
 
 @query(f"WITH {CROSS} SELECT count(*) AS n_pairs, {_STATS} FROM x")
@@ -40,18 +41,18 @@ def self_stats(spark, d):
 @query(f"WITH {EGO_TELE} SELECT a.idx AS i, b.idx AS j, round(list_dot_product(a.v, b.v), 9) AS sim FROM ego a, ego b WHERE a.idx < b.idx AND a.grp <> b.grp ORDER BY sim DESC, i, j LIMIT 10")
 def self_top_pairs(spark, d):
     ego = vectors(spark, d, "ego")
-    return op.best_pairs(ego, ego, 10, within=True)
+    return pruned.best_pairs(ego, ego, 10, within=True)
 
 
 @query(f"WITH {CROSS} (SELECT i, j, s AS sim, 'top' AS part FROM x ORDER BY s DESC, i, j LIMIT 18) UNION ALL (SELECT i, j, s, 'bottom' FROM x ORDER BY s, i, j LIMIT 10)")
 def top_bottom(spark, d):
     ego, tele = vectors(spark, d, "ego"), vectors(spark, d, "tele")
-    return op.best_pairs(ego, tele, 18).withColumn("part", F.lit("top")).unionByName(op.best_pairs(ego, tele, 10, largest=False).withColumn("part", F.lit("bottom")))
+    return pruned.best_pairs(ego, tele, 18).withColumn("part", F.lit("top")).unionByName(pruned.best_pairs(ego, tele, 10, largest=False).withColumn("part", F.lit("bottom")))
 
 
 @query(f"WITH {CROSS} SELECT i, j, s AS sim, (s >= {POSITIVE})::INT AS label FROM x WHERE s >= {POSITIVE} OR s <= {NEGATIVE}")
 def threshold_pairs(spark, d):
-    return op.threshold_pairs(vectors(spark, d, "ego"), vectors(spark, d, "tele"), POSITIVE, NEGATIVE)
+    return pruned.threshold_pairs(vectors(spark, d, "ego"), vectors(spark, d, "tele"), POSITIVE, NEGATIVE)
 
 
 @query(f"WITH {EGO_TELE}, q AS (SELECT v FROM e WHERE idx = 0) SELECT e.idx, e.task, round(list_dot_product(e.v, q.v), 9) AS sim FROM e, q ORDER BY sim DESC, e.idx DESC LIMIT 5")
