@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 
 from simloom.functions.series import assigned
 from simloom.functions.vector import dot
+from simloom.operators.auction import auction
 from simloom.operators.segments import numbered, seeded
+from simloom.sources.scratch import stored
 
 CHUNK = 512
+#: Most rows of a cluster's smaller side that are assigned in one task.
+MOST_ROWS = 4096
 
 
 def next_prime(n: int) -> int:
@@ -127,14 +131,39 @@ def best_pairs(e: np.ndarray, t: np.ndarray, most_bytes: int = 1 << 28) -> tuple
     return i[order], j[order], value[order]
 
 
-def one_to_one_batches(ego: DataFrame, tele: DataFrame, batch: int) -> DataFrame:
+def one_to_one_batches(ego: DataFrame, tele: DataFrame, batch: int, most_rows: int = MOST_ROWS, eps: float = 1e-6) -> DataFrame:
     """One-to-one batches in each cluster: ``(cluster, batch_no, slot, ego_idx, tele_idx, sim)``.
 
     Repeated ``min(E // batch, T // batch)`` times: an assignment of largest total similarity over
     what is left, of which the ``batch`` best pairs make a batch. What is left of a best assignment
     without some of its pairs is a best assignment of the other rows, so that one for each cluster
-    serves all its batches. It takes cubic time in the cluster's smaller side at worst.
+    serves all its batches. A cluster whose smaller side has up to ``most_rows`` is assigned exactly in one task, in cubic time at worst; a larger
+    one by ``auction``, whose total is at most ``eps`` for each row of that side below the best.
     """
+    ego, tele = (x.select(F.col("cluster").cast("int").alias("cluster"), "idx", "v") for x in (ego, tele))
+    sizes = ego.groupBy("cluster").count().withColumnRenamed("count", "e").join(tele.groupBy("cluster").agg(F.count("*").alias("t")), "cluster")
+    large = [(r["cluster"], r["e"] <= r["t"]) for r in sizes.where(F.least("e", "t") > most_rows).collect()]
+    if not large:
+        return _small_batches(ego, tele, batch)
+    names = [c for c, _ in large]
+    out = _small_batches(ego.where(~F.col("cluster").isin(names)), tele.where(~F.col("cluster").isin(names)), batch)
+    for ego_bids in (True, False):
+        some = F.col("cluster").isin([c for c, few in large if few == ego_bids])
+        bidders, rows = (ego, tele) if ego_bids else (tele, ego)
+        pairs = auction(bidders.where(some), rows.where(some), eps).select("cluster", *(F.col(c).alias(n) for c, n in (("bidder", "ego_idx"), ("row", "tele_idx")) if ego_bids), *(F.col(c).alias(n) for c, n in (("row", "ego_idx"), ("bidder", "tele_idx")) if not ego_bids), F.col("value").alias("sim"))
+        out = out.unionByName(_in_batches(pairs.join(F.broadcast(sizes), "cluster"), batch))
+    return out
+
+
+def _in_batches(pairs: DataFrame, batch: int) -> DataFrame:
+    """Pairs ``(cluster, ego_idx, tele_idx, sim, e, t)`` of an assignment, the best first, in full batches."""
+    order = Window.partitionBy("cluster").orderBy(F.desc(F.round("sim", 9)), "ego_idx")
+    nth = pairs.withColumn("nth", F.row_number().over(order) - 1).where(F.col("nth") < F.least(F.expr(f"e DIV {batch}"), F.expr(f"t DIV {batch}")) * batch)
+    return nth.select("cluster", F.expr(f"nth DIV {batch}").cast("int").alias("batch_no"), (F.col("nth") % batch).cast("int").alias("slot"), "ego_idx", "tele_idx", "sim")
+
+
+def _small_batches(ego: DataFrame, tele: DataFrame, batch: int) -> DataFrame:
+    """The same for clusters of which each is assigned in one task."""
 
     def solve(key, e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         e, t = e.sort_values("idx"), t.sort_values("idx")
@@ -146,13 +175,13 @@ def one_to_one_batches(ego: DataFrame, tele: DataFrame, batch: int) -> DataFrame
         return pd.DataFrame({"cluster": key[0], "batch_no": number, "slot": slot, "ego_idx": e["idx"].to_numpy()[i], "tele_idx": t["idx"].to_numpy()[j], "sim": sim})
 
     columns = ["cluster", "batch_no", "slot", "ego_idx", "tele_idx", "sim"]
-    ego, tele = (x.select("cluster", "idx", "v").toDF("cluster", "idx", "v") for x in (ego, tele))
+    ego, tele = (x.toDF("cluster", "idx", "v") for x in (ego, tele))
     return ego.groupBy("cluster").cogroup(tele.groupBy("cluster")).applyInPandas(solve, "cluster int, batch_no int, slot int, ego_idx long, tele_idx long, sim double")
 
 
 def merged_batches(ego: DataFrame, tele: DataFrame, batch: int) -> DataFrame:
     """``one_to_one_batches``, then those of one more assignment over all rows that no cluster's batch uses; their cluster is null."""
-    own = one_to_one_batches(ego, tele, batch).persist()
+    own = stored(one_to_one_batches(ego, tele, batch), "cluster-batches")
     rest = (leftovers(x.select("idx", "v"), own, side).select(F.lit(0).alias("cluster"), "idx", "v") for x, side in ((ego, "ego"), (tele, "tele")))
     return own.unionByName(one_to_one_batches(*rest, batch).withColumn("cluster", F.lit(None).cast("int")))
 
