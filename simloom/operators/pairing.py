@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions.series import assigned
 from simloom.functions.vector import dot
 from simloom.operators.auction import auction
+from simloom.operators.clustering import fit_minibatch
 from simloom.operators.segments import numbered, seeded
 from simloom.sources.scratch import stored
 
@@ -67,9 +69,11 @@ def sampled_pairing(ego: DataFrame, tele: DataFrame, candidates: DataFrame, chun
     return queries.groupBy("chunk").cogroup(offered.groupBy("chunk")).applyInPandas(best, "tele_idx long, tele_task long, ego_idx long, ego_task long, sim double")
 
 
-def fit_clusters(vectors: DataFrame, k: int, iterations: int = 100, seed: int = 42):
-    """k-means over all rows; gives ``(cluster, center)``."""
-    model = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features").fit(vectors.select(array_to_vector("v").alias("features")))
+def fit_clusters(vectors: DataFrame, k: int, iterations: int = 100, seed: int = 42, starts: int = 3):
+    """k-means over all rows, the best of several starts by cost; gives ``(cluster, center)``."""
+    rows = vectors.select(array_to_vector("v").alias("features"))
+    fits = (KMeans(k=k, maxIter=iterations, seed=seed + s, featuresCol="features").fit(rows) for s in range(starts))
+    model = min(fits, key=lambda m: m.summary.trainingCost)
     return vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, center array<double>")
 
 
@@ -95,16 +99,24 @@ def collapsed(clusters: DataFrame, k: int) -> bool:
 
 
 def cluster(vectors: DataFrame, k: int, iterations: int = 100, seed: int = 42, most_dims: int = 256) -> DataFrame:
-    """Rows with their ``cluster``: k-means, or where it has collapsed bisecting k-means on at most ``most_dims`` principal components."""
-    found = assign_clusters(vectors, fit_clusters(vectors, k, iterations, seed))
-    if not collapsed(found, k):
-        return found
-    rows = vectors.withColumn("features", array_to_vector("v"))
+    """Rows with their ``cluster``: k-means; where that fails or has collapsed, mini-batch k-means on at most ``most_dims`` principal components."""
+    try:
+        found = assign_clusters(vectors, fit_clusters(vectors, k, iterations, seed))
+        if not collapsed(found, k):
+            return found
+    except Exception as failed:  # whatever it is, there is another way
+        warnings.warn(f"k-means failed, mini-batches are tried: {failed}", stacklevel=2)
+    return fallback_clusters(vectors, k, iterations, seed, most_dims)
+
+
+def fallback_clusters(vectors: DataFrame, k: int, steps: int = 100, seed: int = 42, most_dims: int = 256) -> DataFrame:
+    """Rows with their ``cluster`` by mini-batch k-means on at most ``most_dims`` principal components."""
     first = vectors.select(F.size("v").alias("n")).first()
+    rows = vectors
     if first and first["n"] > most_dims:
-        rows = PCA(k=most_dims, inputCol="features", outputCol="reduced").fit(rows).transform(rows).drop("features").withColumnRenamed("reduced", "features")
-    model = BisectingKMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
-    return model.transform(rows).drop("features", "v")
+        rows = vectors.withColumn("features", array_to_vector("v"))
+        rows = PCA(k=most_dims, inputCol="features", outputCol="reduced").fit(rows).transform(rows).withColumn("v", vector_to_array("reduced")).drop("features", "reduced")
+    return assign_clusters(rows, fit_minibatch(rows.select("idx", "v"), k, steps, seed=seed))
 
 
 def best_pairs(e: np.ndarray, t: np.ndarray, most_bytes: int = 1 << 28) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -61,6 +61,13 @@ def kmeans_fit(spark, d):
     return op.assign_clusters(rows.select("idx", "task", "v"), op.fit_clusters(rows, K, 20))
 
 
+@query()
+def kmeans_minibatch(spark, d):
+    """Rows with their cluster by mini-batch k-means; held against the same batches in NumPy in the tests."""
+    rows = vectors(spark, d)
+    return op.assign_clusters(rows.select("idx", "task", "v"), op.fit_minibatch(rows.select("idx", "v"), K, 20, starts=3))
+
+
 @query(f"WITH {_CENTERS}, s AS (SELECT cluster, count(*) AS n FROM cl GROUP BY cluster) SELECT count(*) AS n_clusters, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS largest FROM s")
 def cluster_stats(spark, d):
     return _clusters(spark, d).groupBy("cluster").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_clusters"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("least"), F.max("n").alias("largest"))

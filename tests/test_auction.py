@@ -24,13 +24,19 @@ def best(x, y):
     return sims[np.arange(len(x)), assignment(-sims)].sum()
 
 
-def test_whole_numbers_and_others(spark):
+def test_within_the_bound(spark):
     """A square cluster and one with spare rows at once, small blocks and lists, so that claims clash and lists run out."""
     rng = np.random.default_rng(3)
-    x, y = rng.integers(0, 5, (25, 3)), rng.integers(0, 5, (25, 3))
-    p, q = rng.integers(0, 5, (14, 3)), rng.integers(0, 5, (22, 3))
-    found = op.auction(rows_of(spark, x, p), rows_of(spark, y, q), 0.9 / 25, listed=6, block=9).collect()
-    assert total(found, 0) == best(x, y) and total(found, 1) == best(p, q)
+    x, y, p, q = (rng.normal(size=(n, 3)) for n in (12, 12, 6, 9))
+    found = op.auction(rows_of(spark, x, p), rows_of(spark, y, q), 0.02, listed=4, block=7).collect()
+    assert best(x, y) - 12 * 0.02 <= total(found, 0) <= best(x, y) + 1e-9
+    assert best(p, q) - 6 * 0.02 <= total(found, 1) <= best(p, q) + 1e-9
+
+
+def test_whole_numbers(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 4, (8, 3)), rng.integers(0, 4, (10, 3))
+    assert total(op.auction(rows_of(spark, x), rows_of(spark, y), 0.9 / 8).collect(), 0) == best(x, y)
 
 
 def test_bids_keep_each_bidder_near_its_best():
@@ -58,6 +64,6 @@ def test_batches_of_large_clusters(spark, monkeypatch):
     rng = np.random.default_rng(8)
     ego, tele = rows_of(spark, rng.normal(size=(13, 4)), rng.normal(size=(9, 4))), rows_of(spark, rng.normal(size=(10, 4)), rng.normal(size=(12, 4)))
     exact = sorted(map(tuple, pairing.one_to_one_batches(ego, tele, 4).collect()))
-    found = sorted(map(tuple, pairing.one_to_one_batches(ego, tele, 4, most_rows=8, eps=1e-4).collect()))
+    found = sorted(map(tuple, pairing.one_to_one_batches(ego, tele, 4, most_rows=8, eps=1e-2).collect()))
     assert [r[:5] for r in found] == [r[:5] for r in exact]
     assert [r[5] for r in found] == pytest.approx([r[5] for r in exact])
