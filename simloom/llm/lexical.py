@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import deleted, flat, written
+from .common import deleted, flat, in_slices, written
 from .terms import Names, counted
 from .words import ALNUM, spans
 
@@ -38,7 +38,6 @@ SLICES = 20
 BLOCK_DOCS, BLOCK_POSTINGS = 1 << 14, 1 << 21
 #: Terms of queries that are searched for at once, and bytes of spread bitmaps that a task holds.
 QUERY_TERMS, SPREAD_BYTES = 1_000_000, 64 << 20
-_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A block's own row has no term: ``df`` documents, their ids in ``places``, and how many have none in ``slices``.
 _SQL = "block long, term string, df int, places binary, slices binary"
 _SCHEMA = pa.schema([("block", pa.int64()), ("term", pa.string()), ("df", pa.int32()), ("places", pa.binary()), ("slices", pa.binary())])
@@ -94,6 +93,15 @@ def _block(block: int, ids: list, doc: np.ndarray, term: np.ndarray, tf: np.ndar
         yield pa.record_batch([pa.array(np.full(n, block)), strings[a : a + n], pa.array(np.diff(own).astype(np.int32)), _blobs(places, 2 * own), _blobs(slices, edges)], schema=_SCHEMA)
 
 
+def _sizes(batches):
+    """Texts with a term, and all terms."""
+    docs = terms = 0
+    for rows in in_slices(batches):
+        _, _, first = spans(*flat(rows.column(0)), ALNUM)
+        docs, terms = docs + int((first[1:] > first[:-1]).sum()), terms + int(first[-1])
+    yield pa.record_batch([[docs], [terms]], names=["docs", "terms"])
+
+
 def _indexed(n_docs: int, n_terms: int, block_docs: int, block_postings: int):
     def run(batches):
         from pyspark import TaskContext
@@ -122,8 +130,7 @@ def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_postings: i
     if block_docs > 1 << 16:
         raise ValueError("a block has at most 65,536 documents")
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    count = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(_PATTERN)).cast("long")
-    size = rows.select(count.alias("n")).agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    size = rows.select("text").mapInArrow(_sizes, "docs long, terms long").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")).first()
     index = written(rows.mapInArrow(_slim(block_docs, _indexed(size["docs"], max(1, size["terms"]), block_docs, block_postings)), _SQL), "lexical-index", compression="zstd")
     index._n_docs = size["docs"]
     return index
@@ -280,7 +287,7 @@ def search(index: DataFrame, items: DataFrame, k: int = K, query_terms: int = QU
     kind, parts, lot, held = items.schema["item_id"].dataType.simpleString(), [], [], 0
 
     def done():
-        parts.append(written(_search_some(index, lot, kind, k).withColumn("lot", F.lit(len(parts))), "lexical-hits"))
+        parts.append(written(_search_some(index, lot, kind, k).withColumn("lot", F.lit(len(parts))).hint("rebalance"), "lexical-hits"))  # few files
 
     for row in items.select("item_id", "text").toLocalIterator():
         lot.append((row["item_id"], _terms_of(row["text"])))
