@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions.series import assigned
@@ -210,39 +210,69 @@ def batch_matrix(batches: DataFrame, ego: DataFrame, tele: DataFrame) -> DataFra
     return left.join(right, "batch_id").select("batch_id", "i", "j", F.round(dot(F.col("a"), F.col("b")), 9).alias("sim"))
 
 
+def _pair_key(seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string")))
+
+
 def labelled_sets(pairs: DataFrame, n_pos: int, n_neg: int, seed: int = 7) -> DataFrame:
-    """``n_pos`` pairs of label 1 and ``n_neg`` of label 0, by least seeded hash."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string")))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(key, "i", "j"))
-    return pairs.withColumn("nth", rank).where(F.col("nth") <= F.when(F.col("label") == 1, n_pos).otherwise(n_neg))
+    """``n_pos`` pairs of label 1 and ``n_neg`` of label 0, by least seeded hash, numbered by ``nth`` within their label.
+
+    The first of each label are found partition by partition; only they are numbered in one place.
+    """
+    order = [_pair_key(seed), "i", "j"]
+    chosen = [pairs.where(F.col("label") == label).orderBy(*order).limit(n) for label, n in ((1, n_pos), (0, n_neg))]
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
+    return chosen[0].unionByName(chosen[1]).withColumn("nth", rank)
 
 
 def balanced_pairs(pairs: DataFrame, ratio: float = 1.0, seed: int = 7) -> DataFrame:
-    """All pairs of label 1, and of label 0 ``ratio`` times as many (rounded down), by least seeded hash."""
-    n = pairs.where("label = 1").count()
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string")))
-    negative = pairs.where("label = 0").orderBy(key, "i", "j").limit(int(n * ratio))
-    return pairs.where("label = 1").unionByName(negative)
+    """All pairs of label 1, and of label 0 ``ratio`` times as many (rounded down), by least seeded hash.
+
+    Pairs are stored once. A hash that about as many have as are wanted, and the count up to it, are found first; only pairs between that
+    and a hash which too many have are put in order, so that no task gets all of them.
+    """
+    pairs = stored(pairs, "labelled-pairs")
+    negative = pairs.where("label = 0").withColumn("hash", seeded_pair(seed))
+    sizes = {r["label"]: r["count"] for r in pairs.groupBy("label").count().collect()}
+    wanted, there = int(sizes.get(1, 0) * ratio), sizes.get(0, 0)
+    if wanted < there:
+        part, spare = wanted / there, 5 * math.sqrt(wanted + 1) / there + 0.001
+        sure, most = (int(max(0.0, min(1.0, x)) * (1 << 48)) for x in (part - spare, part + spare))
+        within = F.col("hash") < sure
+        rest = wanted - negative.where(within).count()
+        open_ = negative.where(~within)
+        if rest >= 0 and open_.where(F.col("hash") < most).count() >= rest:
+            open_ = open_.where(F.col("hash") < most)
+            chosen = negative.where(within)
+        else:  # hashes lie otherwise than they should
+            open_, chosen, rest = negative, negative.limit(0), wanted
+        negative = chosen.unionByName(open_.orderBy(_pair_key(seed), "i", "j").limit(rest))
+    return pairs.where("label = 1").unionByName(negative.drop("hash"))
+
+
+def seeded_pair(seed: int) -> Column:
+    """The first 48 bits of a pair's seeded hash, in the same order."""
+    return F.conv(F.substring(_pair_key(seed), 1, 12), 16, 10).cast("long")
 
 
 def matched_batch(task_pairs: DataFrame, ego: DataFrame, tele: DataFrame, size: int = 16, seed: int = 42) -> DataFrame:
-    """A batch of ``size // 2`` rows a side out of matching tasks: ``(slot, side, idx, task, filled)``.
+    """A batch of ``size // 2`` rows a side out of matching tasks: ``(slot, side, idx, task)``.
 
-    ``task_pairs``: ``(ego_task, tele_task)`` of which both have rows. Pairs are drawn with
-    replacement and give one row of each task. If there are too few pairs, a side's shortfall is
-    filled with seeded rows of that side, marked ``filled``; a side without rows stays short.
+    ``task_pairs``: ``(ego_task, tele_task)``, different ones; those of which both tasks have rows can be drawn. Each slot draws a pair
+    with replacement, and of each of its tasks the row with the least seeded hash. Without a pair to draw: an error.
     """
     half, spark = size // 2, ego.sparkSession
-    number = task_pairs.join(ego.select(F.col("task").alias("ego_task")).distinct(), "ego_task").join(tele.select(F.col("task").alias("tele_task")).distinct(), "tele_task")
-    rows = [tuple(r) for r in number.select("ego_task", "tele_task").orderBy(seeded(seed, F.col("ego_task"), F.col("tele_task")), "ego_task", "tele_task").limit(half).collect()]
-    out = None
-    for at, (side, all_rows) in enumerate((("ego", ego), ("tele", tele))):
-        wanted = spark.createDataFrame([(slot, rows[slot % len(rows)][at]) for slot in range(half)] if rows else [], "slot int, task long")
-        order = Window.partitionBy("slot").orderBy(seeded(seed, F.col("slot"), F.col("idx")), "idx")
-        chosen = F.broadcast(wanted).join(all_rows.select("idx", "task"), "task").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("slot", "idx", "task", F.lit(False).alias("filled"))
-        if not rows:
-            spare = all_rows.select("idx", "task").orderBy(seeded(seed, F.col("idx")), "idx").limit(half)
-            chosen = spare.withColumn("slot", F.row_number().over(Window.orderBy(seeded(seed, F.col("idx")), "idx")) - 1).select("slot", "idx", "task", F.lit(True).alias("filled"))
-        part = chosen.select("slot", F.lit(side).alias("side"), "idx", "task", "filled")
-        out = part if out is None else out.unionByName(part)
-    return out
+    there = task_pairs.join(ego.select(F.col("task").alias("ego_task")), "ego_task", "left_semi").join(tele.select(F.col("task").alias("tele_task")), "tele_task", "left_semi")
+    there = stored(there.select("ego_task", "tele_task"), "task-pairs")
+    n = there.count()
+    if not n:
+        raise ValueError("no pair of matching tasks of which both have rows")
+    drawn = spark.range(half).select(F.col("id").cast("int").alias("slot"), (seeded(seed, F.lit("pair"), F.col("id")) % n).alias("at"))
+    pairs = F.broadcast(drawn).join(numbered(there, "ego_task", "at", "tele_task"), "at")
+    out = []
+    for side, rows in (("ego", ego), ("tele", tele)):
+        wanted = pairs.select("slot", F.col(f"{side}_task").alias("task"))
+        offered = rows.select("idx", "task").join(F.broadcast(wanted), "task")  # ``half`` rows
+        first = offered.groupBy("slot", "task").agg(F.min(F.struct(seeded(seed, F.col("slot"), F.col("idx")), "idx"))["idx"].alias("idx"))
+        out.append(first.select("slot", F.lit(side).alias("side"), "idx", "task"))
+    return out[0].unionByName(out[1])

@@ -102,7 +102,8 @@ def running(rows: DataFrame, value: Column, name: str, key: Column, *ties: str,
     ranges' sums are added up in one place; rows are summed within their range. Rows of one key are
     in one range.
     """
-    keyed = rows.withColumn("running_key", key.cast("double"))
+    # ranges go by doubles, which may be alike for different keys; rows within them by the keys
+    keyed = rows.withColumns({"running_order": key, "running_key": key.cast("double")})
     n = keyed.count()
     ranges = min(most_ranges, -(-n // block))
     cuts = []
@@ -113,8 +114,8 @@ def running(rows: DataFrame, value: Column, name: str, key: Column, *ties: str,
     before = Window.orderBy("running_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("running_range").agg(F.sum(value).alias("running_sum"))
     starts = sums.select("running_range", F.coalesce(F.sum("running_sum").over(before), F.lit(0)).alias("running_start"))
-    own = F.sum(value).over(Window.partitionBy("running_range").orderBy("running_key", *ties).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.join(F.broadcast(starts), "running_range").withColumn(name, F.col("running_start") + own).drop("running_key", "running_range", "running_start")
+    own = F.sum(value).over(Window.partitionBy("running_range").orderBy("running_order", *ties).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(starts), "running_range").withColumn(name, F.col("running_start") + own).drop("running_order", "running_key", "running_range", "running_start")
 
 
 def numbered(rows: DataFrame, key: Column | str = "idx", name: str = "pos", *ties: str, block: int = 65_536) -> DataFrame:

@@ -3,6 +3,7 @@
 import io
 import itertools
 import json
+import hashlib
 import math
 import struct
 import tarfile
@@ -240,9 +241,12 @@ def test_matched_batches(spark, sides):
     tasks = spark.createDataFrame([(0, 1), (2, 2), (99, 1)], "ego_task long, tele_task long")
     rows = pairing.matched_batch(tasks, e, t, 10).collect()
     by = {(r["side"], r["slot"]): r for r in rows}
-    assert len(rows) == 10 and all((by["ego", k]["task"], by["tele", k]["task"]) in {(0, 1), (2, 2)} for k in range(5)) and not any(r["filled"] for r in rows)
-    short = pairing.matched_batch(tasks.limit(0), e, t.limit(3), 10).collect()
-    assert [sum(r["side"] == s for r in short) for s in ("ego", "tele")] == [5, 3] and all(r["filled"] for r in short)
+    assert len(rows) == len(by) == 10 and all((by["ego", k]["task"], by["tele", k]["task"]) in {(0, 1), (2, 2)} for k in range(5))
+    assert rows == pairing.matched_batch(tasks, e, t, 10).collect()
+    many = pairing.matched_batch(tasks, e, t, 120).where("side = 'ego'").groupBy("task").count().collect()
+    assert all(15 < r["count"] < 45 for r in many)  # drawn, not taken in turn
+    with pytest.raises(ValueError, match="no pair"):
+        pairing.matched_batch(tasks.where("ego_task = 99"), e, t, 10)
     pairs = spark.createDataFrame([(k, k, 0.5, int(k < 3)) for k in range(20)], "i long, j long, sim double, label int")
     assert pairing.balanced_pairs(pairs, 1.5).groupBy("label").count().orderBy("label").collect() == [(0, 4), (1, 3)]
 
@@ -256,3 +260,23 @@ def test_compare_of_missing_sides(spark):
         assert tuple(got[k][c] for c in ("len_a", "len_b", "dim", "dtw_path")) == (0, 0, 0, 0) and got[k]["interp_distance"] == got[k]["dtw_distance"] == math.inf
     assert got[3]["interp_distance"] == got[3]["dtw_distance"] == round(math.sqrt(2), 6)
     assert (got[4]["len_a"], got[4]["len_b"], got[4]["dim"], got[4]["dtw_distance"]) == (3, 2, 2, 0.0)
+
+
+def test_balanced_pairs_are_those_of_least_hash(spark):
+    pairs = spark.createDataFrame([(k, k % 7, 0.5, int(k < 300)) for k in range(4000)], "i long, j long, sim double, label int")
+    got = pairing.balanced_pairs(pairs, 1.5).where("label = 0").select("i", "j").collect()
+    order = sorted((hashlib.md5(f"7|{k}|{k % 7}".encode()).hexdigest(), k, k % 7) for k in range(300, 4000))
+    assert sorted(map(tuple, got)) == sorted(x[1:] for x in order[:450])
+    assert pairing.balanced_pairs(pairs, 99.0).count() == 4000
+    sets = pairing.labelled_sets(pairs, 5, 9).collect()
+    assert sorted((r["nth"], r["i"]) for r in sets if r["label"] == 0) == [(n, x[1]) for n, x in enumerate(order[:9], 1)]
+    assert sum(r["label"] for r in sets) == 5
+
+
+def test_numbers_beyond_doubles(spark):
+    """Ids that are the same as doubles keep their order."""
+    ids = [2**60 + k for k in range(300)] + [-(2**60) - k for k in range(300)]
+    rows = spark.createDataFrame([(i,) for i in ids], "idx long").repartition(5)
+    for block in (50, 65_536):
+        found = segments.numbered(rows, "idx", block=block).orderBy("pos").collect()
+        assert [(r["idx"], r["pos"]) for r in found] == [(i, k) for k, i in enumerate(sorted(ids))]
