@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pairing, results, segments, similarity, trajectory, vectors
+from . import heads, pairing, results, segments, similarity, trajectory, vectors
 
-_MODULES = (similarity, vectors, segments, trajectory, pairing, results)
+_MODULES = (similarity, vectors, segments, trajectory, pairing, results, heads)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from simloom.functions import vector as fn
@@ -80,8 +82,8 @@ def pad_sequences(spark, d):
 
 @query(f"WITH {EGO_TELE}, u AS (SELECT task, generate_subscripts(v, 1) AS p, unnest(v) AS x FROM e) SELECT task, list(m ORDER BY p) AS v FROM (SELECT task, p, round(avg(x), 9) AS m FROM u GROUP BY task, p) GROUP BY task")
 def mean_pool(spark, d):
-    cells = vectors(spark, d).select("task", F.posexplode("v").alias("p", "x")).groupBy("task", "p").agg(F.round(F.avg("x"), 9).alias("m"))
-    return cells.groupBy("task").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("v"))
+    means = vectors(spark, d).groupBy("task").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("v"))
+    return means.select("task", F.transform("v", lambda x: F.round(x, 9)).alias("v"))
 
 
 @query(f"WITH {FRAMES}, c AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 7 = 1 THEN 'Infinity'::DOUBLE WHEN event_id % 7 = 2 THEN '-Infinity'::DOUBLE ELSE value END AS x FROM f) SELECT event_id, CASE WHEN isnan(x) OR isinf(x) THEN 0 ELSE x END AS clean, CASE WHEN isnan(x) OR x = '-Infinity'::DOUBLE THEN 0 WHEN x = 'Infinity'::DOUBLE THEN 1e10 ELSE x END AS cost FROM c")
