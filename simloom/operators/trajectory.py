@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from simloom.functions.series import dtw_many, interpolated_distance, normalised
 from simloom.functions.vector import clean
+from simloom.operators.quantiles import quantile_columns
+from simloom.sources.scratch import stored
 
 # The state columns of the recordings, their widths and weights.
 PARTS = (
@@ -142,9 +144,12 @@ def summary(results: DataFrame, metrics: list[str]) -> DataFrame:
     """Mean, deviation, least, largest, median and quartiles of each metric over its finite values; ``error`` rows are counted apart."""
     pieces = []
     valid = F.col("error").isNull()
+    finite = {name: F.when(valid & (F.col(name) != float("inf")), F.col(name)) for name in metrics}
+    results = stored(results.select("error", *(finite[name].alias(name) for name in metrics)), "metrics")
     for name in metrics:
-        x = F.when(valid & (F.col(name) != float("inf")), F.col(name))
-        pieces.append(F.struct(F.lit(name).alias("metric"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), F.round(F.min(x), 6).alias("least"), F.round(F.max(x), 6).alias("largest"), F.round(F.percentile(x, F.lit(0.5)), 6).alias("median"), F.round(F.percentile(x, F.lit(0.25)), 6).alias("p25"), F.round(F.percentile(x, F.lit(0.75)), 6).alias("p75"), F.count_if(valid).alias("n_valid"), F.count_if(~valid).alias("n_error"), F.count("*").alias("n_total")))
+        x = F.col(name)
+        low, mid, high = quantile_columns(results, name, [0.25, 0.5, 0.75])
+        pieces.append(F.struct(F.lit(name).alias("metric"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), F.round(F.min(x), 6).alias("least"), F.round(F.max(x), 6).alias("largest"), F.round(mid, 6).alias("median"), F.round(low, 6).alias("p25"), F.round(high, 6).alias("p75"), F.count_if(valid).alias("n_valid"), F.count_if(~valid).alias("n_error"), F.count("*").alias("n_total")))
     return results.agg(F.array(*pieces).alias("x")).select(F.inline("x"))
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from simloom.functions.vector import dot
 from simloom.operators import pairing as op
+from simloom.operators.quantiles import quantile_columns
 from simloom.operators.segments import numbered
 from simloom.operators.similarity import cluster_stats as cluster_stats_of
+from simloom.sources.scratch import stored
 from simloom.sources.tables import vectors
 
 from .base import CROSS, EGO_TELE, Registry
@@ -38,7 +40,9 @@ def sampled_pairing(spark, d):
 
 @query(f"WITH {_SAMPLED} SELECT count(*) AS n, round(avg(sim), 6) AS mean, round(min(sim), 6) AS least, round(median(sim), 6) AS median, round(max(sim), 6) AS largest FROM sp")
 def pairing_stats(spark, d):
-    return sampled_pairing(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean"), F.round(F.min("sim"), 6).alias("least"), F.round(F.percentile("sim", F.lit(0.5)), 6).alias("median"), F.round(F.max("sim"), 6).alias("largest"))
+    rows = stored(sampled_pairing(spark, d), "pairing")
+    (median,) = quantile_columns(rows, "sim", [0.5])
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean"), F.round(F.min("sim"), 6).alias("least"), F.round(median, 6).alias("median"), F.round(F.max("sim"), 6).alias("largest"))
 
 
 _CENTERS = f"{EGO_TELE}, ce AS (SELECT idx // 2 AS cluster, v AS center FROM e WHERE idx < {2 * K} AND idx % 2 = 0), n AS (SELECT e.idx, e.task, ce.cluster, row_number() OVER (PARTITION BY e.idx ORDER BY round(list_dot_product(v, v) - 2 * list_dot_product(v, center) + list_dot_product(center, center), 9), cluster) AS r FROM e, ce), cl AS (SELECT idx, task, cluster::INT AS cluster FROM n WHERE r = 1)"
@@ -119,8 +123,9 @@ def batch_stats(spark, d):
 def batch_summary(spark, d):
     per = _matrix(spark, d).where("i = j").groupBy("batch_id").agg(F.count("*").alias("n"), F.avg("sim").alias("a"), F.min("sim").alias("lo"))
     n = vectors(spark, d, "ego").count()
-    cuts = F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))
-    return per.agg(F.count("*").alias("n_batches"), F.sum("n").alias("used"), F.round(100.0 * F.sum("n") / n, 6).alias("utilisation"), F.round(F.avg("a"), 6).alias("mean"), F.round(F.stddev_pop("a"), 6).alias("std"), F.round(F.avg("lo"), 6).alias("mean_min"), F.transform(F.percentile("a", cuts), lambda x: F.round(x, 6)).alias("percentiles"))
+    per = stored(per, "batches")
+    cuts = quantile_columns(per, "a", [0.1, 0.25, 0.5, 0.75, 0.9])
+    return per.agg(F.count("*").alias("n_batches"), F.sum("n").alias("used"), F.round(100.0 * F.sum("n") / n, 6).alias("utilisation"), F.round(F.avg("a"), 6).alias("mean"), F.round(F.stddev_pop("a"), 6).alias("std"), F.round(F.avg("lo"), 6).alias("mean_min"), F.array(*(F.round(x, 6) for x in cuts)).alias("percentiles"))
 
 
 @query(f"WITH {_BATCHES} SELECT b.batch_id, b.slot, b.ego_idx, b.tele_idx, a.task AS ego_task, c.task AS tele_task, m.sim FROM b JOIN ego a ON a.idx = b.ego_idx JOIN tele c ON c.idx = b.tele_idx JOIN m ON m.batch_id = b.batch_id AND m.i = b.slot AND m.j = b.slot")
