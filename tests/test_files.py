@@ -11,6 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from simloom.sources import matrices, tars
+from simloom.sources.progress import watched
 from simloom.sources.results import read_embeddings, read_matrix
 
 
@@ -113,3 +114,13 @@ def test_cross_matrix(spark, tmp_path):
     assert matrices.write_cross_matrix(*sides, str(tmp_path / "cross.npy"), rows=8)
     assert np.load(tmp_path / "cross.npy") == pytest.approx(a @ b.T, abs=1e-6)
     assert not matrices.write_cross_matrix(*sides, str(tmp_path / "none.npy"), most=100)
+
+
+def test_progress(spark, folder):
+    """Counts rise to all tasks; one for each tar, the broken one too. Failures come through."""
+    seen = []
+    rows = tars.read_tars(spark, f"{folder}/*.tar").collect
+    assert len(watched(spark, rows, lambda done, all_: seen.append((done, all_)), 0.05)) == 120
+    assert seen == sorted(seen) and seen[-1] == (3, 3)
+    with pytest.raises(ZeroDivisionError):
+        watched(spark, lambda: 1 / 0, print)
