@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,20 @@ def sinusoid_positions_2d(spark, height: int, width: int, size: int) -> DataFram
     turn = F.when(of_row, (F.col("y") + 1) / F.lit(height + 1e-6)).otherwise((F.col("x") + 1) / F.lit(width + 1e-6)) * F.lit(2 * math.pi)
     angle = turn / F.pow(F.lit(10000.0), 2 * F.floor(own / 2) / size)
     return cells.withColumn("value", F.round(F.when(own % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)), 9))
+
+
+def position_code(pos: Column, size: int) -> Column:
+    """The ``size`` sines and cosines of a row's position, as an array."""
+    angle = lambda k: pos / F.pow(F.lit(10000.0), 2 * F.floor(k / 2) / size)
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(k % 2 == 0, F.sin(angle(k))).otherwise(F.cos(angle(k))))
+
+
+def position_code_2d(y: Column, x: Column, height: int, width: int, size: int) -> Column:
+    """The codes of a row's cell in a grid: ``size`` values for its row, then ``size`` for its column, scaled as by ``sinusoid_positions_2d``."""
+
+    def part(at, cells):
+        turn = (at + 1) / F.lit(cells + 1e-6) * F.lit(2 * math.pi)
+        angle = lambda k: turn / F.pow(F.lit(10000.0), 2 * F.floor(k / 2) / size)
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.when(k % 2 == 0, F.sin(angle(k))).otherwise(F.cos(angle(k))))
+
+    return F.concat(part(y, height), part(x, width))

@@ -9,9 +9,9 @@ from simloom.operators import pairing, segments
 from simloom.operators import sequence as seq
 from simloom.operators.similarity import topk
 from simloom.sources import results
-from simloom.sources.tables import table, vectors
+from simloom.sources.tables import frames, table, vectors
 
-from .base import CROSS, EGO_TELE, Registry
+from .base import CROSS, EGO_TELE, FRAMES, Registry
 from .pairing import _BATCHES, _batches, _matrix
 from .similarity import NEGATIVE, POSITIVE, threshold_pairs
 
@@ -109,9 +109,12 @@ def matched_rows(spark, d):
     return pairing.matched_batch(tasks, ego, tele, 16)
 
 
-@query("WITH c AS (SELECT y, x, dim, dim % 8 AS o, (CASE WHEN dim < 8 THEN (y + 1) / (5 + 1e-6) ELSE (x + 1) / (7 + 1e-6) END) * 2 * pi() / pow(10000.0, 2 * floor((dim % 8) / 2.0) / 8) AS a FROM range(5) AS u(y), range(7) AS v(x), range(16) AS w(dim)) SELECT y, x::INT AS x, dim::INT AS dim, round(CASE WHEN o % 2 = 0 THEN sin(a) ELSE cos(a) END, 9) AS value FROM c")
+@query(f"WITH {FRAMES} SELECT event_id, list_concat(list_transform(range(0, 8), lambda k: round(CASE WHEN k % 2 = 0 THEN sin((frame_index // 7 % 5 + 1) / (5 + 1e-6) * 2 * pi() / pow(10000.0, 2 * (k // 2) / 8.0)) ELSE cos((frame_index // 7 % 5 + 1) / (5 + 1e-6) * 2 * pi() / pow(10000.0, 2 * (k // 2) / 8.0)) END, 9)), list_transform(range(0, 8), lambda k: round(CASE WHEN k % 2 = 0 THEN sin((frame_index % 7 + 1) / (7 + 1e-6) * 2 * pi() / pow(10000.0, 2 * (k // 2) / 8.0)) ELSE cos((frame_index % 7 + 1) / (7 + 1e-6) * 2 * pi() / pow(10000.0, 2 * (k // 2) / 8.0)) END, 9))) AS code FROM f")
 def sinusoid_pe_2d(spark, d):
-    return seq.sinusoid_positions_2d(spark, 5, 7, 8)
+    """The code of each frame's cell, frames standing in rows of seven."""
+    at = F.col("frame_index")
+    code = F.transform(seq.position_code_2d(F.expr("frame_index DIV 7 % 5"), at % 7, 5, 7, 8), lambda x: F.round(x, 9))
+    return frames(spark, d).select("event_id", code.alias("code"))
 
 
 @query(f"WITH {EGO_TELE} SELECT idx, list_transform(v, lambda x: round(greatest(x, 0), 9)) AS relu, list_transform(range(1, 33), lambda k: round(v[k] / (1 + exp(-v[k + 32])), 9)) AS glu FROM e")

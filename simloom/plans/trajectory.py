@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from simloom.operators import trajectory as op
-from simloom.sources.tables import states
+from simloom.sources.tables import states, vectors
 
-from .base import STATES, Registry
+from .base import EGO_TELE, STATES, Registry
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -42,9 +42,11 @@ def state_vector(spark, d):
     return states(spark, d).select("seg", "fr", op.state_vector([(first, 2), (second, 2)]).alias("state")).where("state IS NOT NULL")
 
 
-@query("SELECT list_concat(list_transform(range(0, 12), lambda i: 1.0::DOUBLE), list_concat(list_transform(range(0, 6), lambda i: 0.3::DOUBLE), [0.5, 0.5, 0.2, 0.2, 0.2]::DOUBLE[])) AS weights")
+@query(f"WITH {EGO_TELE}, w AS (SELECT list_concat(list_transform(range(0, 12), lambda i: 1.0::DOUBLE), list_concat(list_transform(range(0, 6), lambda i: 0.3::DOUBLE), [0.5, 0.5, 0.2, 0.2, 0.2]::DOUBLE[])) AS w) SELECT idx, list_transform(range(1, 24), lambda i: round(v[i] * w[i], 9)) AS weighted FROM e, w")
 def weight_vector(spark, d):
-    return spark.range(1).select(F.array(*map(F.lit, op.weight_vector())).alias("weights"))
+    """The first values of each vector, as a state, times the weights of a state's parts."""
+    weights = F.array(*map(F.lit, op.weight_vector()))
+    return vectors(spark, d).select("idx", F.zip_with(F.slice("v", 1, len(op.weight_vector())), weights, lambda x, w: F.round(x * w, 9)).alias("weighted"))
 
 
 def _scale(low: str, spread: str) -> str:

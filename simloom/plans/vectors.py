@@ -120,6 +120,8 @@ def kl_loss(spark, d):
     return sequence.kl_loss(states(spark, d).select(F.col("seg").alias("row"), F.col("c").alias("mu"), F.col("d").alias("log_var")), l1=0.5)
 
 
-@query("SELECT p AS pos, k::INT AS dim, round(CASE WHEN k % 2 = 0 THEN sin(p / pow(10000.0, 2 * (k // 2) / 32.0)) ELSE cos(p / pow(10000.0, 2 * (k // 2) / 32.0)) END, 9) AS value FROM unnest(range(0, 100)) AS a(p), unnest(range(0, 32)) AS b(k)")
+@query(f"WITH {FRAMES} SELECT event_id, frame_index AS pos, list_transform(range(0, 32), lambda k: round(CASE WHEN k % 2 = 0 THEN sin(frame_index / pow(10000.0, 2 * (k // 2) / 32.0)) ELSE cos(frame_index / pow(10000.0, 2 * (k // 2) / 32.0)) END, 9)) AS code FROM f")
 def sinusoid_pe(spark, d):
-    return sequence.sinusoid_positions(spark, 100, 32)
+    """The code of each frame's position in its episode."""
+    code = F.transform(sequence.position_code(F.col("frame_index"), 32), lambda x: F.round(x, 9))
+    return frames(spark, d).select("event_id", F.col("frame_index").alias("pos"), code.alias("code"))

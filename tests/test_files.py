@@ -54,7 +54,7 @@ def test_tar_source(spark, folder, tmp_path, indexed):
     assert keys.columns == ["key", "camera"] and keys.where("camera = 'meta'").count() == 40
 
 
-def test_filters_that_are_pushed():
+def test_filters_that_are_pushed(spark):
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
     from pyspark.sql.types import StructType
 
