@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +66,16 @@ def compare(pairs: DataFrame, weights: list[float], how: str = "zscore", window_
 
     Adds ``interp_distance``, ``dtw_distance``, ``dtw_path``, ``dtw_normalised``, ``len_a``, ``len_b``
     and ``dim``. With a missing or empty trajectory the distances are infinite and the rest is 0. Pairs
-    of a batch with the same two lengths are compared at once, as many as hold ``most_values`` values.
+    of a batch with the same two lengths are compared at once, as many as hold ``most_values`` values. A state with
+    more or fewer values than there are weights, or none at all, is an error.
     """
     w = np.array(weights)
     new = ("interp_distance", "dtw_distance", "dtw_path", "dtw_normalised", "len_a", "len_b", "dim")
 
     def series(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         states = column.flatten()
+        if not pc.all(pc.equal(states.value_lengths(), len(w)), skip_nulls=False, min_count=0).as_py():
+            raise ValueError(f"a state without {len(w)} values, one for each weight")
         flat = states.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(w))
         length = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         return flat, length, np.cumsum(length) - length

@@ -280,3 +280,10 @@ def test_numbers_beyond_doubles(spark):
     for block in (50, 65_536):
         found = segments.numbered(rows, "idx", block=block).orderBy("pos").collect()
         assert [(r["idx"], r["pos"]) for r in found] == [(i, k) for k, i in enumerate(sorted(ids))]
+
+
+def test_states_of_another_width(spark):
+    for states in ([[1.0, 2.0, 3.0], [1.0]], [[1.0, 2.0], None]):
+        pairs = spark.createDataFrame([(1, states, [[1.0, 2.0]])], "k int, states_a array<array<double>>, states_b array<array<double>>")
+        with pytest.raises(Exception, match="one for each weight"):
+            compare(pairs, [1.0, 1.0]).collect()
