@@ -84,13 +84,23 @@ def test_no_rows(spark):
     assert found(spark, []) == []
 
 
-def test_the_sketch_never_underestimates(spark):
+@pytest.mark.parametrize("width,most", [(1 << 20, 400), (1 << 16, 300_000)])
+def test_the_sketch_never_underestimates(width, most):
     """Of 300,000 terms in few documents most are dropped, of those in enough none; so in a crowded sketch."""
-    rows = spark.range(300_000).select(F.concat(F.lit("t"), "id").alias("term"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n"), F.when(F.col("id") % 1000 == 0, 30).otherwise(F.col("id") % 3 + 1).cast("long").alias("docs"))
-    rows = rows.select("lang", "source", "term", "n", "docs").withColumn("h", F.xxhash64("lang", "term"))
-    for width, most in ((1 << 20, 400), (1 << 16, 300_000)):
-        left = op.survivors(rows, op.possible_terms(rows, 30, width))
-        assert left.where("docs >= 30").count() == 300 and 300 <= left.count() <= most
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 300_000).astype(np.uint64)
+    sketch = op.Sketch(width, 30)
+    for k in range(30):
+        sketch.add(hashes if k < 2 else hashes[::1000])
+    left = op.reaches(hashes, np.packbits(sketch.counters >= 30, axis=1))
+    assert left[::1000].all() and 300 <= left.sum() <= most and sketch.counters.max() == 30
+
+
+def test_merged_sketches(spark):
+    """Counts that no task has alone are reached together; segments of several tasks are added up."""
+    rows = spark.createDataFrame([(f"shared own{k}", "en", "s") for k in range(30)], "text string, lang string, source string").repartition(6)
+    texts = rows.select(F.xxhash64("lang").alias("lang_hash"), F.xxhash64("lang", "source").alias("g"), "text")
+    assert np.unpackbits(op.possible_terms(texts, 30, 1 << 16)).sum() == 2 * op.DEPTH  # "shared" and "own"
+    assert np.unpackbits(op.possible_terms(texts, 31, 1 << 16)).sum() == 0
 
 
 def test_shares_are_exact_beyond_longs(spark):
