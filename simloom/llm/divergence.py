@@ -138,12 +138,12 @@ def _added(least: int):
 def possible_terms(texts: DataFrame, least: int, width: int) -> np.ndarray:
     """Bits ``(DEPTH, width / 8)`` of the counters of the merged sketch that reach ``least``.
 
-    ``texts``: ``(lang_hash, g, text)``. Of sketches, one for each task, segments are added up in two steps, at most 256 to a step's
-    task for every 65,536 tasks. The driver gets one bit for each counter, 4 MB at most.
+    ``texts``: ``(lang_hash, g, text)``. Of sketches, one for each task, segments are added up in two steps, 256 tasks' in the
+    first, one for every 256 tasks in the second. The driver gets one bit for each counter, 4 MB at most.
     """
     kind = "row long, segment long, counters binary"
     parts = texts.mapInArrow(_sketched(width, least), "row long, segment long, task long, counters binary")
-    some = parts.groupBy("row", "segment", F.pmod("task", F.lit(256))).applyInArrow(_added(least), kind)
+    some = parts.groupBy("row", "segment", F.expr("task DIV 256")).applyInArrow(_added(least), kind)
     out = np.zeros((DEPTH, width // 8), np.uint8)
     for r in some.groupBy("row", "segment").applyInArrow(_reached(least), kind).toLocalIterator():
         out[r["row"], r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = unpacked(r["counters"])
