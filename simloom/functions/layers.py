@@ -61,11 +61,21 @@ def activation(v: Column, name: str) -> Column:
 
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
-    """Mean 0 and population variance 1 over a vector's values."""
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    centred = F.transform(v, lambda x: x - mean)
-    spread = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x) / F.size(v) + eps)
-    return F.transform(centred, lambda x: x / spread)
+    """Mean 0 and population variance 1 over a vector's values.
+
+    Mean and variance are found once for a vector, the variance by Welford's steps, as SQL's is.
+    """
+    zero = F.lit(0.0)
+
+    def step(s, x):
+        n, before = s["n"] + 1, x - s["mean"]
+        mean = s["mean"] + before / n
+        return F.struct(n.alias("n"), (s["total"] + x).alias("total"), mean.alias("mean"), (s["squares"] + (x - mean) * before).alias("squares"))
+
+    start = F.struct(zero.alias("n"), zero.alias("total"), zero.alias("mean"), zero.alias("squares"))
+    found = F.aggregate(v, start, step, lambda s: F.struct((s["total"] / s["n"]).alias("mean"), F.sqrt(s["squares"] / s["n"] + eps).alias("spread")))
+    # a lambda's own variable is computed once, what stands inside it once for each value
+    return F.get(F.transform(F.array(found), lambda s: F.transform(v, lambda x: (x - s["mean"]) / s["spread"])), F.lit(0))
 
 
 def linear(v: Column, weights: list[list[float]], bias: list[float]) -> Column:
