@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from simloom.functions.vector import rounded
 from simloom.operators import heads as op
 from simloom.sources.tables import vectors
 
@@ -54,6 +55,6 @@ def fusion_heads(spark, d):
     models = {"concat": op.Fusion("concat", op.Head([_linear(64, 1), _norm(), op.gelu, _linear(OUT, 4)])), "add": op.Fusion("add", tail, *sides), "weighted": op.Fusion("weighted", tail, *sides)}
     out = None
     for kind, model in models.items():
-        part = op.applied(rows, model, "a", "b").select("idx", F.lit(kind).alias("kind"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+        part = op.applied(rows, model, "a", "b").select("idx", F.lit(kind).alias("kind"), F.transform("vector", lambda x: rounded(x, 6)).alias("vector"))
         out = part if out is None else out.unionByName(part)
     return out
