@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.functions.series import dtw_many, interpolated_distance, normalised
+from simloom.functions.series import dtw_many, interpolated_distance, mean_in_order, normalised, rounded, weighted_length
 from simloom.functions.vector import clean
 from simloom.operators.quantiles import quantile_columns
 from simloom.sources.scratch import stored
@@ -97,11 +97,12 @@ def compare(pairs: DataFrame, weights: list[float], how: str = "zscore", window_
                     out["dtw_normalised"][own] = out["dtw_distance"][own] / np.maximum(out["dtw_path"][own], 1)
                     out["interp_distance"][own] = interpolated_distance(x, y, w, size)
                     out["len_a"][own], out["len_b"][own], out["dim"][own] = k, l, len(w)
+            out |= {c: rounded(out[c], 6) for c in ("interp_distance", "dtw_distance", "dtw_normalised")}
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), *(pa.array(out[c]) for c in new)], [*(f.name for f in kept), *new])
 
     kept = [f for f in pairs.schema.fields if f.name not in ("states_a", "states_b")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} {'double' if c.startswith(('interp', 'dtw_d', 'dtw_n')) else 'long'}" for c in new)])
-    return pairs.mapInArrow(run, schema).withColumns({c: F.round(c, 6) for c in ("interp_distance", "dtw_distance", "dtw_normalised")})
+    return pairs.mapInArrow(run, schema)
 
 
 def _places(length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +137,7 @@ def interp_euclidean(pairs: DataFrame, weights: list[float], size: int = 100, mo
                 distance = np.full(rows.num_rows, math.inf)
                 if use.any():
                     gap = moments(a, use) - moments(b, use)
-                    distance[use] = np.sqrt((gap**2 * w).sum(axis=2)).mean(axis=1)
+                    distance[use] = mean_in_order(weighted_length(gap, w))
                 names = [c for c in rows.schema.names if c not in ("states_a", "states_b")]
                 yield pa.record_batch([*(rows.column(rows.schema.get_field_index(c)) for c in names), pa.array(distance)], [*names, "distance"])
 

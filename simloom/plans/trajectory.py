@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from simloom.functions.vector import rounded
 from simloom.operators import trajectory as op
 from simloom.sources.tables import states, vectors
 
@@ -81,7 +82,7 @@ g AS (SELECT seg, list_transform([1, 2, 3, 4], lambda d: (sa[la + 1][d] * (1 - (
 @query(f"WITH {_INTERP} SELECT seg, round(avg(sqrt(z[1] ** 2 + 0.001 * z[2] ** 2 + 5 * z[3] ** 2 + 5 * z[4] ** 2)), 6) AS distance FROM g GROUP BY seg")
 def interp_euclidean(spark, d):
     pairs = _pairs(spark, d).where("states_b IS NOT NULL")
-    return op.interp_euclidean(pairs, WEIGHTS).withColumn("distance", F.round("distance", 6))
+    return op.interp_euclidean(pairs, WEIGHTS).withColumn("distance", rounded(F.col("distance"), 6))
 
 
 def _dtw(weights: str, band: str) -> str:
