@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from simloom.functions.vector import dot, similarity
 from simloom.operators import reports
 from simloom.operators import pruned
 from simloom.operators import similarity as op
+from simloom.sources.scratch import stored
 from simloom.sources.tables import table, vectors
 
 from .base import CROSS, EGO_TELE, Registry
@@ -55,6 +58,11 @@ def threshold_pairs(spark, d):
     return pruned.threshold_pairs(vectors(spark, d, "ego"), vectors(spark, d, "tele"), POSITIVE, NEGATIVE)
 
 
+def _positive_pairs(spark, d):
+    """The pairs of label 1 only; the others don't leave their tiles."""
+    return pruned.threshold_pairs(vectors(spark, d, "ego"), vectors(spark, d, "tele"), POSITIVE, -math.inf).drop("label")
+
+
 @query(f"WITH {EGO_TELE}, q AS (SELECT v FROM e WHERE idx = 0) SELECT e.idx, e.task, round(list_dot_product(e.v, q.v), 9) AS sim FROM e, q ORDER BY sim DESC, e.idx DESC LIMIT 5")
 def retriever_search(spark, d):
     rows = vectors(spark, d)
@@ -99,7 +107,7 @@ def sim_histogram_all(spark, d):
 
 @query(f"WITH {CROSS}, p AS (SELECT i, j, s AS sim FROM x WHERE s >= {POSITIVE}), n AS (SELECT *, row_number() OVER (ORDER BY sim DESC, i, j) - 1 AS n FROM p) SELECT i, j, sim, (n // 12)::INT AS page, ((n % 12) // 4)::INT AS grid_row, (n % 4)::INT AS grid_col FROM n")
 def paginate(spark, d):
-    return reports.paged(threshold_pairs(spark, d).where("label = 1").drop("label"), 12, 4, -F.col("sim"), "i", "j")
+    return reports.paged(stored(_positive_pairs(spark, d), "positive-pairs"), 12, 4, -F.col("sim"), "i", "j")
 
 
 @query(f"WITH {CROSS}, p AS (SELECT i, j, s AS sim FROM x WHERE s >= {POSITIVE}) (SELECT i, j, sim, 'best' AS mode FROM p ORDER BY sim DESC, i, j LIMIT 9) UNION ALL (SELECT i, j, sim, 'first' FROM p ORDER BY i, j LIMIT 9)")
@@ -116,8 +124,7 @@ def cross_matrix(spark, d):
 
 @query(f"WITH {CROSS} SELECT i, j, trunc(255 * (1 - s * 1.0::DOUBLE))::INT AS r, trunc(255 * (1 - s * 0.5::DOUBLE))::INT AS g, trunc(255 * (1 - s * 0.3::DOUBLE))::INT AS b FROM x WHERE s >= {POSITIVE}")
 def heatmap_rgb(spark, d):
-    pairs = threshold_pairs(spark, d).where("label = 1")
-    return pairs.select("i", "j", *reports.heat(F.col("sim")))
+    return _positive_pairs(spark, d).select("i", "j", *reports.heat(F.col("sim")))
 
 
 @query(f"WITH {EGO_TELE} SELECT DISTINCT task FROM ego WHERE task < 7 AND task IN (SELECT task FROM tele WHERE task > 3)")
