@@ -15,7 +15,6 @@ from simloom.sources.tables import vectors
 
 from .base import CROSS, EGO_TELE, Registry
 from .similarity import NEGATIVE, POSITIVE
-from .similarity import threshold_pairs as _threshold_pairs
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -155,7 +154,7 @@ def leftovers(spark, d):
 
 @query(f"WITH {CROSS}, p AS (SELECT i, j, s AS sim, (s >= {POSITIVE})::INT AS label FROM x WHERE s >= {POSITIVE} OR s <= {NEGATIVE}), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('7|' || i || '|' || j), i, j) AS nth FROM p) SELECT i, j, sim, label, nth::INT AS nth FROM r WHERE nth <= CASE WHEN label = 1 THEN 30 ELSE 60 END")
 def test_set(spark, d):
-    return op.labelled_sets(_threshold_pairs(spark, d), 30, 60)
+    return op.labelled_sets_of(vectors(spark, d, "ego"), vectors(spark, d, "tele"), POSITIVE, NEGATIVE, 30, 60)
 
 
 @query(f"WITH {EGO_TELE}, z AS (SELECT idx, idx // 64 AS batch, CASE WHEN idx % 9 = 0 THEN list_transform(v, lambda x: 0.0::DOUBLE) ELSE v END AS v FROM e) SELECT a.batch, a.idx AS i, b.idx AS j, round(list_dot_product(a.v, b.v), 9) AS sim, (round(list_dot_product(a.v, b.v), 9) >= {POSITIVE})::INT AS label FROM z a JOIN z b USING (batch) WHERE a.idx % 2 = 0 AND b.idx % 2 = 1")
