@@ -9,6 +9,7 @@ from test_pruned import grouped, rows_of, same
 
 from simloom.functions.hashes import pair_hashes
 from simloom.operators import pairing, pruned, segments, similarity
+from simloom.plans import results
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +68,9 @@ def test_ranges_are_found_by_search(spark):
     got = segments.numbered(rows, "x", "pos", "idx", block=10).orderBy("pos").collect()
     want = sorted(((k * 37 % 101, k) for k in range(500))) + [(math.nan, 500)]
     assert [(r["pos"], r["idx"]) for r in got] == [(n, k) for n, (_, k) in enumerate(want)]
+
+
+def test_matched_rows_leave_no_task_out(spark):
+    """Each matching task of the tables has a slot, as there are more slots than tasks."""
+    rows = results.QUERIES["matched_rows"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 16 and all({r["task"] for r in rows if r["side"] == side} == {0, 1, 2, 3, 4} for side in ("ego", "tele"))
