@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 from test_pruned import grouped, rows_of, same
+from test_queries import vectors_of
 
 from simloom.functions.hashes import pair_hashes
 from simloom.operators import pairing, pruned, segments, similarity
@@ -74,3 +75,16 @@ def test_matched_rows_leave_no_task_out(spark):
     """Each matching task of the tables has a slot, as there are more slots than tasks."""
     rows = results.QUERIES["matched_rows"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 16 and all({r["task"] for r in rows if r["side"] == side} == {0, 1, 2, 3, 4} for side in ("ego", "tele"))
+
+
+def test_clusters_beyond_4096_rows_are_assigned_in_one_task(spark, monkeypatch):
+    """Each row has one like it on the other side; no auction is held for 4200 rows a side."""
+
+    def no_auction(*_):
+        raise AssertionError("an auction for a cluster that one task can assign")
+
+    monkeypatch.setattr(pairing, "auction", no_auction)
+    x = grouped(4200, 8, spread=1.0)
+    order = np.random.default_rng(3).permutation(4200)
+    got = pairing.one_to_one_batches(vectors_of(spark, x), vectors_of(spark, x[order]), 8).collect()
+    assert len(got) == 4200 and all(order[r["tele_idx"]] == r["ego_idx"] for r in got)
