@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simloom.functions import layers, series, vector
+from simloom.operators import similarity
 from simloom.plans import heads, results, trajectory
 from simloom.sources.tables import vectors
 
@@ -84,3 +85,28 @@ def test_fusion_keeps_the_sign_of_zero(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet'")
     wanted = con.execute(f"SELECT count(*) FROM (SELECT unnest(vector) AS x FROM ({heads.SQL['fusion_heads']})) WHERE x::VARCHAR = '-0.0'").fetchone()[0]
     assert values.where("CAST(x AS STRING) = '-0.0'").count() == wanted
+
+
+def test_cross_matrix_rounds_as_sql(spark, con):
+    """Products next to a half of the ninth digit or to zero: a matrix product adds up in another order, and halves go away from zero."""
+    rng = np.random.default_rng(4)
+    ego, tele = (rng.normal(size=(2, 400, 64)) / 8).astype(np.float32).astype(float)  # as the table's: products of two are exact
+    halves = (rng.integers(-(10**8), 10**8, 400) + 0.5) / 1e9
+    halves[:30] = 0
+    ego[:, -4:], tele[:, -4:] = 1, 0
+    for k in range(-4, 0):
+        tele[:, k] = (halves - (ego * tele).sum(axis=1)).astype(np.float32)
+    tables = [pa.table({"idx": np.arange(400), "v": list(x)}) for x in (ego, tele)]
+    for name, x in zip(("rows_a", "rows_b"), tables):
+        con.register(name, x)
+    wanted = con.execute("SELECT a.idx, b.idx, round(list_dot_product(a.v, b.v), 9) FROM rows_a a, rows_b b ORDER BY 1, 2").fetchall()
+    plain = np.round(ego @ tele.T, 9).ravel().tolist()
+    assert sum(x != y for x, y in zip(bits(plain), bits(r[2] for r in wanted))) > 10  # the rows tell the two apart
+    sides = [spark.createDataFrame([(k, 0, 0, v) for k, v in enumerate(x.tolist())], "idx long, task long, grp long, v array<double>") for x in (ego, tele)]
+    found = sorted((r["i"], r["j"], r["sim"]) for r in similarity.cross_matrix(*sides).collect())
+    assert [r[:2] for r in found] == [r[:2] for r in wanted] and bits(r[2] for r in found) == bits(r[2] for r in wanted)
+    odd = np.array([[np.inf], [np.nan], [1e300], [-1.5], [0.0]])
+    con.register("odd", pa.table({"k": np.arange(5), "v": list(odd)}))
+    wanted = [r[0] for r in con.execute("SELECT round(list_dot_product(a.v, b.v), 9) FROM odd a, odd b ORDER BY a.k, b.k").fetchall()]
+    with np.errstate(all="ignore"):
+        assert np.array_equal(similarity.rounded_products(odd, odd, odd @ odd.T, 9).ravel(), wanted, equal_nan=True)
