@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simloom.functions import layers, series, vector
-from simloom.operators import similarity
+from simloom.operators import pruned, similarity
 from simloom.plans import heads, results, trajectory
 from simloom.sources.tables import vectors
 
@@ -110,3 +110,22 @@ def test_cross_matrix_rounds_as_sql(spark, con):
     wanted = [r[0] for r in con.execute("SELECT round(list_dot_product(a.v, b.v), 9) FROM odd a, odd b ORDER BY a.k, b.k").fetchall()]
     with np.errstate(all="ignore"):
         assert np.array_equal(similarity.rounded_products(odd, odd, odd @ odd.T, 9).ravel(), wanted, equal_nan=True)
+
+
+def test_threshold_pairs_round_as_sql(spark, con):
+    """Products next to a half of the ninth digit, in one tile, in tiles that bounds choose and in all."""
+    rng = np.random.default_rng(6)
+    ego, tele = (rng.normal(size=(2, 300, 64)) / 8).astype(np.float32).astype(float)
+    halves = (rng.integers(-(10**8), 10**8, 300) + 0.5) / 1e9
+    ego[:, -4:], tele[:, -4:] = 1, 0
+    for k in range(-4, 0):
+        tele[:, k] = (halves - (ego * tele).sum(axis=1)).astype(np.float32)
+    for name, x in (("near_a", ego), ("near_b", tele)):
+        con.register(name, pa.table({"idx": np.arange(300), "v": list(x)}))
+    wanted = con.execute("SELECT i, j, s, (s >= 0.02)::INT FROM (SELECT a.idx AS i, b.idx AS j, round(list_dot_product(a.v, b.v), 9) AS s FROM near_a a, near_b b) WHERE s >= 0.02 OR s <= -0.02 ORDER BY 1, 2").fetchall()
+    plain = dict(zip(((i, j) for i in range(300) for j in range(300)), np.round(ego @ tele.T, 9).ravel().tolist()))
+    assert sum(plain[r[:2]] != r[2] for r in wanted) > 10  # the rows tell the two apart
+    sides = [spark.createDataFrame([(k, 0, 0, v) for k, v in enumerate(x.tolist())], "idx long, task long, grp long, v array<double>") for x in (ego, tele)]
+    for found in (similarity.threshold_pairs(*sides, 0.02, -0.02), pruned.threshold_pairs(*sides, 0.02, -0.02), pruned.threshold_pairs(*sides, 0.02, -0.02, rows=40)):
+        found = sorted((r["i"], r["j"], r["sim"], r["label"]) for r in found.collect())
+        assert [r[:2] + r[3:] for r in found] == [r[:2] + r[3:] for r in wanted] and bits(r[2] for r in found) == bits(r[2] for r in wanted)
